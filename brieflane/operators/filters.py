@@ -51,3 +51,34 @@ def within_window(ts: Column, cutoff_ts: Column) -> Column:
 def language_is(lang: Column, code: str = "en") -> Column:
     """C5."""
     return lang == F.lit(code)
+
+
+def substring_matches(df: DataFrame, text: Column, terms: DataFrame, term_col: str = "term",
+                      max_broadcast_rows: int | None = None) -> DataFrame:
+    """Rows of ``df`` joined to every row of ``terms`` whose term occurs in ``text``.
+
+    Entity term lists are a bounded dimension: when ``terms`` passes the row-count
+    check it is broadcast and matched with ``contains`` per row (work = rows x terms,
+    no shuffle of ``df``). Beyond the bound the match becomes an exact equi-join: every
+    text emits its substrings of each distinct term length, which are joined to the
+    terms and de-duplicated per (row, term row) — linear in the text, no pair fan-out.
+    """
+    from brieflane.operators import skew
+
+    limit = skew.BROADCAST_MAX_ROWS if max_broadcast_rows is None else max_broadcast_rows
+    t = terms.where(F.col(term_col).isNotNull() & (F.length(term_col) > 0))
+    if skew.bounded_rows(t, limit):
+        return df.join(F.broadcast(t), text.contains(F.col(term_col)), "inner")
+    lengths = [r[0] for r in t.select(F.length(term_col).alias("n")).distinct().collect()]
+    rid = "_row_id"
+    keyed = df.withColumn(rid, F.monotonically_increasing_id()).withColumn("_text", text)
+    grams = None
+    for n in lengths:
+        g = keyed.select(rid, F.lit(n).alias("_n"), F.explode(F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length("_text") - n + 1, F.lit(1))),
+            lambda i: F.substring(F.col("_text"), i, n)))).alias("_gram"))
+        grams = g if grams is None else grams.unionByName(g)
+    tk = t.withColumn("_n", F.length(term_col))
+    hits = grams.join(tk, (grams["_gram"] == tk[term_col]) & (grams["_n"] == tk["_n"]), "inner") \
+        .drop("_gram", "_n").dropDuplicates([rid, *[c for c in t.columns]])
+    return keyed.join(hits, rid, "inner").drop(rid, "_text")

@@ -147,4 +147,7 @@ def with_views(names, select: str) -> str:
     if not order:
         return select
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]}\n)" for n in order)
+    body = select.lstrip()
+    if body[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{select}"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from brieflane.operators import config as cfgops
 from brieflane.plans import api
-from brieflane.plans.oracle_views import with_views
+from brieflane.plans.oracle_views import sql_relevant, with_views
 from brieflane.plans.registry import query
 from brieflane.sources import fixtures as fx
 
@@ -26,3 +26,119 @@ FROM top_posts"""))
 def top_posts_engagement(spark, sf_dir):
     """Flagship: top 10 relevant, de-duplicated posts per entity by engagement."""
     return api.top_posts_by_engagement(_relevant(spark, sf_dir)).select(*api.POST_OUT)
+
+
+def _fetched(spark, sf_dir, with_time: bool):
+    p = fx.posts(spark, sf_dir)
+    anchor = api.anchor_of(p, "created_utc") if with_time else None
+    return api.fetch_posts(p, _cfg(spark), anchor)
+
+
+@query("relevance_filter", with_views(["plan", "posts"], f"""
+SELECT pl.entity, p.id, p.subreddit, p.search_term, p.title
+FROM posts p JOIN plan pl ON p.subreddit = pl.subreddit AND p.search_term = pl.search_term
+WHERE coalesce({sql_relevant('p.title', 'pl.keywords', 'pl.companies')}, false)"""))
+def relevance_filter(spark, sf_dir):
+    """C1 over every post each entity's plan retrieves (all time)."""
+    from brieflane.operators import filters
+    f = filters.relevance_filter(_fetched(spark, sf_dir, with_time=False))
+    return f.select("entity", "id", "subreddit", "search_term", "title")
+
+
+@query("timeframe_filter", with_views(["fetched"], """
+SELECT entity, id, created_utc FROM fetched"""))
+def timeframe_filter(spark, sf_dir):
+    """C4: fetched posts inside each entity's timeframe window before the anchor."""
+    return _fetched(spark, sf_dir, with_time=True).select("entity", "id", "created_utc")
+
+
+@query("engagement_rank", with_views(["relevant"], """
+SELECT entity, id, title, engagement, sub_pos, term_pos, resp_order FROM relevant
+ORDER BY entity, engagement DESC, sub_pos, term_pos, resp_order"""))
+def engagement_rank(spark, sf_dir):
+    """Relevant posts in engagement order (desc) with arrival order on ties.
+
+    A global sort (range-partitioned), so an entity holding most rows is still spread."""
+    r = _relevant(spark, sf_dir)
+    return (r.select("entity", "id", "title", "engagement", "sub_pos", "term_pos", "resp_order")
+            .orderBy("entity", F.col("engagement").desc(), "sub_pos", "term_pos", "resp_order"))
+
+
+@query("dedup_best", with_views(["best_posts"], """
+SELECT entity, title, id, subreddit, engagement FROM best_posts"""))
+def dedup_best(spark, sf_dir):
+    """The most engaging copy of each title per entity."""
+    b = api.best_posts(_relevant(spark, sf_dir))
+    return b.select("entity", "title", "id", "subreddit", "engagement")
+
+
+@query("top_posts_score", with_views(["plan", "posts"], """
+SELECT entity, CAST(row_number() OVER w AS BIGINT) AS rank, subreddit, title, score,
+       num_comments AS comments, search_term
+FROM posts p JOIN plan pl USING (subreddit, search_term)
+WINDOW w AS (PARTITION BY entity ORDER BY score DESC, sub_pos, term_pos, resp_order)
+QUALIFY rank <= 10"""))
+def top_posts_score(spark, sf_dir):
+    """Per entity, the 10 highest-scoring fetched posts (no relevance, no de-dup)."""
+    from brieflane.operators import ranking
+    f = _fetched(spark, sf_dir, with_time=False)
+    order = [F.col("score").desc(), "sub_pos", "term_pos", "resp_order"]
+    t = ranking.top_k(f, ["entity"], [F.col(c) if isinstance(c, str) else c for c in order], 10)
+    return t.select("entity", "rank", "subreddit", "title", "score",
+                    F.col("num_comments").alias("comments"), "search_term")
+
+
+@query("request_cap", with_views(["posts"], """
+SELECT subreddit, search_term, id, title,
+       CAST(row_number() OVER (PARTITION BY subreddit, search_term ORDER BY resp_order) AS BIGINT) AS resp_rank
+FROM posts QUALIFY resp_rank <= 10"""))
+def request_cap(spark, sf_dir):
+    """At most 10 posts per (subreddit, search term) request in response order."""
+    from brieflane import fixed
+    from brieflane.operators import ranking
+    p = fx.posts(spark, sf_dir)
+    c = ranking.request_cap(p, ["subreddit", "search_term"], F.col("resp_order"), fixed.POSTS_PER_REQUEST_PLAIN)
+    return c.select("subreddit", "search_term", "id", "title", "resp_rank")
+
+
+@query("subreddit_discovery", with_views(["posts", "cfg_lookup"], """
+WITH kw AS (SELECT entity, unnest(keywords) AS term FROM cfg_lookup),
+hits AS (SELECT DISTINCT k.entity, p.id, p.subreddit
+         FROM posts p JOIN kw k ON length(k.term) > 0 AND contains(lower(p.title), k.term)),
+counts AS (SELECT entity, subreddit, CAST(count(*) AS BIGINT) AS n_relevant FROM hits GROUP BY 1, 2)
+SELECT entity, subreddit, n_relevant,
+       CAST(row_number() OVER (PARTITION BY entity ORDER BY n_relevant DESC, subreddit) AS BIGINT) AS rank
+FROM counts QUALIFY rank <= 5"""))
+def subreddit_discovery(spark, sf_dir):
+    """For every entity, the 5 subreddits with most posts matching its keywords
+    (over all posts, not only configured subreddits)."""
+    from brieflane.operators import filters, ranking
+    p = fx.posts(spark, sf_dir).select("id", "subreddit", F.lower("title").alias("ltitle"))
+    kw = _cfg(spark).select("entity", F.explode("keywords").alias("term"))
+    hits = filters.substring_matches(p, F.col("ltitle"), kw).select("entity", "id", "subreddit").distinct()
+    counts = hits.groupBy("entity", "subreddit").agg(F.count("*").alias("n_relevant"))
+    return ranking.top_k(counts, ["entity"], [F.col("n_relevant").desc(), F.col("subreddit")], 5) \
+        .select("entity", "subreddit", "n_relevant", "rank")
+
+
+@query("engagement_trend", with_views(["relevant"], """
+WITH d AS (SELECT entity, date_trunc('day', created_utc) AS day_start, CAST(count(*) AS BIGINT) AS n_posts,
+                  CAST(sum(engagement) AS BIGINT) AS engagement
+           FROM relevant GROUP BY 1, 2)
+SELECT entity, day_start, n_posts, engagement,
+       lag(engagement) OVER (PARTITION BY entity ORDER BY day_start) AS prev_engagement,
+       engagement - lag(engagement) OVER (PARTITION BY entity ORDER BY day_start) AS change
+FROM d"""))
+def engagement_trend(spark, sf_dir):
+    """K1: relevant posts and engagement per entity per day, change vs the previous day.
+
+    Aggregated per (entity, day) first, so the window sees one row per day only."""
+    from pyspark.sql import Window
+    r = _relevant(spark, sf_dir)
+    d = (r.groupBy("entity", F.window("created_utc", "1 day").alias("w"))
+         .agg(F.count("*").alias("n_posts"), F.sum("engagement").cast("bigint").alias("engagement"))
+         .select("entity", F.col("w.start").alias("day_start"), "n_posts", "engagement"))
+    w = Window.partitionBy("entity").orderBy("day_start")
+    prev = F.lag("engagement").over(w)
+    return d.select("entity", "day_start", "n_posts", "engagement", prev.alias("prev_engagement"),
+                    (F.col("engagement") - prev).alias("change"))
