@@ -82,3 +82,25 @@ def substring_matches(df: DataFrame, text: Column, terms: DataFrame, term_col: s
     hits = grams.join(tk, (grams["_gram"] == tk[term_col]) & (grams["_n"] == tk["_n"]), "inner") \
         .drop("_gram", "_n").dropDuplicates([rid, *[c for c in t.columns]])
     return keyed.join(hits, rid, "inner").drop(rid, "_text")
+
+
+def cnf_matches(df: DataFrame, row_id: str, text: Column, queries: DataFrame, keys: list[str],
+                cnf_col: str = "cnf", max_broadcast_rows: int | None = None) -> DataFrame:
+    """Rows of ``df`` joined to every query row (``keys`` + CNF) whose CNF holds on ``text``.
+
+    Bounded query tables are broadcast and evaluated per row; beyond the bound the
+    CNF is decided exactly from per-term substring hits: a (row, query) pair matches
+    when every OR-group has at least one hit.
+    """
+    from brieflane.operators import skew
+
+    limit = skew.BROADCAST_MAX_ROWS if max_broadcast_rows is None else max_broadcast_rows
+    if skew.bounded_rows(queries, limit):
+        return df.join(F.broadcast(queries), matches_cnf(text, F.col(cnf_col)), "inner")
+    groups = queries.select(*keys, F.size(cnf_col).alias("_ng"), F.posexplode(cnf_col).alias("_g", "_grp"))
+    terms = groups.select(*keys, "_ng", "_g", F.explode("_grp").alias("_term"))
+    hits = substring_matches(df.select(row_id, text.alias("_t")), F.col("_t"), terms, "_term", 0)
+    ok = (hits.select(row_id, *keys, "_ng", "_g").distinct()
+          .groupBy(row_id, *keys, "_ng").agg(F.count("*").alias("_hit"))
+          .where(F.col("_hit") == F.col("_ng")).select(row_id, *keys))
+    return df.join(ok, row_id, "inner").join(queries, keys, "inner")
