@@ -135,3 +135,15 @@ ENGLISH_STOP_WORDS = [
     "here's", "how's", "let's", "ought", "that's", "there's", "what's", "when's",
     "where's", "who's", "why's", "would",
 ]
+
+# FIXED VALUES — brief instructions handed to an external model with each entity brief.
+BRIEF_INSTRUCTIONS = [
+    "Provide a comprehensive analysis including:",
+    "1. Overall Sentiment",
+    "2. Key Trends and Patterns",
+    "3. Main Concerns or Opportunities",
+    "4. Confidence Level in the Analysis",
+    "Consider insights from all three sources (Reddit, News, YouTube) in your analysis.",
+    "Format the response in a clear, structured way.",
+]
+NO_DATA_ERROR = "No data available from either Reddit or News API"

@@ -73,3 +73,130 @@ def top_posts_by_engagement(rel: DataFrame, k: int = fixed.TOP_POSTS) -> DataFra
 
 POST_OUT = ["entity", "rank", "id", "subreddit", "title", "score", "num_comments",
             "engagement", "search_term", "created_utc"]
+
+
+def top_posts_by_score(fetched: DataFrame, k: int = fixed.TOP_POSTS) -> DataFrame:
+    """Top-k fetched posts per entity by score (no relevance filter, no de-dup)."""
+    order = [F.col("score").desc(), F.col("sub_pos"), F.col("term_pos"), F.col("resp_order")]
+    return ranking.top_k(fetched, ["entity"], order, k)
+
+
+# ---------------------------------------------------------------------------- reports
+class Sources:
+    """Landed, typed source tables an analysis reads."""
+
+    def __init__(self, posts: DataFrame, articles: DataFrame, videos: DataFrame, config: DataFrame,
+                 charts: DataFrame | None = None):
+        self.posts, self.articles, self.videos, self.config, self.charts = posts, articles, videos, config, charts
+
+
+def news_for_entities(articles: DataFrame, entities: DataFrame) -> DataFrame:
+    """Articles a news search returns per entity: CNF match on title + description,
+    English only, first 100 in landed (relevance) order."""
+    q = entities.select("entity", "entity_pos", cfgops.news_query(F.col("entity")).alias("cnf"))
+    text = F.lower(F.concat_ws(" ", "title", "description"))
+    hits = filters.cnf_matches(articles, "article_id", text, q, ["entity", "entity_pos"])
+    hits = hits.where(filters.language_is(F.col("language"), "en"))
+    return ranking.request_cap(hits, ["entity"], F.col("article_id"), fixed.ARTICLES_PER_ENTITY).drop("resp_rank")
+
+
+def videos_for_entities(videos: DataFrame, entities: DataFrame) -> DataFrame:
+    """Videos a search returns per entity: title contains the entity; 10 in search order."""
+    ents = entities.select("entity", "entity_pos", F.lower("entity").alias("term"))
+    hits = filters.substring_matches(videos, F.lower(F.col("title")), ents, "term").drop("term")
+    return ranking.request_cap(hits, ["entity"], F.col("search_pos"), fixed.VIDEOS_PER_ENTITY).drop("resp_rank")
+
+
+def transcript_summary(t: Column) -> Column:
+    """first 500 characters plus '...', or the no-transcript text."""
+    return (F.when(F.length(t) > 0, F.concat(F.substring(t, 1, fixed.TRANSCRIPT_SUMMARY_CHARS), F.lit("...")))
+            .otherwise(F.lit(fixed.NO_TRANSCRIPT)))
+
+
+def fmt_ts(c: Column) -> Column:
+    """F7."""
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+def analyze_entities(src: Sources, entities: DataFrame, anchor: Column | None = None) -> DataFrame:
+    """I1 for many entities at once: one report row per entity.
+
+    ``entities``: (entity, timeframe, entity_pos). ``anchor`` replaces `now()` for the
+    timeframe windows (default: latest post time). Columns: counts per source (G1),
+    status/error (C8), post/news/video lines (H1–H3), JSON digest (H5), brief (H6),
+    raw-data fallback (H7) and analysis = fallback until a model fills it (H8).
+    """
+    from brieflane.operators import report as rp
+
+    anchor = anchor if anchor is not None else anchor_of(src.posts, "created_utc")
+    cfg = cfgops.config_lookup(entities, src.config)
+    fetched = fetch_posts(src.posts, cfg, anchor)
+    n_posts = fetched.groupBy("entity").agg(F.count("*").alias("n_posts"))
+
+    rel = filters.relevance_filter(fetched).withColumn(
+        "engagement", ranking.engagement(F.col("score"), F.col("num_comments")))
+    top_eng = top_posts_by_engagement(rel)
+    post_lines = rp.joined_lines(top_eng, ["entity"], "rank",
+                                 rp.post_line(F.col("subreddit"), F.col("title"), F.col("score"),
+                                              F.col("num_comments"), F.col("search_term")), "post_lines")
+
+    top_score = top_posts_by_score(fetched)
+    posts_items = rp.ordered_list(top_score, ["entity"], "rank", F.struct(
+        "subreddit", "title", "score", F.col("num_comments").alias("comments"), "search_term"), "top_posts")
+    posts_raw_lines = rp.joined_lines(top_score, ["entity"], "rank",
+                                      rp.post_line(F.col("subreddit"), F.col("title"), F.col("score"),
+                                                   F.col("num_comments"), F.col("search_term")), "raw_post_lines")
+
+    news = news_for_entities(src.articles, entities)
+    n_articles = news.groupBy("entity").agg(F.count("*").alias("n_articles"))
+    recent = ranking.top_k(news, ["entity"], [F.col("publishedAt").desc(), F.col("article_id")], fixed.RECENT_NEWS)
+    news_items = rp.ordered_list(recent, ["entity"], "rank", F.struct(
+        "title", "description", "source", fmt_ts(F.col("publishedAt")).alias("publishedAt")), "recent_news")
+    news_lines = rp.joined_lines(recent, ["entity"], "rank", rp.news_line(F.col("title"), F.col("source")),
+                                 "news_lines")
+
+    vids = videos_for_entities(src.videos, entities)
+    n_videos = vids.groupBy("entity").agg(F.count("*").alias("n_videos"))
+    top_v = ranking.top_k(vids, ["entity"], [F.col("view_count").desc(), F.col("video_id")], fixed.TOP_VIDEOS)
+    video_items = rp.ordered_list(top_v, ["entity"], "rank", F.struct(
+        "title", F.col("channel_title").alias("channel"), F.col("view_count").alias("views"),
+        fmt_ts(F.col("published_at")).alias("published_at"), "video_id",
+        transcript_summary(F.col("transcript_text")).alias("transcript_summary")), "top_videos")
+    video_lines = rp.joined_lines(top_v, ["entity"], "rank",
+                                  rp.video_line(F.col("title"), F.col("channel_title"), F.col("view_count")),
+                                  "video_lines")
+
+    base = entities.select("entity", "entity_pos", "timeframe")
+    j = rp.attach(base, [n_posts, n_articles, n_videos, post_lines, posts_items, posts_raw_lines,
+                         news_items, news_lines, video_items, video_lines])
+    zero = F.lit(0).cast("bigint")
+    n_p, n_a, n_v = (F.coalesce(F.col(c), zero) for c in ("n_posts", "n_articles", "n_videos"))
+    tp = rp.empty_if_null(F.col("top_posts"), "struct<subreddit:string,title:string,score:bigint,"
+                                             "comments:bigint,search_term:string>")
+    rn = rp.empty_if_null(F.col("recent_news"), "struct<title:string,description:string,source:string,"
+                                              "publishedAt:string>")
+    tv = rp.empty_if_null(F.col("top_videos"), "struct<title:string,channel:string,views:bigint,"
+                                             "published_at:string,video_id:string,transcript_summary:string>")
+    no_data = (n_p == 0) & (n_a == 0)
+    news_text = rp.with_fallback_text(F.col("news_lines"), fixed.NO_NEWS)
+    video_text = rp.with_fallback_text(F.col("video_lines"), fixed.NO_YOUTUBE)
+    fallback = rp.fallback_text(F.coalesce(F.col("raw_post_lines"), F.lit("")), news_text, video_text)
+    return j.select(
+        "entity", "entity_pos", "timeframe",
+        n_p.alias("n_posts"), n_a.alias("n_articles"), n_v.alias("n_videos"),
+        F.when(no_data, F.lit("no_data")).otherwise(F.lit("ok")).alias("status"),
+        F.when(no_data, F.lit(fixed.NO_DATA_ERROR)).alias("error"),
+        rp.with_fallback_text(F.col("post_lines"), fixed.NO_REDDIT).alias("post_lines"),
+        news_text.alias("news_lines"), video_text.alias("video_lines"),
+        F.to_json(F.struct(tp.alias("top_posts"), rn.alias("recent_news"), tv.alias("top_videos"))).alias("digest"),
+        rp.brief_text(F.col("entity"), F.to_json(tp), F.to_json(rn), F.to_json(tv)).alias("brief"),
+        fallback.alias("fallback"),
+        F.when(~no_data, fallback).alias("analysis"),
+    )
+
+
+def analyze_markets(entities: DataFrame, config: DataFrame, charts: DataFrame) -> DataFrame:
+    """I2 for many entities at once: one market report row per entity."""
+    from brieflane.operators import market
+    req = cfgops.resolve_symbols(entities, config)
+    return market.market_reports(market.symbol_quotes(req, charts))

@@ -124,6 +124,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
   SELECT *, CAST(row_number() OVER (PARTITION BY entity
                  ORDER BY engagement DESC, sub_pos, term_pos, resp_order) AS BIGINT) AS rank
   FROM best_posts
+  QUALIFY rank <= 10"""),
+    "top_posts_score": (("fetched",), """
+  SELECT *, CAST(row_number() OVER (PARTITION BY entity
+                 ORDER BY score DESC, sub_pos, term_pos, resp_order) AS BIGINT) AS rank
+  FROM fetched
   QUALIFY rank <= 10"""),
 }
 

@@ -72,18 +72,11 @@ def dedup_best(spark, sf_dir):
     return b.select("entity", "title", "id", "subreddit", "engagement")
 
 
-@query("top_posts_score", with_views(["plan", "posts"], """
-SELECT entity, CAST(row_number() OVER w AS BIGINT) AS rank, subreddit, title, score,
-       num_comments AS comments, search_term
-FROM posts p JOIN plan pl USING (subreddit, search_term)
-WINDOW w AS (PARTITION BY entity ORDER BY score DESC, sub_pos, term_pos, resp_order)
-QUALIFY rank <= 10"""))
+@query("top_posts_score", with_views(["top_posts_score"], """
+SELECT entity, rank, subreddit, title, score, num_comments AS comments, search_term FROM top_posts_score"""))
 def top_posts_score(spark, sf_dir):
     """Per entity, the 10 highest-scoring fetched posts (no relevance, no de-dup)."""
-    from brieflane.operators import ranking
-    f = _fetched(spark, sf_dir, with_time=False)
-    order = [F.col("score").desc(), "sub_pos", "term_pos", "resp_order"]
-    t = ranking.top_k(f, ["entity"], [F.col(c) if isinstance(c, str) else c for c in order], 10)
+    t = api.top_posts_by_score(_fetched(spark, sf_dir, with_time=True))
     return t.select("entity", "rank", "subreddit", "title", "score",
                     F.col("num_comments").alias("comments"), "search_term")
 
