@@ -72,15 +72,63 @@ def idf_weights(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return d.select("term", "doc_freq", idf_column(m, F.col("doc_freq")).alias("idf"))
 
 
-def tfidf(docs: DataFrame, id_col: str, text_col: str, salts: int = 16) -> DataFrame:
-    """(doc_id, term, tf, idf, tfidf)."""
-    m = docs.agg(F.count("*")).scalar()
-    tf = term_counts(docs, id_col, text_col)
+def tfidf_from_counts(tf: DataFrame, m: Column, salts: int = 16) -> DataFrame:
+    """E6 from term counts (doc_id, term, tf) and the document count ``m``."""
     w = doc_freq(tf).select("term", idf_column(m, F.col("doc_freq")).alias("idf"))
     j = skew.salted_join(tf, w, ["term"], salts=salts, salt_source=F.xxhash64(F.col("doc_id")))
     return j.select("doc_id", "term", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tfidf"))
 
 
+def tfidf(docs: DataFrame, id_col: str, text_col: str, salts: int = 16) -> DataFrame:
+    """(doc_id, term, tf, idf, tfidf)."""
+    m = docs.agg(F.count("*")).scalar()
+    return tfidf_from_counts(term_counts(docs, id_col, text_col), m, salts)
+
+
+def segment_term_counts(segments: DataFrame, docs: DataFrame, salts: int = 16) -> DataFrame:
+    """E3 for documents stored as ordered segments (video transcripts), without
+    assembling any document: counts equal ``term_counts`` on the texts joined with one
+    space (``docs``: doc_id of every document, segmented or not).
+
+    Splitting the joined text on single whitespace characters gives exactly the
+    concatenation of every segment's pieces (the joining space is a separator), so
+    tokens are exploded per segment. Only the Tokenizer's removal of trailing empty
+    tokens needs a per-document fact — the last non-empty piece — which is one row per
+    document, joined back to one summary row per segment (salted, so a document holding
+    a third of all segments is spread over ``salts`` tasks).
+    """
+    seg = skew.salted_join(segments.where(F.col("text").isNotNull()), docs.select("doc_id").distinct(),
+                           ["doc_id"], salts=salts, how="left_semi",
+                           salt_source=F.xxhash64("doc_id", "position"))
+    low = F.lower(F.col("text"))
+    pieces = F.split(low, WS, -1)
+    words = (seg.select("doc_id", F.explode(F.filter(pieces, lambda x: (x != "") & ~is_stop_word(x))).alias("term"))
+             .groupBy("doc_id", "term").agg(F.count("*").alias("tf")))
+    # one row per segment: length, pieces, empty pieces, and -- when it has a word -- the
+    # empty pieces after its last word (= its trailing whitespace characters)
+    has_word = low.rlike("[^ \\t\\n\\x0B\\f\\r]")
+    per_seg = seg.select(
+        "doc_id", "position", F.length("text").alias("len"), F.size(pieces).alias("n_pieces"),
+        F.size(F.filter(pieces, lambda x: x == "")).alias("n_empty"), has_word.alias("has_word"),
+        (F.length(low) - F.length(F.regexp_replace(low, WS + "+$", ""))).alias("trail_in"))
+    last_seg = per_seg.where("has_word").groupBy("doc_id").agg(F.max("position").alias("last_pos"))
+    j = skew.salted_join(per_seg, last_seg, ["doc_id"], salts=salts, how="left",
+                         salt_source=F.xxhash64("doc_id", "position"))
+    trailing = (F.when(F.col("last_pos").isNull() | (F.col("position") > F.col("last_pos")), F.col("n_pieces"))
+                .when(F.col("position") == F.col("last_pos"), F.col("trail_in"))
+                .otherwise(F.lit(0)))
+    per_doc = j.groupBy("doc_id").agg(
+        (F.sum("n_empty") - F.sum(trailing)).alias("kept"), F.max("last_pos").alias("last_pos"),
+        (F.sum("len") + F.count("*") - 1).alias("chars"))
+    # documents whose joined text is '' tokenize to [''] (no segments, or one empty segment)
+    d = docs.select("doc_id").distinct().join(per_doc, "doc_id", "left")
+    empty_tf = (F.when(F.coalesce(F.col("chars"), F.lit(0)) == 0, F.lit(1))
+                .when(F.col("last_pos").isNull(), F.lit(0))
+                .otherwise(F.col("kept")))
+    blanks = d.select("doc_id", F.lit("").alias("term"), empty_tf.cast("bigint").alias("tf")).where("tf > 0")
+    return words.unionByName(blanks)
+
+
 def vocabulary(docs: DataFrame, id_col: str, text_col: str, vocab_size: int = 1 << 18) -> DataFrame:
     """The vocabulary CountVectorizer keeps — terms by corpus count (desc, then term),
     at most ``vocab_size`` of them, with a 1-based rank. The ranking window only ever

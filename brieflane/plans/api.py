@@ -83,7 +83,8 @@ def top_posts_by_score(fetched: DataFrame, k: int = fixed.TOP_POSTS) -> DataFram
 
 # ---------------------------------------------------------------------------- reports
 class Sources:
-    """Landed, typed source tables an analysis reads."""
+    """Landed, typed source tables an analysis reads. ``videos`` carries
+    ``transcript_summary`` (see ``ingest.enrich_video_cards``)."""
 
     def __init__(self, posts: DataFrame, articles: DataFrame, videos: DataFrame, config: DataFrame,
                  charts: DataFrame | None = None):
@@ -109,8 +110,12 @@ def videos_for_entities(videos: DataFrame, entities: DataFrame) -> DataFrame:
 
 def transcript_summary(t: Column) -> Column:
     """first 500 characters plus '...', or the no-transcript text."""
-    return (F.when(F.length(t) > 0, F.concat(F.substring(t, 1, fixed.TRANSCRIPT_SUMMARY_CHARS), F.lit("...")))
-            .otherwise(F.lit(fixed.NO_TRANSCRIPT)))
+    return summary_from_head(F.length(t), F.substring(t, 1, fixed.TRANSCRIPT_SUMMARY_CHARS))
+
+
+def summary_from_head(chars: Column, head: Column) -> Column:
+    """F9 from the transcript's length and its first 500 characters."""
+    return F.when(chars > 0, F.concat(head, F.lit("..."))).otherwise(F.lit(fixed.NO_TRANSCRIPT))
 
 
 def fmt_ts(c: Column) -> Column:
@@ -161,7 +166,7 @@ def analyze_entities(src: Sources, entities: DataFrame, anchor: Column | None =
     video_items = rp.ordered_list(top_v, ["entity"], "rank", F.struct(
         "title", F.col("channel_title").alias("channel"), F.col("view_count").alias("views"),
         fmt_ts(F.col("published_at")).alias("published_at"), "video_id",
-        transcript_summary(F.col("transcript_text")).alias("transcript_summary")), "top_videos")
+        F.col("transcript_summary")), "top_videos")
     video_lines = rp.joined_lines(top_v, ["entity"], "rank",
                                   rp.video_line(F.col("title"), F.col("channel_title"), F.col("view_count")),
                                   "video_lines")

@@ -58,7 +58,7 @@ register_view("entity_reports", ("report_parts",), f"""
 
 def entity_reports(spark, sf_dir):
     src = api.Sources(posts=fx.posts(spark, sf_dir), articles=q_sources.articles(spark, sf_dir),
-                      videos=q_sources.videos(spark, sf_dir), config=fx.config_table(spark))
+                      videos=q_sources.video_cards(spark, sf_dir), config=fx.config_table(spark))
     return api.analyze_entities(src, fx.analyzed_entities(spark))
 
 

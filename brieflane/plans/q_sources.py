@@ -104,6 +104,14 @@ def videos(spark, sf_dir):
     return ingest.enrich_videos(fx.video_search(spark, sf_dir), fx.video_stats(spark, sf_dir), tr)
 
 
+def video_cards(spark, sf_dir):
+    """Videos with the bounded transcript summary instead of the whole transcript."""
+    from brieflane.plans import api
+    heads = ingest.transcript_heads(fx.transcript_segments(spark, sf_dir), fixed.TRANSCRIPT_SUMMARY_CHARS)
+    return ingest.enrich_video_cards(fx.video_search(spark, sf_dir), fx.video_stats(spark, sf_dir), heads,
+                                     api.summary_from_head)
+
+
 def entity_queries(spark):
     a = fx.analyzed_entities(spark)
     return a.select("entity", "entity_pos", cfgops.news_query(F.col("entity")).alias("cnf"))
@@ -126,22 +134,15 @@ def recent_news_frame(spark, sf_dir):
 def video_hits(spark, sf_dir):
     """Videos a search for the entity returns: title contains the entity, 10 per entity
     in search order."""
-    v = videos(spark, sf_dir)
+    v = video_cards(spark, sf_dir)
     ents = fx.analyzed_entities(spark).select("entity", "entity_pos", F.lower("entity").alias("term"))
     hits = filters.substring_matches(v, F.lower(F.col("title")), ents, "term").drop("term")
     return ranking.request_cap(hits, ["entity"], F.col("search_pos"), fixed.VIDEOS_PER_ENTITY).drop("resp_rank")
 
 
-def transcript_summary(t):
-    """first 500 characters plus '...', or the no-transcript text."""
-    return (F.when(F.length(t) > 0, F.concat(F.substring(t, 1, fixed.TRANSCRIPT_SUMMARY_CHARS), F.lit("...")))
-            .otherwise(F.lit(fixed.NO_TRANSCRIPT)))
-
-
 def top_videos_frame(spark, sf_dir):
-    t = ranking.top_k(video_hits(spark, sf_dir), ["entity"],
-                      [F.col("view_count").desc(), F.col("video_id")], fixed.TOP_VIDEOS)
-    return t.withColumn("transcript_summary", transcript_summary(F.col("transcript_text")))
+    return ranking.top_k(video_hits(spark, sf_dir), ["entity"],
+                         [F.col("view_count").desc(), F.col("video_id")], fixed.TOP_VIDEOS)
 
 
 def fmt_ts(c):
@@ -226,9 +227,8 @@ SELECT video_id,
             ELSE {lit(fixed.NO_TRANSCRIPT)} END AS transcript_summary
 FROM videos"""))
 def transcript_summary_q(spark, sf_dir):
-    """transcript summary for every enriched video."""
-    v = videos(spark, sf_dir)
-    return v.select("video_id", transcript_summary(F.col("transcript_text")).alias("transcript_summary"))
+    """transcript summary for every enriched video (from bounded transcript heads)."""
+    return video_cards(spark, sf_dir).select("video_id", "transcript_summary")
 
 
 @query("top_videos", with_views(["top_videos"], """

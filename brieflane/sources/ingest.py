@@ -124,3 +124,33 @@ def parse_charts(charts: DataFrame) -> DataFrame:
         F.when(vol.isNull(), F.lit(0)).otherwise(F.size(vol)).cast("bigint").alias("n_bars"),
         F.col("j._corrupt_record").isNotNull().alias("malformed"),
     )
+
+
+def transcript_heads(segments: DataFrame, n_chars: int) -> DataFrame:
+    """Per video: the assembled transcript's length and first ``n_chars`` characters,
+    without assembling it. The head needs at most ``n_chars + 1`` segments (each adds a
+    separator), taken per video by a top-k whose partial limit runs before the shuffle,
+    so a video with millions of segments ships only that many rows."""
+    from brieflane.operators import ranking
+
+    seg = segments.where(F.col("text").isNotNull())
+    size = seg.groupBy("video_id").agg(
+        (F.sum(F.length("text")) + F.count("*") - 1).alias("transcript_chars"))
+    head = ranking.top_k(seg, ["video_id"], [F.col("position")], n_chars + 1, rank_col="_r")
+    prefix = head.groupBy("video_id").agg(F.substring(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))),
+                                 lambda s: s["text"]), " "), 1, n_chars).alias("transcript_head"))
+    return size.join(prefix, "video_id", "left")
+
+
+def enrich_video_cards(search: DataFrame, stats: DataFrame, heads: DataFrame, summary) -> DataFrame:
+    """A4 for reports: like ``enrich_videos`` but with the transcript summary (F9) built
+    from bounded heads instead of the whole transcript. ``summary(chars, head)``."""
+    s = search.select(F.col("id.videoId").alias("video_id"), F.col("snippet.title").alias("title"),
+                      F.col("snippet.channelTitle").alias("channel_title"),
+                      parse_iso_z(F.col("snippet.publishedAt")).alias("published_at"), "search_pos")
+    st = stats.select("video_id", F.coalesce(F.col("viewCount").try_cast("bigint"), F.lit(0)).alias("view_count"))
+    j = s.join(st, "video_id", "inner").join(heads, "video_id", "left")
+    return j.select("video_id", "title", "channel_title", "published_at", "search_pos", "view_count",
+                    summary(F.coalesce(F.col("transcript_chars"), F.lit(0)), F.col("transcript_head"))
+                    .alias("transcript_summary"))

@@ -81,3 +81,23 @@ def test_flagship_plan_shape(spark):
     assert "BroadcastHashJoin" in plan and "BuildRight" in plan     # the search plan is the broadcast side
     scan = [ln for ln in plan.splitlines() if "FileScan parquet" in ln and "documents" in ln]
     assert scan and all("ReadSchema" in ln for ln in scan)
+
+
+def test_segment_term_counts_equal_assembled(spark):
+    segs = [
+        ("a", 0, "Hello  world "), ("a", 1, ""), ("a", 2, "  "),          # trailing empties span segments
+        ("b", 0, ""),                                                     # one empty segment -> ['']
+        ("c", 0, ""), ("c", 1, ""),                                       # ' ' -> []
+        ("d", 0, " x\t"), ("d", 1, "the Y"), ("d", 2, "z  "),             # stop word, inner empties
+        ("e", 0, "   "),                                                  # whitespace only -> []
+        ("f", 1, "b"), ("f", 0, "A  "),                                   # out-of-order positions
+    ]
+    seg = spark.createDataFrame(segs, "doc_id string, position int, text string")
+    docs = spark.createDataFrame([(d,) for d in "abcdefg"], "doc_id string")  # g: no segments -> ['']
+    got = sorted(tuple(r) for r in tx.segment_term_counts(seg, docs, salts=3).collect())
+    assembled = seg.groupBy("doc_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("position", "text"))), lambda s: s["text"]), " ").alias("t"))
+    full = docs.join(assembled, "doc_id", "left").select("doc_id", F.coalesce("t", F.lit("")).alias("t"))
+    want = sorted(tuple(r) for r in tx.term_counts(full, "doc_id", "t").collect())
+    assert got == want
+    assert ("b", "", 1) in got and ("g", "", 1) in got and not any(r[0] in "ce" for r in got)
