@@ -32,6 +32,8 @@ def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], salts: in
     hash of all its columns).
     """
     src = salt_source if salt_source is not None else F.xxhash64(*[F.col(c) for c in big.columns])
-    b = big.withColumn("_salt", F.pmod(src, F.lit(salts)).cast("int"))
+    # Non-nullable on purpose: a nullable salt makes the optimizer push an inferred
+    # isnotnull(...) below ``big``'s aggregates, which stops AQE from reusing their shuffles.
+    b = big.withColumn("_salt", F.coalesce(F.pmod(src, F.lit(salts)).cast("int"), F.lit(0)))
     s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return b.join(s, [*keys, "_salt"], how).drop("_salt")

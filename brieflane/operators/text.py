@@ -56,8 +56,12 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def doc_freq(tf: DataFrame) -> DataFrame:
-    """(term, doc_freq, total_count)."""
-    return tf.groupBy("term").agg(F.count("*").alias("doc_freq"), F.sum("tf").alias("total_count"))
+    """(term, doc_freq, total_count).
+
+    doc_freq is written as ``count_if(tf > 0)`` (= rows, tf >= 1) so that it reads the
+    counts: the optimizer then keeps the term-count aggregate intact and AQE reuses its
+    shuffle for both the df branch and the tf side of the join (one tokenizing pass)."""
+    return tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("doc_freq"), F.sum("tf").alias("total_count"))
 
 
 def idf_column(m: Column, df: Column) -> Column:

@@ -112,6 +112,12 @@ def video_cards(spark, sf_dir):
                                      api.summary_from_head)
 
 
+def video_ids(spark, sf_dir):
+    """Ids of enriched videos (search items that have statistics)."""
+    s = fx.video_search(spark, sf_dir).select(F.col("id.videoId").alias("video_id"))
+    return s.join(fx.video_stats(spark, sf_dir).select("video_id"), "video_id", "inner")
+
+
 def entity_queries(spark):
     a = fx.analyzed_entities(spark)
     return a.select("entity", "entity_pos", cfgops.news_query(F.col("entity")).alias("cnf"))

@@ -115,7 +115,7 @@ def tfidf_articles(spark, sf_dir):
 def tfidf_transcripts(spark, sf_dir):
     """TF-IDF of whole video transcripts, counted per segment (no transcript is
     assembled; equal to tokenizing the space-joined text)."""
-    docs = q_sources.video_cards(spark, sf_dir).select(F.col("video_id").alias("doc_id"))
+    docs = q_sources.video_ids(spark, sf_dir).select(F.col("video_id").alias("doc_id"))
     seg = fx.transcript_segments(spark, sf_dir).select(F.col("video_id").alias("doc_id"), "position", "text")
     tf = tx.segment_term_counts(seg, docs)
     return _tfidf_out(tx.tfidf_from_counts(tf, docs.agg(F.count("*")).scalar()))
