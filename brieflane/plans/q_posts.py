@@ -135,3 +135,21 @@ def engagement_trend(spark, sf_dir):
     prev = F.lag("engagement").over(w)
     return d.select("entity", "day_start", "n_posts", "engagement", prev.alias("prev_engagement"),
                     (F.col("engagement") - prev).alias("change"))
+
+
+_WORDS = "'[^\\p{L}\\p{N}]+'"
+
+
+@query("relevance_word_match", with_views(["plan", "posts"], f"""
+SELECT pl.entity, p.id, p.subreddit, p.search_term, p.title
+FROM posts p JOIN plan pl ON p.subreddit = pl.subreddit AND p.search_term = pl.search_term
+WHERE len(list_filter(pl.keywords, lambda k: CASE WHEN contains(k, ' ')
+          THEN contains(' ' || lower(p.title) || ' ', ' ' || k || ' ')
+          ELSE list_contains(regexp_split_to_array(lower(p.title), {_WORDS}), k) END)) > 0
+   OR len(list_filter(coalesce(pl.companies, CAST([] AS VARCHAR[])),
+          lambda c: list_contains(regexp_split_to_array(upper(lower(p.title)), {_WORDS}), c))) > 0"""))
+def relevance_word_match(spark, sf_dir):
+    """K4: C1 with whole-word matching instead of substrings (over all fetched posts)."""
+    from brieflane.operators import filters
+    f = filters.relevance_filter(_fetched(spark, sf_dir, with_time=False), word_boundary=True)
+    return f.select("entity", "id", "subreddit", "search_term", "title")

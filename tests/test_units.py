@@ -135,3 +135,24 @@ def test_envelope_edge_cases(spark):
     assert posts["a"].subreddit == "sub" and posts["a"].created_utc == dt.datetime(1970, 1, 1)
     q = {r.record_id: r.reason for r in ingest.envelope_quarantine(parsed).collect()}
     assert q == {"r4": "malformed JSON", "r5": "HTTP 500"}
+
+
+def test_sinks_write_and_read_back(spark, tmp_path):
+    from brieflane import sinks
+    df = spark.createDataFrame([("a", "x", 1), ("b", "y", 2)], "entity string, term string, n long")
+    sinks.write_features(df, str(tmp_path / "features"))
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "features")).collect()) == [("a", "x", 1), ("b", "y", 2)]
+    sinks.export_reports(df, str(tmp_path / "reports"))
+    back = spark.read.json(str(tmp_path / "reports"))
+    assert sorted((r.entity, r.term, r.n) for r in back.collect()) == [("a", "x", 1), ("b", "y", 2)]
+    assert (tmp_path / "reports" / "entity=a").is_dir()
+
+
+def test_plain_default_config(spark):
+    from brieflane.sources import fixtures as fx
+    ents = spark.createDataFrame([("Tesla",), ("IRON",)], "entity string")
+    rows = {r.entity: r for r in cfgops.config_lookup(ents, fx.config_table(spark), default="plain").collect()}
+    assert rows["Tesla"].subreddits == fixed.PLAIN_DEFAULT_SUBREDDITS
+    assert rows["Tesla"].search_terms == ["Tesla"] and rows["Tesla"].keywords == ["tesla"]
+    assert rows["Tesla"].companies == [] and not rows["Tesla"].configured
+    assert rows["IRON"].configured and rows["IRON"].companies == fixed.REFERENCE_CONFIGS["iron"]["companies"]
