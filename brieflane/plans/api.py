@@ -159,6 +159,8 @@ def analyze_entities(src: Sources, entities: DataFrame, anchor: Column | None =
         "title", "description", "source", fmt_ts(F.col("publishedAt")).alias("publishedAt")), "recent_news")
     news_lines = rp.joined_lines(recent, ["entity"], "rank", rp.news_line(F.col("title"), F.col("source")),
                                  "news_lines")
+    news_lines_plain = rp.joined_lines(recent, ["entity"], "rank",
+                                       rp.news_line_plain(F.col("title"), F.col("description")), "news_lines_plain")
 
     vids = videos_for_entities(src.videos, entities)
     n_videos = vids.groupBy("entity").agg(F.count("*").alias("n_videos"))
@@ -173,7 +175,7 @@ def analyze_entities(src: Sources, entities: DataFrame, anchor: Column | None =
 
     base = entities.select("entity", "entity_pos", "timeframe")
     j = rp.attach(base, [n_posts, n_articles, n_videos, post_lines, posts_items, posts_raw_lines,
-                         news_items, news_lines, video_items, video_lines])
+                         news_items, news_lines, news_lines_plain, video_items, video_lines])
     zero = F.lit(0).cast("bigint")
     n_p, n_a, n_v = (F.coalesce(F.col(c), zero) for c in ("n_posts", "n_articles", "n_videos"))
     tp = rp.empty_if_null(F.col("top_posts"), "struct<subreddit:string,title:string,score:bigint,"
@@ -192,7 +194,9 @@ def analyze_entities(src: Sources, entities: DataFrame, anchor: Column | None =
         F.when(no_data, F.lit("no_data")).otherwise(F.lit("ok")).alias("status"),
         F.when(no_data, F.lit(fixed.NO_DATA_ERROR)).alias("error"),
         rp.with_fallback_text(F.col("post_lines"), fixed.NO_REDDIT).alias("post_lines"),
-        news_text.alias("news_lines"), video_text.alias("video_lines"),
+        news_text.alias("news_lines"),
+        rp.with_fallback_text(F.col("news_lines_plain"), fixed.NO_NEWS).alias("news_lines_plain"),
+        video_text.alias("video_lines"),
         F.to_json(F.struct(tp.alias("top_posts"), rn.alias("recent_news"), tv.alias("top_videos"))).alias("digest"),
         rp.brief_text(F.col("entity"), F.to_json(tp), F.to_json(rn), F.to_json(tv)).alias("brief"),
         fallback.alias("fallback"),

@@ -25,6 +25,8 @@ register_view("report_parts", ("analyzed", "fetched", "news_capped", "video_hits
     (SELECT string_agg({_POST_FMT}, chr(10) ORDER BY rank) FROM top_posts_score t WHERE t.entity = a.entity) AS raw_post_lines,
     (SELECT string_agg(printf('- %s (Source: %s)', title, source), chr(10) ORDER BY rank)
        FROM recent_news r WHERE r.entity = a.entity) AS news_lines,
+    (SELECT string_agg(printf('- %s: %s', title, description), chr(10) ORDER BY rank)
+       FROM recent_news r WHERE r.entity = a.entity) AS news_lines_plain,
     (SELECT string_agg(printf('- %s (Channel: %s, Views: %d)', title, channel_title, view_count), chr(10) ORDER BY rank)
        FROM top_videos v WHERE v.entity = a.entity) AS video_lines,
     coalesce((SELECT to_json(list({{'subreddit': subreddit, 'title': title, 'score': score,
@@ -46,6 +48,7 @@ register_view("entity_reports", ("report_parts",), f"""
          CASE WHEN n_posts = 0 AND n_articles = 0 THEN {lit(fixed.NO_DATA_ERROR)} END AS error,
          coalesce(post_lines, {lit(fixed.NO_REDDIT)}) AS post_lines,
          coalesce(news_lines, {lit(fixed.NO_NEWS)}) AS news_lines,
+         coalesce(news_lines_plain, {lit(fixed.NO_NEWS)}) AS news_lines_plain,
          coalesce(video_lines, {lit(fixed.NO_YOUTUBE)}) AS video_lines,
          '{{"top_posts":' || tp_json || ',"recent_news":' || rn_json || ',"top_videos":' || tv_json || '}}' AS digest,
          concat_ws(chr(10), 'Analyze the following market data for ' || entity || ':', '', 'Reddit Discussion:', tp_json,
@@ -77,7 +80,8 @@ _q("source_counts", ["entity", "n_posts", "n_articles", "n_videos"], "G1: rows p
 _q("entity_status", ["entity", "n_posts", "n_articles", "status", "error"],
    "C8: per-entity empty-input guard (no posts and no articles -> no_data).")
 _q("post_lines", ["entity", "post_lines"], "H1: top-post lines per entity (fallback text when none).")
-_q("news_lines", ["entity", "news_lines"], "H2: recent-news lines per entity.")
+_q("news_lines", ["entity", "news_lines", "news_lines_plain"],
+   "H2: recent-news lines per entity ('- title (Source: s)' and the plain '- title: description').")
 _q("video_lines", ["entity", "video_lines"], "H3: top-video lines per entity.")
 _q("entity_digest", ["entity", "digest"], "H5: JSON digest of the three top lists.")
 _q("entity_brief", ["entity", "brief"], "H6: brief text for an external model.")

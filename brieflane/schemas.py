@@ -61,3 +61,13 @@ CHART_ENVELOPE = T.StructType([
     ])),
     _f("_corrupt_record", S),
 ])
+
+
+def conform(df, schema: T.StructType, keep_extra: bool = True):
+    """The schema's columns first, in order and cast to its types (missing -> null);
+    other columns follow when ``keep_extra``."""
+    from pyspark.sql import functions as F
+    have = set(df.columns)
+    cols = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
+    extra = [c for c in df.columns if c not in {f.name for f in schema.fields}] if keep_extra else []
+    return df.select(*cols, *extra)

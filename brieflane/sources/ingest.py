@@ -45,14 +45,14 @@ def envelope_posts(parsed: DataFrame) -> DataFrame:
     kids = ok.select("response_id", F.col("subreddit").alias("req_subreddit"), "search_term",
                      F.posexplode(F.col("j.data.children")).alias("resp_pos", "c"))
     d = F.col("c.data")
-    return kids.select(
+    return schemas.conform(kids.select(
         d["id"].alias("id"), d["title"].alias("title"),
         F.coalesce(d["subreddit"], F.col("req_subreddit")).alias("subreddit"),
         F.coalesce(d["score"], F.lit(0)).cast("bigint").alias("score"),
         F.coalesce(d["num_comments"], F.lit(0)).cast("bigint").alias("num_comments"),
         epoch_seconds_to_ntz(F.coalesce(d["created_utc"], F.lit(0.0))).alias("created_utc"),
         F.coalesce(d["selftext"], F.lit("")).alias("selftext"),
-        "search_term", "response_id", F.col("resp_pos").cast("bigint").alias("resp_pos"))
+        "search_term", "response_id", F.col("resp_pos").cast("bigint").alias("resp_pos")), schemas.POSTS)
 
 
 def envelope_quarantine(parsed: DataFrame) -> DataFrame:
