@@ -34,6 +34,7 @@ def stream_posts_daily(spark, sf_dir):
     landing = posts_stream.shared_folder(spark, "landing")
     out = posts_stream.shared_folder(spark, "stream-out")
     ckpt = posts_stream.shared_folder(spark, "stream-ckpt")
-    posts_stream.land_responses(fx.post_responses(spark, sf_dir), landing, deliveries=2)
+    fetched = fx.EPOCH_2024 + 31 * 86400  # fetched just after the 30-day data window
+    posts_stream.land_responses(fx.post_responses(spark, sf_dir), landing, fetched, deliveries=2)
     posts_stream.run_available_now(posts_stream.stream_posts(spark, landing), out, ckpt)
     return posts_stream.daily_counts(spark.read.parquet(out))

@@ -36,13 +36,14 @@ def parse_post_envelopes(responses: DataFrame) -> DataFrame:
         "j", F.when(F.col("status") == 200, F.from_json("body", schemas.POST_ENVELOPE, JSON_OPTS)))
 
 
-def envelope_posts(parsed: DataFrame) -> DataFrame:
+def envelope_posts(parsed: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """A1 + A2: unwrap data.children[].data into typed posts with defaults.
 
     Missing `data`/`children` (or null children) yields no rows; missing counts and
-    times become 0, missing body text '', missing subreddit the searched one."""
+    times become 0, missing body text '', missing subreddit the searched one.
+    ``carry`` names response-level columns copied onto every post."""
     ok = parsed.where((F.col("status") == 200) & F.col("j._corrupt_record").isNull())
-    kids = ok.select("response_id", F.col("subreddit").alias("req_subreddit"), "search_term",
+    kids = ok.select("response_id", F.col("subreddit").alias("req_subreddit"), "search_term", *carry,
                      F.posexplode(F.col("j.data.children")).alias("resp_pos", "c"))
     d = F.col("c.data")
     return schemas.conform(kids.select(
@@ -52,7 +53,7 @@ def envelope_posts(parsed: DataFrame) -> DataFrame:
         F.coalesce(d["num_comments"], F.lit(0)).cast("bigint").alias("num_comments"),
         epoch_seconds_to_ntz(F.coalesce(d["created_utc"], F.lit(0.0))).alias("created_utc"),
         F.coalesce(d["selftext"], F.lit("")).alias("selftext"),
-        "search_term", "response_id", F.col("resp_pos").cast("bigint").alias("resp_pos")), schemas.POSTS)
+        "search_term", "response_id", F.col("resp_pos").cast("bigint").alias("resp_pos"), *carry), schemas.POSTS)
 
 
 def envelope_quarantine(parsed: DataFrame) -> DataFrame:

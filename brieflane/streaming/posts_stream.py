@@ -22,6 +22,7 @@ RESPONSE_SCHEMA = T.StructType([
     T.StructField("response_id", T.StringType()), T.StructField("subreddit", T.StringType()),
     T.StructField("search_term", T.StringType()), T.StructField("page", T.LongType()),
     T.StructField("status", T.IntegerType()), T.StructField("body", T.StringType()),
+    T.StructField("fetched_at", T.TimestampType()),
 ])
 
 
@@ -30,21 +31,26 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/brieflane-{name}-{uuid.uuid4().hex}"
 
 
-def land_responses(responses: DataFrame, landing: str, deliveries: int = 2) -> None:
-    """Write responses as JSON files, ``deliveries`` times (re-delivery = exact copies)."""
+def land_responses(responses: DataFrame, landing: str, fetched_epoch: int, deliveries: int = 2) -> None:
+    """Write responses as JSON files, ``deliveries`` times (re-delivery = exact copies),
+    stamped with the fetch time (delivery i one hour after delivery i - 1)."""
     for i in range(deliveries):
-        responses.write.mode("append").json(f"{landing}/delivery={i}")
+        stamped = responses.withColumn("fetched_at", F.timestamp_seconds(F.lit(fetched_epoch + 3600 * i)))
+        stamped.write.mode("append").json(f"{landing}/delivery={i}")
 
 
 def stream_posts(spark: SparkSession, landing: str, watermark: str = "2 days") -> DataFrame:
-    """Streaming DataFrame of unique typed posts from landed responses."""
+    """Streaming DataFrame of unique typed posts from landed responses.
+
+    The watermark is on the fetch time, not the post's creation time: a search returns
+    posts of any age, so creation time is arbitrarily out of order, while re-deliveries
+    of a post arrive within the watermark delay of each other in fetch time. State for a
+    post id is dropped once the fetch-time watermark passes it."""
     raw = (spark.readStream.schema(RESPONSE_SCHEMA).option("maxFilesPerTrigger", 1)
            .option("recursiveFileLookup", "true").json(landing))
-    posts = ingest.envelope_posts(ingest.parse_post_envelopes(raw))
-    # Watermarks need TIMESTAMP; the NTZ value stays the reported time.
-    posts = posts.withColumn("event_ts", F.col("created_utc").cast("timestamp"))
-    return (posts.withWatermark("event_ts", watermark).dropDuplicatesWithinWatermark(["id"])
-            .drop("event_ts"))
+    posts = ingest.envelope_posts(ingest.parse_post_envelopes(raw), carry=("fetched_at",))
+    return (posts.withWatermark("fetched_at", watermark).dropDuplicatesWithinWatermark(["id"])
+            .drop("fetched_at"))
 
 
 def run_available_now(stream: DataFrame, out: str, checkpoint: str) -> None:
