@@ -101,3 +101,18 @@ def test_segment_term_counts_equal_assembled(spark):
     want = sorted(tuple(r) for r in tx.term_counts(full, "doc_id", "t").collect())
     assert got == want
     assert ("b", "", 1) in got and ("g", "", 1) in got and not any(r[0] in "ce" for r in got)
+
+
+def test_stream_dedup_across_many_micro_batches(spark):
+    """Many landed files (one per micro-batch), posts of every age in each, every
+    response delivered twice: the stream keeps exactly one row per post."""
+    from brieflane.streaming import posts_stream
+    resp = fx.post_responses(spark, SF_SMALL).repartition(7)
+    landing = posts_stream.shared_folder(spark, "t-landing")
+    out = posts_stream.shared_folder(spark, "t-out")
+    ckpt = posts_stream.shared_folder(spark, "t-ckpt")
+    posts_stream.land_responses(resp, landing, fx.EPOCH_2024 + 31 * 86400, deliveries=2)
+    posts_stream.run_available_now(posts_stream.stream_posts(spark, landing), out, ckpt)
+    got = spark.read.parquet(out)
+    expected = fx.posts(spark, SF_SMALL)
+    assert got.count() == expected.count() == got.select("id").distinct().count()
