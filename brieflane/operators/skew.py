@@ -24,16 +24,20 @@ def bounded_rows(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], salts: int = 16,
-                how: str = "inner", salt_source: Column | None = None) -> DataFrame:
+                how: str = "inner", salt_source: Column | None = None,
+                small_hint: str | None = None) -> DataFrame:
     """Equi-join ``big`` to ``small`` on ``keys`` with the big side spread over ``salts``.
 
     ``small`` must be keyed (at most one row per key, or small per key): it is
     replicated ``salts`` times. ``salt_source`` picks the salt of a big row (default: a
-    hash of all its columns).
+    hash of all its columns). ``small_hint`` (e.g. ``"shuffle_hash"``) pins the join
+    strategy when ``small`` grows with the data and must not be broadcast on an estimate.
     """
     src = salt_source if salt_source is not None else F.xxhash64(*[F.col(c) for c in big.columns])
     # Non-nullable on purpose: a nullable salt makes the optimizer push an inferred
     # isnotnull(...) below ``big``'s aggregates, which stops AQE from reusing their shuffles.
     b = big.withColumn("_salt", F.coalesce(F.pmod(src, F.lit(salts)).cast("int"), F.lit(0)))
     s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if small_hint:
+        s = s.hint(small_hint)
     return b.join(s, [*keys, "_salt"], how).drop("_salt")

@@ -8,8 +8,9 @@ Scale notes
 * Tokens are exploded per document and counted with ``groupBy(doc, term)`` (partial
   aggregation); document frequency is a second partial aggregate over those counts.
 * Stop words are a 181-literal ``isin``: Catalyst turns it into a hashed InSet.
-* The tf ⋈ df join is salted on the document id, so a term present in a third of all
-  documents is spread over ``salts`` tasks; the df side is one row per term.
+* The tf ⋈ idf join is a pinned sort-merge join: the idf side grows with the
+  vocabulary, so it is never broadcast on an estimate, and it is not salted (salting
+  would copy the whole long tail); AQE's skew-join split handles a hot term.
 * The document count m is a scalar subquery, not a join.
 """
 
@@ -50,9 +51,18 @@ def filtered_tokens(tokens: DataFrame) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, term, tf)."""
-    t = filtered_tokens(doc_tokens(docs, id_col, text_col))
-    return t.groupBy("doc_id", F.col("token").alias("term")).agg(F.count("*").alias("tf"))
+    """(doc_id, term, tf).
+
+    The lower-cased and right-stripped texts are projected once (not re-evaluated per
+    branch of the tokenizer expression), and stop words are dropped inside each token
+    array before the explode, so only counted tokens become rows."""
+    low = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_low"))
+    low = low.select("doc_id", "_low", F.regexp_replace("_low", WS + "+$", "").alias("_stripped"))
+    toks = (F.when(F.col("_low") == "", F.array(F.lit("")))
+            .when(F.col("_stripped") == "", F.array().cast("array<string>"))
+            .otherwise(F.split("_stripped", WS, -1)))
+    words = low.select("doc_id", F.explode(F.filter(toks, lambda t: ~is_stop_word(t))).alias("term"))
+    return words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 def doc_freq(tf: DataFrame) -> DataFrame:
@@ -76,17 +86,24 @@ def idf_weights(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return d.select("term", "doc_freq", idf_column(m, F.col("doc_freq")).alias("idf"))
 
 
-def tfidf_from_counts(tf: DataFrame, m: Column, salts: int = 16) -> DataFrame:
-    """E6 from term counts (doc_id, term, tf) and the document count ``m``."""
+def tfidf_from_counts(tf: DataFrame, m: Column, strategy: str = "merge") -> DataFrame:
+    """E6 from term counts (doc_id, term, tf) and the document count ``m``.
+
+    The idf side has one row per vocabulary term. Vocabularies have a long tail, so it
+    grows with the corpus: it is never broadcast on a size estimate (the join strategy
+    is pinned, sort-merge by default, which spills), and it is not replicated for
+    salting (that would copy the whole tail). A term held by a third of all documents
+    makes one skewed partition on the tf side; AQE's skew-join handling splits exactly
+    those partitions and copies only their slice of the idf side."""
     w = doc_freq(tf).select("term", idf_column(m, F.col("doc_freq")).alias("idf"))
-    j = skew.salted_join(tf, w, ["term"], salts=salts, salt_source=F.xxhash64(F.col("doc_id")))
+    j = tf.join(w.hint(strategy), "term", "inner")
     return j.select("doc_id", "term", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tfidf"))
 
 
-def tfidf(docs: DataFrame, id_col: str, text_col: str, salts: int = 16) -> DataFrame:
+def tfidf(docs: DataFrame, id_col: str, text_col: str, strategy: str = "merge") -> DataFrame:
     """(doc_id, term, tf, idf, tfidf)."""
     m = docs.agg(F.count("*")).scalar()
-    return tfidf_from_counts(term_counts(docs, id_col, text_col), m, salts)
+    return tfidf_from_counts(term_counts(docs, id_col, text_col), m, strategy)
 
 
 def segment_term_counts(segments: DataFrame, docs: DataFrame, salts: int = 16) -> DataFrame:
