@@ -116,3 +116,13 @@ def test_stream_dedup_across_many_micro_batches(spark):
     got = spark.read.parquet(out)
     expected = fx.posts(spark, SF_SMALL)
     assert got.count() == expected.count() == got.select("id").distinct().count()
+
+
+def test_tfidf_plan_tokenizes_once_and_never_broadcasts_vocabulary(spark):
+    df = registry.queries()["tfidf_posts"](spark, SF_MID)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan[:plan.index("== Initial Plan ==")]
+    text_scans = [ln for ln in final.splitlines() if "FileScan parquet" in ln and "text:string" in ln]
+    assert len(text_scans) == 1                       # one tokenizing pass (shuffle reused)
+    assert "SortMergeJoin" in final and "BroadcastHashJoin" not in final
