@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from brieflane import fixed
 from brieflane.operators import config as cfgops
 from brieflane.plans import api
-from brieflane.plans.oracle_views import (lit, register_view, sql_gen_keywords, sql_gen_subreddits,
+from brieflane.plans.oracle_views import (register_view, sql_gen_keywords, sql_gen_subreddits,
                                           sql_gen_terms, sql_window, sql_window_days, str_list, with_views)
 from brieflane.plans.registry import query
 from brieflane.sources import fixtures as fx
@@ -112,5 +112,3 @@ def timeframe_cutoff(spark, sf_dir):
                     cfgops.window_days(F.col("timeframe"), strict_compat=True).alias("compat_days"),
                     cfgops.cutoff(anchor, days).alias("cutoff_ts"))
 
-
-_ = lit

@@ -67,7 +67,7 @@ def envelope_quarantine(parsed: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- articles
 def typed_articles(raw: DataFrame) -> DataFrame:
     """A3: article fields with defaults, nested source name, parsed publication time."""
-    return raw.select(
+    return schemas.conform(raw.select(
         "article_id",
         F.coalesce("title", F.lit("")).alias("title"),
         F.coalesce("description", F.lit("")).alias("description"),
@@ -75,7 +75,7 @@ def typed_articles(raw: DataFrame) -> DataFrame:
         F.coalesce(F.col("source.name"), F.lit("")).alias("source"),
         F.col("language"),
         F.col("publishedAt").alias("publishedAt_raw"),
-    )
+    ), schemas.ARTICLES)
 
 
 def articles_good(typed: DataFrame) -> DataFrame:
@@ -105,8 +105,9 @@ def enrich_videos(search: DataFrame, stats: DataFrame, transcripts: DataFrame) -
                       parse_iso_z(F.col("snippet.publishedAt")).alias("published_at"), "search_pos")
     st = stats.select("video_id", F.coalesce(F.col("viewCount").try_cast("bigint"), F.lit(0)).alias("view_count"))
     t = transcripts.select("video_id", "transcript_text")
-    return (s.join(st, "video_id", "inner").join(t, "video_id", "left")
-            .withColumn("transcript_text", F.coalesce("transcript_text", F.lit(""))))
+    j = (s.join(st, "video_id", "inner").join(t, "video_id", "left")
+         .withColumn("transcript_text", F.coalesce("transcript_text", F.lit(""))))
+    return schemas.conform(j, schemas.VIDEOS)
 
 
 # ----------------------------------------------------------------------------- quotes
