@@ -16,6 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_MAX_ROWS = 100_000
+SALTS_CONF = "brieflane.skew.salts"  # session setting; raise it on large clusters
+DEFAULT_SALTS = 16
+
+
+def default_salts(df: DataFrame) -> int:
+    """Salt count for hot-key splitting: the session's ``brieflane.skew.salts`` or 16."""
+    return int(df.sparkSession.conf.get(SALTS_CONF, str(DEFAULT_SALTS)))
 
 
 def bounded_rows(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
@@ -23,7 +30,7 @@ def bounded_rows(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], salts: int = 16,
+def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], salts: int | None = None,
                 how: str = "inner", salt_source: Column | None = None,
                 small_hint: str | None = None) -> DataFrame:
     """Equi-join ``big`` to ``small`` on ``keys`` with the big side spread over ``salts``.
@@ -33,6 +40,7 @@ def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], salts: in
     hash of all its columns). ``small_hint`` (e.g. ``"shuffle_hash"``) pins the join
     strategy when ``small`` grows with the data and must not be broadcast on an estimate.
     """
+    salts = salts or default_salts(big)
     src = salt_source if salt_source is not None else F.xxhash64(*[F.col(c) for c in big.columns])
     # Non-nullable on purpose: a nullable salt makes the optimizer push an inferred
     # isnotnull(...) below ``big``'s aggregates, which stops AQE from reusing their shuffles.

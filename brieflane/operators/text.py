@@ -106,7 +106,7 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str, strategy: str = "merge")
     return tfidf_from_counts(term_counts(docs, id_col, text_col), m, strategy)
 
 
-def segment_term_counts(segments: DataFrame, docs: DataFrame, salts: int = 16) -> DataFrame:
+def segment_term_counts(segments: DataFrame, docs: DataFrame, salts: int | None = None) -> DataFrame:
     """E3 for documents stored as ordered segments (video transcripts), without
     assembling any document: counts equal ``term_counts`` on the texts joined with one
     space (``docs``: doc_id of every document, segmented or not).

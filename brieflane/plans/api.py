@@ -123,13 +123,15 @@ def fmt_ts(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
-def analyze_entities(src: Sources, entities: DataFrame, anchor: Column | None = None) -> DataFrame:
+def analyze_entities(src: Sources, entities: DataFrame, anchor: Column | None = None,
+                     analyses: DataFrame | None = None) -> DataFrame:
     """I1 for many entities at once: one report row per entity.
 
     ``entities``: (entity, timeframe, entity_pos). ``anchor`` replaces `now()` for the
     timeframe windows (default: latest post time). Columns: counts per source (G1),
     status/error (C8), post/news/video lines (H1–H3), JSON digest (H5), brief (H6),
-    raw-data fallback (H7) and analysis = fallback until a model fills it (H8).
+    raw-data fallback (H7) and analysis (H8): the model's text from ``analyses``
+    (entity, analysis) when given, else the fallback.
     """
     from brieflane.operators import report as rp
 
@@ -174,8 +176,13 @@ def analyze_entities(src: Sources, entities: DataFrame, anchor: Column | None =
                                   "video_lines")
 
     base = entities.select("entity", "entity_pos", "timeframe")
-    j = rp.attach(base, [n_posts, n_articles, n_videos, post_lines, posts_items, posts_raw_lines,
-                         news_items, news_lines, news_lines_plain, video_items, video_lines])
+    parts = [n_posts, n_articles, n_videos, post_lines, posts_items, posts_raw_lines,
+             news_items, news_lines, news_lines_plain, video_items, video_lines]
+    if analyses is not None:
+        parts.append(analyses.select("entity", F.col("analysis").alias("model_analysis")))
+    j = rp.attach(base, parts)
+    if analyses is None:
+        j = j.withColumn("model_analysis", F.lit(None).cast("string"))
     zero = F.lit(0).cast("bigint")
     n_p, n_a, n_v = (F.coalesce(F.col(c), zero) for c in ("n_posts", "n_articles", "n_videos"))
     tp = rp.empty_if_null(F.col("top_posts"), "struct<subreddit:string,title:string,score:bigint,"
@@ -200,7 +207,7 @@ def analyze_entities(src: Sources, entities: DataFrame, anchor: Column | None =
         F.to_json(F.struct(tp.alias("top_posts"), rn.alias("recent_news"), tv.alias("top_videos"))).alias("digest"),
         rp.brief_text(F.col("entity"), F.to_json(tp), F.to_json(rn), F.to_json(tv)).alias("brief"),
         fallback.alias("fallback"),
-        F.when(~no_data, fallback).alias("analysis"),
+        F.when(~no_data, F.coalesce(F.col("model_analysis"), fallback)).alias("analysis"),
     )
 
 

@@ -156,3 +156,16 @@ def test_plain_default_config(spark):
     assert rows["Tesla"].search_terms == ["Tesla"] and rows["Tesla"].keywords == ["tesla"]
     assert rows["Tesla"].companies == [] and not rows["Tesla"].configured
     assert rows["IRON"].configured and rows["IRON"].companies == fixed.REFERENCE_CONFIGS["iron"]["companies"]
+
+
+def test_model_analysis_overrides_fallback(spark):
+    from brieflane.plans import q_sources
+    from brieflane.sources import fixtures as fx
+    sf = "/root/testdata/sf0.001"
+    src = api.Sources(posts=fx.posts(spark, sf), articles=q_sources.articles(spark, sf),
+                      videos=q_sources.video_cards(spark, sf), config=fx.config_table(spark))
+    analyses = spark.createDataFrame([("tion", "model says up")], "entity string, analysis string")
+    rows = {r.entity: r for r in api.analyze_entities(src, fx.analyzed_entities(spark), analyses=analyses).collect()}
+    assert rows["tion"].analysis == "model says up"
+    assert rows["sch"].analysis.startswith(fixed.ERROR_PREFIX)
+    assert rows["cryptocurrency"].status == "no_data" and rows["cryptocurrency"].analysis is None
