@@ -101,11 +101,16 @@ def news_for_entities(articles: DataFrame, entities: DataFrame) -> DataFrame:
     return ranking.request_cap(hits, ["entity"], F.col("article_id"), fixed.ARTICLES_PER_ENTITY).drop("resp_rank")
 
 
-def videos_for_entities(videos: DataFrame, entities: DataFrame) -> DataFrame:
-    """Videos a search returns per entity: title contains the entity; 10 in search order."""
-    ents = entities.select("entity", "entity_pos", F.lower("entity").alias("term"))
+def videos_for_entities(videos: DataFrame, entities: DataFrame, anchor: Column | None = None) -> DataFrame:
+    """Videos a search returns per entity: title contains the entity, published inside
+    the entity's timeframe window before ``anchor`` (C4), first 10 in search order."""
+    ents = entities.select("entity", "entity_pos", "timeframe", F.lower("entity").alias("term"))
     hits = filters.substring_matches(videos, F.lower(F.col("title")), ents, "term").drop("term")
-    return ranking.request_cap(hits, ["entity"], F.col("search_pos"), fixed.VIDEOS_PER_ENTITY).drop("resp_rank")
+    if anchor is not None:
+        cut = cfgops.cutoff(anchor, cfgops.window_days(F.col("timeframe")))
+        hits = hits.where(filters.within_window(F.col("published_at"), cut))
+    return ranking.request_cap(hits.drop("timeframe"), ["entity"], F.col("search_pos"),
+                               fixed.VIDEOS_PER_ENTITY).drop("resp_rank")
 
 
 def transcript_summary(t: Column) -> Column:
@@ -164,7 +169,7 @@ def analyze_entities(src: Sources, entities: DataFrame, anchor: Column | None =
     news_lines_plain = rp.joined_lines(recent, ["entity"], "rank",
                                        rp.news_line_plain(F.col("title"), F.col("description")), "news_lines_plain")
 
-    vids = videos_for_entities(src.videos, entities)
+    vids = videos_for_entities(src.videos, entities, anchor)
     n_videos = vids.groupBy("entity").agg(F.count("*").alias("n_videos"))
     top_v = ranking.top_k(vids, ["entity"], [F.col("view_count").desc(), F.col("video_id")], fixed.TOP_VIDEOS)
     video_items = rp.ordered_list(top_v, ["entity"], "rank", F.struct(

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from brieflane import fixed
 from brieflane.operators import config as cfgops
 from brieflane.operators import filters, ranking
-from brieflane.plans.oracle_views import lit, register_view, sql_epoch_ntz, sql_iso, str_list, with_views
+from brieflane.plans.oracle_views import (lit, register_view, sql_epoch_ntz, sql_iso, sql_window_days,
+                                          str_list, with_views)
 from brieflane.plans.registry import query
 from brieflane.sources import fixtures as fx
 from brieflane.sources import ingest
@@ -83,8 +84,10 @@ register_view("recent_news", ("news_hits",), f"""
   SELECT *, CAST(row_number() OVER (PARTITION BY entity ORDER BY publishedAt DESC, article_id) AS BIGINT) AS rank
   FROM capped QUALIFY rank <= {fixed.RECENT_NEWS}""")
 
-register_view("video_hits", ("videos", "analyzed"), f"""
+register_view("video_hits", ("videos", "analyzed", "anchor"), f"""
   SELECT a.entity, a.entity_pos, v.* FROM videos v JOIN analyzed a ON contains(lower(v.title), lower(a.entity))
+  CROSS JOIN anchor an
+  WHERE v.published_at >= an.anchor_ts - to_days(CAST({sql_window_days('a.timeframe')} AS INTEGER))
   QUALIFY row_number() OVER (PARTITION BY a.entity ORDER BY v.search_pos) <= {fixed.VIDEOS_PER_ENTITY}""")
 
 register_view("top_videos", ("video_hits",), f"""
@@ -138,12 +141,11 @@ def recent_news_frame(spark, sf_dir):
 
 
 def video_hits(spark, sf_dir):
-    """Videos a search for the entity returns: title contains the entity, 10 per entity
-    in search order."""
-    v = video_cards(spark, sf_dir)
-    ents = fx.analyzed_entities(spark).select("entity", "entity_pos", F.lower("entity").alias("term"))
-    hits = filters.substring_matches(v, F.lower(F.col("title")), ents, "term").drop("term")
-    return ranking.request_cap(hits, ["entity"], F.col("search_pos"), fixed.VIDEOS_PER_ENTITY).drop("resp_rank")
+    """Videos a search for each analysed entity returns (title match, timeframe window
+    before the analysis anchor, 10 per entity in search order)."""
+    from brieflane.plans import api
+    anchor = api.anchor_of(fx.posts(spark, sf_dir), "created_utc")
+    return api.videos_for_entities(video_cards(spark, sf_dir), fx.analyzed_entities(spark), anchor)
 
 
 def top_videos_frame(spark, sf_dir):
