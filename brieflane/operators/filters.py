@@ -54,7 +54,7 @@ def language_is(lang: Column, code: str = "en") -> Column:
 
 
 def substring_matches(df: DataFrame, text: Column, terms: DataFrame, term_col: str = "term",
-                      max_broadcast_rows: int | None = None) -> DataFrame:
+                      max_broadcast_rows: int | None = None, row_id: str | None = None) -> DataFrame:
     """Rows of ``df`` joined to every row of ``terms`` whose term occurs in ``text``.
 
     Entity term lists are a bounded dimension: when ``terms`` passes the row-count
@@ -62,6 +62,8 @@ def substring_matches(df: DataFrame, text: Column, terms: DataFrame, term_col: s
     no shuffle of ``df``). Beyond the bound the match becomes an exact equi-join: every
     text emits its substrings of each distinct term length, which are joined to the
     terms and de-duplicated per (row, term row) — linear in the text, no pair fan-out.
+    The fallback needs ``row_id``, a unique key of ``df`` (deterministic under task
+    retries, unlike a generated id).
     """
     from brieflane.operators import skew
 
@@ -69,19 +71,20 @@ def substring_matches(df: DataFrame, text: Column, terms: DataFrame, term_col: s
     t = terms.where(F.col(term_col).isNotNull() & (F.length(term_col) > 0))
     if skew.bounded_rows(t, limit):
         return df.join(F.broadcast(t), text.contains(F.col(term_col)), "inner")
+    if row_id is None:
+        raise ValueError("substring_matches beyond the broadcast bound needs row_id (a unique key of df)")
     lengths = [r[0] for r in t.select(F.length(term_col).alias("n")).distinct().collect()]
-    rid = "_row_id"
-    keyed = df.withColumn(rid, F.monotonically_increasing_id()).withColumn("_text", text)
+    src = df.select(F.col(row_id).alias("_rid"), text.alias("_text"))
     grams = None
     for n in lengths:
-        g = keyed.select(rid, F.lit(n).alias("_n"), F.explode(F.array_distinct(F.transform(
+        g = src.select("_rid", F.lit(n).alias("_n"), F.explode(F.array_distinct(F.transform(
             F.sequence(F.lit(1), F.greatest(F.length("_text") - n + 1, F.lit(1))),
             lambda i: F.substring(F.col("_text"), i, n)))).alias("_gram"))
         grams = g if grams is None else grams.unionByName(g)
     tk = t.withColumn("_n", F.length(term_col))
     hits = grams.join(tk, (grams["_gram"] == tk[term_col]) & (grams["_n"] == tk["_n"]), "inner") \
-        .drop("_gram", "_n").dropDuplicates([rid, *[c for c in t.columns]])
-    return keyed.join(hits, rid, "inner").drop(rid, "_text")
+        .drop("_gram", "_n").dropDuplicates(["_rid", *t.columns])
+    return df.join(hits.withColumnRenamed("_rid", row_id), row_id, "inner")
 
 
 def cnf_matches(df: DataFrame, row_id: str, text: Column, queries: DataFrame, keys: list[str],
@@ -99,7 +102,7 @@ def cnf_matches(df: DataFrame, row_id: str, text: Column, queries: DataFrame, ke
         return df.join(F.broadcast(queries), matches_cnf(text, F.col(cnf_col)), "inner")
     groups = queries.select(*keys, F.size(cnf_col).alias("_ng"), F.posexplode(cnf_col).alias("_g", "_grp"))
     terms = groups.select(*keys, "_ng", "_g", F.explode("_grp").alias("_term"))
-    hits = substring_matches(df.select(row_id, text.alias("_t")), F.col("_t"), terms, "_term", 0)
+    hits = substring_matches(df.select(row_id, text.alias("_t")), F.col("_t"), terms, "_term", 0, row_id=row_id)
     ok = (hits.select(row_id, *keys, "_ng", "_g").distinct()
           .groupBy(row_id, *keys, "_ng").agg(F.count("*").alias("_hit"))
           .where(F.col("_hit") == F.col("_ng")).select(row_id, *keys))

@@ -105,7 +105,7 @@ def videos_for_entities(videos: DataFrame, entities: DataFrame, anchor: Column |
     """Videos a search returns per entity: title contains the entity, published inside
     the entity's timeframe window before ``anchor`` (C4), first 10 in search order."""
     ents = entities.select("entity", "entity_pos", "timeframe", F.lower("entity").alias("term"))
-    hits = filters.substring_matches(videos, F.lower(F.col("title")), ents, "term").drop("term")
+    hits = filters.substring_matches(videos, F.lower(F.col("title")), ents, "term", row_id="video_id").drop("term")
     if anchor is not None:
         cut = cfgops.cutoff(anchor, cfgops.window_days(F.col("timeframe")))
         hits = hits.where(filters.within_window(F.col("published_at"), cut))

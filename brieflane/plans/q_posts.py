@@ -108,7 +108,7 @@ def subreddit_discovery(spark, sf_dir):
     from brieflane.operators import filters, ranking
     p = fx.posts(spark, sf_dir).select("id", "subreddit", F.lower("title").alias("ltitle"))
     kw = _cfg(spark).select("entity", F.explode("keywords").alias("term"))
-    hits = filters.substring_matches(p, F.col("ltitle"), kw).select("entity", "id", "subreddit").distinct()
+    hits = filters.substring_matches(p, F.col("ltitle"), kw, row_id="id").select("entity", "id", "subreddit").distinct()
     counts = hits.groupBy("entity", "subreddit").agg(F.count("*").alias("n_relevant"))
     return ranking.top_k(counts, ["entity"], [F.col("n_relevant").desc(), F.col("subreddit")], 5) \
         .select("entity", "subreddit", "n_relevant", "rank")

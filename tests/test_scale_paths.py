@@ -20,7 +20,7 @@ def test_substring_matches_gram_join_equals_broadcast(spark):
     kw = spark.createDataFrame([("a", "ev"), ("a", "tion"), ("b", "sch"), ("b", "rare earth"), ("c", "")],
                                "entity string, term string")
     direct = filters.substring_matches(p, F.col("lt"), kw, "term")
-    grams = filters.substring_matches(p, F.col("lt"), kw, "term", max_broadcast_rows=0)
+    grams = filters.substring_matches(p, F.col("lt"), kw, "term", max_broadcast_rows=0, row_id="id")
     assert _set(direct, ["id", "entity", "term"]) == _set(grams, ["id", "entity", "term"])
     assert direct.count() > 0
 
