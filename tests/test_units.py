@@ -169,3 +169,43 @@ def test_model_analysis_overrides_fallback(spark):
     assert rows["tion"].analysis == "model says up"
     assert rows["sch"].analysis.startswith(fixed.ERROR_PREFIX)
     assert rows["cryptocurrency"].status == "no_data" and rows["cryptocurrency"].analysis is None
+
+
+def test_news_query_cnf(spark):
+    df = spark.createDataFrame([
+        ("iron", "Iron ore prices climb"), ("iron", "Steel market steady"), ("iron", "iron ore shipments"),
+        ("Lithium", "lithium demand"), ("Lithium", "LITHIUM!"), ("Lithium", "nickel")],
+        "entity string, text string")
+    out = [(r.entity, r.text) for r in df.where(filters.matches_cnf(F.col("text"), cfgops.news_query(F.col("entity")))).collect()]
+    assert out == [("iron", "Iron ore prices climb"), ("iron", "Steel market steady"),
+                   ("Lithium", "lithium demand"), ("Lithium", "LITHIUM!")]
+
+
+def test_word_boundary_multiword_and_tickers(spark):
+    df = spark.createDataFrame(
+        [("Rare earth supply", ["rare earth"], []), ("rareearth", ["rare earth"], []),
+         ("Buy GM now", [], ["GM"]), ("gmail outage", [], ["GM"])],
+        "title string, keywords array<string>, companies array<string>")
+    assert [r.title for r in filters.relevance_filter(df, word_boundary=True).collect()] == ["Rare earth supply", "Buy GM now"]
+    assert len(filters.relevance_filter(df).collect()) == 3   # substring mode: 'gmail' matches GM
+
+
+def test_line_formats(spark):
+    from brieflane.operators import report as rp
+    r = spark.createDataFrame([("s", "T", 3, 4, "q", "N", "d", "C", 1234)],
+                              "sub string, title string, score long, com long, term string, src string, "
+                              "descr string, ch string, views long").select(
+        rp.post_line(F.col("sub"), F.col("title"), F.col("score"), F.col("com"), F.col("term")).alias("p"),
+        rp.news_line(F.col("title"), F.col("src")).alias("n"), rp.news_line_plain(F.col("title"), F.col("descr")).alias("np"),
+        rp.video_line(F.col("title"), F.col("ch"), F.col("views")).alias("v")).collect()[0]
+    assert r.p == "- [s] T (Score: 3, Comments: 4, Search term: q)"
+    assert r.n == "- T (Source: N)" and r.np == "- T: d" and r.v == "- T (Channel: C, Views: 1234)"
+
+
+def test_cut_lineage_uses_shared_checkpoint_folder(spark):
+    from brieflane.session import cut_lineage, ensure_checkpoint_dir
+    folder = ensure_checkpoint_dir(spark)
+    assert folder
+    df = cut_lineage(spark.range(10).withColumn("x", F.col("id") * 2))
+    assert df.count() == 10
+    assert "LogicalRDD" in df._jdf.queryExecution().optimizedPlan().toString()
