@@ -54,14 +54,14 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, term, tf).
 
     The lower-cased and right-stripped texts are projected once (not re-evaluated per
-    branch of the tokenizer expression), and stop words are dropped inside each token
-    array before the explode, so only counted tokens become rows."""
+    branch of the tokenizer expression); stop words are dropped after the explode by a
+    codegen'd hashed ``InSet`` filter (a lambda inside ``filter()`` is interpreted)."""
     low = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_low"))
     low = low.select("doc_id", "_low", F.regexp_replace("_low", WS + "+$", "").alias("_stripped"))
     toks = (F.when(F.col("_low") == "", F.array(F.lit("")))
             .when(F.col("_stripped") == "", F.array().cast("array<string>"))
             .otherwise(F.split("_stripped", WS, -1)))
-    words = low.select("doc_id", F.explode(F.filter(toks, lambda t: ~is_stop_word(t))).alias("term"))
+    words = low.select("doc_id", F.explode(toks).alias("term")).where(~is_stop_word(F.col("term")))
     return words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
@@ -123,14 +123,15 @@ def segment_term_counts(segments: DataFrame, docs: DataFrame, salts: int | None
                            salt_source=F.xxhash64("doc_id", "position"))
     low = F.lower(F.col("text"))
     pieces = F.split(low, WS, -1)
-    words = (seg.select("doc_id", F.explode(F.filter(pieces, lambda x: (x != "") & ~is_stop_word(x))).alias("term"))
+    words = (seg.select("doc_id", F.explode(pieces).alias("term"))
+             .where((F.col("term") != "") & ~is_stop_word(F.col("term")))
              .groupBy("doc_id", "term").agg(F.count("*").alias("tf")))
     # one row per segment: length, pieces, empty pieces, and -- when it has a word -- the
     # empty pieces after its last word (= its trailing whitespace characters)
     has_word = low.rlike("[^ \\t\\n\\x0B\\f\\r]")
     per_seg = seg.select(
         "doc_id", "position", F.length("text").alias("len"), F.size(pieces).alias("n_pieces"),
-        F.size(F.filter(pieces, lambda x: x == "")).alias("n_empty"), has_word.alias("has_word"),
+        (F.size(pieces) - F.size(F.array_remove(pieces, ""))).alias("n_empty"), has_word.alias("has_word"),
         (F.length(low) - F.length(F.regexp_replace(low, WS + "+$", ""))).alias("trail_in"))
     last_seg = per_seg.where("has_word").groupBy("doc_id").agg(F.max("position").alias("last_pos"))
     j = skew.salted_join(per_seg, last_seg, ["doc_id"], salts=salts, how="left",
