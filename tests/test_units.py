@@ -209,3 +209,18 @@ def test_cut_lineage_uses_shared_checkpoint_folder(spark):
     df = cut_lineage(spark.range(10).withColumn("x", F.col("id") * 2))
     assert df.count() == 10
     assert "LogicalRDD" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_video_enrichment_defaults(spark):
+    search = spark.createDataFrame(
+        [(("v1",), ("T1", "C1", "2024-01-02T03:04:05Z"), 0), (("v2",), ("T2", "C2", "2024-01-03T00:00:00Z"), 1),
+         (("v3",), ("T3", "C3", "bad"), 2), (("v4",), ("T4", "C4", "2024-01-04T00:00:00Z"), 3)],
+        "id struct<videoId:string>, snippet struct<title:string,channelTitle:string,publishedAt:string>, search_pos long")
+    stats = spark.createDataFrame([("v1", "12"), ("v2", None), ("v3", "abc")], "video_id string, viewCount string")
+    tr = ingest.assemble_transcripts(spark.createDataFrame(
+        [("v1", 1, "b"), ("v1", 0, "a"), ("v3", 0, "")], "video_id string, position int, text string"))
+    v = {r.video_id: r for r in ingest.enrich_videos(search, stats, tr).collect()}
+    assert set(v) == {"v1", "v2", "v3"}                    # no statistics -> no video
+    assert v["v1"].view_count == 12 and v["v2"].view_count == 0 and v["v3"].view_count == 0
+    assert v["v1"].transcript_text == "a b" and v["v2"].transcript_text == ""
+    assert v["v1"].published_at == dt.datetime(2024, 1, 2, 3, 4, 5) and v["v3"].published_at is None
