@@ -36,5 +36,6 @@ def stream_posts_daily(spark, sf_dir):
     ckpt = posts_stream.shared_folder(spark, "stream-ckpt")
     fetched = fx.EPOCH_2024 + 31 * 86400  # fetched just after the 30-day data window
     posts_stream.land_responses(fx.post_responses(spark, sf_dir), landing, fetched, deliveries=2)
-    posts_stream.run_available_now(posts_stream.stream_posts(spark, landing), out, ckpt)
+    # two files per micro-batch, so de-duplication state is exercised across batches
+    posts_stream.run_available_now(posts_stream.stream_posts(spark, landing, max_files_per_trigger=2), out, ckpt)
     return posts_stream.daily_counts(spark.read.parquet(out))

@@ -39,14 +39,15 @@ def land_responses(responses: DataFrame, landing: str, fetched_epoch: int, deliv
         stamped.write.mode("append").json(f"{landing}/delivery={i}")
 
 
-def stream_posts(spark: SparkSession, landing: str, watermark: str = "2 days") -> DataFrame:
+def stream_posts(spark: SparkSession, landing: str, watermark: str = "2 days",
+                 max_files_per_trigger: int = 1000) -> DataFrame:
     """Streaming DataFrame of unique typed posts from landed responses.
 
     The watermark is on the fetch time, not the post's creation time: a search returns
     posts of any age, so creation time is arbitrarily out of order, while re-deliveries
     of a post arrive within the watermark delay of each other in fetch time. State for a
     post id is dropped once the fetch-time watermark passes it."""
-    raw = (spark.readStream.schema(RESPONSE_SCHEMA).option("maxFilesPerTrigger", 1)
+    raw = (spark.readStream.schema(RESPONSE_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
            .option("recursiveFileLookup", "true").json(landing))
     posts = ingest.envelope_posts(ingest.parse_post_envelopes(raw), carry=("fetched_at",))
     return (posts.withWatermark("fetched_at", watermark).dropDuplicatesWithinWatermark(["id"])

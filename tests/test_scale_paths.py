@@ -112,7 +112,7 @@ def test_stream_dedup_across_many_micro_batches(spark):
     out = posts_stream.shared_folder(spark, "t-out")
     ckpt = posts_stream.shared_folder(spark, "t-ckpt")
     posts_stream.land_responses(resp, landing, fx.EPOCH_2024 + 31 * 86400, deliveries=2)
-    posts_stream.run_available_now(posts_stream.stream_posts(spark, landing), out, ckpt)
+    posts_stream.run_available_now(posts_stream.stream_posts(spark, landing, max_files_per_trigger=1), out, ckpt)
     got = spark.read.parquet(out)
     expected = fx.posts(spark, SF_SMALL)
     assert got.count() == expected.count() == got.select("id").distinct().count()
