@@ -24,15 +24,25 @@ def anchor_of(df: DataFrame, ts_col: str) -> Column:
 
 
 # ----------------------------------------------------------------------------- posts
-def fetch_posts(posts: DataFrame, cfg: DataFrame, anchor: Column | None = None) -> DataFrame:
+def fetch_posts(posts: DataFrame, cfg: DataFrame, anchor: Column | None = None,
+                day_col: str | None = None) -> DataFrame:
     """Posts each entity's search plan retrieves: a post belongs to an entity when its
     (subreddit, search term) is one of the entity's requests (B3 + C6), and when it lies
     inside the entity's timeframe window before ``anchor`` (B5, B6, C4).
 
     The plan side is sum(|subreddits| x |terms|) rows over the entities, so it is
     broadcast by Catalyst's size check; the posts side is never shuffled for it.
+    Before the join the scan is bounded by the widest window among the entities (a
+    scalar subquery over the entity table); when landed posts are partitioned by a
+    date column, ``day_col`` turns that bound into partition pruning.
     """
     plan = cfgops.search_plan(cfg, keep=(*ENTITY_KEYS, "keywords", "companies"))
+    if anchor is not None:
+        widest = cfg.agg(F.max(cfgops.window_days(F.col("timeframe")))).scalar()
+        lower = cfgops.cutoff(anchor, widest)
+        posts = posts.where(F.col("created_utc") >= lower)
+        if day_col is not None:
+            posts = posts.where(F.col(day_col) >= F.to_date(lower))
     j = posts.join(plan, ["subreddit", "search_term"], "inner")
     if anchor is not None:
         cut = cfgops.cutoff(anchor, cfgops.window_days(F.col("timeframe")))
@@ -49,9 +59,9 @@ def arrival_key(desc_engagement: bool = True) -> Column:
 
 
 def relevant_posts(posts: DataFrame, cfg: DataFrame, anchor: Column | None,
-                   word_boundary: bool = False) -> DataFrame:
+                   word_boundary: bool = False, day_col: str | None = None) -> DataFrame:
     """Fetched posts that pass the relevance filter (C1), with engagement."""
-    f = fetch_posts(posts, cfg, anchor)
+    f = fetch_posts(posts, cfg, anchor, day_col)
     f = filters.relevance_filter(f, word_boundary=word_boundary)
     return f.withColumn("engagement", ranking.engagement(F.col("score"), F.col("num_comments")))
 

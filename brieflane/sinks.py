@@ -18,3 +18,10 @@ def write_features(tfidf: DataFrame, path: str, mode: str = "overwrite") -> None
 def export_reports(reports: DataFrame, path: str, partition_by: str = "entity", mode: str = "overwrite") -> None:
     """One JSON record per report row, one folder per entity."""
     reports.write.mode(mode).partitionBy(partition_by).json(path)
+
+
+def land_posts_by_day(posts: DataFrame, path: str, day_col: str = "day", mode: str = "overwrite") -> None:
+    """Landed posts partitioned by creation day, so timeframe filters prune partitions
+    (read back and pass ``day_col`` to ``fetch_posts`` / ``relevant_posts``)."""
+    from pyspark.sql import functions as F
+    posts.withColumn(day_col, F.to_date("created_utc")).write.mode(mode).partitionBy(day_col).parquet(path)

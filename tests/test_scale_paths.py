@@ -163,3 +163,19 @@ def test_flagship_under_skew_equals_brute_force(spark):
                 best.append(i)
         want += [(ent, k + 1, i) for k, i in enumerate(best[:10])]
     assert sorted(got) == sorted(want)
+
+
+def test_day_partitioned_posts_prune_and_match(spark, tmp_path):
+    from brieflane import sinks
+    from brieflane.operators import config as cfgops
+    posts = fx.posts(spark, SF_MID)
+    sinks.land_posts_by_day(posts, str(tmp_path / "posts"))
+    landed = spark.read.parquet(str(tmp_path / "posts"))
+    cfg = cfgops.config_lookup(fx.analyzed_entities(spark), fx.config_table(spark))
+    anchor = api.anchor_of(posts, "created_utc")
+    pruned = api.top_posts_by_engagement(api.relevant_posts(landed, cfg, anchor, day_col="day"))
+    plain = api.top_posts_by_engagement(api.relevant_posts(posts, cfg, anchor))
+    cols = ["entity", "rank", "id"]
+    assert _set(pruned, cols) == _set(plain, cols) and pruned.count() > 0
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert any("PartitionFilters: [isnotnull(day" in ln for ln in plan.splitlines())
