@@ -25,7 +25,7 @@ def anchor_of(df: DataFrame, ts_col: str) -> Column:
 
 # ----------------------------------------------------------------------------- posts
 def fetch_posts(posts: DataFrame, cfg: DataFrame, anchor: Column | None = None,
-                day_col: str | None = None) -> DataFrame:
+                day_col: str | None = None, per_request_cap: int | None = None) -> DataFrame:
     """Posts each entity's search plan retrieves: a post belongs to an entity when its
     (subreddit, search term) is one of the entity's requests (B3 + C6), and when it lies
     inside the entity's timeframe window before ``anchor`` (B5, B6, C4).
@@ -35,6 +35,9 @@ def fetch_posts(posts: DataFrame, cfg: DataFrame, anchor: Column | None = None,
     Before the join the scan is bounded by the widest window among the entities (a
     scalar subquery over the entity table); when landed posts are partitioned by a
     date column, ``day_col`` turns that bound into partition pruning.
+    ``per_request_cap`` (A9) keeps the first n posts of every (subreddit, term) request
+    in response order; landed responses are already what the API returned, so the
+    default applies none.
     """
     plan = cfgops.search_plan(cfg, keep=(*ENTITY_KEYS, "keywords", "companies"))
     if anchor is not None:
@@ -43,6 +46,9 @@ def fetch_posts(posts: DataFrame, cfg: DataFrame, anchor: Column | None = None,
         posts = posts.where(F.col("created_utc") >= lower)
         if day_col is not None:
             posts = posts.where(F.col(day_col) >= F.to_date(lower))
+    if per_request_cap is not None:
+        posts = ranking.request_cap(posts, ["subreddit", "search_term"], F.col("resp_order"),
+                                    per_request_cap).drop("resp_rank")
     j = posts.join(plan, ["subreddit", "search_term"], "inner")
     if anchor is not None:
         cut = cfgops.cutoff(anchor, cfgops.window_days(F.col("timeframe")))

@@ -224,3 +224,13 @@ def test_video_enrichment_defaults(spark):
     assert v["v1"].view_count == 12 and v["v2"].view_count == 0 and v["v3"].view_count == 0
     assert v["v1"].transcript_text == "a b" and v["v2"].transcript_text == ""
     assert v["v1"].published_at == dt.datetime(2024, 1, 2, 3, 4, 5) and v["v3"].published_at is None
+
+
+def test_per_request_cap_option(spark):
+    from brieflane.sources import fixtures as fx
+    p = fx.posts(spark, "/root/testdata/sf0.01")
+    cfg = cfgops.config_lookup(fx.analyzed_entities(spark), fx.config_table(spark))
+    capped = api.fetch_posts(p, cfg, None, per_request_cap=3)
+    per_req = capped.groupBy("entity", "subreddit", "search_term").count().collect()
+    assert per_req and max(r["count"] for r in per_req) == 3
+    assert capped.count() < api.fetch_posts(p, cfg, None).count()
