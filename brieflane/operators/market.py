@@ -30,9 +30,9 @@ def symbol_quotes(requested: DataFrame, charts: DataFrame) -> DataFrame:
     Adds status (404 when no response landed), current_price, previous_close,
     last_volume, ok (both prices truthy) and reason (error text when not ok).
     """
-    c = charts.select("symbol", F.col("status").alias("_status"), "body")
-    parsed = ingest.parse_charts(charts.where(F.col("status") == 200)).drop("n_bars", "malformed")
-    j = requested.join(c.drop("body"), "symbol", "left").join(parsed, "symbol", "left")
+    parsed = (ingest.parse_charts(charts).drop("n_bars", "malformed")
+              .withColumnRenamed("status", "_status"))
+    j = requested.join(parsed, "symbol", "left")
     status = F.coalesce(F.col("_status"), F.lit(404))
     ok = (status == 200) & truthy(F.col("current_price")) & truthy(F.col("previous_close"))
     reason = (F.when(status != 200, F.concat(F.lit("HTTP "), status.cast("string")))

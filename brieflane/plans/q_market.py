@@ -73,7 +73,7 @@ def symbol_quotes(spark, sf_dir):
 SELECT symbol, current_price, previous_close, last_volume, n_bars FROM chart_parsed"""))
 def ingest_quotes(spark, sf_dir):
     """Every chart response parsed to price, previous close and last volume."""
-    return ingest.parse_charts(fx.chart_responses(spark, sf_dir)).select(
+    return ingest.parse_charts(fx.chart_responses(spark, sf_dir)).where(F.col("status") == 200).select(
         "symbol", "current_price", "previous_close", "last_volume", "n_bars")
 
 

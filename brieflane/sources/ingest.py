@@ -112,19 +112,22 @@ def enrich_videos(search: DataFrame, stats: DataFrame, transcripts: DataFrame) -
 
 # ----------------------------------------------------------------------------- quotes
 def parse_charts(charts: DataFrame) -> DataFrame:
-    """First result's meta and the last element of its first volume array."""
-    j = F.from_json("body", schemas.CHART_ENVELOPE, JSON_OPTS)
-    p = charts.where(F.col("status") == 200).withColumn("j", j)
+    """First result's meta and the last element of its first volume array.
+
+    Every response keeps its row and ``status``; only 200 responses are parsed (A10),
+    the fields of the others stay null."""
+    j = F.when(F.col("status") == 200, F.from_json("body", schemas.CHART_ENVELOPE, JSON_OPTS))
+    p = charts.withColumn("j", j)
     r0 = F.try_element_at(F.col("j.chart.result"), F.lit(1))
     q0 = F.try_element_at(r0["indicators"]["quote"], F.lit(1))
     vol = q0["volume"]
     return p.select(
-        "symbol",
+        "symbol", "status",
         r0["meta"]["regularMarketPrice"].alias("current_price"),
         r0["meta"]["previousClose"].alias("previous_close"),
         F.when(F.size(vol) > 0, F.try_element_at(vol, F.lit(-1))).alias("last_volume"),
         F.when(vol.isNull(), F.lit(0)).otherwise(F.size(vol)).cast("bigint").alias("n_bars"),
-        F.col("j._corrupt_record").isNotNull().alias("malformed"),
+        F.coalesce(F.col("j._corrupt_record").isNotNull(), F.lit(False)).alias("malformed"),
     )
 
 
