@@ -98,11 +98,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
   FROM analyzed a LEFT JOIN entity_config c ON lower(a.entity) = c.entity"""),
     "plan_subs": (("cfg_lookup",), """
   SELECT entity, entity_pos, timeframe, keywords, companies, search_terms,
-         unnest(subreddits) AS subreddit, generate_subscripts(subreddits, 1) - 1 AS sub_pos
+         unnest(subreddits) AS subreddit, CAST(generate_subscripts(subreddits, 1) - 1 AS INTEGER) AS sub_pos
   FROM cfg_lookup"""),
     "plan": (("plan_subs",), """
   SELECT entity, entity_pos, timeframe, keywords, companies, sub_pos, subreddit,
-         unnest(search_terms) AS search_term, generate_subscripts(search_terms, 1) - 1 AS term_pos
+         unnest(search_terms) AS search_term, CAST(generate_subscripts(search_terms, 1) - 1 AS INTEGER) AS term_pos
   FROM plan_subs"""),
     "anchor": (("posts",), "SELECT max(created_utc) AS anchor_ts FROM posts"),
     "fetched": (("posts", "plan", "anchor"), f"""

@@ -10,7 +10,7 @@ from conftest import ROOT, SF_SMALL
 sys.path.insert(0, os.path.join(ROOT, "scripts"))
 
 import __spark_entry__ as se  # noqa: E402
-from oracle_check import TABLES, rows_of  # noqa: E402
+from oracle_check import TABLES, rows_of, type_mismatches  # noqa: E402
 
 SQLS = se.oracle_sql()
 QUERIES = se.queries()
@@ -39,6 +39,8 @@ def test_query_matches_oracle(spark, con, name):
     dcols = [d[0] for d in rel.description]
     drows = rel.fetchall()
     assert sorted(df.columns) == sorted(dcols)
+    stypes = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    assert type_mismatches(stypes, {d[0]: str(d[1]) for d in rel.description}) == []
     assert rows_of(df.columns, srows) == rows_of(dcols, drows)
 
 
