@@ -1,10 +1,13 @@
 """The scale paths (fallbacks beyond the broadcast bound, salting) give the same answer,
 and the flagship plan has the intended shape."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from conftest import SF_MID, SF_SMALL
 
+from brieflane.operators import config as cfgops
 from brieflane.operators import filters, skew
 from brieflane.operators import text as tx
 from brieflane.plans import api, registry
@@ -62,8 +65,7 @@ def test_long_form_tfidf_equals_ml_pipeline(spark):
 
 def test_keep_best_and_top_k_properties(spark):
     p = fx.posts(spark, SF_MID)
-    cfg = __import__("brieflane.operators.config", fromlist=["x"]).config_lookup(
-        fx.analyzed_entities(spark), fx.config_table(spark))
+    cfg = cfgops.config_lookup(fx.analyzed_entities(spark), fx.config_table(spark))
     rel = api.relevant_posts(p, cfg, api.anchor_of(p, "created_utc"))
     best = api.best_posts(rel)
     assert best.groupBy("entity", "title").count().where("count > 1").count() == 0
@@ -140,7 +142,7 @@ def test_flagship_under_skew_equals_brute_force(spark):
         title = "hot ev title" if hot else f"title ev {rng.randint(0, 400)}"
         sub = "s0" if rng.random() < 0.7 else rng.choice(subs)
         rows.append((str(i), title, sub, rng.randint(0, 50), rng.randint(0, 50),
-                     __import__("datetime").datetime(2024, 1, 1 + i % 28), "", "en", i))
+                     dt.datetime(2024, 1, 1 + i % 28), "", "en", i))
     posts = spark.createDataFrame(rows, "id string, title string, subreddit string, score long, "
                                         "num_comments long, created_utc timestamp_ntz, selftext string, "
                                         "search_term string, resp_order long").repartition(6)
@@ -167,7 +169,6 @@ def test_flagship_under_skew_equals_brute_force(spark):
 
 def test_day_partitioned_posts_prune_and_match(spark, tmp_path):
     from brieflane import sinks
-    from brieflane.operators import config as cfgops
     posts = fx.posts(spark, SF_MID)
     sinks.land_posts_by_day(posts, str(tmp_path / "posts"))
     landed = spark.read.parquet(str(tmp_path / "posts"))
