@@ -123,15 +123,19 @@ def tfidf_transcripts(spark, sf_dir):
 
 @query("tfidf_mllib")
 def tfidf_mllib(spark, sf_dir):
-    """E1–E6 as the Spark ML pipeline (vector form): per title, non-zeros and weight sum."""
-    from pyspark.ml.functions import vector_to_array
+    """E1–E6 as the Spark ML pipeline (vector form): per title, non-zeros and weight sum.
+
+    The sparse vector is read through its own (indices, values) form, never densified
+    (a dense copy would be vocabulary-size doubles per row)."""
     p = fx.posts(spark, sf_dir).select("id", F.coalesce("title", F.lit("")).alias("title"))
     model = tx.ml_pipeline("title").fit(p)
-    arr = vector_to_array(F.col("features"))
+    vec = F.from_json(F.get_json_object(F.to_json(F.struct("features")), "$.features"),
+                      "struct<type:int,size:int,indices:array<int>,values:array<double>>")
+    vals = vec["values"]
     return model.transform(p).select(
         F.col("id").alias("doc_id"),
-        F.size(F.filter(arr, lambda x: x != 0)).alias("n_terms"),
-        F.round(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x), 6).alias("weight_sum"))
+        F.size(F.filter(vals, lambda x: x != 0)).alias("n_terms"),
+        F.round(F.aggregate(vals, F.lit(0.0), lambda a, x: a + x), 6).alias("weight_sum"))
 
 
 @query("cleaned_text", with_views(["posts", "articles"], f"""

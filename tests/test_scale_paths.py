@@ -180,3 +180,13 @@ def test_day_partitioned_posts_prune_and_match(spark, tmp_path):
     assert _set(pruned, cols) == _set(plain, cols) and pruned.count() > 0
     plan = pruned._jdf.queryExecution().executedPlan().toString()
     assert any("PartitionFilters: [isnotnull(day" in ln for ln in plan.splitlines())
+
+
+def test_mllib_query_equals_long_form_per_document(spark):
+    ml = {r.doc_id: (r.n_terms, r.weight_sum) for r in registry.queries()["tfidf_mllib"](spark, SF_SMALL).collect()}
+    long = tx.tfidf(fx.posts(spark, SF_SMALL).select("id", F.coalesce("title", F.lit("")).alias("title")), "id", "title")
+    agg = long.where("tfidf != 0").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("tfidf").alias("s"))
+    want = {r.doc_id: (r.n, round(r.s, 6)) for r in agg.collect()}
+    got = {k: v for k, v in ml.items() if v[0] > 0}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-5 for k in want)
