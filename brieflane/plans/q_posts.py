@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brieflane import fixed
@@ -122,17 +121,9 @@ SELECT entity, day_start, n_posts, engagement,
        engagement - lag(engagement) OVER (PARTITION BY entity ORDER BY day_start) AS change
 FROM d"""))
 def engagement_trend(spark, sf_dir):
-    """K1: relevant posts and engagement per entity per day, change vs the previous day.
-
-    Aggregated per (entity, day) first, so the window sees one row per day only."""
-    r = _relevant(spark, sf_dir)
-    d = (r.groupBy("entity", F.window("created_utc", "1 day").alias("w"))
-         .agg(F.count("*").alias("n_posts"), F.sum("engagement").cast("bigint").alias("engagement"))
-         .select("entity", F.col("w.start").alias("day_start"), "n_posts", "engagement"))
-    w = Window.partitionBy("entity").orderBy("day_start")
-    prev = F.lag("engagement").over(w)
-    return d.select("entity", "day_start", "n_posts", "engagement", prev.alias("prev_engagement"),
-                    (F.col("engagement") - prev).alias("change"))
+    """K1: relevant posts and engagement per entity per day, change vs the previous day."""
+    from brieflane.operators import trend
+    return trend.engagement_trend(_relevant(spark, sf_dir))
 
 
 _WORDS = "'[^\\p{L}\\p{N}]+'"
