@@ -129,6 +129,25 @@ def videos_for_entities(videos: DataFrame, entities: DataFrame, anchor: Column |
                                fixed.VIDEOS_PER_ENTITY).drop("resp_rank")
 
 
+def recent_news(articles: DataFrame, entities: DataFrame, k: int = fixed.RECENT_NEWS) -> DataFrame:
+    """I3 news: per entity, the k newest of the articles its news search returns."""
+    news = news_for_entities(articles, entities)
+    return ranking.top_k(news, ["entity"], [F.col("publishedAt").desc(), F.col("article_id")], k)
+
+
+def top_videos(videos: DataFrame, entities: DataFrame, anchor: Column | None = None,
+               k: int = fixed.TOP_VIDEOS) -> DataFrame:
+    """I3 videos: per entity, the k most viewed of the videos its search returns."""
+    vids = videos_for_entities(videos, entities, anchor)
+    return ranking.top_k(vids, ["entity"], [F.col("view_count").desc(), F.col("video_id")], k)
+
+
+def text_features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """I3 text features: long-form TF-IDF (doc_id, term, tf, idf, tfidf) of a text column."""
+    from brieflane.operators import text as tx
+    return tx.tfidf(docs, id_col, text_col)
+
+
 def transcript_summary(t: Column) -> Column:
     """first 500 characters plus '...', or the no-transcript text."""
     return summary_from_head(F.length(t), F.substring(t, 1, fixed.TRANSCRIPT_SUMMARY_CHARS))
@@ -177,7 +196,7 @@ def analyze_entities(src: Sources, entities: DataFrame, anchor: Column | None =
 
     news = news_for_entities(src.articles, entities)
     n_articles = news.groupBy("entity").agg(F.count("*").alias("n_articles"))
-    recent = ranking.top_k(news, ["entity"], [F.col("publishedAt").desc(), F.col("article_id")], fixed.RECENT_NEWS)
+    recent = recent_news(src.articles, entities)
     news_items = rp.ordered_list(recent, ["entity"], "rank", F.struct(
         "title", "description", "source", fmt_ts(F.col("publishedAt")).alias("publishedAt")), "recent_news")
     news_lines = rp.joined_lines(recent, ["entity"], "rank", rp.news_line(F.col("title"), F.col("source")),
@@ -187,7 +206,7 @@ def analyze_entities(src: Sources, entities: DataFrame, anchor: Column | None =
 
     vids = videos_for_entities(src.videos, entities, anchor)
     n_videos = vids.groupBy("entity").agg(F.count("*").alias("n_videos"))
-    top_v = ranking.top_k(vids, ["entity"], [F.col("view_count").desc(), F.col("video_id")], fixed.TOP_VIDEOS)
+    top_v = top_videos(src.videos, entities, anchor)
     video_items = rp.ordered_list(top_v, ["entity"], "rank", F.struct(
         "title", F.col("channel_title").alias("channel"), F.col("view_count").alias("views"),
         fmt_ts(F.col("published_at")).alias("published_at"), "video_id",
