@@ -112,6 +112,7 @@ NO_TRANSCRIPT = "No transcript available"
 ERROR_PREFIX = "Error performing sentiment analysis. Raw data is provided below:"
 MARKET_NOTE = "Note: This data represents real-time market information."
 MISSING_PRICE = "Missing price data"
+MALFORMED_RESPONSE = "Malformed response"
 
 # FIXED VALUES — Spark ML default English stop words (181), natural order.
 ENGLISH_STOP_WORDS = [

@@ -30,14 +30,16 @@ def symbol_quotes(requested: DataFrame, charts: DataFrame) -> DataFrame:
     Adds status (404 when no response landed), current_price, previous_close,
     last_volume, ok (both prices truthy) and reason (error text when not ok).
     """
-    parsed = (ingest.parse_charts(charts).drop("n_bars", "malformed")
+    parsed = (ingest.parse_charts(charts).drop("n_bars")
               .withColumnRenamed("status", "_status"))
     j = requested.join(parsed, "symbol", "left")
     status = F.coalesce(F.col("_status"), F.lit(404))
     ok = (status == 200) & truthy(F.col("current_price")) & truthy(F.col("previous_close"))
     reason = (F.when(status != 200, F.concat(F.lit("HTTP "), status.cast("string")))
+              .when(F.coalesce(F.col("malformed"), F.lit(False)), F.lit(fixed.MALFORMED_RESPONSE))
               .when(~ok, F.lit(fixed.MISSING_PRICE)))
-    return j.withColumn("status", status).withColumn("ok", ok).withColumn("reason", reason).drop("_status")
+    return (j.withColumn("status", status).withColumn("ok", ok).withColumn("reason", reason)
+            .drop("_status", "malformed"))
 
 
 def symbol_block(symbol: Column, cur: Column, prev: Column, vol: Column, ok: Column, reason: Column) -> Column:

@@ -92,6 +92,7 @@ def test_truthy_prices_and_volume(spark):
     q = {r.symbol: r for r in market.symbol_quotes(req, charts).collect()}
     assert [s for s in "ABCDEZ" if q[s].ok] == ["A", "D"]
     assert q["B"].reason == fixed.MISSING_PRICE and q["Z"].reason == "HTTP 404"
+    assert q["E"].reason == fixed.MALFORMED_RESPONSE and q["C"].reason == fixed.MISSING_PRICE
     rep = market.market_reports(market.symbol_quotes(req, charts)).collect()[0]
     assert rep.n_ok == 2 and rep.n_symbols == 6 and rep.data_available
     assert "Volume: 1,234,567" in rep.analysis and "Change: 25.0%" in rep.analysis
