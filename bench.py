@@ -30,8 +30,10 @@ def main() -> None:
     from brieflane.session import build_session
     from brieflane.sources import fixtures as fx
 
-    spark = build_session(f"local[{cpus}]", int(cpus) if cpus.isdigit() else 8,
-                          extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
+    extra = {"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")}
+    if os.environ.get("BENCH_EVENT_LOG_DIR"):  # stage/task times without the UI
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG_DIR"]})
+    spark = build_session(f"local[{cpus}]", int(cpus) if cpus.isdigit() else 8, extra=extra)
     qs = registry.queries()
     # Warm the JVM (class loading, JIT, codegen) by running every headline query once on
     # the smallest tables; not timed, so the timings below are steady-state.
