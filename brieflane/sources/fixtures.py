@@ -63,7 +63,16 @@ REQUEST_TIMEFRAMES = ["1d", "1w", "1mo", "3mo", "1y", "day", "1day", "xyz"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The parquet table, one DataFrame per session and path (kept on the session, so it
+    lives and dies with it): file listing and footer reads happen once."""
+    path = f"{sf_dir}/{name}.parquet"
+    try:
+        cache = spark.__dict__.setdefault("_brieflane_reads", {})
+    except (AttributeError, TypeError):  # a session type without instance attributes
+        return spark.read.parquet(path)
+    if path not in cache:
+        cache[path] = spark.read.parquet(path)
+    return cache[path]
 
 
 def epoch_to_ntz(epoch: Column) -> Column:
