@@ -79,3 +79,20 @@ def fallback_text(posts_lines: Column, news_lines: Column, video_lines: Column)
         F.lit(fixed.ERROR_PREFIX + "\n\nReddit Posts:\n"), posts_lines,
         F.lit("\n\nNews Articles:\n"), news_lines,
         F.lit("\n\nYouTube Videos:\n"), video_lines)
+
+
+def ranked_lists(df: DataFrame, keys: Sequence[str], rank: str, arrays: dict[str, Column],
+                 lines: dict[str, Column]) -> DataFrame:
+    """G4 + F11 in one aggregate: per key, each ``arrays`` item as an array and each
+    ``lines`` item joined with '\\n', all in rank order. One shuffle per ranked list,
+    however many outputs are derived from it."""
+    fields = ([F.col(rank).alias("r")] + [c.alias(f"a_{n}") for n, c in arrays.items()]
+              + [c.alias(f"l_{n}") for n, c in lines.items()])
+    g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_s"))
+
+    def field(name):
+        return lambda s: s[name]
+
+    out = ([F.transform("_s", field(f"a_{n}")).alias(n) for n in arrays]
+           + [F.array_join(F.transform("_s", field(f"l_{n}")), "\n").alias(n) for n in lines])
+    return g.select(*keys, *out)

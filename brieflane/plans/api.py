@@ -182,42 +182,36 @@ def analyze_entities(src: Sources, entities: DataFrame, anchor: Column | None =
 
     rel = filters.relevance_filter(fetched).withColumn(
         "engagement", ranking.engagement(F.col("score"), F.col("num_comments")))
-    top_eng = top_posts_by_engagement(rel)
-    post_lines = rp.joined_lines(top_eng, ["entity"], "rank",
-                                 rp.post_line(F.col("subreddit"), F.col("title"), F.col("score"),
-                                              F.col("num_comments"), F.col("search_term")), "post_lines")
-
-    top_score = top_posts_by_score(fetched)
-    posts_items = rp.ordered_list(top_score, ["entity"], "rank", F.struct(
-        "subreddit", "title", "score", F.col("num_comments").alias("comments"), "search_term"), "top_posts")
-    posts_raw_lines = rp.joined_lines(top_score, ["entity"], "rank",
-                                      rp.post_line(F.col("subreddit"), F.col("title"), F.col("score"),
-                                                   F.col("num_comments"), F.col("search_term")), "raw_post_lines")
+    line = rp.post_line(F.col("subreddit"), F.col("title"), F.col("score"), F.col("num_comments"),
+                        F.col("search_term"))
+    post_lines = rp.ranked_lists(top_posts_by_engagement(rel), ["entity"], "rank", {}, {"post_lines": line})
+    score_lists = rp.ranked_lists(
+        top_posts_by_score(fetched), ["entity"], "rank",
+        {"top_posts": F.struct("subreddit", "title", "score", F.col("num_comments").alias("comments"),
+                               "search_term")},
+        {"raw_post_lines": line})
 
     news = news_for_entities(src.articles, entities)
     n_articles = news.groupBy("entity").agg(F.count("*").alias("n_articles"))
-    recent = recent_news(src.articles, entities)
-    news_items = rp.ordered_list(recent, ["entity"], "rank", F.struct(
-        "title", "description", "source", fmt_ts(F.col("publishedAt")).alias("publishedAt")), "recent_news")
-    news_lines = rp.joined_lines(recent, ["entity"], "rank", rp.news_line(F.col("title"), F.col("source")),
-                                 "news_lines")
-    news_lines_plain = rp.joined_lines(recent, ["entity"], "rank",
-                                       rp.news_line_plain(F.col("title"), F.col("description")), "news_lines_plain")
+    news_lists = rp.ranked_lists(
+        recent_news(src.articles, entities), ["entity"], "rank",
+        {"recent_news": F.struct("title", "description", "source",
+                                 fmt_ts(F.col("publishedAt")).alias("publishedAt"))},
+        {"news_lines": rp.news_line(F.col("title"), F.col("source")),
+         "news_lines_plain": rp.news_line_plain(F.col("title"), F.col("description"))})
 
     vids = videos_for_entities(src.videos, entities, anchor)
     n_videos = vids.groupBy("entity").agg(F.count("*").alias("n_videos"))
-    top_v = top_videos(src.videos, entities, anchor)
-    video_items = rp.ordered_list(top_v, ["entity"], "rank", F.struct(
-        "title", F.col("channel_title").alias("channel"), F.col("view_count").alias("views"),
-        fmt_ts(F.col("published_at")).alias("published_at"), "video_id",
-        F.col("transcript_summary")), "top_videos")
-    video_lines = rp.joined_lines(top_v, ["entity"], "rank",
-                                  rp.video_line(F.col("title"), F.col("channel_title"), F.col("view_count")),
-                                  "video_lines")
+    video_lists = rp.ranked_lists(
+        top_videos(src.videos, entities, anchor), ["entity"], "rank",
+        {"top_videos": F.struct("title", F.col("channel_title").alias("channel"),
+                                F.col("view_count").alias("views"),
+                                fmt_ts(F.col("published_at")).alias("published_at"), "video_id",
+                                F.col("transcript_summary"))},
+        {"video_lines": rp.video_line(F.col("title"), F.col("channel_title"), F.col("view_count"))})
 
     base = entities.select("entity", "entity_pos", "timeframe")
-    parts = [n_posts, n_articles, n_videos, post_lines, posts_items, posts_raw_lines,
-             news_items, news_lines, news_lines_plain, video_items, video_lines]
+    parts = [n_posts, n_articles, n_videos, post_lines, score_lists, news_lists, video_lists]
     if analyses is not None:
         parts.append(analyses.select("entity", F.col("analysis").alias("model_analysis")))
     j = rp.attach(base, parts)
