@@ -34,18 +34,6 @@ def video_line(title: Column, channel: Column, views: Column) -> Column:
     return F.format_string("- %s (Channel: %s, Views: %d)", title, channel, views)
 
 
-def ordered_list(df: DataFrame, keys: Sequence[str], rank: str, item: Column, name: str) -> DataFrame:
-    """Per key, the items as an array in rank order."""
-    return df.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), item.alias("v")))),
-                    lambda s: s["v"]).alias(name))
-
-
-def joined_lines(df: DataFrame, keys: Sequence[str], rank: str, line: Column, name: str) -> DataFrame:
-    """per key, lines joined with '\\n' in rank order."""
-    return ordered_list(df, keys, rank, line, "_l").select(*keys, F.array_join("_l", "\n").alias(name))
-
-
 def attach(entities: DataFrame, parts: Sequence[DataFrame], key: str = "entity") -> DataFrame:
     """Left-join per-entity parts onto the entity list (every entity keeps its row)."""
     out = entities
