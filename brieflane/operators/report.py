@@ -70,17 +70,24 @@ def fallback_text(posts_lines: Column, news_lines: Column, video_lines: Column)
 
 
 def ranked_lists(df: DataFrame, keys: Sequence[str], rank: str, arrays: dict[str, Column],
-                 lines: dict[str, Column]) -> DataFrame:
+                 lines: dict[str, Column], keep: int | None = None, count_as: str | None = None) -> DataFrame:
     """G4 + F11 in one aggregate: per key, each ``arrays`` item as an array and each
     ``lines`` item joined with '\\n', all in rank order. One shuffle per ranked list,
-    however many outputs are derived from it."""
+    however many outputs are derived from it. ``keep`` lists only ranks <= keep, and
+    ``count_as`` adds the number of input rows per key (for inputs already capped per key)."""
     fields = ([F.col(rank).alias("r")] + [c.alias(f"a_{n}") for n, c in arrays.items()]
               + [c.alias(f"l_{n}") for n, c in lines.items()])
-    g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_s"))
+    item = F.struct(*fields)
+    if keep is not None:
+        item = F.when(F.col(rank) <= keep, item)  # collect_list skips nulls
+    aggs = [F.array_sort(F.collect_list(item)).alias("_s")]
+    if count_as:
+        aggs.append(F.count("*").alias(count_as))
+    g = df.groupBy(*keys).agg(*aggs)
 
     def field(name):
         return lambda s: s[name]
 
     out = ([F.transform("_s", field(f"a_{n}")).alias(n) for n in arrays]
            + [F.array_join(F.transform("_s", field(f"l_{n}")), "\n").alias(n) for n in lines])
-    return g.select(*keys, *out)
+    return g.select(*keys, *([count_as] if count_as else []), *out)

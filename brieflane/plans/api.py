@@ -7,7 +7,7 @@ nothing is collected. The building blocks below are reused by the query registry
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brieflane import fixed
@@ -191,27 +191,29 @@ def analyze_entities(src: Sources, entities: DataFrame, anchor: Column | None =
                                "search_term")},
         {"raw_post_lines": line})
 
-    news = news_for_entities(src.articles, entities)
-    n_articles = news.groupBy("entity").agg(F.count("*").alias("n_articles"))
+    # News and video matches are capped per entity (<= 100 and <= 10 rows), so one bounded
+    # aggregate gives the count and the top-5 lists from a single matching pass.
+    news = news_for_entities(src.articles, entities).withColumn("rank", F.row_number().over(
+        Window.partitionBy("entity").orderBy(F.col("publishedAt").desc(), F.col("article_id"))))
     news_lists = rp.ranked_lists(
-        recent_news(src.articles, entities), ["entity"], "rank",
+        news, ["entity"], "rank", keep=fixed.RECENT_NEWS, count_as="n_articles", arrays=
         {"recent_news": F.struct("title", "description", "source",
                                  fmt_ts(F.col("publishedAt")).alias("publishedAt"))},
-        {"news_lines": rp.news_line(F.col("title"), F.col("source")),
-         "news_lines_plain": rp.news_line_plain(F.col("title"), F.col("description"))})
+        lines={"news_lines": rp.news_line(F.col("title"), F.col("source")),
+               "news_lines_plain": rp.news_line_plain(F.col("title"), F.col("description"))})
 
-    vids = videos_for_entities(src.videos, entities, anchor)
-    n_videos = vids.groupBy("entity").agg(F.count("*").alias("n_videos"))
+    vids = videos_for_entities(src.videos, entities, anchor).withColumn("rank", F.row_number().over(
+        Window.partitionBy("entity").orderBy(F.col("view_count").desc(), F.col("video_id"))))
     video_lists = rp.ranked_lists(
-        top_videos(src.videos, entities, anchor), ["entity"], "rank",
+        vids, ["entity"], "rank", keep=fixed.TOP_VIDEOS, count_as="n_videos", arrays=
         {"top_videos": F.struct("title", F.col("channel_title").alias("channel"),
                                 F.col("view_count").alias("views"),
                                 fmt_ts(F.col("published_at")).alias("published_at"), "video_id",
                                 F.col("transcript_summary"))},
-        {"video_lines": rp.video_line(F.col("title"), F.col("channel_title"), F.col("view_count"))})
+        lines={"video_lines": rp.video_line(F.col("title"), F.col("channel_title"), F.col("view_count"))})
 
     base = entities.select("entity", "entity_pos", "timeframe")
-    parts = [n_posts, n_articles, n_videos, post_lines, score_lists, news_lists, video_lists]
+    parts = [n_posts, post_lines, score_lists, news_lists, video_lists]
     if analyses is not None:
         parts.append(analyses.select("entity", F.col("analysis").alias("model_analysis")))
     j = rp.attach(base, parts)
