@@ -153,13 +153,28 @@ def segment_term_counts(segments: DataFrame, docs: DataFrame, salts: int | None
 
 def vocabulary(docs: DataFrame, id_col: str, text_col: str, vocab_size: int = 1 << 18) -> DataFrame:
     """The vocabulary CountVectorizer keeps — terms by corpus count (desc, then term),
-    at most ``vocab_size`` of them, with a 1-based rank. The ranking window only ever
-    sees ``vocab_size`` rows (distributed top-k first)."""
+    at most ``vocab_size`` of them, with a 1-based rank.
+
+    The rank is computed without any single-task merge: the term table is range-sorted,
+    each row is stamped with its partition and its position in it, and the result is
+    checkpointed to the shared folder (so layout and positions are fixed even if tasks
+    are retried). A rank is then the row's position plus the number of rows in all
+    earlier partitions, taken from a table with one row per partition (broadcast)."""
     from pyspark.sql import Window
+    from brieflane.session import cut_lineage
+
     d = doc_freq(term_counts(docs, id_col, text_col))
-    top = d.orderBy(F.col("total_count").desc(), F.col("term")).limit(vocab_size)
-    w = Window.orderBy(F.col("total_count").desc(), F.col("term"))
-    return top.select("term", "total_count", "doc_freq", F.row_number().over(w).cast("bigint").alias("rank"))
+    order = [F.col("total_count").desc(), F.col("term")]
+    stamped = cut_lineage(d.repartitionByRange(*order).sortWithinPartitions(*order)
+                          .withColumn("_pid", F.spark_partition_id())
+                          .withColumn("_mid", F.monotonically_increasing_id()))
+    sizes = stamped.groupBy("_pid").agg(F.count("*").alias("_n"))
+    offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
+    ranked = stamped.join(F.broadcast(offsets), "_pid").select(
+        "term", "total_count", "doc_freq", (F.col("_off") + pos + 1).cast("bigint").alias("rank"))
+    return ranked.where(F.col("rank") <= vocab_size)
 
 
 def ml_pipeline(text_col: str):

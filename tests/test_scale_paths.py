@@ -190,3 +190,11 @@ def test_mllib_query_equals_long_form_per_document(spark):
     got = {k: v for k, v in ml.items() if v[0] > 0}
     assert got.keys() == want.keys()
     assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-5 for k in want)
+
+
+def test_vocabulary_rank_distributed_equals_brute_force(spark):
+    docs = fx.read(spark, SF_MID, "documents").select("doc_id", "text")
+    got = [(r.rank, r.term, r.total_count) for r in tx.vocabulary(docs, "doc_id", "text", vocab_size=777).collect()]
+    freq = tx.doc_freq(tx.term_counts(docs, "doc_id", "text")).collect()
+    want = sorted(((-r.total_count, r.term) for r in freq))[:777]
+    assert sorted(got) == [(i + 1, t, -c) for i, (c, t) in enumerate(want)]
