@@ -92,3 +92,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     placed = ranked.join(F.broadcast(schedule(units)), ["src", "turn"])
     return placed.select("row", "block", (F.expr("block div units") * F.col("period") + F.col("slot")).alias("slot"),
                          (F.col("rank") % block_docs).cast("int").alias("place"))
+
+
+def in_mix_order(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id",
+                 source_col: str = "source") -> DataFrame:
+    """Rows of ``docs``, unchanged, sorted by slot: partition by partition, the files that are
+    written from it hold the mix in order."""
+    mixed = mix(docs, weights, id_col, source_col)
+    return mixed.repartitionByRange("slot").sortWithinPartitions("slot", "place").select("row.*")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brieflane.llm import (ann_crosspolytope, bpe_fst, html_extract, langid, line_dedup, mixing, token_counts,
-                           topk_pivot, toxicity)
+from brieflane.llm import (ann_crosspolytope, bpe_fst, html_extract, jaccard_join, langid, line_dedup, mixing,
+                           token_counts, topk_pivot, toxicity)
 from brieflane.llm.common import fold, table
 
 
@@ -31,6 +31,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "line_dedup.n_lines", "line_dedup.n_removed")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.components_of(table(spark, sf_dir, "documents"), shingle_words=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, fold("doc_id", 3) != 1)
@@ -135,7 +140,7 @@ FROM pairs QUALIFY rank <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_line_dedup, op4_toxicity, op5_language_id, op6_exact_topk,
+    found = [op1_token_counts, op2_line_dedup, op3_jaccard_join, op4_toxicity, op5_language_id, op6_exact_topk,
              op7_source_mixing, op8_html_extract, op9_bpe, op10_ann]
     return {f.__name__: f for f in found}
 
