@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from brieflane.llm.common import saved
 from brieflane.llm.vectors import matrix, usable
 
-TABLES, PROBES, BUCKET_ROWS, ROWS_A_HASH = 8, 12, 4096, 2_000_000
+TABLES, PROBES, BUCKET_ROWS, ROWS_A_HASH = 8, 16, 4096, 2_000_000
 
 
 def hadamard(y: np.ndarray) -> np.ndarray:

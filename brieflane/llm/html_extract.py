@@ -137,8 +137,9 @@ def main_text(page: str | None) -> str:
             labels.append(True)
         else:
             labels.append(None)
-    # what stands outside a marked article says nothing about the short blocks inside it
-    voters = [i for i, x in enumerate(labels) if x is not None and (not marked or found[i][3])]
+    # in a marked article neither what stands outside nor an inserted part (aside, share list)
+    # says anything about its short blocks
+    voters = [i for i, x in enumerate(labels) if x is not None and (not marked or (found[i][3] and not found[i][2]))]
     kept, k = [], 0
     for i, label in enumerate(labels):
         while k < len(voters) and voters[k] < i:

@@ -30,7 +30,7 @@ def split_lines(text: Column) -> Column:
 
 def filled(text: Column) -> Column:
     """Trimmed lines that are not blank."""
-    return F.filter(F.transform(split_lines(text), F.trim), lambda x: x != "")
+    return F.filter(F.transform(split_lines(text), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

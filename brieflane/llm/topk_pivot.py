@@ -25,7 +25,7 @@ from brieflane.llm.vectors import matrix, usable
 
 PIVOTS, BLOCK_ROWS, QUERY_ROWS = 48, 8192, 1024
 CELL = "query_id bigint, vec_id bigint, score bigint"
-EXACT = 1 << 52
+EXACT, LONG = 1 << 52, (1 << 63) - 1
 
 
 def floored(v: np.ndarray, scale: int) -> np.ndarray:
@@ -37,9 +37,9 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d2, 0.0))
 
 
-def search_cell(queries: tuple, rows: tuple, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def search_cell(queries: tuple, rows: tuple, k: int, evaluated: list | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """queries, rows: (ids, integer-valued vectors, pivot distances). For each query the ids and
-    scores of its k best rows other than itself."""
+    scores of its k best rows other than itself. ``evaluated`` gets the numbers of rows scored."""
     (qid, q, qd), (rid, r, rd) = queries, rows
     rn, out = (r * r).sum(1), []
     for i in range(len(qid)):
@@ -56,10 +56,12 @@ def search_cell(queries: tuple, rows: tuple, k: int) -> list[tuple[np.ndarray, n
             some = order[at:at + step]
             at, step = at + step, step * 2
             some = some[rid[some] != qid[i]]
+            if evaluated is not None:
+                evaluated.append(len(some))
             if float(np.sqrt(qn) * np.sqrt(rn[some].max(initial=0.0))) < EXACT:
                 got = (r[some] @ q[i]).astype(np.int64)
-            else:  # beyond what doubles hold exactly
-                got = np.array([sum(int(a) * int(b) for a, b in zip(x, q[i])) for x in r[some]], np.int64)
+            else:  # beyond what doubles hold exactly; what a long does not hold ends at its bounds
+                got = np.array([min(max(sum(int(a) * int(b) for a, b in zip(x, q[i])), -LONG), LONG) for x in r[some]], np.int64)
             ids, scores = np.concatenate([ids, rid[some]]), np.concatenate([scores, got])
             best = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[best], scores[best]
