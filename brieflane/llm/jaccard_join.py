@@ -39,7 +39,7 @@ from brieflane.llm.components import connected
 SLICE_BYTES = 2 << 20
 BITS = 4096              # columns of a bitmap
 FREQUENT = 1 << 18       # at most so many tokens are ordered last (broadcast: 2 MB)
-FREQUENT_FROM = 12       # ... those counted so often
+FREQUENT_FROM = 4        # ... those counted so often
 COUNTED_TOKENS = 4 << 20  # a task counts tokens in blocks of so many
 BLOCK = 512              # sets compared at once
 LIGHT = 24               # groups of a token up to which pairs of groups become rows
@@ -209,10 +209,7 @@ def scan(docs: DataFrame, words: int) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(id, th, node, n, prefix, bits) for every document with a set."""
-    kind = docs.schema["id"].dataType.simpleString()
-    ddl = f"id {kind}, th bigint, node binary, n int, prefix array<bigint>, bits array<bigint>"
-    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    """(node, prefix) for every document with a set."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
@@ -226,26 +223,21 @@ def prefixes(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) ->
             return h[:need]
 
         for batch in batches:
-            for part in chunks(batch, 1, SLICE_BYTES):
-                sets = shingles.sets(part.column(1))
-                part = part.filter(pa.array([len(h) > 0 for h in sets]))
-                sets = [h for h in sets if len(h)]
+            for part in chunks(batch, 0, SLICE_BYTES):
+                sets = [h for h in shingles.sets(part.column(0)) if len(h)]
                 heads = [first(h) for h in sets]
                 flat = np.concatenate([*heads, np.zeros(0, np.uint64)]).view(np.int64)
                 ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
-                bits = np.concatenate([*map(bitmap, sets), np.zeros(0, np.int64)])
-                yield pa.RecordBatch.from_arrays([
-                    part.column(0), part.column(2), pa.array([name_of(h) for h in sets], pa.binary()),
-                    pa.array([len(h) for h in sets], pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (BITS // 64)), pa.array(bits))],
-                    schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([name_of(h) for h in sets], pa.binary()),
+                                                  pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                                                 names=["node", "prefix"])
 
-    return docs.select("id", "text", "th").mapInArrow(run, ddl)
+    return docs.select("text").mapInArrow(run, "node binary, prefix array<bigint>")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, tokens) for ``nodes`` (node, rep, th), from the text of one document of each."""
+def sets_of(docs: DataFrame, nodes: DataFrame, words: int, bits: bool = False) -> DataFrame:
+    """(node, tokens) or, with ``bits``, (node, bits) for ``nodes`` (node, rep, th), from the text
+    of one document of each."""
     wanted = nodes.select(F.col("rep"), F.col("th").alias("th_of")).distinct()
     if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
@@ -256,10 +248,15 @@ def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for part in chunks(batch, 1, SLICE_BYTES):
                 sets = shingles.sets(part.column(1))
-                yield pa.RecordBatch.from_arrays([pa.array([name_of(h) for h in sets], pa.binary()),
-                                                  pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "tokens"])
+                if bits:
+                    words_at = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (BITS // 64))
+                    of_set = pa.ListArray.from_arrays(words_at, pa.array(np.concatenate([*map(bitmap, sets), np.zeros(0, np.int64)])))
+                else:
+                    of_set = pa.array([h.tobytes() for h in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([name_of(h) for h in sets], pa.binary()), of_set],
+                                                 names=["node", "bits" if bits else "tokens"])
 
-    return some.mapInArrow(run, "node binary, tokens binary")
+    return some.mapInArrow(run, "node binary, " + ("bits array<bigint>" if bits else "tokens binary"))
 
 
 def compare(cells: DataFrame, percent: int) -> DataFrame:
@@ -357,6 +354,12 @@ def heavy_pairs(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     return own.groupBy("token", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
+def shared_only(rows: DataFrame) -> DataFrame:
+    """Rows (token, ...), dealt by token, of tokens with several rows, with their number ``times``."""
+    common = rows.groupBy("token").agg(F.count("*").alias("times")).where(F.col("times") > 1)
+    return rows.join(common.hint("shuffle_hash"), "token")
+
+
 def components_of(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, text_hash, component) for every row of ``docs``;
@@ -383,19 +386,27 @@ def components_of(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id
     often = (found.where(F.col("kind") == 1).groupBy("token").agg(F.sum("times").alias("times"))
              .where(F.col("times") >= FREQUENT_FROM).orderBy(F.desc("times"), "token").limit(FREQUENT).select("token").collect())
     last = np.sort(np.array([r[0] for r in often], np.int64).view(np.uint64))
-    heads = prefixes(own, words, percent, last)
-    reps = nodes.select(F.col("node").alias("node_of"), F.col("rep"), F.col("th").alias("th_of"), "grp")
-    heads = saved(heads.join(reps, (heads["node"] == F.col("node_of")) & (heads["th"] == F.col("th_of"))
-                             & heads["id"].eqNullSafe(F.col("rep"))).select("node", "grp", "n", "prefix", "bits"))
-    rows = heads.select(F.explode("prefix").alias("token"), "grp").repartition("token").distinct()
-    common = rows.groupBy("token").agg(F.count("*").alias("groups_of")).where(F.col("groups_of") > 1)
-    rows = saved(rows.join(common.hint("shuffle_hash"), "token"))
-    light = rows.where(F.col("groups_of") <= LIGHT).select("token", "grp")
-    pairs = light.select("token", F.col("grp").alias("a")).join(light.select("token", F.col("grp").alias("b")), "token") \
-        .where(F.col("a") < F.col("b")).select("a", "b")
+    # sets and groups go by 64 bits of their names here; the names come back with the sizes
+    rows = prefixes(own, words, percent, last).select(F.explode("prefix").alias("token"), F.xxhash64("node").alias("n8"))
+    rows = rows.repartition("token").distinct()
+    rows = shared_only(rows)
+    sized = nodes.groupBy("grp").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
+    places = nodes.join(sized, "grp").select(F.xxhash64("node").alias("n8"), "grp", "low", "high")
+    rows = rows.select("token", "n8").join(places, "n8").select("token", "grp", "low", "high")
+    rows = saved(shared_only(rows.repartition("token").distinct()))
+    a, b = (rows.where(F.col("times") <= LIGHT).select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("grp", "low", "high")])
+            for x in ("a", "b"))
+    pairs = a.join(b, "token").where(
+        (F.col("grp_a") < F.col("grp_b")) & (100 * F.col("high_a") >= percent * F.col("low_b"))
+        & (100 * F.col("high_b") >= percent * F.col("low_a"))).select(F.col("grp_a").alias("a"), F.col("grp_b").alias("b"))
+    pairs = saved(pairs.distinct())
+    crowded = rows.where(F.col("times") > LIGHT).select("token", "grp", F.col("times").alias("groups_of"))
 
     # the union of a group's tokens: bitmaps, combined word by word
-    sized = heads.groupBy("grp").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
+    asked = pairs.select(F.col("a").alias("grp")).union(pairs.select("b")).union(crowded.select("grp")).distinct()
+    asked = nodes.join(asked, "grp", "left_semi")
+    heads = sets_of(own, asked, words, bits=True).join(asked.select("node", "grp", "n"), "node")
+    heads = saved(heads.select("node", "grp", "n", "bits"))
     single = heads.select("grp", F.col("bits").alias("union")).join(sized.where(F.col("size") == 1), "grp")
     many = heads.select("grp", F.posexplode("bits").alias("at", "word")).join(
         sized.where(F.col("size") > 1).select("grp"), "grp", "left_semi")
@@ -403,8 +414,7 @@ def components_of(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id
             .agg(F.sort_array(F.collect_list(F.struct("at", "word"))).alias("words"))
             .select("grp", F.transform("words", lambda w: w["word"]).alias("union")).join(sized, "grp"))
     groups = single.unionByName(many).select("grp", "union", "size", "low", "high")
-    heavy = heavy_pairs(rows.where(F.col("groups_of") > LIGHT), groups, percent)
-    pairs = saved(pairs.unionByName(heavy).distinct())
+    pairs = pairs.unionByName(heavy_pairs(crowded, groups, percent)).distinct()
 
     # 3. bound and open
     sides = pairs.select("a", "b", F.col("a").alias("grp"), F.col("b").alias("other")).unionByName(
