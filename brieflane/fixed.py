@@ -95,10 +95,9 @@ DEFAULT_WINDOW_DAYS = 7
 IRON_NEWS_QUERY = [["iron ore", "steel"], ["price", "market", "demand", "mining"]]
 
 # FIXED VALUES — result sizes.
-POSTS_PER_REQUEST = 100
 POSTS_PER_REQUEST_PLAIN = 10
-ARTICLES_PER_ENTITY = 100
-VIDEOS_PER_ENTITY = 10
+ARTICLES_PER_ENTITY = 100  # what one news search returns, for callers who cap
+VIDEOS_PER_ENTITY = 10     # what one video search returns
 TOP_POSTS = 10
 RECENT_NEWS = 5
 TOP_VIDEOS = 5
@@ -147,4 +146,32 @@ BRIEF_INSTRUCTIONS = [
     "Consider insights from all three sources (Reddit, News, YouTube) in your analysis.",
     "Format the response in a clear, structured way.",
 ]
+BRIEF_HEAD = "Analyze the following market data for "
+BRIEF_SECTIONS = ["Reddit Discussion:", "Recent News:", "YouTube Content:"]
+
+# FIXED VALUES — the plain brief and its instructions.
+PLAIN_BRIEF_HEAD = "Analyze the following data about "
+PLAIN_BRIEF_INSTRUCTIONS = [
+    "Provide a concise analysis with:",
+    "1. Overall sentiment (positive/negative/neutral)",
+    "2. Key trends and patterns",
+    "3. Main concerns or opportunities",
+    "4. Market outlook and price trends (if available)",
+    "5. Confidence level in the analysis",
+    "",
+    "Note: Some data sources might be unavailable. Focus on analyzing the available data.",
+    "If limited data is available, acknowledge this in your confidence level.",
+    "For iron specifically, consider both iron ore prices and steel market conditions.",
+    "Consider the credibility and relevance of each source when forming your analysis.",
+]
+
+# FIXED VALUES — report lines, sections and texts for missing fields.
+POST_LINE = "- [%s] %s (Score: %d, Comments: %d, Search term: %s)"
+NEWS_LINE = "- %s (Source: %s)"
+NEWS_LINE_PLAIN = "- %s: %s"
+VIDEO_LINE = "- %s (Channel: %s, Views: %d)"
+NO_TITLE = "No title"
+UNKNOWN = "Unknown"
+POSTS_SECTION = "Reddit Posts:"
+NEWS_SECTION = "News Articles:"
 NO_DATA_ERROR = "No data available from either Reddit or News API"

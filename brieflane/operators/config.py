@@ -93,13 +93,14 @@ def search_plan(cfg: DataFrame, keep: tuple[str, ...] = ("entity",)) -> DataFram
 def resolve_symbols(entities: DataFrame, config: DataFrame, entity_col: str = "entity") -> DataFrame:
     """Ticker list per entity — configured companies, else the default ticker.
 
-    Returns one row per (entity row, symbol) with ``symbol_pos`` (request order).
+    Returns one row per (entity row, symbol) with ``symbol_pos`` (request order); an entity
+    with an empty company list keeps one row without a symbol.
     """
     cfg = config.select(F.col("entity").alias("_cfg_key"), F.col("companies").alias("_c_comp"))
     j = entities.join(cfg, F.lower(F.col(entity_col)) == F.col("_cfg_key"), "left")
     symbols = F.coalesce(F.col("_c_comp"), _str_array([fixed.DEFAULT_SYMBOL]))
     return j.select(*[F.col(c) for c in entities.columns],
-                    F.posexplode(symbols).alias("symbol_pos", "symbol"))
+                    F.posexplode_outer(symbols).alias("symbol_pos", "symbol"))
 
 
 # ----------------------------------------------------------------------------- B5

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,57 +55,68 @@ def language_is(lang: Column, code: str = "en") -> Column:
     return lang == F.lit(code)
 
 
-def substring_matches(df: DataFrame, text: Column, terms: DataFrame, term_col: str = "term",
-                      max_broadcast_rows: int | None = None, row_id: str | None = None) -> DataFrame:
-    """Rows of ``df`` joined to every row of ``terms`` whose term occurs in ``text``.
+GRAM = 3
+
+
+def text_grams(text: Column) -> Column:
+    """Distinct substrings of 1 to GRAM characters, from one pass over the characters."""
+    def grams(chars: Column) -> Column:
+        def of(n: int) -> Column:
+            return F.transform(chars, lambda c, i: F.concat(c, *[F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(1, n)]))
+        return F.array_distinct(F.concat(chars, *[of(n) for n in range(2, GRAM + 1)]))
+
+    # bound once as a lambda's variable; a plain expression would be split again for every gram
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.get(F.transform(F.array(chars), grams), 0)
 
-    Entity term lists are a bounded dimension: when ``terms`` passes the row-count
-    check it is broadcast and matched with ``contains`` per row (work = rows x terms,
-    no shuffle of ``df``). Beyond the bound the match becomes an exact equi-join: every
-    text emits its substrings of each distinct term length, which are joined to the
-    terms and de-duplicated per (row, term row) — linear in the text, no pair fan-out.
-    The fallback needs ``row_id``, a unique key of ``df`` (deterministic under task
-    retries, unlike a generated id).
+
+def substring_matches(df: DataFrame, text: Column, terms: DataFrame, term_col: str, row_id: str) -> DataFrame:
+    """Rows of ``df`` joined to every row of ``terms`` whose term occurs in ``text`` (compared as
+    given; an empty term occurs in every text, a null one in none). ``row_id`` is a unique key
+    of ``df``.
+
+    One exact path for any number of terms. Every distinct term is known by its first GRAM
+    characters (or all, if it has fewer); every text emits its distinct grams, which meet the
+    terms in an equi-join, and ``contains`` decides about the candidates, one for each text and
+    term at most. A gram that very many texts hold makes a large join partition, which adaptive
+    execution splits.
     """
-    from brieflane.operators import skew
-
-    limit = skew.BROADCAST_MAX_ROWS if max_broadcast_rows is None else max_broadcast_rows
-    t = terms.where(F.col(term_col).isNotNull() & (F.length(term_col) > 0))
-    if skew.bounded_rows(t, limit):
-        return df.join(F.broadcast(t), text.contains(F.col(term_col)), "inner")
-    if row_id is None:
-        raise ValueError("substring_matches beyond the broadcast bound needs row_id (a unique key of df)")
-    lengths = [r[0] for r in t.select(F.length(term_col).alias("n")).distinct().collect()]
-    src = df.select(F.col(row_id).alias("_rid"), text.alias("_text"))
-    grams = None
-    for n in lengths:
-        g = src.select("_rid", F.lit(n).alias("_n"), F.explode(F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length("_text") - n + 1, F.lit(1))),
-            lambda i: F.substring(F.col("_text"), i, n)))).alias("_gram"))
-        grams = g if grams is None else grams.unionByName(g)
-    tk = t.withColumn("_n", F.length(term_col))
-    hits = grams.join(tk, (grams["_gram"] == tk[term_col]) & (grams["_n"] == tk["_n"]), "inner") \
-        .drop("_gram", "_n").dropDuplicates(["_rid", *t.columns])
-    return df.join(hits.withColumnRenamed("_rid", row_id), row_id, "inner")
-
-
-def cnf_matches(df: DataFrame, row_id: str, text: Column, queries: DataFrame, keys: list[str],
-                cnf_col: str = "cnf", max_broadcast_rows: int | None = None) -> DataFrame:
-    """Rows of ``df`` joined to every query row (``keys`` + CNF) whose CNF holds on ``text``.
-
-    Bounded query tables are broadcast and evaluated per row; beyond the bound the
-    CNF is decided exactly from per-term substring hits: a (row, query) pair matches
-    when every OR-group has at least one hit.
+    by_term = terms.where(F.col(term_col).isNotNull())
+    distinct = by_term.select(F.col(term_col).alias("_term")).where(F.length(term_col) > 0).distinct()
+    distinct = distinct.withColumn("_gram", F.substring("_term", 1, GRAM))
+    src = df.select(F.col(row_id).alias("_rid"), text.alias("_text")).where(F.col("_text").isNotNull())
+    grams = src.select("_rid", F.explode(text_grams(F.col("_text"))).alias("_gram"))
+    near = grams.join(distinct, "_gram").select("_rid", "_term")
+    hits = (near.where(F.length("_term") <= GRAM).unionByName(
+        src.join(near.where(F.length("_term") > GRAM), "_rid").where(F.col("_text").contains(F.col("_term"))).select("_rid", "_term")))
+    out = hits.join(by_term, F.col("_term") == by_term[term_col]).drop("_term")
+    out = df.join(out.withColumnRenamed("_rid", row_id), row_id)
+    return out.unionByName(_with_every(df.where(text.isNotNull()), by_term.where(F.length(term_col) == 0), row_id))
+
+
+def _with_every(df: DataFrame, few: DataFrame, row_id: str, parts: int = 16) -> DataFrame:
+    """Every row of ``df`` with every row of ``few`` (what a trivially true query returns), as an
+    equi-join on a part number."""
+    left = df.withColumn("_part", F.pmod(F.xxhash64(row_id), F.lit(parts)).cast("int"))
+    right = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return left.join(right, "_part").drop("_part")
+
+
+def cnf_matches(df: DataFrame, row_id: str, text: Column, queries: DataFrame, keys: Sequence[str],
+                cnf_col: str = "cnf") -> DataFrame:
+    """Rows of ``df`` joined to every query row (``keys`` + CNF) whose CNF holds on ``text``,
+    as ``matches_cnf`` has it: terms are looked for in lower(text), no group is always true, an
+    empty group never.
+
+    A (row, query) pair matches when every OR-group has a hit; hits come from
+    ``substring_matches``.
     """
-    from brieflane.operators import skew
-
-    limit = skew.BROADCAST_MAX_ROWS if max_broadcast_rows is None else max_broadcast_rows
-    if skew.bounded_rows(queries, limit):
-        return df.join(F.broadcast(queries), matches_cnf(text, F.col(cnf_col)), "inner")
-    groups = queries.select(*keys, F.size(cnf_col).alias("_ng"), F.posexplode(cnf_col).alias("_g", "_grp"))
-    terms = groups.select(*keys, "_ng", "_g", F.explode("_grp").alias("_term"))
-    hits = substring_matches(df.select(row_id, text.alias("_t")), F.col("_t"), terms, "_term", 0, row_id=row_id)
-    ok = (hits.select(row_id, *keys, "_ng", "_g").distinct()
-          .groupBy(row_id, *keys, "_ng").agg(F.count("*").alias("_hit"))
-          .where(F.col("_hit") == F.col("_ng")).select(row_id, *keys))
-    return df.join(ok, row_id, "inner").join(queries, keys, "inner")
+    low = F.lower(text)
+    q = queries.select(*keys, cnf_col).distinct()
+    groups = q.select(*keys, F.size(cnf_col).alias("_ng"), F.posexplode(cnf_col).alias("_g", "_grp"))
+    terms = groups.select(*keys, "_ng", "_g", F.explode("_grp").alias("_term_of")).distinct()
+    hits = substring_matches(df.select(row_id, low.alias("_t")), F.col("_t"), terms, "_term_of", row_id)
+    n_hit = hits.select(row_id, *keys, "_ng", "_g").distinct().groupBy(row_id, *keys, "_ng").agg(F.count("*").alias("_hit"))
+    ok = n_hit.where(F.col("_hit") == F.col("_ng")).select(row_id, *keys)
+    every = _with_every(df.where(text.isNotNull()).select(row_id), q.where(F.size(cnf_col) == 0).select(*keys), row_id)
+    return df.join(ok.unionByName(every), row_id, "inner")

@@ -24,34 +24,49 @@ def pct_change(cur: Column, prev: Column) -> Column:
     return (cur - prev) / prev * F.lit(100.0)
 
 
+def fixed_decimals(x: Column, digits: int) -> Column:
+    """``x`` with ``digits`` decimals, rounded as its exact binary value lies between the two
+    neighbours (2.675 is below the middle: 2.67), to the even one in the very middle
+    (0.125: 0.12). For magnitudes up to 2^43."""
+    scale = 10 ** digits
+    a = F.abs(x)
+    # a = high + low, high with so few bits that its product with 2 * scale is exact
+    c = a * F.lit(134217729.0)
+    high = c - (c - a)
+    k = F.floor(a * F.lit(float(scale))).cast("bigint")
+    side = (high * F.lit(2.0 * scale) - (2 * k + 1).cast("double")) + (a - high) * F.lit(2.0 * scale)
+    n = k + F.when((side > 0) | ((side == 0) & (k % 2 == 1)), 1).otherwise(0)
+    whole, rest = F.floor(n / scale).cast("bigint").cast("string"), F.lpad((n % scale).cast("string"), digits, "0")
+    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), whole, F.lit("."), rest)
+
+
 def symbol_quotes(requested: DataFrame, charts: DataFrame) -> DataFrame:
     """Requested symbols with their parsed quote, status and outcome.
 
     Adds status (404 when no response landed), current_price, previous_close,
     last_volume, ok (both prices truthy) and reason (error text when not ok).
     """
-    parsed = (ingest.parse_charts(charts).drop("n_bars")
-              .withColumnRenamed("status", "_status"))
+    parsed = (ingest.parse_charts(ingest.one_chart_each(charts)).drop("n_bars")
+              .withColumn("_landed", F.lit(True)).withColumnRenamed("status", "_status"))
     j = requested.join(parsed, "symbol", "left")
-    status = F.coalesce(F.col("_status"), F.lit(404))
-    ok = (status == 200) & truthy(F.col("current_price")) & truthy(F.col("previous_close"))
-    reason = (F.when(status != 200, F.concat(F.lit("HTTP "), status.cast("string")))
+    status = F.when(F.col("_landed"), F.col("_status")).otherwise(F.lit(404))
+    ok = status.eqNullSafe(200) & truthy(F.col("current_price")) & truthy(F.col("previous_close"))
+    reason = (F.when(~status.eqNullSafe(200), F.concat(F.lit("HTTP "), F.coalesce(status.cast("string"), F.lit("without status"))))
               .when(F.coalesce(F.col("malformed"), F.lit(False)), F.lit(fixed.MALFORMED_RESPONSE))
               .when(~ok, F.lit(fixed.MISSING_PRICE)))
     return (j.withColumn("status", status).withColumn("ok", ok).withColumn("reason", reason)
-            .drop("_status", "malformed"))
+            .drop("_status", "_landed", "malformed"))
 
 
 def symbol_block(symbol: Column, cur: Column, prev: Column, vol: Column, ok: Column, reason: Column) -> Column:
     """H4 per-symbol text: price lines (+ volume when the last bar's volume is truthy),
     or an error line."""
-    change = F.round(pct_change(cur, prev), 1) + F.lit(0.0)
     good = F.concat_ws(
         "\n",
         F.concat(F.lit("\n"), symbol, F.lit(":")),
-        F.concat(F.lit("Current Price: $"), F.format_string("%.2f", cur)),
-        F.concat(F.lit("Previous Close: $"), F.format_string("%.2f", prev)),
-        F.concat(F.lit("Change: "), F.format_string("%.1f", change), F.lit("%")),
+        F.concat(F.lit("Current Price: $"), fixed_decimals(cur, 2)),
+        F.concat(F.lit("Previous Close: $"), fixed_decimals(prev, 2)),
+        F.concat(F.lit("Change: "), fixed_decimals(pct_change(cur, prev), 1), F.lit("%")),
         F.when(truthy(vol), F.concat(F.lit("Volume: "), F.format_number(vol, 0))),
         F.repeat(F.lit("-"), 30))
     bad = F.concat(F.lit("\nError analyzing "), symbol, F.lit(": "), reason)
@@ -64,8 +79,9 @@ def market_reports(quotes: DataFrame) -> DataFrame:
                                                 F.col("last_volume"), F.col("ok"), F.col("reason")))
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("symbol_pos", c))),
                                     lambda s: s[c])
-    g = q.groupBy("entity", "timeframe").agg(
-        F.count("*").alias("n_symbols"), F.count_if("ok").alias("n_ok"),
+    keys = [c for c in ("entity", "entity_pos", "timeframe") if c in q.columns]
+    g = q.groupBy(*keys).agg(
+        F.count("symbol").alias("n_symbols"), F.count_if("ok").alias("n_ok"),
         F.array_join(ordered("symbol"), ", ").alias("symbols"),
         F.array_join(ordered("block"), "\n").alias("blocks"))
     header = F.concat_ws(

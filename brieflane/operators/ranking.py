@@ -1,9 +1,7 @@
 """Ordering, keep-best de-duplication and top-k.
 
 Scale notes
-* Keep-best is an aggregate (``min_by`` over a struct key), not a window: partial
-  aggregation collapses a hot key map-side, so a title copied a million times costs
-  one row per map task in the shuffle.
+* Keep-best is a top-1 per key, where a key is the hash of the text, never the text.
 * Top-k per group is ``row_number() <= k``; Catalyst inserts a partial
   ``WindowGroupLimit`` before the exchange, so each map task ships at most k rows per
   group and a group holding a third of the input never lands whole in one task.
@@ -22,13 +20,12 @@ def engagement(score: Column, comments: Column) -> Column:
     return (F.coalesce(score, F.lit(0)) + F.coalesce(comments, F.lit(0))).cast("bigint")
 
 
-def dedup_best(df: DataFrame, keys: Sequence[str], rank_key: Column) -> DataFrame:
-    """One row per ``keys``, the one with the smallest ``rank_key`` (a struct of
-    ascending sort keys; negate numeric keys that rank descending). ``rank_key`` must be
-    unique within a key group for a deterministic answer."""
-    rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), rank_key).alias("_best"))
-    return best.select(*keys, *[F.col("_best")[c].alias(c) for c in rest])
+def dedup_best(df: DataFrame, keys: Sequence[str], text: str, order: Sequence[Column]) -> DataFrame:
+    """Per ``keys`` and ``text``, the first row under ``order`` (unique within a group for a
+    deterministic answer). Texts meet by two 64-bit hashes, so rows are sorted and dealt by
+    fixed-width keys, however long the texts are."""
+    hashed = df.withColumn("_h1", F.xxhash64(text)).withColumn("_h2", F.xxhash64(F.lit("second"), F.col(text)))
+    return top_k(hashed, [*keys, "_h1", "_h2"], order, 1, rank_col="_r").drop("_r", "_h1", "_h2")
 
 
 def top_k(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column], k: int,

@@ -1,11 +1,6 @@
-"""Size-checked broadcast and salted joins.
-
-* ``bounded_rows`` runs a cheap count on a *small* input (a dimension) and tells the
-  caller whether it fits a broadcast; callers keep an exact shuffled alternative for
-  the other case.
-* ``salted_join`` spreads a hot key of the large side over ``salts`` partitions and
-  replicates the (one-row-per-key) small side to match, so a key holding a third of
-  all rows is processed by ``salts`` tasks instead of one.
+"""Salted joins: ``salted_join`` spreads a hot key of the large side over ``salts`` partitions and
+replicates the (one-row-per-key) small side to match, so a key holding a third of all
+rows is processed by ``salts`` tasks instead of one.
 """
 
 from __future__ import annotations
@@ -15,7 +10,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 100_000
 SALTS_CONF = "brieflane.skew.salts"  # session setting; raise it on large clusters
 DEFAULT_SALTS = 16
 
@@ -25,11 +19,6 @@ def default_salts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(SALTS_CONF, str(DEFAULT_SALTS)))
 
 
-def bounded_rows(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (counts at most max_rows + 1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], salts: int | None = None,
                 how: str = "inner", salt_source: Column | None = None,
                 small_hint: str | None = None) -> DataFrame:

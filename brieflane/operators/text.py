@@ -151,9 +151,10 @@ def segment_term_counts(segments: DataFrame, docs: DataFrame, salts: int | None
     return words.unionByName(blanks)
 
 
-def vocabulary(docs: DataFrame, id_col: str, text_col: str, vocab_size: int = 1 << 18) -> DataFrame:
-    """The vocabulary CountVectorizer keeps — terms by corpus count (desc, then term),
-    at most ``vocab_size`` of them, with a 1-based rank.
+def vocabulary(docs: DataFrame, id_col: str, text_col: str, vocab_size: int | None = None) -> DataFrame:
+    """The vocabulary in CountVectorizer's order — terms by corpus count (desc, then term)
+    with a 1-based rank; all of them, or the first ``vocab_size``. Runs a job: the term table is
+    written to the checkpoint folder.
 
     The rank is computed without any single-task merge: the term table is range-sorted,
     each row is stamped with its partition and its position in it, and the result is
@@ -174,17 +175,18 @@ def vocabulary(docs: DataFrame, id_col: str, text_col: str, vocab_size: int = 1
     pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
     ranked = stamped.join(F.broadcast(offsets), "_pid").select(
         "term", "total_count", "doc_freq", (F.col("_off") + pos + 1).cast("bigint").alias("rank"))
-    return ranked.where(F.col("rank") <= vocab_size)
+    return ranked if vocab_size is None else ranked.where(F.col("rank") <= vocab_size)
 
 
-def ml_pipeline(text_col: str):
-    """The vector form: Tokenizer -> StopWordsRemover -> CountVectorizer -> IDF."""
+def ml_pipeline(text_col: str, vocab_size: int = 1 << 18):
+    """The vector form: Tokenizer -> StopWordsRemover -> CountVectorizer -> IDF. Spark ML keeps
+    its vocabulary on the driver, so it needs a bound; the long form has none."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import IDF, CountVectorizer, StopWordsRemover, Tokenizer
     return Pipeline(stages=[
         Tokenizer(inputCol=text_col, outputCol="_words"),
         StopWordsRemover(inputCol="_words", outputCol="_filtered"),
-        CountVectorizer(inputCol="_filtered", outputCol="_raw"),
+        CountVectorizer(inputCol="_filtered", outputCol="_raw", vocabSize=vocab_size),
         IDF(inputCol="_raw", outputCol="features"),
     ])
 

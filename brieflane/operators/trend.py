@@ -10,9 +10,10 @@ def engagement_trend(relevant: DataFrame, window: str = "1 day", ts_col: str = "
     """Posts and engagement per entity per time window, and the change vs the previous
     window. Aggregated per (entity, window) first (partial aggregation), so the ``lag``
     window only sees one row per time window of an entity."""
-    d = (relevant.groupBy("entity", F.window(ts_col, window).alias("w"))
+    keys = [c for c in ("entity", "entity_pos", "timeframe") if c in relevant.columns]
+    d = (relevant.groupBy(*keys, F.window(ts_col, window).alias("w"))
          .agg(F.count("*").alias("n_posts"), F.sum("engagement").cast("bigint").alias("engagement"))
-         .select("entity", F.col("w.start").alias("day_start"), "n_posts", "engagement"))
-    prev = F.lag("engagement").over(Window.partitionBy("entity").orderBy("day_start"))
+         .select(*keys, F.col("w.start").alias("day_start"), "n_posts", "engagement"))
+    prev = F.lag("engagement").over(Window.partitionBy(*keys).orderBy("day_start"))
     return d.select("entity", "day_start", "n_posts", "engagement", prev.alias("prev_engagement"),
                     (F.col("engagement") - prev).alias("change"))

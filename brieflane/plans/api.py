@@ -1,13 +1,14 @@
 """Entity-level plans: what a caller runs for many entities in one job.
 
 ``analyze_entities`` and ``analyze_markets`` take an entities DataFrame
-(entity, timeframe, ...) and landed source tables and return one lazy DataFrame;
-nothing is collected. The building blocks below are reused by the query registry.
+(entity, timeframe, entity_pos) and landed source tables and return one DataFrame without
+running a job. An entity may come with several timeframes: everything is keyed by the whole
+row (``ENTITY_KEYS``). The building blocks below are reused by the query registry.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brieflane import fixed
@@ -35,9 +36,9 @@ def fetch_posts(posts: DataFrame, cfg: DataFrame, anchor: Column | None = None,
     Before the join the scan is bounded by the widest window among the entities (a
     scalar subquery over the entity table); when landed posts are partitioned by a
     date column, ``day_col`` turns that bound into partition pruning.
-    ``per_request_cap`` (A9) keeps the first n posts of every (subreddit, term) request
-    in response order; landed responses are already what the API returned, so the
-    default applies none.
+    ``per_request_cap`` (A9) keeps the first n posts of every (entity row, subreddit, term)
+    request in response order, within the entity's own window; landed responses are already
+    what the API returned, so the default applies none.
     """
     plan = cfgops.search_plan(cfg, keep=(*ENTITY_KEYS, "keywords", "companies"))
     if anchor is not None:
@@ -46,22 +47,22 @@ def fetch_posts(posts: DataFrame, cfg: DataFrame, anchor: Column | None = None,
         posts = posts.where(F.col("created_utc") >= lower)
         if day_col is not None:
             posts = posts.where(F.col(day_col) >= F.to_date(lower))
-    if per_request_cap is not None:
-        posts = ranking.request_cap(posts, ["subreddit", "search_term"], F.col("resp_order"),
-                                    per_request_cap).drop("resp_rank")
     j = posts.join(plan, ["subreddit", "search_term"], "inner")
     if anchor is not None:
         cut = cfgops.cutoff(anchor, cfgops.window_days(F.col("timeframe")))
         j = j.where(filters.within_window(F.col("created_utc"), cut))
+    if per_request_cap is not None:
+        j = ranking.request_cap(j, [*ENTITY_KEYS, "subreddit", "search_term"], F.col("resp_order"),
+                                per_request_cap).drop("resp_rank")
     return j
 
 
-def arrival_key(desc_engagement: bool = True) -> Column:
-    """D1 order as an ascending struct: engagement desc, then arrival order
-    (subreddit position, term position, position in the response)."""
-    eng = -F.col("engagement") if desc_engagement else F.col("engagement")
-    return F.struct(eng.alias("e"), F.col("sub_pos").alias("s"),
-                    F.col("term_pos").alias("t"), F.col("resp_order").alias("r"))
+#: D1 order: engagement desc, then arrival (subreddit, term, position in the response).
+ARRIVAL = ("sub_pos", "term_pos", "resp_order")
+
+
+def engagement_order() -> list[Column]:
+    return [F.col("engagement").desc(), *[F.col(c) for c in ARRIVAL]]
 
 
 def relevant_posts(posts: DataFrame, cfg: DataFrame, anchor: Column | None,
@@ -76,15 +77,12 @@ def best_posts(rel: DataFrame) -> DataFrame:
     """Keep the most engaging copy of every title per entity (arrival order on ties)."""
     cols = [*ENTITY_KEYS, "title", "id", "subreddit", "search_term", "score", "num_comments",
             "engagement", "created_utc", "sub_pos", "term_pos", "resp_order"]
-    return ranking.dedup_best(rel.select(*cols), ["entity", "entity_pos", "timeframe", "title"],
-                              arrival_key())
+    return ranking.dedup_best(rel.select(*cols), ENTITY_KEYS, "title", engagement_order())
 
 
 def top_posts_by_engagement(rel: DataFrame, k: int = fixed.TOP_POSTS) -> DataFrame:
     """D3: top-k de-duplicated posts per entity by engagement."""
-    best = best_posts(rel)
-    order = [F.col("engagement").desc(), F.col("sub_pos"), F.col("term_pos"), F.col("resp_order")]
-    return ranking.top_k(best, ["entity"], order, k)
+    return ranking.top_k(best_posts(rel), ENTITY_KEYS, engagement_order(), k)
 
 
 POST_OUT = ["entity", "rank", "id", "subreddit", "title", "score", "num_comments",
@@ -93,53 +91,80 @@ POST_OUT = ["entity", "rank", "id", "subreddit", "title", "score", "num_comments
 
 def top_posts_by_score(fetched: DataFrame, k: int = fixed.TOP_POSTS) -> DataFrame:
     """Top-k fetched posts per entity by score (no relevance filter, no de-dup)."""
-    order = [F.col("score").desc(), F.col("sub_pos"), F.col("term_pos"), F.col("resp_order")]
-    return ranking.top_k(fetched, ["entity"], order, k)
+    order = [F.col("score").desc(), *[F.col(c) for c in ARRIVAL]]
+    return ranking.top_k(fetched, ENTITY_KEYS, order, k)
 
 
 # ---------------------------------------------------------------------------- reports
 class Sources:
-    """Landed, typed source tables an analysis reads. ``videos`` carries
-    ``transcript_summary`` (see ``ingest.enrich_video_cards``)."""
+    """Landed, typed source tables an analysis reads. ``videos`` are facts per video (see
+    ``ingest.video_facts``); ``segments`` are transcript segments, from which the chosen
+    videos get their ``transcript_summary``."""
 
     def __init__(self, posts: DataFrame, articles: DataFrame, videos: DataFrame, config: DataFrame,
-                 charts: DataFrame | None = None):
+                 charts: DataFrame | None = None, segments: DataFrame | None = None):
         self.posts, self.articles, self.videos, self.config, self.charts = posts, articles, videos, config, charts
+        self.segments = segments
 
 
-def news_for_entities(articles: DataFrame, entities: DataFrame) -> DataFrame:
-    """Articles a news search returns per entity: CNF match on title + description,
-    English only, first 100 in landed (relevance) order."""
-    q = entities.select("entity", "entity_pos", cfgops.news_query(F.col("entity")).alias("cnf"))
+def news_matches(articles: DataFrame, entities: DataFrame) -> DataFrame:
+    """B7 + C3: articles whose title and description satisfy an entity's boolean query."""
+    q = entities.select(*ENTITY_KEYS, cfgops.news_query(F.col("entity")).alias("cnf"))
     text = F.lower(F.concat_ws(" ", "title", "description"))
-    hits = filters.cnf_matches(articles, "article_id", text, q, ["entity", "entity_pos"])
-    hits = hits.where(filters.language_is(F.col("language"), "en"))
-    return ranking.request_cap(hits, ["entity"], F.col("article_id"), fixed.ARTICLES_PER_ENTITY).drop("resp_rank")
+    return filters.cnf_matches(articles, "article_id", text, q, ENTITY_KEYS)
+
+
+def news_for_entities(articles: DataFrame, entities: DataFrame, cap: int | None = None) -> DataFrame:
+    """Articles a news search returns per entity: boolean match, English only; ``cap`` keeps
+    the first n in landed (relevance) order, as a search that returns so many would."""
+    hits = news_matches(articles.where(filters.language_is(F.col("language"), "en")), entities)
+    if cap is None:
+        return hits
+    return ranking.request_cap(hits, ENTITY_KEYS, F.col("article_id"), cap).drop("resp_rank")
 
 
-def videos_for_entities(videos: DataFrame, entities: DataFrame, anchor: Column | None = None) -> DataFrame:
+def videos_for_entities(videos: DataFrame, entities: DataFrame, anchor: Column | None = None,
+                        cap: int | None = None) -> DataFrame:
     """Videos a search returns per entity: title contains the entity, published inside
-    the entity's timeframe window before ``anchor`` (C4), first 10 in search order."""
-    ents = entities.select("entity", "entity_pos", "timeframe", F.lower("entity").alias("term"))
-    hits = filters.substring_matches(videos, F.lower(F.col("title")), ents, "term", row_id="video_id").drop("term")
+    the entity's timeframe window before ``anchor`` (C4); ``cap`` keeps the first n in
+    search order. ``search_term`` is the entity searched for."""
+    ents = entities.select(*ENTITY_KEYS, F.lower("entity").alias("term"))
+    hits = filters.substring_matches(videos, F.lower(F.col("title")), ents, "term", "video_id").drop("term")
     if anchor is not None:
         cut = cfgops.cutoff(anchor, cfgops.window_days(F.col("timeframe")))
         hits = hits.where(filters.within_window(F.col("published_at"), cut))
-    return ranking.request_cap(hits.drop("timeframe"), ["entity"], F.col("search_pos"),
-                               fixed.VIDEOS_PER_ENTITY).drop("resp_rank")
+    hits = hits.withColumn("search_term", F.col("entity"))
+    if cap is None:
+        return hits
+    return ranking.request_cap(hits, ENTITY_KEYS, F.col("search_pos"), cap).drop("resp_rank")
+
+
+def with_summaries(videos: DataFrame, segments: DataFrame | None) -> DataFrame:
+    """F9 for chosen videos: transcript heads are built for their ids only."""
+    from brieflane.sources import ingest
+
+    if "transcript_summary" in videos.columns:
+        return videos
+    if segments is None:
+        return videos.withColumn("transcript_summary", F.lit(fixed.NO_TRANSCRIPT))
+    ids = videos.select("video_id").distinct()
+    heads = ingest.transcript_heads(segments.join(ids, "video_id", "left_semi"), fixed.TRANSCRIPT_SUMMARY_CHARS)
+    out = videos.join(heads, "video_id", "left")
+    summary = summary_from_head(F.coalesce(F.col("transcript_chars"), F.lit(0)), F.col("transcript_head"))
+    return out.withColumn("transcript_summary", summary).drop("transcript_chars", "transcript_head")
 
 
 def recent_news(articles: DataFrame, entities: DataFrame, k: int = fixed.RECENT_NEWS) -> DataFrame:
     """I3 news: per entity, the k newest of the articles its news search returns."""
     news = news_for_entities(articles, entities)
-    return ranking.top_k(news, ["entity"], [F.col("publishedAt").desc(), F.col("article_id")], k)
+    return ranking.top_k(news, ENTITY_KEYS, [F.col("publishedAt").desc(), F.col("article_id")], k)
 
 
 def top_videos(videos: DataFrame, entities: DataFrame, anchor: Column | None = None,
                k: int = fixed.TOP_VIDEOS) -> DataFrame:
     """I3 videos: per entity, the k most viewed of the videos its search returns."""
     vids = videos_for_entities(videos, entities, anchor)
-    return ranking.top_k(vids, ["entity"], [F.col("view_count").desc(), F.col("video_id")], k)
+    return ranking.top_k(vids, ENTITY_KEYS, [F.col("view_count").desc(), F.col("video_id")], k)
 
 
 def text_features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -163,60 +188,76 @@ def fmt_ts(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
+def gathered(src: Sources, entities: DataFrame, anchor: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The posts, articles and videos that belong to each entity row."""
+    anchor = anchor if anchor is not None else anchor_of(src.posts, "created_utc")
+    cfg = cfgops.config_lookup(entities, src.config)
+    return (fetch_posts(src.posts, cfg, anchor), news_for_entities(src.articles, entities),
+            videos_for_entities(src.videos, entities, anchor))
+
+
+def raw_data_rows(src: Sources, entities: DataFrame, anchor: Column | None = None) -> DataFrame:
+    """H7, full form: every gathered post, article and video as a line, as rows (entity keys,
+    section, arrival order, line), so an entity's raw data is never one string."""
+    from brieflane.operators import report as rp
+
+    posts, news, videos = gathered(src, entities, anchor)
+    keys = [F.col(c) for c in ENTITY_KEYS]
+    no = F.lit(0).cast("bigint")
+    return (posts.select(*keys, F.lit("Reddit Posts").alias("section"), F.col("sub_pos").cast("bigint").alias("o1"),
+                         F.col("term_pos").cast("bigint").alias("o2"), F.col("resp_order").alias("o3"), rp.post_line_of().alias("line"))
+            .unionByName(news.select(*keys, F.lit("News Articles").alias("section"), no.alias("o1"), no.alias("o2"),
+                                     F.col("article_id").alias("o3"), rp.news_line(F.col("title"), F.col("source")).alias("line")))
+            .unionByName(videos.select(*keys, F.lit("YouTube Videos").alias("section"), no.alias("o1"), no.alias("o2"),
+                                       F.col("search_pos").alias("o3"), rp.video_line_of().alias("line"))))
+
+
 def analyze_entities(src: Sources, entities: DataFrame, anchor: Column | None = None,
                      analyses: DataFrame | None = None) -> DataFrame:
-    """I1 for many entities at once: one report row per entity.
+    """I1 for many entities at once: one report row per row of ``entities``.
 
     ``entities``: (entity, timeframe, entity_pos). ``anchor`` replaces `now()` for the
     timeframe windows (default: latest post time). Columns: counts per source (G1),
-    status/error (C8), post/news/video lines (H1–H3), JSON digest (H5), brief (H6),
-    raw-data fallback (H7) and analysis (H8): the model's text from ``analyses``
-    (entity, analysis) when given, else the fallback.
+    status/error (C8), post/news/video lines (H1–H3), JSON digest (H5), briefs (H6),
+    raw-data fallback of the top posts and their news (H7; every gathered row is in
+    ``raw_data_rows``) and analysis (H8): the model's text from ``analyses``
+    (entity keys, analysis) when given, else the fallback.
     """
     from brieflane.operators import report as rp
 
-    anchor = anchor if anchor is not None else anchor_of(src.posts, "created_utc")
-    cfg = cfgops.config_lookup(entities, src.config)
-    fetched = fetch_posts(src.posts, cfg, anchor)
-    n_posts = fetched.groupBy("entity").agg(F.count("*").alias("n_posts"))
+    fetched, news, vids = gathered(src, entities, anchor)
+    keys = list(ENTITY_KEYS)
+
+    def count(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.count("*").alias(name))
 
     rel = filters.relevance_filter(fetched).withColumn(
         "engagement", ranking.engagement(F.col("score"), F.col("num_comments")))
-    line = rp.post_line(F.col("subreddit"), F.col("title"), F.col("score"), F.col("num_comments"),
-                        F.col("search_term"))
-    post_lines = rp.ranked_lists(top_posts_by_engagement(rel), ["entity"], "rank", {}, {"post_lines": line})
+    post_lines = rp.ranked_lists(top_posts_by_engagement(rel), keys, "rank", {}, {"post_lines": rp.post_line_of()})
     score_lists = rp.ranked_lists(
-        top_posts_by_score(fetched), ["entity"], "rank",
+        top_posts_by_score(fetched), keys, "rank",
         {"top_posts": F.struct("subreddit", "title", "score", F.col("num_comments").alias("comments"),
-                               "search_term")},
-        {"raw_post_lines": line})
-
-    # News and video matches are capped per entity (<= 100 and <= 10 rows), so one bounded
-    # aggregate gives the count and the top-5 lists from a single matching pass.
-    news = news_for_entities(src.articles, entities).withColumn("rank", F.row_number().over(
-        Window.partitionBy("entity").orderBy(F.col("publishedAt").desc(), F.col("article_id"))))
+                               "search_term")}, {})
     news_lists = rp.ranked_lists(
-        news, ["entity"], "rank", keep=fixed.RECENT_NEWS, count_as="n_articles", arrays=
-        {"recent_news": F.struct("title", "description", "source",
-                                 fmt_ts(F.col("publishedAt")).alias("publishedAt"))},
-        lines={"news_lines": rp.news_line(F.col("title"), F.col("source")),
-               "news_lines_plain": rp.news_line_plain(F.col("title"), F.col("description"))})
-
-    vids = videos_for_entities(src.videos, entities, anchor).withColumn("rank", F.row_number().over(
-        Window.partitionBy("entity").orderBy(F.col("view_count").desc(), F.col("video_id"))))
+        ranking.top_k(news, keys, [F.col("publishedAt").desc(), F.col("article_id")], fixed.RECENT_NEWS), keys, "rank",
+        {"recent_news": F.struct("title", "description", "source", fmt_ts(F.col("publishedAt")).alias("publishedAt"))},
+        {"news_lines": rp.news_line(F.col("title"), F.col("source")),
+         "news_lines_plain": rp.news_line_plain(F.col("title"), F.col("description"))})
+    best = ranking.top_k(vids, keys, [F.col("view_count").desc(), F.col("video_id")], fixed.TOP_VIDEOS)
     video_lists = rp.ranked_lists(
-        vids, ["entity"], "rank", keep=fixed.TOP_VIDEOS, count_as="n_videos", arrays=
+        with_summaries(best, src.segments), keys, "rank",
         {"top_videos": F.struct("title", F.col("channel_title").alias("channel"),
                                 F.col("view_count").alias("views"),
                                 fmt_ts(F.col("published_at")).alias("published_at"), "video_id",
                                 F.col("transcript_summary"))},
-        lines={"video_lines": rp.video_line(F.col("title"), F.col("channel_title"), F.col("view_count"))})
+        {"video_lines": rp.video_line_of()})
 
-    base = entities.select("entity", "entity_pos", "timeframe")
-    parts = [n_posts, post_lines, score_lists, news_lists, video_lists]
+    parts = [count(fetched, "n_posts"), count(news, "n_articles"), count(vids, "n_videos"), post_lines, score_lists,
+             news_lists, video_lists]
     if analyses is not None:
-        parts.append(analyses.select("entity", F.col("analysis").alias("model_analysis")))
-    j = rp.attach(base, parts)
+        own = [c for c in keys if c in analyses.columns]
+        parts.append(analyses.select(*own, F.col("analysis").alias("model_analysis")))
+    j = rp.attach(entities.select(*keys), parts, keys)
     if analyses is None:
         j = j.withColumn("model_analysis", F.lit(None).cast("string"))
     zero = F.lit(0).cast("bigint")
@@ -228,20 +269,20 @@ def analyze_entities(src: Sources, entities: DataFrame, anchor: Column | None =
     tv = rp.empty_if_null(F.col("top_videos"), "struct<title:string,channel:string,views:bigint,"
                                              "published_at:string,video_id:string,transcript_summary:string>")
     no_data = (n_p == 0) & (n_a == 0)
-    news_text = rp.with_fallback_text(F.col("news_lines"), fixed.NO_NEWS)
-    video_text = rp.with_fallback_text(F.col("video_lines"), fixed.NO_YOUTUBE)
-    fallback = rp.fallback_text(F.coalesce(F.col("raw_post_lines"), F.lit("")), news_text, video_text)
+    post_text = rp.with_fallback_text(F.col("post_lines"), fixed.NO_REDDIT)
+    plain_news = rp.with_fallback_text(F.col("news_lines_plain"), fixed.NO_NEWS)
+    fallback = rp.fallback_text(post_text, plain_news)
     return j.select(
-        "entity", "entity_pos", "timeframe",
-        n_p.alias("n_posts"), n_a.alias("n_articles"), n_v.alias("n_videos"),
+        *keys, n_p.alias("n_posts"), n_a.alias("n_articles"), n_v.alias("n_videos"),
         F.when(no_data, F.lit("no_data")).otherwise(F.lit("ok")).alias("status"),
         F.when(no_data, F.lit(fixed.NO_DATA_ERROR)).alias("error"),
-        rp.with_fallback_text(F.col("post_lines"), fixed.NO_REDDIT).alias("post_lines"),
-        news_text.alias("news_lines"),
-        rp.with_fallback_text(F.col("news_lines_plain"), fixed.NO_NEWS).alias("news_lines_plain"),
-        video_text.alias("video_lines"),
-        F.to_json(F.struct(tp.alias("top_posts"), rn.alias("recent_news"), tv.alias("top_videos"))).alias("digest"),
-        rp.brief_text(F.col("entity"), F.to_json(tp), F.to_json(rn), F.to_json(tv)).alias("brief"),
+        post_text.alias("post_lines"),
+        rp.with_fallback_text(F.col("news_lines"), fixed.NO_NEWS).alias("news_lines"),
+        plain_news.alias("news_lines_plain"),
+        rp.with_fallback_text(F.col("video_lines"), fixed.NO_YOUTUBE).alias("video_lines"),
+        rp.json_of(F.struct(tp.alias("top_posts"), rn.alias("recent_news"), tv.alias("top_videos"))).alias("digest"),
+        rp.brief_text(F.col("entity"), rp.json_of(tp), rp.json_of(rn), rp.json_of(tv)).alias("brief"),
+        rp.plain_brief_text(F.col("entity"), post_text, plain_news).alias("brief_plain"),
         fallback.alias("fallback"),
         F.when(~no_data, F.coalesce(F.col("model_analysis"), fallback)).alias("analysis"),
     )

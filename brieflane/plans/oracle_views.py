@@ -76,7 +76,7 @@ def _cfg_rows():
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "posts_epoch": ((), f"""
-  SELECT CAST(doc_id AS VARCHAR) AS id, substr(text, 1, 80) AS title, source AS subreddit,
+  SELECT CAST(doc_id AS VARCHAR) AS id, text AS title, source AS subreddit,
          CAST(n_chars % 1000 AS BIGINT) AS score, CAST((doc_id * 37) % 200 AS BIGINT) AS num_comments,
          CAST({fx.EPOCH_2024} + (doc_id % 30) * 86400 + (doc_id * 7919) % 86400 AS BIGINT) AS created_epoch,
          text AS selftext, lang AS search_term, doc_id AS resp_order
@@ -118,15 +118,15 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
   WHERE coalesce({sql_relevant('title', 'keywords', 'companies')}, false)"""),
     "best_posts": (("relevant",), """
   SELECT * FROM relevant
-  QUALIFY row_number() OVER (PARTITION BY entity, title
+  QUALIFY row_number() OVER (PARTITION BY entity_pos, title
                              ORDER BY engagement DESC, sub_pos, term_pos, resp_order) = 1"""),
     "top_posts": (("best_posts",), """
-  SELECT *, CAST(row_number() OVER (PARTITION BY entity
+  SELECT *, CAST(row_number() OVER (PARTITION BY entity_pos
                  ORDER BY engagement DESC, sub_pos, term_pos, resp_order) AS BIGINT) AS rank
   FROM best_posts
   QUALIFY rank <= 10"""),
     "top_posts_score": (("fetched",), """
-  SELECT *, CAST(row_number() OVER (PARTITION BY entity
+  SELECT *, CAST(row_number() OVER (PARTITION BY entity_pos
                  ORDER BY score DESC, sub_pos, term_pos, resp_order) AS BIGINT) AS rank
   FROM fetched
   QUALIFY rank <= 10"""),

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from brieflane import sinks
 from brieflane.operators import classify
+from brieflane.plans import q_report
 from brieflane.plans.oracle_views import with_views
 from brieflane.plans.registry import query
 from brieflane.sources import fixtures as fx
@@ -23,19 +25,55 @@ def quality_classifier(spark, sf_dir):
                        F.round(vector_to_array("probability")[1], 6).alias("p_quality"))
 
 
+@query("quality_held_out")
+def quality_held_out(spark, sf_dir):
+    """K2: the rows that the classifier is measured on."""
+    rows = fx.read(spark, sf_dir, "documents").select("doc_id").join(
+        fx.read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return rows.where(classify.held_out("doc_id"))
+
+
 @query("stream_posts_daily", with_views(["posts"], """
 SELECT subreddit, date_trunc('day', created_utc) AS day_start, count(*) AS n_posts,
        CAST(sum(score + num_comments) AS BIGINT) AS engagement
-FROM posts GROUP BY 1, 2"""))
+FROM (SELECT subreddit, created_utc, score, num_comments FROM posts
+      UNION ALL SELECT 'src7', TIMESTAMP '2024-01-01 00:00:00', 1, 2) GROUP BY 1, 2"""))
 def stream_posts_daily(spark, sf_dir):
     """K3: landed responses (delivered twice) -> file stream -> ingest -> watermark
     de-dup -> Parquet sink (availableNow); then posts and engagement per subreddit-day.
     Equals the batch result on the same posts."""
-    landing = posts_stream.shared_folder(spark, "landing")
     out = posts_stream.shared_folder(spark, "stream-out")
-    ckpt = posts_stream.shared_folder(spark, "stream-ckpt")
+    posts_stream.run_available_now(_landed_stream(spark, sf_dir), out, posts_stream.shared_folder(spark, "stream-ckpt"))
+    return posts_stream.daily_counts(spark.read.parquet(out))
+
+
+def _landed_stream(spark, sf_dir):
+    """The landed responses, delivered twice, as a stream of posts; the files of a micro-batch
+    come from ``brieflane.stream.filesPerTrigger`` (small in tests, so that state is carried)."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", posts_stream.ROCKSDB)
+    landing = posts_stream.shared_folder(spark, "landing")
     fetched = fx.EPOCH_2024 + 31 * 86400  # fetched just after the 30-day data window
     posts_stream.land_responses(fx.post_responses(spark, sf_dir), landing, fetched, deliveries=2)
-    # two files per micro-batch, so de-duplication state is exercised across batches
-    posts_stream.run_available_now(posts_stream.stream_posts(spark, landing, max_files_per_trigger=2), out, ckpt)
-    return posts_stream.daily_counts(spark.read.parquet(out))
+    n = int(spark.conf.get("brieflane.stream.filesPerTrigger", "1000"))
+    return posts_stream.stream_posts(spark, landing, max_files_per_trigger=n)
+
+
+@query("stream_top_posts", with_views(["posts"], """
+SELECT subreddit, id, title, CAST(score + num_comments AS BIGINT) AS engagement,
+       CAST(row_number() OVER (PARTITION BY subreddit ORDER BY score + num_comments DESC, id) AS BIGINT) AS rank
+FROM (SELECT subreddit, id, title, score, num_comments FROM posts UNION ALL SELECT 'src7', 'ok', 't', 1, 2) QUALIFY rank <= 10"""))
+def stream_top_posts(spark, sf_dir):
+    """K3: live top posts per subreddit, merged micro-batch by micro-batch."""
+    return posts_stream.keep_top_posts(_landed_stream(spark, sf_dir), posts_stream.shared_folder(spark, "top-posts"),
+                                       posts_stream.shared_folder(spark, "top-ckpt"))
+
+
+@query("report_export", with_views(["entity_reports"], """
+SELECT entity, entity_pos, timeframe, n_posts, n_articles, n_videos, status, error, digest FROM entity_reports"""))
+def report_export(spark, sf_dir):
+    """Report rows exported as JSON to the shared folder and read back."""
+    cols = ["entity", "entity_pos", "timeframe", "n_posts", "n_articles", "n_videos", "status", "error", "digest"]
+    reports = q_report.entity_reports(spark, sf_dir).select(*cols)
+    path = posts_stream.shared_folder(spark, "reports")
+    sinks.export_reports(reports, path)
+    return spark.read.schema(reports.schema).json(path).select(*cols)

@@ -43,7 +43,7 @@ _BLOCK = f"""CASE WHEN ok THEN concat_ws(chr(10),
       chr(10) || symbol || ':',
       'Current Price: $' || printf('%.2f', current_price),
       'Previous Close: $' || printf('%.2f', previous_close),
-      'Change: ' || printf('%.1f', round((current_price - previous_close) / previous_close * 100.0, 1) + 0.0) || '%',
+      'Change: ' || printf('%.1f', (current_price - previous_close) / previous_close * 100.0) || '%',
       CASE WHEN coalesce(last_volume, 0) <> 0 THEN 'Volume: ' || format('{{:,}}', last_volume) END,
       repeat('-', 30))
     ELSE chr(10) || 'Error analyzing ' || symbol || ': ' || reason END"""
@@ -61,7 +61,7 @@ register_view("market_reports", ("symbol_quotes",), f"""
   FROM (SELECT entity, timeframe, count(*) AS n_symbols, count(*) FILTER (WHERE ok) AS n_ok,
                string_agg(symbol, ', ' ORDER BY symbol_pos) AS symbols,
                string_agg({_BLOCK}, chr(10) ORDER BY symbol_pos) AS blocks
-        FROM symbol_quotes GROUP BY entity, timeframe)""")
+        FROM symbol_quotes GROUP BY entity, entity_pos, timeframe)""")
 
 
 def symbol_quotes(spark, sf_dir):

@@ -105,20 +105,20 @@ def subreddit_discovery(spark, sf_dir):
     """For every entity, the 5 subreddits with most posts matching its keywords
     (over all posts, not only configured subreddits)."""
     p = fx.posts(spark, sf_dir).select("id", "subreddit", F.lower("title").alias("ltitle"))
-    kw = _cfg(spark).select("entity", F.explode("keywords").alias("term"))
-    hits = filters.substring_matches(p, F.col("ltitle"), kw, row_id="id").select("entity", "id", "subreddit").distinct()
+    kw = _cfg(spark).select("entity", F.explode("keywords").alias("term")).where(F.length("term") > 0).distinct()
+    hits = filters.substring_matches(p, F.col("ltitle"), kw, "term", "id").select("entity", "id", "subreddit").distinct()
     counts = hits.groupBy("entity", "subreddit").agg(F.count("*").alias("n_relevant"))
     return ranking.top_k(counts, ["entity"], [F.col("n_relevant").desc(), F.col("subreddit")], 5) \
         .select("entity", "subreddit", "n_relevant", "rank")
 
 
 @query("engagement_trend", with_views(["relevant"], """
-WITH d AS (SELECT entity, date_trunc('day', created_utc) AS day_start, CAST(count(*) AS BIGINT) AS n_posts,
+WITH d AS (SELECT entity, date_trunc('day', created_utc) AS day_start, entity_pos, CAST(count(*) AS BIGINT) AS n_posts,
                   CAST(sum(engagement) AS BIGINT) AS engagement
-           FROM relevant GROUP BY 1, 2)
+           FROM relevant GROUP BY entity, entity_pos, 2)
 SELECT entity, day_start, n_posts, engagement,
-       lag(engagement) OVER (PARTITION BY entity ORDER BY day_start) AS prev_engagement,
-       engagement - lag(engagement) OVER (PARTITION BY entity ORDER BY day_start) AS change
+       lag(engagement) OVER (PARTITION BY entity_pos ORDER BY day_start) AS prev_engagement,
+       engagement - lag(engagement) OVER (PARTITION BY entity_pos ORDER BY day_start) AS change
 FROM d"""))
 def engagement_trend(spark, sf_dir):
     """K1: relevant posts and engagement per entity per day, change vs the previous day."""

@@ -7,41 +7,45 @@ from brieflane.plans import api, q_sources
 from brieflane.plans.oracle_views import lit, register_view, with_views
 from brieflane.plans.registry import query
 from brieflane.sources import fixtures as fx
+from brieflane.sources import ingest
 
-_POST_FMT = "printf('- [%s] %s (Score: %d, Comments: %d, Search term: %s)', subreddit, title, score, num_comments, search_term)"
+_POST_FMT = f"printf({lit(fixed.POST_LINE)}, subreddit, title, score, num_comments, search_term)"
+_NEWS_FMT = f"printf({lit(fixed.NEWS_LINE)}, coalesce(title, {lit(fixed.NO_TITLE)}), coalesce(source, {lit(fixed.UNKNOWN)}))"
+_VIDEO_FMT = (f"printf({lit(fixed.VIDEO_LINE)}, coalesce(title, {lit(fixed.NO_TITLE)}), "
+              f"coalesce(channel_title, {lit(fixed.UNKNOWN)}), coalesce(view_count, 0))")
 _TS = "'%Y-%m-%d %H:%M:%S'"
 
-register_view("news_capped", ("news_hits",), f"""
-  SELECT * FROM news_hits WHERE language = 'en'
-  QUALIFY row_number() OVER (PARTITION BY entity ORDER BY article_id) <= {fixed.ARTICLES_PER_ENTITY}""")
+register_view("news_english", ("news_hits",), "SELECT * FROM news_hits WHERE language = 'en'")
 
-register_view("report_parts", ("analyzed", "fetched", "news_capped", "video_hits", "top_posts",
+register_view("report_parts", ("analyzed", "fetched", "news_english", "video_hits", "top_posts",
                                "top_posts_score", "recent_news", "top_videos"), f"""
   SELECT a.entity, a.entity_pos, a.timeframe,
-    (SELECT count(*) FROM fetched f WHERE f.entity = a.entity) AS n_posts,
-    (SELECT count(*) FROM news_capped n WHERE n.entity = a.entity) AS n_articles,
-    (SELECT count(*) FROM video_hits v WHERE v.entity = a.entity) AS n_videos,
-    (SELECT string_agg({_POST_FMT}, chr(10) ORDER BY rank) FROM top_posts t WHERE t.entity = a.entity) AS post_lines,
-    (SELECT string_agg({_POST_FMT}, chr(10) ORDER BY rank) FROM top_posts_score t WHERE t.entity = a.entity) AS raw_post_lines,
-    (SELECT string_agg(printf('- %s (Source: %s)', title, source), chr(10) ORDER BY rank)
-       FROM recent_news r WHERE r.entity = a.entity) AS news_lines,
-    (SELECT string_agg(printf('- %s: %s', title, description), chr(10) ORDER BY rank)
-       FROM recent_news r WHERE r.entity = a.entity) AS news_lines_plain,
-    (SELECT string_agg(printf('- %s (Channel: %s, Views: %d)', title, channel_title, view_count), chr(10) ORDER BY rank)
-       FROM top_videos v WHERE v.entity = a.entity) AS video_lines,
+    (SELECT count(*) FROM fetched f WHERE f.entity_pos = a.entity_pos) AS n_posts,
+    (SELECT count(*) FROM news_english n WHERE n.entity_pos = a.entity_pos) AS n_articles,
+    (SELECT count(*) FROM video_hits v WHERE v.entity_pos = a.entity_pos) AS n_videos,
+    (SELECT string_agg({_POST_FMT}, chr(10) ORDER BY rank) FROM top_posts t WHERE t.entity_pos = a.entity_pos) AS post_lines,
+    (SELECT string_agg({_NEWS_FMT}, chr(10) ORDER BY rank)
+       FROM recent_news r WHERE r.entity_pos = a.entity_pos) AS news_lines,
+    (SELECT string_agg(printf({lit(fixed.NEWS_LINE_PLAIN)}, title, description), chr(10) ORDER BY rank)
+       FROM recent_news r WHERE r.entity_pos = a.entity_pos) AS news_lines_plain,
+    (SELECT string_agg({_VIDEO_FMT}, chr(10) ORDER BY rank)
+       FROM top_videos v WHERE v.entity_pos = a.entity_pos) AS video_lines,
     coalesce((SELECT to_json(list({{'subreddit': subreddit, 'title': title, 'score': score,
                                     'comments': num_comments, 'search_term': search_term}} ORDER BY rank))
-              FROM top_posts_score t WHERE t.entity = a.entity), '[]') AS tp_json,
+              FROM top_posts_score t WHERE t.entity_pos = a.entity_pos), '[]') AS tp_json,
     coalesce((SELECT to_json(list({{'title': title, 'description': description, 'source': source,
                                     'publishedAt': strftime(publishedAt, {_TS})}} ORDER BY rank))
-              FROM recent_news r WHERE r.entity = a.entity), '[]') AS rn_json,
+              FROM recent_news r WHERE r.entity_pos = a.entity_pos), '[]') AS rn_json,
     coalesce((SELECT to_json(list({{'title': title, 'channel': channel_title, 'views': view_count,
                                     'published_at': strftime(published_at, {_TS}), 'video_id': video_id,
                                     'transcript_summary': transcript_summary}} ORDER BY rank))
-              FROM top_videos v WHERE v.entity = a.entity), '[]') AS tv_json
+              FROM top_videos v WHERE v.entity_pos = a.entity_pos), '[]') AS tv_json
   FROM analyzed a""")
 
 _INSTR = ", ".join(lit(x) for x in fixed.BRIEF_INSTRUCTIONS)
+_PLAIN_INSTR = ", ".join(lit(x) for x in fixed.PLAIN_BRIEF_INSTRUCTIONS)
+_POST_TEXT = f"coalesce(post_lines, {lit(fixed.NO_REDDIT)})"
+_NEWS_TEXT = f"coalesce(news_lines_plain, {lit(fixed.NO_NEWS)})"
 register_view("entity_reports", ("report_parts",), f"""
   SELECT entity, entity_pos, timeframe, n_posts, n_articles, n_videos,
          CASE WHEN n_posts = 0 AND n_articles = 0 THEN 'no_data' ELSE 'ok' END AS status,
@@ -51,18 +55,23 @@ register_view("entity_reports", ("report_parts",), f"""
          coalesce(news_lines_plain, {lit(fixed.NO_NEWS)}) AS news_lines_plain,
          coalesce(video_lines, {lit(fixed.NO_YOUTUBE)}) AS video_lines,
          '{{"top_posts":' || tp_json || ',"recent_news":' || rn_json || ',"top_videos":' || tv_json || '}}' AS digest,
-         concat_ws(chr(10), 'Analyze the following market data for ' || entity || ':', '', 'Reddit Discussion:', tp_json,
-                   '', 'Recent News:', rn_json, '', 'YouTube Content:', tv_json, '', {_INSTR}) AS brief,
-         {lit(fixed.ERROR_PREFIX)} || chr(10) || chr(10) || 'Reddit Posts:' || chr(10) || coalesce(raw_post_lines, '')
-           || chr(10) || chr(10) || 'News Articles:' || chr(10) || coalesce(news_lines, {lit(fixed.NO_NEWS)})
-           || chr(10) || chr(10) || 'YouTube Videos:' || chr(10) || coalesce(video_lines, {lit(fixed.NO_YOUTUBE)}) AS fallback
+         concat_ws(chr(10), {lit(fixed.BRIEF_HEAD)} || entity || ':', '', {lit(fixed.BRIEF_SECTIONS[0])}, tp_json,
+                   '', {lit(fixed.BRIEF_SECTIONS[1])}, rn_json, '', {lit(fixed.BRIEF_SECTIONS[2])}, tv_json, '', {_INSTR}) AS brief,
+         concat_ws(chr(10), {lit(fixed.PLAIN_BRIEF_HEAD)} || entity || ':', '', {lit(fixed.POSTS_SECTION)}, {_POST_TEXT},
+                   '', {lit(fixed.NEWS_SECTION)}, {_NEWS_TEXT}, '', {_PLAIN_INSTR}) AS brief_plain,
+         {lit(fixed.ERROR_PREFIX)} || chr(10) || chr(10) || {lit(fixed.POSTS_SECTION)} || chr(10) || {_POST_TEXT}
+           || chr(10) || chr(10) || {lit(fixed.NEWS_SECTION)} || chr(10) || {_NEWS_TEXT} AS fallback
   FROM report_parts""")
 
 
 def entity_reports(spark, sf_dir):
-    src = api.Sources(posts=fx.posts(spark, sf_dir), articles=q_sources.articles(spark, sf_dir),
-                      videos=q_sources.video_cards(spark, sf_dir), config=fx.config_table(spark))
-    return api.analyze_entities(src, fx.analyzed_entities(spark))
+    return api.analyze_entities(_sources(spark, sf_dir), fx.analyzed_entities(spark))
+
+
+def _sources(spark, sf_dir):
+    facts = ingest.video_facts(fx.video_search(spark, sf_dir), fx.video_stats(spark, sf_dir))
+    return api.Sources(posts=fx.posts(spark, sf_dir), articles=q_sources.articles(spark, sf_dir), videos=facts,
+                       config=fx.config_table(spark), segments=fx.transcript_segments(spark, sf_dir))
 
 
 def _q(name: str, cols: list[str], doc: str):
@@ -85,9 +94,23 @@ _q("news_lines", ["entity", "news_lines", "news_lines_plain"],
 _q("video_lines", ["entity", "video_lines"], "H3: top-video lines per entity.")
 _q("entity_digest", ["entity", "digest"], "H5: JSON digest of the three top lists.")
 _q("entity_brief", ["entity", "brief"], "H6: brief text for an external model.")
+_q("entity_brief_plain", ["entity", "timeframe", "brief_plain"], "H6: the plain brief.")
 _q("entity_fallback", ["entity", "fallback"], "H7: raw-data text used when no analysis is available.")
 
 
+@query("entity_raw_data", with_views(["fetched", "news_english", "video_hits"], f"""
+SELECT entity, timeframe, 'Reddit Posts' AS section, CAST(sub_pos AS BIGINT) AS o1, CAST(term_pos AS BIGINT) AS o2, resp_order AS o3,
+       {_POST_FMT} AS line FROM fetched
+UNION ALL SELECT n.entity, a.timeframe, 'News Articles', 0, 0, article_id, {_NEWS_FMT}
+FROM news_english n JOIN analyzed a ON a.entity_pos = n.entity_pos
+UNION ALL SELECT v.entity, a.timeframe, 'YouTube Videos', 0, 0, search_pos, {_VIDEO_FMT}
+FROM video_hits v JOIN analyzed a ON a.entity_pos = v.entity_pos"""))
+def entity_raw_data(spark, sf_dir):
+    """H7, full form: every gathered post, article and video of an entity as a line."""
+    return api.raw_data_rows(_sources(spark, sf_dir), fx.analyzed_entities(spark)).select(
+        "entity", "timeframe", "section", "o1", "o2", "o3", "line")
+
+
 @query("entity_report", with_views(["entity_reports"], """
 SELECT entity, timeframe, n_posts, n_articles, n_videos, status, error,
        CASE WHEN status = 'ok' THEN fallback END AS analysis

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brieflane import fixed
-from brieflane.operators import config as cfgops
-from brieflane.operators import filters, ranking
+from brieflane.operators import filters
+from brieflane.plans import api
 from brieflane.plans.oracle_views import (lit, register_view, sql_epoch_ntz, sql_iso, sql_window_days,
                                           str_list, with_views)
 from brieflane.plans.registry import query
@@ -19,7 +19,7 @@ E = fx.EPOCH_2024
 register_view("article_raw", (), f"""
   SELECT page_id AS article_id,
          regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
-         substr(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), 1, 200) AS description,
+         trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS description,
          CASE WHEN contains(url, 'utm_source=') THEN strftime(ts, '%Y/%m/%d %H:%M') ELSE {sql_iso('ts')} END AS publishedAt,
          regexp_extract(url, '^https?://([^/?#:]+)', 1) AS source_name,
          regexp_extract(html, '<html lang="([^"]*)"', 1) AS language
@@ -34,13 +34,13 @@ register_view("articles_typed", ("article_raw",), """
 register_view("articles", ("articles_typed",), "SELECT * FROM articles_typed WHERE publishedAt IS NOT NULL")
 
 register_view("conv_facts", (), """
-  SELECT conv_id, arg_min(text, turn) AS first_text, arg_min(role, turn) AS first_role,
+  SELECT conv_id, arg_min(text, turn) AS first_text,
          arg_min(role, turn) FILTER (WHERE turn >= 1) AS second_role,
          count(*) AS n_turns, count(*) FILTER (WHERE role = 'assistant') AS n_assistant
   FROM conversations GROUP BY conv_id""")
 
 register_view("video_search", ("conv_facts",), f"""
-  SELECT CAST(conv_id AS VARCHAR) AS video_id, substr(first_text, 1, 80) AS title,
+  SELECT CAST(conv_id AS VARCHAR) AS video_id, first_text AS title,
          coalesce(second_role, 'unknown') AS channel_title,
          {sql_iso(sql_epoch_ntz(f'{E} + (conv_id % 30) * 86400 + (conv_id * 104729) % 86400'))} AS publishedAt,
          conv_id AS search_pos
@@ -51,10 +51,8 @@ register_view("video_stats", ("conv_facts",), """
          CASE WHEN n_turns > 2 THEN CAST((conv_id * 7919) % 100000 AS VARCHAR) END AS viewCount
   FROM conv_facts WHERE n_assistant > 0""")
 
-register_view("segments", ("conv_facts",), """
-  SELECT CAST(c.conv_id AS VARCHAR) AS video_id, c.turn AS position, c.text
-  FROM conversations c JOIN conv_facts f ON c.conv_id = f.conv_id
-  WHERE c.turn >= 1 AND f.first_role <> 'system'""")
+register_view("segments", (), """
+  SELECT CAST(conv_id AS VARCHAR) AS video_id, turn AS position, text FROM conversations""")
 
 register_view("transcripts", ("segments",), """
   SELECT video_id, string_agg(text, ' ' ORDER BY position) AS transcript_text, count(*) AS n_segments
@@ -79,19 +77,16 @@ register_view("news_hits", ("articles", "entity_queries"), """
            contains(lower(a.title || ' ' || a.description), t))) > 0)) = len(q.cnf)""")
 
 register_view("recent_news", ("news_hits",), f"""
-  WITH capped AS (SELECT * FROM news_hits WHERE language = 'en'
-                  QUALIFY row_number() OVER (PARTITION BY entity ORDER BY article_id) <= {fixed.ARTICLES_PER_ENTITY})
-  SELECT *, CAST(row_number() OVER (PARTITION BY entity ORDER BY publishedAt DESC, article_id) AS BIGINT) AS rank
-  FROM capped QUALIFY rank <= {fixed.RECENT_NEWS}""")
+  SELECT *, CAST(row_number() OVER (PARTITION BY entity_pos ORDER BY publishedAt DESC, article_id) AS BIGINT) AS rank
+  FROM news_hits WHERE language = 'en' QUALIFY rank <= {fixed.RECENT_NEWS}""")
 
 register_view("video_hits", ("videos", "analyzed", "anchor"), f"""
   SELECT a.entity, a.entity_pos, v.* FROM videos v JOIN analyzed a ON contains(lower(v.title), lower(a.entity))
   CROSS JOIN anchor an
-  WHERE v.published_at >= an.anchor_ts - to_days(CAST({sql_window_days('a.timeframe')} AS INTEGER))
-  QUALIFY row_number() OVER (PARTITION BY a.entity ORDER BY v.search_pos) <= {fixed.VIDEOS_PER_ENTITY}""")
+  WHERE v.published_at >= an.anchor_ts - to_days(CAST({sql_window_days('a.timeframe')} AS INTEGER))""")
 
 register_view("top_videos", ("video_hits",), f"""
-  SELECT *, CAST(row_number() OVER (PARTITION BY entity ORDER BY view_count DESC, video_id) AS BIGINT) AS rank,
+  SELECT *, CAST(row_number() OVER (PARTITION BY entity_pos ORDER BY view_count DESC, video_id) AS BIGINT) AS rank,
          CASE WHEN length(transcript_text) > 0 THEN substr(transcript_text, 1, {fixed.TRANSCRIPT_SUMMARY_CHARS}) || '...'
               ELSE {lit(fixed.NO_TRANSCRIPT)} END AS transcript_summary
   FROM video_hits QUALIFY rank <= {fixed.TOP_VIDEOS}""")
@@ -109,7 +104,6 @@ def videos(spark, sf_dir):
 
 def video_cards(spark, sf_dir):
     """Videos with the bounded transcript summary instead of the whole transcript."""
-    from brieflane.plans import api
     heads = ingest.transcript_heads(fx.transcript_segments(spark, sf_dir), fixed.TRANSCRIPT_SUMMARY_CHARS)
     return ingest.enrich_video_cards(fx.video_search(spark, sf_dir), fx.video_stats(spark, sf_dir), heads,
                                      api.summary_from_head)
@@ -121,41 +115,9 @@ def video_ids(spark, sf_dir):
     return s.join(fx.video_stats(spark, sf_dir).select("video_id"), "video_id", "inner")
 
 
-def entity_queries(spark):
-    a = fx.analyzed_entities(spark)
-    return a.select("entity", "entity_pos", cfgops.news_query(F.col("entity")).alias("cnf"))
-
-
-def news_hits(spark, sf_dir):
-    art = articles(spark, sf_dir)
-    text = F.lower(F.concat_ws(" ", "title", "description"))
-    return filters.cnf_matches(art, "article_id", text, entity_queries(spark), ["entity", "entity_pos"])
-
-
-def recent_news_frame(spark, sf_dir):
-    """D5 per entity: English matches, first 100 in relevance (landed) order, 5 newest."""
-    hits = news_hits(spark, sf_dir).where(filters.language_is(F.col("language"), "en"))
-    capped = ranking.request_cap(hits, ["entity"], F.col("article_id"), fixed.ARTICLES_PER_ENTITY)
-    return ranking.top_k(capped.drop("resp_rank"), ["entity"],
-                         [F.col("publishedAt").desc(), F.col("article_id")], fixed.RECENT_NEWS)
-
-
-def video_hits(spark, sf_dir):
-    """Videos a search for each analysed entity returns (title match, timeframe window
-    before the analysis anchor, 10 per entity in search order)."""
-    from brieflane.plans import api
-    anchor = api.anchor_of(fx.posts(spark, sf_dir), "created_utc")
-    return api.videos_for_entities(video_cards(spark, sf_dir), fx.analyzed_entities(spark), anchor)
-
-
-def top_videos_frame(spark, sf_dir):
-    return ranking.top_k(video_hits(spark, sf_dir), ["entity"],
-                         [F.col("view_count").desc(), F.col("video_id")], fixed.TOP_VIDEOS)
-
-
 def fmt_ts(c):
     """F7."""
-    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return api.fmt_ts(F.col(c) if isinstance(c, str) else c)
 
 
 # ------------------------------------------------------------------ queries
@@ -163,7 +125,8 @@ def fmt_ts(c):
 SELECT id, title, subreddit, score, num_comments, created_utc, selftext, search_term,
        subreddit || '/' || search_term || '/' || CAST(CAST(floor(resp_order / 100) AS BIGINT) AS VARCHAR) AS response_id,
        CAST(row_number() OVER (PARTITION BY subreddit, search_term, floor(resp_order / 100) ORDER BY resp_order) - 1 AS BIGINT) AS resp_pos
-FROM posts"""))
+FROM posts
+UNION ALL SELECT 'ok', 't', 'src7', 1, 2, TIMESTAMP '2024-01-01 00:00:00', '', 'en', 'bad/children', 0"""))
 def ingest_envelope_posts(spark, sf_dir):
     """A1/A2: parse every landed response envelope back into typed posts."""
     return ingest.envelope_posts(ingest.parse_post_envelopes(fx.post_responses(spark, sf_dir)))
@@ -172,14 +135,40 @@ def ingest_envelope_posts(spark, sf_dir):
 @query("ingest_quarantine", with_views(["article_raw"], """
 SELECT 'post_response' AS kind, 'bad/truncated' AS record_id, 'malformed JSON' AS reason
 UNION ALL SELECT 'post_response', 'bad/unavailable', 'HTTP 503'
+UNION ALL SELECT 'post_response', 'bad/no-status', 'HTTP without status'
+UNION ALL SELECT 'post_response', 'bad/no-body', 'empty body'
+UNION ALL SELECT 'post_response', 'bad/blank', 'empty body'
+UNION ALL SELECT 'post', 'bad/children#1', 'bad score'
+UNION ALL SELECT 'post', 'bad/children#2', 'bad score'
+UNION ALL SELECT 'post', 'bad/children#3', 'bad created_utc'
 UNION ALL SELECT 'article', CAST(article_id AS VARCHAR), 'unparsable publishedAt'
 FROM article_raw WHERE try_strptime(publishedAt, '%Y-%m-%dT%H:%M:%SZ') IS NULL"""))
 def ingest_quarantine(spark, sf_dir):
     """Records set aside with a reason — malformed or non-200 forum responses
     and articles whose publication time does not parse — while the rest continues."""
-    q1 = ingest.envelope_quarantine(ingest.parse_post_envelopes(fx.post_responses(spark, sf_dir)))
+    parsed = ingest.parse_post_envelopes(fx.post_responses(spark, sf_dir))
     q2 = ingest.articles_quarantine(ingest.typed_articles(fx.article_responses(spark, sf_dir)))
-    return q1.unionByName(q2)
+    q3 = ingest.videos_quarantine(fx.video_search(spark, sf_dir), fx.video_stats(spark, sf_dir))
+    return (ingest.envelope_quarantine(parsed).unionByName(ingest.children_quarantine(parsed))
+            .unionByName(q2).unionByName(q3))
+
+
+@query("ingest_balance", """
+SELECT 'post_response' AS kind, CAST(count(*) + 8 AS BIGINT) AS n_input, CAST(count(*) + 3 AS BIGINT) AS n_good,
+       CAST(5 AS BIGINT) AS n_quarantined
+FROM (SELECT DISTINCT source, lang, floor(doc_id / 100) FROM documents)
+UNION ALL SELECT 'post', CAST(count(*) + 4 AS BIGINT), CAST(count(*) + 1 AS BIGINT), CAST(3 AS BIGINT) FROM documents
+""")
+def ingest_balance(spark, sf_dir):
+    """Good + quarantined = input, for responses and for the posts in usable ones."""
+    parsed = ingest.parse_post_envelopes(fx.post_responses(spark, sf_dir))
+    reason = ingest.response_reason()
+    kids = ingest.envelope_children(parsed)
+
+    def line(df, kind, bad):
+        return df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n_input"), F.count_if(~bad).alias("n_good"),
+                      F.count_if(bad).alias("n_quarantined"))
+    return line(parsed, "post_response", reason.isNotNull()).unionByName(line(kids, "post", F.col("reason").isNotNull()))
 
 
 @query("articles_extract", with_views(["articles"], """
@@ -202,7 +191,8 @@ SELECT entity, article_id, title FROM news_hits"""))
 def news_boolean_query(spark, sf_dir):
     """B7 + C3: articles matching each entity's boolean news query (CNF of substrings
     over title and description)."""
-    return news_hits(spark, sf_dir).select("entity", "article_id", "title")
+    hits = api.news_matches(articles(spark, sf_dir), fx.analyzed_entities(spark))
+    return hits.select("entity", "article_id", "title")
 
 
 @query("recent_news", with_views(["recent_news"], """
@@ -210,7 +200,7 @@ SELECT entity, rank, title, description, source, strftime(publishedAt, '%Y-%m-%d
 FROM recent_news"""))
 def recent_news(spark, sf_dir):
     """The 5 most recent matching English articles per entity."""
-    r = recent_news_frame(spark, sf_dir)
+    r = api.recent_news(articles(spark, sf_dir), fx.analyzed_entities(spark))
     return r.select("entity", "rank", "title", "description", "source", fmt_ts("publishedAt").alias("publishedAt"))
 
 
@@ -244,8 +234,11 @@ SELECT entity, rank, title, channel_title AS channel, view_count AS views,
        strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_at, video_id, transcript_summary
 FROM top_videos"""))
 def top_videos(spark, sf_dir):
-    """Per entity, the 5 most viewed of the first 10 matching videos."""
-    t = top_videos_frame(spark, sf_dir)
+    """Per entity, the 5 most viewed matching videos. Titles are matched before any
+    transcript is touched; heads are built for the chosen videos only."""
+    anchor = api.anchor_of(fx.posts(spark, sf_dir), "created_utc")
+    cards = ingest.video_facts(fx.video_search(spark, sf_dir), fx.video_stats(spark, sf_dir))
+    t = api.with_summaries(api.top_videos(cards, fx.analyzed_entities(spark), anchor), fx.transcript_segments(spark, sf_dir))
     return t.select("entity", "rank", "title", F.col("channel_title").alias("channel"),
                     F.col("view_count").alias("views"), fmt_ts("published_at").alias("published_at"),
                     "video_id", "transcript_summary")

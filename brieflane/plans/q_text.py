@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brieflane import fixed
+from brieflane import sinks
 from brieflane.operators import text as tx
 from brieflane.plans import q_sources
 from brieflane.plans.oracle_views import lit, register_view, with_views
 from brieflane.plans.registry import query
 from brieflane.sources import fixtures as fx
+from brieflane.streaming import posts_stream
 
 _WS = "[ \\t\\n\\x0B\\f\\r]"
 _STOP = "(" + ", ".join(lit(w) for w in fixed.ENGLISH_STOP_WORDS) + ")"
@@ -85,7 +87,7 @@ def term_counts(spark, sf_dir):
 @query("vocabulary_rank", with_views(["ptext_df"], """
 SELECT term, total_count, doc_freq,
        CAST(row_number() OVER (ORDER BY total_count DESC, term) AS BIGINT) AS rank
-FROM ptext_df QUALIFY rank <= 262144"""))
+FROM ptext_df"""))
 def vocabulary_rank(spark, sf_dir):
     """The title vocabulary in CountVectorizer order (corpus count desc, term)."""
     return tx.vocabulary(_posts_docs(spark, sf_dir), "id", "title")
@@ -121,7 +123,10 @@ def tfidf_transcripts(spark, sf_dir):
     return _tfidf_out(tx.tfidf_from_counts(tf, docs.agg(F.count("*")).scalar()))
 
 
-@query("tfidf_mllib")
+@query("tfidf_mllib", with_views(["posts", "ptext_idf", "ptext_tf"], """
+SELECT p.id AS doc_id, CAST(count(t.w) FILTER (WHERE t.w <> 0) AS INTEGER) AS n_terms, round(coalesce(sum(t.w), 0.0), 4) AS weight_sum
+FROM posts p LEFT JOIN (SELECT f.doc_id, f.tf * i.idf AS w FROM ptext_tf f JOIN ptext_idf i USING (term)) t ON t.doc_id = p.id
+GROUP BY p.id"""))
 def tfidf_mllib(spark, sf_dir):
     """E1–E6 as the Spark ML pipeline (vector form): per title, non-zeros and weight sum.
 
@@ -129,13 +134,20 @@ def tfidf_mllib(spark, sf_dir):
     (a dense copy would be vocabulary-size doubles per row)."""
     p = fx.posts(spark, sf_dir).select("id", F.coalesce("title", F.lit("")).alias("title"))
     model = tx.ml_pipeline("title").fit(p)
-    vec = F.from_json(F.get_json_object(F.to_json(F.struct("features")), "$.features"),
-                      "struct<type:int,size:int,indices:array<int>,values:array<double>>")
-    vals = vec["values"]
+    vals = F.unwrap_udt("features")["values"]
     return model.transform(p).select(
         F.col("id").alias("doc_id"),
         F.size(F.filter(vals, lambda x: x != 0)).alias("n_terms"),
-        F.round(F.aggregate(vals, F.lit(0.0), lambda a, x: a + x), 6).alias("weight_sum"))
+        F.round(F.aggregate(vals, F.lit(0.0), lambda a, x: a + x), 4).alias("weight_sum"))
+
+
+@query("features_sink", _tfidf_sql("atext"))
+def features_sink(spark, sf_dir):
+    """Article features written to Parquet in the shared folder and read back."""
+    a = q_sources.articles(spark, sf_dir).select(F.col("article_id").alias("doc_id"), "title")
+    path = posts_stream.shared_folder(spark, "features")
+    sinks.write_features(tx.tfidf(a, "doc_id", "title"), path)
+    return _tfidf_out(spark.read.parquet(path))
 
 
 @query("cleaned_text", with_views(["posts", "articles"], f"""

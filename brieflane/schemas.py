@@ -29,18 +29,11 @@ ARTICLES = T.StructType([
     _f("title", S), _f("description", S), _f("publishedAt", T.TimestampNTZType()), _f("source", S),
 ])
 
-ENTITY_CONFIG = T.StructType([
-    _f("entity", S),
-    _f("subreddits", T.ArrayType(S)),
-    _f("search_terms", T.ArrayType(S)),
-    _f("companies", T.ArrayType(S)),
-    _f("keywords", T.ArrayType(S)),
-])
-
-# Forum search response: data.children[].data.{...}; created_utc in epoch seconds.
+# Forum search response: data.children[].data.{...}; created_utc in epoch seconds. Numbers are
+# read as text, so that one bad value spoils one post and not its response.
 POST_DATA = T.StructType([
-    _f("id", S), _f("title", S), _f("subreddit", S), _f("score", L),
-    _f("num_comments", L), _f("created_utc", D), _f("selftext", S),
+    _f("id", S), _f("title", S), _f("subreddit", S), _f("score", S),
+    _f("num_comments", S), _f("created_utc", S), _f("selftext", S),
 ])
 POST_ENVELOPE = T.StructType([
     _f("data", T.StructType([

@@ -8,6 +8,7 @@ files and the job commit makes them visible, so a lost executor only re-runs its
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_features(tfidf: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -15,13 +16,14 @@ def write_features(tfidf: DataFrame, path: str, mode: str = "overwrite") -> None
     tfidf.write.mode(mode).parquet(path)
 
 
-def export_reports(reports: DataFrame, path: str, partition_by: str = "entity", mode: str = "overwrite") -> None:
-    """One JSON record per report row, one folder per entity."""
-    reports.write.mode(mode).partitionBy(partition_by).json(path)
+def export_reports(reports: DataFrame, path: str, key: str = "entity", buckets: int = 64, mode: str = "overwrite") -> None:
+    """One JSON record per report row (null fields kept), in ``buckets`` folders by a hash of
+    the key: a reader who wants one entity reads one folder, and names of any form are safe."""
+    out = reports.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    out.write.mode(mode).option("ignoreNullFields", "false").partitionBy("bucket").json(path)
 
 
 def land_posts_by_day(posts: DataFrame, path: str, day_col: str = "day", mode: str = "overwrite") -> None:
     """Landed posts partitioned by creation day, so timeframe filters prune partitions
     (read back and pass ``day_col`` to ``fetch_posts`` / ``relevant_posts``)."""
-    from pyspark.sql import functions as F
     posts.withColumn(day_col, F.to_date("created_utc")).write.mode(mode).partitionBy(day_col).parquet(path)

@@ -56,6 +56,8 @@ ANALYZED_ENTITIES: list[tuple[str, str]] = [
     ("Tesla", "1w"),
     ("artificial intelligence", "1mo"),
     ("cryptocurrency", "3mo"),
+    ("tion", "1d"),  # a second timeframe of an entity above
+    ("cryptocurrency", "1w"),
 ]
 
 # Timeframe codes assigned to catalogue-derived requests (includes unknown codes).
@@ -86,7 +88,7 @@ def posts_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
     return d.select(
         F.col("doc_id").cast("string").alias("id"),
-        F.substring("text", 1, 80).alias("title"),
+        F.col("text").alias("title"),
         F.col("source").alias("subreddit"),
         F.pmod("n_chars", F.lit(1000)).cast("bigint").alias("score"),
         F.pmod(F.col("doc_id") * 37, F.lit(200)).cast("bigint").alias("num_comments"),
@@ -107,12 +109,17 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "selftext", "search_term", "resp_order")
 
 
+#: A response with one good post and three bad ones.
+BAD_CHILDREN = ('{"data":{"children":[{"data":{"id":"ok","title":"t","score":1,"num_comments":2,"created_utc":1704067200}},'
+                '{"data":{"id":"b1","score":"abc"}},{"data":{"id":"b2","score":12.5}},{"data":{"id":"b3","created_utc":1e15}}]}}')
+
+
 def post_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed forum responses: one JSON envelope per (subreddit, search term, page).
 
     Pages hold <= PAGE_SIZE posts because ids are dense, so no envelope grows with skew.
-    Four extra rows model a truncated body, an empty object, null children and a
-    non-200 status.
+    Extra rows model a truncated body, an empty object, null children, a non-200 status, a
+    missing status, a missing and an empty body, and a response with bad posts among good ones.
     """
     p = posts_epoch(spark, sf_dir).withColumn("page", F.floor(F.col("resp_order") / PAGE_SIZE))
     child = F.struct(
@@ -134,7 +141,9 @@ def post_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         [("bad/truncated", "src0", "en", -1, 200, '{"data":{"children":[{"data":{"id":"x"'),
          ("bad/empty", "src1", "en", -2, 200, "{}"),
          ("bad/null-children", "src2", "en", -3, 200, '{"data":{"children":null}}'),
-         ("bad/unavailable", "src3", "en", -4, 503, "<html>Service Unavailable</html>")],
+         ("bad/unavailable", "src3", "en", -4, 503, "<html>Service Unavailable</html>"),
+         ("bad/no-status", "src4", "en", -5, None, "{}"), ("bad/no-body", "src5", "en", -6, 200, None),
+         ("bad/blank", "src6", "en", -7, 200, " "), ("bad/children", "src7", "en", -8, 200, BAD_CHILDREN)],
         [("response_id", "string"), ("subreddit", "string"), ("search_term", "string"),
          ("page", "bigint"), ("status", "int"), ("body", "string")])
     return env.unionByName(bad)
@@ -155,8 +164,8 @@ def article_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pg.select(
         F.col("page_id").alias("article_id"),
         F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("title"),
-        F.substring(F.trim(F.regexp_replace(F.regexp_replace("html", r"<[^>]*>", " "),
-                                            r"[ \t\n\x0B\f\r]+", " ")), 1, 200).alias("description"),
+        F.trim(F.regexp_replace(F.regexp_replace("html", r"<[^>]*>", " "),
+                                r"[ \t\n\x0B\f\r]+", " ")).alias("description"),
         F.when(F.col("url").contains("utm_source="), loose).otherwise(iso).alias("publishedAt"),
         F.struct(F.regexp_extract("url", r"^https?://([^/?#:]+)", 1).alias("name")).alias("source"),
         F.regexp_extract("html", r'<html lang="([^"]*)"', 1).alias("language"),
@@ -169,7 +178,6 @@ def _conversation_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "conversations")
     return c.groupBy("conv_id").agg(
         F.min_by("text", "turn").alias("first_text"),
-        F.min_by("role", "turn").alias("first_role"),
         F.min_by(F.when(F.col("turn") >= 1, F.col("role")),
                  F.when(F.col("turn") >= 1, F.col("turn"))).alias("second_role"),
         F.count("*").alias("n_turns"),
@@ -184,7 +192,7 @@ def video_search(spark: SparkSession, sf_dir: str) -> DataFrame:
                       + F.pmod(F.col("conv_id") * 104729, F.lit(86400)))
     return f.select(
         F.struct(F.col("conv_id").cast("string").alias("videoId")).alias("id"),
-        F.struct(F.substring("first_text", 1, 80).alias("title"),
+        F.struct(F.col("first_text").alias("title"),
                  F.coalesce("second_role", F.lit("unknown")).alias("channelTitle"),
                  F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publishedAt")).alias("snippet"),
         F.col("conv_id").alias("search_pos"),
@@ -202,13 +210,9 @@ def video_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transcript_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transcript segments (video_id, position, text): turns after the first; videos that
-    open with a system turn have no captions."""
+    """Transcript segments (video_id, position, text): every turn of every conversation."""
     c = read(spark, sf_dir, "conversations")
-    f = _conversation_facts(spark, sf_dir).where(F.col("first_role") != "system").select("conv_id")
-    return (c.where(F.col("turn") >= 1).join(f, "conv_id", "left_semi")
-            .select(F.col("conv_id").cast("string").alias("video_id"),
-                    F.col("turn").alias("position"), "text"))
+    return c.select(F.col("conv_id").cast("string").alias("video_id"), F.col("turn").alias("position"), "text")
 
 
 # ---------------------------------------------------------------------------- quotes

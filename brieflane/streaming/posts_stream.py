@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brieflane.operators import ranking
 from brieflane.session import ensure_checkpoint_dir
 from brieflane.sources import ingest
 
@@ -39,6 +40,9 @@ def land_responses(responses: DataFrame, landing: str, fetched_epoch: int, deliv
         stamped.write.mode("append").json(f"{landing}/delivery={i}")
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def stream_posts(spark: SparkSession, landing: str, watermark: str = "2 days",
                  max_files_per_trigger: int = 1000) -> DataFrame:
     """Streaming DataFrame of unique typed posts from landed responses.
@@ -49,7 +53,8 @@ def stream_posts(spark: SparkSession, landing: str, watermark: str = "2 days",
     post id is dropped once the fetch-time watermark passes it."""
     raw = (spark.readStream.schema(RESPONSE_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
            .option("recursiveFileLookup", "true").json(landing))
-    posts = ingest.envelope_posts(ingest.parse_post_envelopes(raw), carry=("fetched_at",))
+    # posts without an id cannot be told apart: they belong to the quarantine, not to one id
+    posts = ingest.envelope_posts(ingest.parse_post_envelopes(raw), carry=("fetched_at",)).where(F.col("id").isNotNull())
     return (posts.withWatermark("fetched_at", watermark).dropDuplicatesWithinWatermark(["id"])
             .drop("fetched_at"))
 
@@ -61,6 +66,27 @@ def run_available_now(stream: DataFrame, out: str, checkpoint: str) -> None:
     q.awaitTermination()
 
 
+def keep_top_posts(stream: DataFrame, folder: str, checkpoint: str, k: int = 10) -> DataFrame:
+    """Live top posts per subreddit by engagement: every micro-batch merges its k best with the
+    k best so far and writes them as a table of its own, named by the batch, so a batch that is
+    run again writes the same. Returns the last table."""
+    spark = stream.sparkSession
+    order = [F.col("engagement").desc(), F.col("id")]
+    cols = ["subreddit", "id", "title", "engagement"]
+    last: dict[str, int] = {}
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        new = batch.withColumn("engagement", ranking.engagement(F.col("score"), F.col("num_comments"))).select(*cols)
+        if batch_id > 0:
+            new = new.unionByName(spark.read.parquet(f"{folder}/top-{batch_id - 1}").select(*cols))
+        ranking.top_k(new, ["subreddit"], order, k).write.mode("overwrite").parquet(f"{folder}/top-{batch_id}")
+        last["id"] = batch_id
+
+    q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{folder}/top-{last['id']}")
+
+
 def daily_counts(posts: DataFrame) -> DataFrame:
     """Posts and engagement per subreddit per day."""
     return (posts.groupBy("subreddit", F.window("created_utc", "1 day").alias("w"))

@@ -18,26 +18,28 @@ def _set(df, cols):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
 
-def test_substring_matches_gram_join_equals_broadcast(spark):
-    p = fx.posts(spark, SF_SMALL).select("id", F.lower("title").alias("lt"))
-    kw = spark.createDataFrame([("a", "ev"), ("a", "tion"), ("b", "sch"), ("b", "rare earth"), ("c", "")],
-                               "entity string, term string")
-    direct = filters.substring_matches(p, F.col("lt"), kw, "term")
-    grams = filters.substring_matches(p, F.col("lt"), kw, "term", max_broadcast_rows=0, row_id="id")
-    assert _set(direct, ["id", "entity", "term"]) == _set(grams, ["id", "entity", "term"])
-    assert direct.count() > 0
-
-
-def test_cnf_fallback_equals_broadcast(spark):
+def test_substring_matches_equal_python(spark):
+    p = fx.posts(spark, SF_SMALL).select("id", F.lower("title").alias("lt")).unionByName(
+        spark.createDataFrame([("x1", None), ("x2", ""), ("x3", "Rare EV"), ("x4", "évé")], "id string, lt string"))
+    # duplicate terms, an empty one, a null one, upper case, short and long ones
+    terms = [("a", "ev"), ("a", "ev"), ("a", "tion"), ("b", "sch"), ("b", "rare earth"), ("c", ""), ("d", None), ("e", "EV"),
+             ("f", "é"), ("f", "vé"), ("g", "tion of"), ("h", "a")]
+    got = filters.substring_matches(p, F.col("lt"), spark.createDataFrame(terms, "entity string, term string"), "term", "id")
+    want = [(r.id, e, t) for r in p.collect() if r.lt is not None for e, t in terms if t is not None and t in r.lt]
+    assert _set(got, ["id", "entity", "term"]) == sorted(want) and len(want) > 400
+
+
+def test_cnf_matches_equal_the_predicate(spark):
     from brieflane.plans import q_sources
-    art = q_sources.articles(spark, SF_SMALL)
-    q = spark.createDataFrame([("x", [["tion", "sch"], ["the", "und"]]), ("y", [["eau"]])],
-                              "entity string, cnf array<array<string>>")
-    text = F.lower(F.concat_ws(" ", "title", "description"))
-    a = filters.cnf_matches(art, "article_id", text, q, ["entity"])
-    b = filters.cnf_matches(art, "article_id", text, q, ["entity"], max_broadcast_rows=0)
-    assert _set(a, ["article_id", "entity"]) == _set(b, ["article_id", "entity"])
-    assert a.count() > 0
+    art = q_sources.articles(spark, SF_SMALL).withColumn("shout", F.upper(F.concat_ws(" ", "title", "description")))
+    queries = [("x", [["tion", "sch"], ["the", "und"]]), ("y", [["eau"]]), ("all", []), ("blank", [[""]]), ("never", [[], ["eau"]]),
+               ("twice", [["eau", "eau"], ["eau"]]), ("upper", [["EAU"]])]
+    q = spark.createDataFrame(queries, "entity string, cnf array<array<string>>")
+    got = filters.cnf_matches(art, "article_id", F.col("shout"), q, ["entity"])
+    want = [(r.article_id, e) for r in art.collect() for e, cnf in queries
+            if all(any(t in r.shout.lower() for t in group) for group in cnf)]
+    assert _set(got, ["article_id", "entity"]) == sorted(want)
+    assert {e for _, e in want} == {"x", "y", "all", "blank", "twice"}
 
 
 def test_salted_join_equals_plain_join(spark):
@@ -79,7 +81,7 @@ def test_flagship_plan_shape(spark):
     df = registry.queries()["top_posts_engagement"](spark, SF_MID)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan          # top-k before the shuffle
-    assert "partial_min_by" in plan                                 # keep-best combines map-side
+    assert "SortAggregate" not in plan and "_h1" in plan            # keep-best goes by hashes, first rows only
     assert "BroadcastHashJoin" in plan and "BuildRight" in plan     # the search plan is the broadcast side
     scan = [ln for ln in plan.splitlines() if "FileScan parquet" in ln and "documents" in ln]
     assert scan and all("ReadSchema" in ln for ln in scan)
@@ -116,8 +118,8 @@ def test_stream_dedup_across_many_micro_batches(spark):
     posts_stream.land_responses(resp, landing, fx.EPOCH_2024 + 31 * 86400, deliveries=2)
     posts_stream.run_available_now(posts_stream.stream_posts(spark, landing, max_files_per_trigger=1), out, ckpt)
     got = spark.read.parquet(out)
-    expected = fx.posts(spark, SF_SMALL)
-    assert got.count() == expected.count() == got.select("id").distinct().count()
+    expected = fx.posts(spark, SF_SMALL).count() + 1  # and the good post of the response with bad ones
+    assert got.count() == expected == got.select("id").distinct().count()
 
 
 def test_tfidf_plan_tokenizes_once_and_never_broadcasts_vocabulary(spark):
@@ -189,7 +191,7 @@ def test_mllib_query_equals_long_form_per_document(spark):
     want = {r.doc_id: (r.n, round(r.s, 6)) for r in agg.collect()}
     got = {k: v for k, v in ml.items() if v[0] > 0}
     assert got.keys() == want.keys()
-    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-5 for k in want)
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-3 for k in want)
 
 
 def test_vocabulary_rank_distributed_equals_brute_force(spark):

@@ -67,7 +67,7 @@ def test_keep_best_ties_follow_arrival_order(spark):
     rows = [("e", "T", "a", 5, 1, 0, 2), ("e", "T", "b", 5, 0, 1, 0), ("e", "t", "c", 1, 0, 0, 0)]
     df = spark.createDataFrame(rows, "entity string, title string, id string, engagement long, "
                                      "sub_pos int, term_pos int, resp_order long")
-    best = ranking.dedup_best(df, ["entity", "title"], api.arrival_key())
+    best = ranking.dedup_best(df, ["entity"], "title", api.engagement_order())
     got = sorted((r.title, r.id) for r in best.collect())
     assert got == [("T", "b"), ("t", "c")]  # same engagement: lower sub_pos wins; case-sensitive titles
 
@@ -146,7 +146,7 @@ def test_sinks_write_and_read_back(spark, tmp_path):
     sinks.export_reports(df, str(tmp_path / "reports"))
     back = spark.read.json(str(tmp_path / "reports"))
     assert sorted((r.entity, r.term, r.n) for r in back.collect()) == [("a", "x", 1), ("b", "y", 2)]
-    assert (tmp_path / "reports" / "entity=a").is_dir()
+    assert all(d.name.startswith("bucket=") for d in (tmp_path / "reports").iterdir() if d.is_dir())
 
 
 def test_plain_default_config(spark):
@@ -221,10 +221,60 @@ def test_video_enrichment_defaults(spark):
     tr = ingest.assemble_transcripts(spark.createDataFrame(
         [("v1", 1, "b"), ("v1", 0, "a"), ("v3", 0, "")], "video_id string, position int, text string"))
     v = {r.video_id: r for r in ingest.enrich_videos(search, stats, tr).collect()}
-    assert set(v) == {"v1", "v2", "v3"}                    # no statistics -> no video
-    assert v["v1"].view_count == 12 and v["v2"].view_count == 0 and v["v3"].view_count == 0
+    assert set(v) == {"v1", "v2"}  # no statistics -> no video; a bad date or count -> quarantine
+    assert {(r.record_id, r.reason) for r in ingest.videos_quarantine(search, stats).collect()} == {("v3", "unparsable publishedAt")}
+    assert v["v1"].view_count == 12 and v["v2"].view_count == 0
     assert v["v1"].transcript_text == "a b" and v["v2"].transcript_text == ""
-    assert v["v1"].published_at == dt.datetime(2024, 1, 2, 3, 4, 5) and v["v3"].published_at is None
+    assert v["v1"].published_at == dt.datetime(2024, 1, 2, 3, 4, 5)
+
+def test_repeated_statistics_and_charts_count_once(spark):
+    search = spark.createDataFrame([(("v1",), ("T", "C", "2024-01-02T03:04:05Z"), 0)],
+                                   "id struct<videoId:string>, snippet struct<title:string,channelTitle:string,publishedAt:string>, search_pos long")
+    stats = spark.createDataFrame([("v1", "12"), ("v1", "12"), ("v1", None)], "video_id string, viewCount string")
+    assert [r.view_count for r in ingest.video_facts(search, stats).collect()] == [12]
+    body = '{"chart":{"result":[{"meta":{"regularMarketPrice":2.675,"previousClose":0.125},"indicators":{"quote":[{"volume":[1]}]}}]}}'
+    charts = spark.createDataFrame([("A", 200, body), ("A", 200, body), ("A", 503, None), ("B", None, body)], "symbol string, status int, body string")
+    req = spark.createDataFrame([("e", "1d", 0, "A"), ("e", "1d", 1, "B"), ("f", "1d", None, None)],
+                                "entity string, timeframe string, symbol_pos int, symbol string")
+    rows = {r.entity: r for r in market.market_reports(market.symbol_quotes(req, charts)).collect()}
+    assert rows["e"].n_symbols == 2 and rows["e"].n_ok == 1
+    assert "$2.67\n" in rows["e"].analysis and "$0.12\n" in rows["e"].analysis and "HTTP without status" in rows["e"].analysis
+    assert (rows["f"].n_symbols, rows["f"].n_ok, rows["f"].data_available) == (0, 0, False)
+
+
+def test_decimals_as_python_prints_them(spark):
+    import random
+    rng = random.Random(4)
+    xs = [2.675, 0.125, 2.25, -2.675, -0.04, 0.0, 1e9 + 0.005, 0.005, 1.005, 99.995, 1e-12, 12345678.125]
+    xs += [rng.uniform(-500, 500) for _ in range(300)] + [rng.randrange(-99999, 99999) / 1000 for _ in range(600)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = df.select("x", market.fixed_decimals(F.col("x"), 2).alias("two"), market.fixed_decimals(F.col("x"), 1).alias("one")).collect()
+    assert [(r.two, r.one) for r in got] == [(f"{r.x:.2f}", f"{r.x:.1f}") for r in got]
+
+
+def test_every_response_and_child_is_good_or_quarantined(spark):
+    body = '{"data":{"children":[{"data":{"id":"a","score":1}},{"data":{"id":"b","score":"x"}},{"data":null},{"data":{"id":"c","created_utc":1e15}}]}}'
+    rows = [("r1", 200, body), ("r2", None, body), ("r3", 200, None), ("r4", 200, ""), ("r5", 200, "{"), ("r6", 404, "")]
+    df = spark.createDataFrame(rows, "response_id string, status int, body string").selectExpr("*", "'s' AS subreddit", "'t' AS search_term")
+    parsed = ingest.parse_post_envelopes(df)
+    assert [r.id for r in ingest.envelope_posts(parsed).collect()] == ["a"]
+    assert {(r.record_id, r.reason) for r in ingest.envelope_quarantine(parsed).collect()} == {
+        ("r2", "HTTP without status"), ("r3", "empty body"), ("r4", "empty body"), ("r5", "malformed JSON"), ("r6", "HTTP 404")}
+    assert {(r.record_id, r.reason) for r in ingest.children_quarantine(parsed).collect()} == {
+        ("r1#1", "bad score"), ("r1#2", "no data"), ("r1#3", "bad created_utc")}
+
+
+def test_only_a_literal_z_parses(spark):
+    df = spark.createDataFrame([("2024-01-02T03:04:05Z",), ("2024-01-02T03:04:05+02",), ("2024-13-02T03:04:05Z",), (None,)], "s string")
+    assert [r[0] is not None for r in df.select(ingest.parse_iso_z(F.col("s"))).collect()] == [True, False, False, False]
+
+
+def test_most_viewed_video_may_be_late_in_search_order(spark):
+    vids = spark.createDataFrame([(str(i), f"tion {i}", i, 100 if i == 11 else i) for i in range(15)],
+                                 "video_id string, title string, search_pos long, view_count long").withColumn("published_at", F.lit(dt.datetime(2024, 1, 1)))
+    ents = spark.createDataFrame([("tion", "1d", 0), ("tion", "1mo", 1)], "entity string, timeframe string, entity_pos int")
+    top = api.top_videos(vids, ents).collect()
+    assert len(top) == 10 and all(r.video_id == "11" for r in top if r.rank == 1)
 
 
 def test_per_request_cap_option(spark):
@@ -232,6 +282,6 @@ def test_per_request_cap_option(spark):
     p = fx.posts(spark, "/root/testdata/sf0.01")
     cfg = cfgops.config_lookup(fx.analyzed_entities(spark), fx.config_table(spark))
     capped = api.fetch_posts(p, cfg, None, per_request_cap=3)
-    per_req = capped.groupBy("entity", "subreddit", "search_term").count().collect()
+    per_req = capped.groupBy("entity_pos", "subreddit", "search_term").count().collect()
     assert per_req and max(r["count"] for r in per_req) == 3
     assert capped.count() < api.fetch_posts(p, cfg, None).count()
