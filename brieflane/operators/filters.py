@@ -75,23 +75,32 @@ def substring_matches(df: DataFrame, text: Column, terms: DataFrame, term_col: s
     given; an empty term occurs in every text, a null one in none). ``row_id`` is a unique key
     of ``df``.
 
-    One exact path for any number of terms. Every distinct term is known by its first GRAM
-    characters (or all, if it has fewer); every text emits its distinct grams, which meet the
-    terms in an equi-join, and ``contains`` decides about the candidates, one for each text and
-    term at most. A gram that very many texts hold makes a large join partition, which adaptive
-    execution splits.
+    One exact path for any number of terms. A term stands for its longest piece without a
+    space, which must occur inside a word of the text. Only the distinct words of all texts
+    are looked at: their grams (1 to GRAM characters) meet the first characters of the pieces in
+    an equi-join, ``contains`` decides, and the matching words are joined back to their rows. A
+    term with a space is then looked for in the text itself, on those rows only. Words that
+    very many texts hold make large join partitions, which adaptive execution splits.
     """
     by_term = terms.where(F.col(term_col).isNotNull())
-    distinct = by_term.select(F.col(term_col).alias("_term")).where(F.length(term_col) > 0).distinct()
-    distinct = distinct.withColumn("_gram", F.substring("_term", 1, GRAM))
+    pieces = F.split(F.col("_term"), " ")
+    longest = F.element_at(F.array_sort(F.transform(pieces, lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), -1)["x"]
+    keyed = by_term.select(F.col(term_col).alias("_term")).distinct().withColumn("_piece", longest)
+    keyed = keyed.withColumn("_gram", F.substring("_piece", 1, GRAM))
     src = df.select(F.col(row_id).alias("_rid"), text.alias("_text")).where(F.col("_text").isNotNull())
-    grams = src.select("_rid", F.explode(text_grams(F.col("_text"))).alias("_gram"))
-    near = grams.join(distinct, "_gram").select("_rid", "_term")
-    hits = (near.where(F.length("_term") <= GRAM).unionByName(
-        src.join(near.where(F.length("_term") > GRAM), "_rid").where(F.col("_text").contains(F.col("_term"))).select("_rid", "_term")))
+    words = src.select("_rid", F.explode(F.array_distinct(F.split("_text", " "))).alias("_word"))
+    vocabulary = words.select("_word").distinct()
+    near = (vocabulary.select("_word", F.explode(text_grams(F.col("_word"))).alias("_gram"))
+            .join(keyed.where(F.col("_piece") != ""), "_gram").where(F.col("_word").contains(F.col("_piece"))).select("_word", "_term"))
+    found = words.join(near, "_word").select("_rid", "_term").distinct()
+    spaced = F.instr("_term", " ") > 0
+    hits = found.where(~spaced).unionByName(
+        src.join(found.where(spaced), "_rid").where(F.col("_text").contains(F.col("_term"))).select("_rid", "_term"))
     out = hits.join(by_term, F.col("_term") == by_term[term_col]).drop("_term")
     out = df.join(out.withColumnRenamed("_rid", row_id), row_id)
-    return out.unionByName(_with_every(df.where(text.isNotNull()), by_term.where(F.length(term_col) == 0), row_id))
+    blank = by_term.where(F.trim(term_col) == "")  # empty, or spaces only
+    every = _with_every(df.where(text.isNotNull()), blank, row_id).where(text.contains(F.col(term_col)))
+    return out.unionByName(every)
 
 
 def _with_every(df: DataFrame, few: DataFrame, row_id: str, parts: int = 16) -> DataFrame:

@@ -21,6 +21,22 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SKIP = {"stream_posts_daily", "quality_classifier", "tfidf_mllib"}
 
 
+def final_plan(plan: str) -> str:
+    """The plan without its initial plans, those of nested subqueries too: such a part ends
+    where a line starts no deeper than its heading."""
+    out, skip = [], None
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*"))
+        if skip is not None and depth >= skip:
+            continue
+        skip = None
+        if "== Initial Plan ==" in line:
+            skip = depth
+            continue
+        out.append(line)
+    return "\n".join(out)
+
+
 def main() -> None:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf-dir", default="/root/testdata/sf0.1")
@@ -38,8 +54,7 @@ def main() -> None:
         wall = time.time() - t0
         df.collect()  # the final adaptive plan is recorded on this DataFrame's execution
         plan = df._jdf.queryExecution().executedPlan().toString()
-        if "== Initial Plan ==" in plan:
-            plan = plan[:plan.index("== Initial Plan ==")]
+        plan = final_plan(plan)
         scans = collections.Counter(re.findall(r"FileScan parquet .*?/(\w+)\.parquet", plan))
         single = sum(1 for ln in plan.splitlines() if "Window [" in ln and "windowspecdefinition(" in ln
                      and re.search(r"\], \[\]", ln))

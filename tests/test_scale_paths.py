@@ -2,10 +2,15 @@
 and the flagship plan has the intended shape."""
 
 import datetime as dt
+import os
+import sys
 
 from pyspark.sql import functions as F
 
-from conftest import SF_MID, SF_SMALL
+from conftest import ROOT, SF_MID, SF_SMALL
+
+sys.path.insert(0, os.path.join(ROOT, "scripts"))
+from plan_audit import final_plan  # noqa: E402
 
 from brieflane.operators import config as cfgops
 from brieflane.operators import filters, skew
@@ -126,7 +131,7 @@ def test_tfidf_plan_tokenizes_once_and_never_broadcasts_vocabulary(spark):
     df = registry.queries()["tfidf_posts"](spark, SF_MID)
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
-    final = plan[:plan.index("== Initial Plan ==")]
+    final = final_plan(plan)
     text_scans = [ln for ln in final.splitlines() if "FileScan parquet" in ln and "text:string" in ln]
     assert len(text_scans) == 1                       # one tokenizing pass (shuffle reused)
     assert "SortMergeJoin" in final and "BroadcastHashJoin" not in final
