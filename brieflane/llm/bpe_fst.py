@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from brieflane.llm.common import map_texts
 
 #: Bounds of what a task remembers; beyond them the tables start anew.
-REMEMBERED_WORDS, REMEMBERED_STATES, REMEMBERED_PAIRS = 400_000, 150_000, 500_000
+REMEMBERED_WORDS, REMEMBERED_STATES, REMEMBERED_PAIRS = 250_000, 65_000, 250_000
 #: Longer pre-tokens run alone, not in lockstep.
 LOCKSTEP_BYTES = 48
 

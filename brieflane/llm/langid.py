@@ -28,7 +28,7 @@ from brieflane.llm.common import map_texts, share
 SAMPLE_DOCS = 1500   # documents of each language that the model is fitted on
 LONGEST_GRAM = 4
 LANGUAGES = 1000     # a table with more distinct languages is refused
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 WORD = re.compile(r"[^\W\d_]+")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from brieflane.llm.common import map_texts
 
 #: Pre-tokens whose piece counts a task remembers; the memory is emptied beyond it.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 class PieceCounter:
