@@ -36,11 +36,11 @@ from pyspark.sql.types import StructType
 from brieflane.llm.common import chunks, saved
 from brieflane.llm.components import connected
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 BITS = 4096              # columns of a bitmap
 FREQUENT = 1 << 18       # at most so many tokens are ordered last (broadcast: 2 MB)
 FREQUENT_FROM = 4        # ... those counted so often
-COUNTED_TOKENS = 4 << 20  # a task counts tokens in blocks of so many
+COUNTED_TOKENS = 1 << 20  # a task counts tokens in blocks of so many
 BLOCK = 512              # sets compared at once
 LIGHT = 24               # groups of a token up to which pairs of groups become rows
 BROADCAST_ROWS = 500_000  # text hashes (8 bytes each) that are broadcast at most
@@ -417,13 +417,23 @@ def components_of(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id
     pairs = pairs.unionByName(heavy_pairs(crowded, groups, percent)).distinct()
 
     # 3. bound and open
-    sides = pairs.select("a", "b", F.col("a").alias("grp"), F.col("b").alias("other")).unionByName(
-        pairs.select("a", "b", F.col("b").alias("grp"), F.col("a").alias("other")))
+    # members of the smaller group ask first; those of the other only where one of them may link
+    of = lambda x: sized.select(F.col("grp").alias(x), F.col("size").alias(f"size_{x}"))
+    pairs = pairs.join(of("a"), "a").join(of("b"), "b")
+    a_first = F.col("size_a") <= F.col("size_b")
     others = groups.select(F.col("grp").alias("other"), F.col("union").alias("other_bits"), F.col("low").alias("other_min"),
                            F.col("high").alias("other_max"))
-    queries = reach(sides.join(others, "other").join(heads.select("grp", "node", "n", "bits"), "grp").select(
-        "a", "b", "grp", "node", "n", "bits", "other_bits", "other_min", "other_max"), percent)
-    queries = saved(queries.select("a", "b", "grp", "node"))
+
+    def asking(sides: DataFrame) -> DataFrame:
+        rows = sides.join(others, "other").join(heads.select("grp", "node", "n", "bits"), "grp")
+        return saved(reach(rows.select("a", "b", "grp", "node", "n", "bits", "other_bits", "other_min", "other_max"), percent)
+                     .select("a", "b", "grp", "node"))
+
+    one = asking(pairs.select("a", "b", F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("grp"),
+                              F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("other")))
+    left = one.select("a", "b", F.col("grp").alias("other")).distinct()
+    two = asking(left.select("a", "b", F.when(F.col("other") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("grp"), "other"))
+    queries = one.unionByName(two)
     counts = queries.groupBy("a", "b").agg(F.count_if(F.col("grp") == F.col("a")).alias("n_a"),
                                            F.count_if(F.col("grp") == F.col("b")).alias("n_b"))
     counts = counts.where((F.col("n_a") > 0) & (F.col("n_b") > 0))
