@@ -9,7 +9,9 @@ candidates found are ranked by their exact inner product.
 Equal vectors are one entry of the index, with the smallest ids that a query can need, so
 copies do not fill buckets. A bucket is one task's work as long as it holds at most
 ``BUCKET_ROWS`` entries; larger ones are dealt by a hash of the id into parts, and a query
-goes to each of the parts. With many rows a bucket is a combination of ``hashes`` axes.
+goes to each of the parts. With many rows a bucket is a combination of ``hashes`` axes; there
+are then ``TABLES * hashes`` tables and ``PROBES ** hashes`` probes, so that as many neighbours
+are found as with one axis.
 
 Rules: see ``vectors.usable`` (zero vectors take no part); vectors of different lengths are not
 compared; ties go to the smaller id; an empty table gives no rows.
@@ -28,6 +30,7 @@ from brieflane.llm.common import saved
 from brieflane.llm.vectors import matrix, usable
 
 TABLES, PROBES, BUCKET_ROWS, ROWS_A_HASH = 8, 16, 4096, 2_000_000
+HASH_ROWS = 256  # rows hashed at a time: two hashes look at (twice the dimension) ** 2 buckets of each
 
 
 def hadamard(y: np.ndarray) -> np.ndarray:
@@ -89,8 +92,9 @@ def best_of(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: list[np.ndarray]
 
 
 def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-               tables: int = TABLES, probes: int = PROBES, hashes: int | None = None, seed: int = 0) -> DataFrame:
-    """(query_id, rank, vec_id, score): ``is_query`` is over the column ``id``."""
+               tables: int | None = None, probes: int | None = None, hashes: int | None = None, seed: int = 0) -> DataFrame:
+    """(query_id, rank, vec_id, score): ``is_query`` is over the column ``id``. Tables and probes
+    follow the number of hashes unless they are given."""
     data = usable(vectors, id_col, vector_col, zero=False)
     w = Window.partitionBy("v").orderBy("id")
     entries = (data.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k + 1)
@@ -98,7 +102,8 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str =
     squared = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     most, least, n = data.agg(F.max(squared), F.min(squared), F.count("*")).first()
     even = n == 0 or least >= most * (1 - 1e-5)  # vectors of one length need no more component
-    turns = hashes or max(1, 1 + int(n > ROWS_A_HASH) + int(n > ROWS_A_HASH ** 2))
+    turns = hashes or 1 + int(n > ROWS_A_HASH)
+    tables, probes = tables or TABLES * turns, probes or PROBES ** turns
 
     def unit(x: np.ndarray, query: bool) -> np.ndarray:
         n2 = (x * x).sum(1)[:, None]
@@ -113,14 +118,16 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str =
                 t = pa.Table.from_batches([batch])
                 lens = np.array([len(x) for x in t["v"]], np.int64)
                 for size in np.unique(lens).tolist():
-                    part = t.filter(pa.array(lens == size))
-                    x = matrix(part["v"])
-                    u = unit(x, query)
-                    codes = np.stack([axes(u, i, turns, n_probes, seed) for i in range(tables)], 1)
-                    yield pa.RecordBatch.from_arrays([
-                        part[0].combine_chunks(), pa.array([size] * len(x), pa.int32()),
-                        pa.array([r.tobytes() for r in x], pa.binary()),
-                        pa.array(codes.tolist(), pa.list_(pa.list_(pa.int64())))], names=[t.column_names[0], "size", "v", "codes"])
+                    same = t.filter(pa.array(lens == size))
+                    for at in range(0, same.num_rows, HASH_ROWS):
+                        part = same.slice(at, HASH_ROWS)
+                        x = matrix(part["v"])
+                        u = unit(x, query)
+                        codes = np.stack([axes(u, i, turns, n_probes, seed) for i in range(tables)], 1)
+                        yield pa.RecordBatch.from_arrays([
+                            part[0].combine_chunks(), pa.array([size] * len(x), pa.int32()),
+                            pa.array([r.tobytes() for r in x], pa.binary()),
+                            pa.array(codes.tolist(), pa.list_(pa.list_(pa.int64())))], names=[t.column_names[0], "size", "v", "codes"])
         return run
 
     def spread(df: DataFrame) -> DataFrame:

@@ -82,6 +82,30 @@ def test_recall(spark, sf):
     assert recall(spark, sf) >= 0.9
 
 
+def recall_of(spark, x, **kw):
+    """Mean recall of the 20 nearest of every 20th row, by brute force; and the fewest rows found."""
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
+    by = {}
+    for r in ann_crosspolytope.neighbours(v, F.col("id") % 20 == 0, **kw).collect():
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = []
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits.append(len(by.get(q, set()) & set(np.lexsort((np.arange(len(x)), -s))[:20].tolist())) / 20)
+    return np.mean(hits), min(len(by.get(q, ())) for q in range(0, len(x), 20))
+
+
+def given(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
+    return np.array([r.embedding for r in rows], np.float64)
+
+
+def test_recall_with_two_hashes(spark):
+    mean, fewest = recall_of(spark, given(spark), hashes=2)
+    assert mean >= 0.9 and fewest == 20
+
+
 def test_copies_and_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(ann_crosspolytope, "BUCKET_ROWS", 50)
     rng = np.random.default_rng(2)
