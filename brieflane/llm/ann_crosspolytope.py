@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by cross-polytope hashing (operator 10).
 
-A vector is brought to length 1 (shorter ones by one more component, so that the order of inner
-products is kept), turned by a pseudo-rotation (three times random signs and a fast Hadamard
+Vectors are parted by their length into ranges (of ``RATIO``), each an index of its own that every
+query probes; a small range is one bucket, looked at whole. In a range a vector is brought to
+length 1 (shorter ones by one more component, so that the order of inner products is kept), turned by a pseudo-rotation (three times random signs and a fast Hadamard
 transform), and hashed to its nearest signed axis. Several tables with independent rotations
 hold every row; a query probes, in each table, the buckets of its next nearest axes too. The
 candidates found are ranked by their exact inner product.
@@ -20,6 +21,7 @@ compared; ties go to the smaller id; an empty table gives no rows.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ from brieflane.llm.common import saved
 from brieflane.llm.vectors import matrix, usable
 
 TABLES, PROBES, BUCKET_ROWS, ROWS_A_HASH = 8, 16, 4096, 2_000_000
+RATIO = 1.1  # between the largest and the smallest length of a range
 HASH_ROWS = 256  # rows hashed at a time: two hashes look at (twice the dimension) ** 2 buckets of each
 
 
@@ -43,8 +46,32 @@ def hadamard(y: np.ndarray) -> np.ndarray:
     return y / np.sqrt(d)
 
 
+def width(d: int) -> int:
+    return 1 << max(0, d - 1).bit_length()
+
+
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Euclidean norms, also of components whose squares are no doubles."""
+    peak = np.abs(x).max(1)
+    return peak * np.sqrt(((x / peak[:, None]) ** 2).sum(1))
+
+
+def norm_ranges(found: list[tuple[int, float, float, int]], whole: int) -> dict[int, list[tuple[float, float, int]]]:
+    """For each number of components the ranges of norms (least, most, rows) in rising order.
+    ``found`` has (components, least, most, rows); neighbours that are one range together are
+    joined, as rounding can part equal norms. A number of components with one range only is hashed
+    whatever its rows."""
+    out: dict[int, list[tuple[float, float, int]]] = {}
+    for size, least, most, n in sorted(found):
+        own = out.setdefault(size, [])
+        if own and most <= own[-1][0] * (1 + 1e-5):
+            least, most, n = own[-1][0], max(most, own[-1][1]), n + own.pop()[2]
+        own.append((least, most, n))
+    return {size: [(a, b, max(n, whole + 1)) for a, b, n in own] if len(own) == 1 else own for size, own in out.items()}
+
+
 def rotated(x: np.ndarray, table: int, turn: int, seed: int) -> np.ndarray:
-    d = 1 << max(0, x.shape[1] - 1).bit_length()
+    d = width(x.shape[1])
     y = np.pad(x, ((0, 0), (0, d - x.shape[1])))
     signs = np.random.default_rng([seed, table, turn]).choice([-1.0, 1.0], (3, d))
     for s in signs:
@@ -92,25 +119,24 @@ def best_of(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: list[np.ndarray]
 
 
 def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-               tables: int | None = None, probes: int | None = None, hashes: int | None = None, seed: int = 0) -> DataFrame:
+               tables: int | None = None, probes: int | None = None, hashes: int | None = None, seed: int = 0,
+               whole: int = BUCKET_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): ``is_query`` is over the column ``id``. Tables and probes
-    follow the number of hashes unless they are given."""
+    follow the number of hashes unless they are given. Where lengths differ, a range of them with
+    at most ``whole`` rows is one bucket."""
     data = usable(vectors, id_col, vector_col, zero=False)
     w = Window.partitionBy("v").orderBy("id")
     entries = (data.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k + 1)
                .groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    squared = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    most, least, n = data.agg(F.max(squared), F.min(squared), F.count("*")).first()
-    even = n == 0 or least >= most * (1 - 1e-5)  # vectors of one length need no more component
-    turns = hashes or 1 + int(n > ROWS_A_HASH)
+    peak = F.array_max(F.transform("v", F.abs))
+    norm = F.col("peak") * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.col("peak")) * (x / F.col("peak"))))
+    sized = data.select(F.size("v").alias("size"), "v", peak.alias("peak")).select("size", norm.alias("norm"))
+    # one row for each length and range of norms, not for each vector
+    found_ranges = (sized.groupBy("size", F.floor(F.log("norm") / math.log(RATIO)).alias("band"))
+                    .agg(F.max("norm").alias("most"), F.min("norm").alias("least"), F.count("*").alias("n")).collect())
+    turns = hashes or 1 + int(sum(r["n"] for r in found_ranges) > ROWS_A_HASH)
     tables, probes = tables or TABLES * turns, probes or PROBES ** turns
-
-    def unit(x: np.ndarray, query: bool) -> np.ndarray:
-        n2 = (x * x).sum(1)[:, None]
-        if even or query:
-            y = x / np.sqrt(n2)
-            return y if even else np.pad(y, ((0, 0), (0, 1)))
-        return np.concatenate([x, np.sqrt(np.maximum(most - n2, 0.0))], 1) / np.sqrt(most)
+    ranges = norm_ranges([(r["size"], r["least"], r["most"], r["n"]) for r in found_ranges], whole)
 
     def hashed(query: bool, n_probes: int):
         def run(batches):
@@ -122,27 +148,44 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str =
                     for at in range(0, same.num_rows, HASH_ROWS):
                         part = same.slice(at, HASH_ROWS)
                         x = matrix(part["v"])
-                        u = unit(x, query)
-                        codes = np.stack([axes(u, i, turns, n_probes, seed) for i in range(tables)], 1)
-                        yield pa.RecordBatch.from_arrays([
-                            part[0].combine_chunks(), pa.array([size] * len(x), pa.int32()),
-                            pa.array([r.tobytes() for r in x], pa.binary()),
-                            pa.array(codes.tolist(), pa.list_(pa.list_(pa.int64())))], names=[t.column_names[0], "size", "v", "codes"])
+                        norms = lengths(x)
+                        home = np.searchsorted([r[1] for r in ranges[size]], norms * (1 - 1e-9))
+                        home = np.minimum(home, len(ranges[size]) - 1)
+                        for band, (least, most, n) in enumerate(ranges[size]):
+                            mine = np.arange(len(x)) if query else np.flatnonzero(home == band)
+                            if not len(mine):
+                                continue
+                            if n <= whole:  # one bucket
+                                codes = np.zeros((len(mine), 1, 1), np.int64)
+                            else:
+                                even = least >= most * (1 - 1e-5)  # vectors of one length need no more component
+                                u = x[mine] / norms[mine, None] if even or query else x[mine] / most
+                                if not even:
+                                    rest = 0.0 if query else np.sqrt(np.maximum(1 - (norms[mine] / most) ** 2, 0.0))
+                                    u = np.concatenate([u, np.broadcast_to(rest, len(mine))[:, None]], 1)
+                                # as many of all buckets, should the component double their number
+                                wide = 1 if n_probes == 1 else n_probes * (width(u.shape[1]) // width(size)) ** turns
+                                codes = np.stack([axes(u, i, turns, wide, seed) for i in range(tables)], 1)
+                            yield pa.RecordBatch.from_arrays([
+                                part[0].take(pa.array(mine)).combine_chunks(), pa.array([size] * len(mine), pa.int32()),
+                                pa.array([band] * len(mine), pa.int32()), pa.array([r.tobytes() for r in x[mine]], pa.binary()),
+                                pa.array(codes.tolist(), pa.list_(pa.list_(pa.int64())))],
+                                names=[t.column_names[0], "size", "band", "v", "codes"])
         return run
 
     def spread(df: DataFrame) -> DataFrame:
         return (df.select("*", F.posexplode("codes").alias("tab", "buckets")).drop("codes")
                 .select("*", F.explode("buckets").alias("bucket")).drop("buckets"))
 
-    keys = ["size", "tab", "bucket"]
+    keys = ["size", "band", "tab", "bucket"]
     index = saved(entries.select("ids", "v").mapInArrow(
-        hashed(False, 1), "ids array<bigint>, size int, v binary, codes array<array<bigint>>"))
+        hashed(False, 1), "ids array<bigint>, size int, band int, v binary, codes array<array<bigint>>"))
     rows = spread(index)
     parts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / BUCKET_ROWS).cast("int").alias("parts"))
     rows = rows.join(parts, keys).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
     rows = rows.select(*keys, "part", "ids", "v")
     asked = spread(data.where(is_query).select("id", "v").mapInArrow(
-        hashed(True, probes), "id bigint, size int, v binary, codes array<array<bigint>>"))
+        hashed(True, probes), "id bigint, size int, band int, v binary, codes array<array<bigint>>"))
     asked = asked.join(parts.withColumnRenamed("parts", "most"), keys)
     asked = asked.select(*keys, F.explode(F.sequence(F.lit(0), F.col("most") - 1)).alias("part"), "id", "v")
 

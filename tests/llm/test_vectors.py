@@ -106,6 +106,18 @@ def test_recall_with_two_hashes(spark):
     assert mean >= 0.9 and fewest == 20
 
 
+@pytest.mark.parametrize("whole", [ann_crosspolytope.BUCKET_ROWS, 100])
+@pytest.mark.parametrize("lengths", ["outlier", "lognormal", "huge"])
+def test_recall_with_unequal_lengths(spark, lengths, whole):
+    x = given(spark)
+    if lengths == "lognormal":
+        x = x * np.exp(np.random.default_rng(1).normal(0, 0.7, len(x)))[:, None]
+    x[7] *= 100
+    x = x * (1e100 if lengths == "huge" else 1)
+    mean, fewest = recall_of(spark, x, whole=whole)
+    assert mean >= 0.9 and fewest == 20
+
+
 def test_copies_and_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(ann_crosspolytope, "BUCKET_ROWS", 50)
     rng = np.random.default_rng(2)
