@@ -10,7 +10,8 @@ candidates found are ranked by their exact inner product.
 Equal vectors are one entry of the index, with the smallest ids that a query can need, so
 copies do not fill buckets. A bucket is one task's work as long as it holds at most
 ``BUCKET_ROWS`` entries; larger ones are dealt by a hash of the id into parts, and a query
-goes to each of the parts. With many rows a bucket is a combination of ``hashes`` axes; there
+goes to each of the parts; where more than ``QUERY_ROWS`` queries meet in a bucket, they are dealt
+by a hash into lots, and an entry goes to each of the lots. With many rows a bucket is a combination of ``hashes`` axes; there
 are then ``TABLES * hashes`` tables and ``PROBES ** hashes`` probes, so that as many neighbours
 are found as with one axis.
 
@@ -32,6 +33,7 @@ from brieflane.llm.common import saved
 from brieflane.llm.vectors import matrix, usable
 
 TABLES, PROBES, BUCKET_ROWS, ROWS_A_HASH = 8, 16, 4096, 2_000_000
+QUERY_ROWS = 16_384  # queries of a bucket in one task
 RATIO = 1.1  # between the largest and the smallest length of a range
 HASH_ROWS = 256  # rows hashed at a time: two hashes look at (twice the dimension) ** 2 buckets of each
 
@@ -180,14 +182,16 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str =
     keys = ["size", "band", "tab", "bucket"]
     index = saved(entries.select("ids", "v").mapInArrow(
         hashed(False, 1), "ids array<bigint>, size int, band int, v binary, codes array<array<bigint>>"))
-    rows = spread(index)
-    parts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / BUCKET_ROWS).cast("int").alias("parts"))
-    rows = rows.join(parts, keys).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
-    rows = rows.select(*keys, "part", "ids", "v")
-    asked = spread(data.where(is_query).select("id", "v").mapInArrow(
+    questions = saved(data.where(is_query).select("id", "v").mapInArrow(
         hashed(True, probes), "id bigint, size int, band int, v binary, codes array<array<bigint>>"))
-    asked = asked.join(parts.withColumnRenamed("parts", "most"), keys)
-    asked = asked.select(*keys, F.explode(F.sequence(F.lit(0), F.col("most") - 1)).alias("part"), "id", "v")
+    rows, asked = spread(index), spread(questions)
+    cells = (rows.groupBy(*keys).agg(F.ceil(F.count("*") / BUCKET_ROWS).cast("int").alias("parts"))
+             .join(asked.groupBy(*keys).agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("lots")), keys))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = rows.join(cells, keys).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
+    rows = rows.select(*keys, "part", every("lots").alias("lot"), "ids", "v")
+    asked = asked.join(cells, keys).withColumn("lot", F.pmod(F.xxhash64("id"), F.col("lots")).cast("int"))
+    asked = asked.select(*keys, every("parts").alias("part"), "lot", "id", "v")
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
@@ -201,7 +205,8 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str =
         return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)),
                          "score": pa.array(cols[2].astype(np.float64))})
 
-    found = asked.groupBy(*keys, "part").cogroup(rows.groupBy(*keys, "part")).applyInArrow(
+    cut = [*keys, "part", "lot"]
+    found = asked.groupBy(*cut).cogroup(rows.groupBy(*cut)).applyInArrow(
         cell, "query_id bigint, vec_id bigint, score double")
     # a pair found in several tables has the same score in each
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

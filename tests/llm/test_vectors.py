@@ -131,6 +131,27 @@ def test_copies_and_large_buckets(spark, monkeypatch):
     assert [r.vec_id for r in two] == list(range(100, 120))
 
 
+def test_many_equal_queries_are_dealt_into_lots(spark, monkeypatch):
+    monkeypatch.setattr(ann_crosspolytope, "QUERY_ROWS", 50)
+    seen = spark.sparkContext.accumulator(0)
+    best_of = ann_crosspolytope.best_of
+
+    def counted(q, *rest):
+        seen.add(len(q) > 100)
+        return best_of(q, *rest)
+
+    monkeypatch.setattr(ann_crosspolytope, "best_of", counted)
+    x = np.random.default_rng(2).normal(size=(900, 16))
+    x[:300] = x[0]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann_crosspolytope.neighbours(v, F.col("id") < 300, k=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert len(got) == 300 and all(own == [i for i in range(21 if q < 20 else 20) if i != q][:20] for q, own in got.items())
+    assert seen.value == 0
+
+
 def test_neighbours_of_edge_rows(spark):
     v = spark.createDataFrame(EDGE, SCHEMA).withColumn("codes", F.lit("clash"))
     got = ann_crosspolytope.neighbours(v, F.col("id") % 20 == 0).collect()
