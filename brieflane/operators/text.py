@@ -178,9 +178,10 @@ def vocabulary(docs: DataFrame, id_col: str, text_col: str, vocab_size: int | No
     return ranked if vocab_size is None else ranked.where(F.col("rank") <= vocab_size)
 
 
-def ml_pipeline(text_col: str, vocab_size: int = 1 << 18):
-    """The vector form: Tokenizer -> StopWordsRemover -> CountVectorizer -> IDF. Spark ML keeps
-    its vocabulary on the driver, so it needs a bound; the long form has none."""
+def ml_pipeline(text_col: str, vocab_size: int = (1 << 31) - 1):
+    """The vector form: Tokenizer -> StopWordsRemover -> CountVectorizer -> IDF, over all terms
+    (the default is the most that a Spark ML vector can hold; CountVectorizer's own is 2^18).
+    Spark ML keeps its vocabulary on the driver; the long form does not."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import IDF, CountVectorizer, StopWordsRemover, Tokenizer
     return Pipeline(stages=[
@@ -191,6 +192,16 @@ def ml_pipeline(text_col: str, vocab_size: int = 1 << 18):
     ])
 
 
+def feature_sums(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, total) of the vectors of :func:`ml_pipeline`: non-zeros and weight sum of every
+    document, from the long form, so that no vocabulary is on the driver and none is capped."""
+    sums = (tfidf(docs, id_col, text_col).groupBy("doc_id")
+            .agg(F.count_if(F.col("tfidf") != 0).alias("n"), F.sum("tfidf").alias("total")))
+    out = docs.select(F.col(id_col).alias("doc_id")).join(sums.hint("merge"), "doc_id", "left")
+    return out.select(F.col("doc_id").alias(id_col), F.coalesce("n", F.lit(0)).alias("n"),
+                      F.coalesce("total", F.lit(0.0)).alias("total"))
+
+
 # --------------------------------------------------------------------------- J1
 def clean_text(text: Column) -> Column:
     """Tags, URLs and punctuation removed, lower-cased, whitespace collapsed."""

@@ -55,6 +55,37 @@ def test_salted_join_equals_plain_join(spark):
     assert _set(plain, ["k", "v", "name"]) == _set(salted, ["k", "v", "name"])
 
 
+def test_ml_pipeline_has_no_vocabulary_cap(spark):
+    docs = spark.range(3000).select(F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(99)), lambda j: F.concat_ws(
+        "x", F.col("id"), j))).alias("title"))  # 300,000 distinct terms
+    model = tx.ml_pipeline("title").fit(docs)
+    assert len(model.stages[2].vocabulary) == 300_000
+    vals = F.unwrap_udt("features")["values"]
+    assert model.transform(docs).agg(F.sum(F.size(vals))).first()[0] == 300_000
+
+
+def test_feature_sums_equal_ml_pipeline(spark):
+    p = fx.posts(spark, SF_SMALL).select("id", F.coalesce("title", F.lit("")).alias("title")).unionByName(
+        spark.createDataFrame([("x1", ""), ("x2", "   "), ("x3", "the of")], "id string, title string"))
+    own = {r.id: (r.n, r.total) for r in tx.feature_sums(p, "id", "title").collect()}
+    rows = tx.ml_pipeline("title").fit(p).transform(p).select("id", "features").collect()
+    assert len(own) == len(rows) > 3
+    for r in rows:
+        values = [x for x in r.features.values.tolist() if x]
+        assert own[r.id][0] == len(values) and abs(own[r.id][1] - sum(values)) < 1e-6
+
+
+def test_tfidf_mllib_at_sf01_equals_its_oracle(spark):
+    import duckdb
+    from oracle_check import rows_of
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.1/documents.parquet')")
+    rel = con.execute(registry.oracle_sql()["tfidf_mllib"])
+    cols = [d[0] for d in rel.description]
+    got = registry.queries()["tfidf_mllib"](spark, "/root/testdata/sf0.1")
+    assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(cols, rel.fetchall())
+
+
 def test_long_form_tfidf_equals_ml_pipeline(spark):
     from pyspark.ml.functions import vector_to_array
     p = fx.posts(spark, SF_SMALL).select("id", F.coalesce("title", F.lit("")).alias("title"))
