@@ -348,8 +348,9 @@ def codec(ranks_path: str, pattern: str) -> Codec:
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
-                     text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256[, ids binary]) for every row of ``docs``."""
+                     text_col: str = "text", keep_ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256[, ids binary]) and the columns ``carry`` for every
+    row of ``docs``."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
@@ -359,9 +360,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
             encoded = c.encode([t or "" for t in part.column(1).to_pylist()])
             cols = [part.column(0), [len(x) // 4 for x in encoded], [hashlib.sha256(x).hexdigest() for x in encoded],
                     [hashlib.sha256(c.decode(x)).hexdigest() for x in encoded]]
-            return [*cols, encoded] if keep_ids else cols
+            return cols + [encoded] * keep_ids + [part.column(2 + i) for i in range(len(carry))]
         return work
 
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *carry)
     schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
+    schema += "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
     return map_texts(slim, schema, make).withColumnRenamed("id", id_col)

@@ -1,3 +1,7 @@
+import collections
+import hashlib
+import math
+
 import numpy as np
 import pytest
 
@@ -42,6 +46,46 @@ def test_run_against_brute_force(spark):
     assert {r.doc_id: bytes(r.ids) for r in corpus_pipeline.run(spark, SF).collect()} == want
 
 
+def brute_mix(rows, block_docs=16):
+    """rows: (id, source) with distinct ids -> {id: (slot, place)}."""
+    n = collections.Counter(s for _, s in rows)
+    names = sorted(n)
+    raw = [math.floor(math.sqrt(n[s]) * 1000) for s in names]
+    period = max(1000, 10 * len(names))
+    free = period - len(names)
+    rest = sorted(range(len(names)), key=lambda i: (-(free * raw[i] % sum(raw)), names[i]))
+    units = [1 + free * r // sum(raw) for r in raw]
+    for i in rest[:period - sum(units)]:
+        units[i] += 1
+    slots = [[] for _ in names]
+    for slot in range(period):
+        ready = [(-(-(len(had) + 1) * period // u), -u, i) for i, (had, u) in enumerate(zip(slots, units))
+                 if len(had) * period // u <= slot]
+        slots[min(ready)[2]].append(slot)
+    out = {}
+    for i, s in enumerate(names):
+        own = sorted((d for d, x in rows if x == s), key=lambda d: (hashlib.md5(str(d).encode()).hexdigest(), d))
+        for rank, d in enumerate(own):
+            block = rank // block_docs
+            out[d] = (block // units[i] * period + slots[i][block % units[i]], rank % block_docs)
+    return out
+
+
+def test_run_returns_the_mix(spark):
+    source = {r.doc_id: r.source for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: (r.slot, r.place) for r in corpus_pipeline.run(spark, SF).collect()}
+    assert got == brute_mix([(d, source[d]) for d in got]) and len(set(got.values())) == len(got)
+
+
+def test_last_stage_knows_the_order_of_the_files(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    corpus_pipeline.mix_sources(spark, docs, SF).write.parquet(str(tmp_path / "mix"))
+    files = sorted(str(p) for p in (tmp_path / "mix").glob("part-*"))
+    order = [r.doc_id for f in files for r in spark.read.parquet(f).coalesce(1).collect()]
+    got = corpus_pipeline.encode(spark, spark.read.parquet(str(tmp_path / "mix")), SF).orderBy("slot", "place").collect()
+    assert [r.doc_id for r in got] == order
+
+
 def test_stages_on_edge_rows(spark, tmp_path):
     own = ["doc_id", "text", "lang", "source", "n_chars"]
     for name, start in (("edge", edge_docs(spark, extra=False)), ("extra", edge_docs(spark)), ("empty", empty_docs(spark))):
