@@ -7,9 +7,13 @@ article, blocks outside it are boilerplate. Short blocks stay undecided. Pass 2
 undecided block the label of its nearest decided neighbours: the common label of both, else
 that of the nearer one (the following one on a tie, as a heading belongs to what it heads).
 
+A class or id marks boilerplate by whole names only, and not around the page's only article or
+most of its long text.
+
 Rules: null and empty pages give an empty text; unclosed, unknown and stray tags are passed
-over; references without a meaning stay as they are; every input row gives one output row;
-other columns are not looked at.
+over (an unclosed script or style has the rest of the page); <head> ends where body text begins;
+references without a meaning stay as they are; every input row gives one output row; other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -37,7 +41,9 @@ di che non per sono della dei con una nel alla più anche come ma gli os do da n
 
 #: Elements whose whole content is no text of the page.
 SILENT = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "select",
-          "button", "audio", "video", "head")
+          "button", "audio", "video", "title")
+#: What may stand in <head>; any other tag, and text, ends it.
+HEAD = {"head", "base", "link", "meta", "script", "style", "noscript", "template", "title", "object"}
 #: Elements that hold boilerplate.
 APART = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset", "figcaption"}
 #: Elements that hold the article.
@@ -50,55 +56,105 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 #: An open one of these ends where another one begins.
 ENDS = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"},
         "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option", "optgroup"}}
-#: Words in class, id and role that mark boilerplate.
-HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|"
+#: Words in class, id, role and aria-label that mark boilerplate.
+HINT = re.compile(r"ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|"
                   r"footer|masthead|cookies?|consent|notices?|alert|gdpr|popup|modal|overlay|comments?|replies|reply|"
                   r"respond|disqus|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|sign-?up|login|"
                   r"search\w*|pagination|pager|tags|widget|toolbar|skip|copyright|legal|byline-links|"
-                  r"complementary|contentinfo|navigation|dialog)(?:$|[\s_-])", re.I)
+                  r"complementary|contentinfo|navigation|dialog", re.I)
+#: Words that may stand beside them in one name: a name with any other word is no mark.
+BESIDE = re.compile(r"top|bottom|left|right|main|site|page|global|primary|secondary|header|head|foot|inner|outer|upper|lower|"
+                    r"wrap\w*|container|box|area|section|block|bar|row|col|column|panel|pane|group|list|items?|links?|"
+                    r"buttons?|btns?|icons?|form|field|input|results?|thread|text|title|body|overlay|slot|unit|"
+                    r"posts?|articles?|stories|story|news|media|up|in|out|to|this|the|and|for|js|l|m|s|x|\d\w*", re.I)
+#: Marks that are never around an article, however much text they hold.
+FIRM = re.compile(r"comments?|replies|reply|respond|disqus|cookies?|consent|gdpr", re.I)
 MAIN_HINT = re.compile(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody\b", re.I)
-ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(SILENT) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-                   r"|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S | re.I)
+ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in SILENT}
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 LETTERS = re.compile(r"[^\W\d_]+")
 
 LONG, SHORT, DENSE, LINKED = 140, 60, 0.08, 0.4
 
 
+def mark(attributes: str) -> str:
+    """"firm", "loose" or "" (none): whether a name in the attributes marks boilerplate. A name
+    counts as a whole: ``share-buttons`` is a mark, ``has-sidebar`` is none."""
+    found = ""
+    for key, *values in ATTRIBUTE.findall(attributes):
+        value = values[0] or values[1] or values[2]
+        for name in [value] if key.lower() == "aria-label" else value.split():
+            words = [w for w in re.split(r"[\s_-]+", name) if w]
+            hints = [w for w in words if HINT.fullmatch(w)]
+            if HINT.fullmatch(name) or (hints and all(HINT.fullmatch(w) or BESIDE.fullmatch(w) for w in words)):
+                if any(FIRM.fullmatch(w) for w in words):
+                    return "firm"
+                found = "loose"
+    return found
+
+
 def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
     """(text, share of it in links, inside boilerplate, inside an article) in page order."""
-    out: list[tuple[str, float, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, boilerplate, article
+    out: list[tuple[str, float, bool, bool, tuple[int, ...]]] = []
+    # open elements: name, boilerplate, article, the marks they are in
+    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []
+    marks: list[tuple[bool, bool]] = []  # loose, inside an article
     text: list[str] = []
     linked = [0]
     links = 0
+    head = False
+    unclosed: set[str] = set()
 
     def flush():
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            _, apart, article = stack[-1] if stack else ("", False, False)
-            out.append((joined, min(1.0, linked[0] / len(joined)), apart, article))
+            _, apart, article, within = stack[-1] if stack else ("", False, False, ())
+            out.append((joined, min(1.0, linked[0] / len(joined)), apart, article, within))
         text.clear()
         linked[0] = 0
 
-    for m in TOKEN.finditer(page):
-        _, close, name, attributes, data = m.groups()
+    at = 0
+    while at < len(page):
+        m = TOKEN.match(page, at)
+        at = m.end()
+        close, name, attributes, data = m.groups()
         if data is not None:
+            if head and data.strip():
+                head = False
             text.append(data)
             if links:
                 linked[0] += len(data.strip())
             continue
-        if name is None:  # comments, declarations, silent elements
+        if name is None:  # comments, declarations
             continue
         name = name.lower()
+        if name in CLOSE:
+            # one that is not closed is passed over, as its tag alone; a script or style has the rest
+            if not close and not SELF_CLOSED.search(attributes):
+                end = None if name in unclosed else CLOSE[name].search(page, at)
+                if end:
+                    at = end.end()
+                elif name in ("script", "style"):
+                    at = len(page)
+                else:
+                    unclosed.add(name)
+            if name in HEAD:
+                continue
+        if name == "head":
+            head = not close
+            continue
+        if head and not close and name not in HEAD:
+            head = False
         if close:
             if name == "a":
                 links = max(0, links - 1)
             elif name in BLOCKS:
                 flush()
-                for at in range(len(stack) - 1, -1, -1):
-                    if stack[at][0] == name:
-                        del stack[at:]
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == name:
+                        del stack[i:]
                         links = 0
                         break
             continue
@@ -113,15 +169,40 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
                 stack.pop()
             if name in VOID:
                 continue
-            _, apart, article = stack[-1] if stack else ("", False, False)
-            marks = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(attributes)) if attributes else ""
-            outside = name in APART or (name == "header" and not article) or bool(marks and HINT.search(marks))
-            if name in ("body", "html"):
-                outside = False
+            _, apart, article, within = stack[-1] if stack else ("", False, False, ())
             inside = name in ARTICLE or bool(attributes and MAIN_HINT.search(attributes))
-            stack.append((name, apart or outside, article or inside))
+            marked = "" if inside or name in ("body", "html") or not attributes else mark(attributes)
+            if marked:
+                marks.append((marked == "loose", article))
+                within = (*within, len(marks) - 1)
+            outside = name in APART or (name == "header" and not article)
+            stack.append((name, apart or outside, article or inside, within))
     flush()
-    return out
+    void = void_marks(out, marks)
+    return [(t, share, apart or not void.issuperset(within), article) for t, share, apart, article, within in out]
+
+
+def void_marks(out: list[tuple[str, float, bool, bool, tuple[int, ...]]], marks: list[tuple[bool, bool]]) -> set[int]:
+    """Loose marks that stand around the page's only article, or around most of the long text (of
+    the article, if one stands outside all marks, else of the page)."""
+    if not marks:
+        return set()
+
+    def alone(block) -> bool:
+        return block[3] and not block[2] and all(marks[i][1] for i in block[4])
+
+    free = any(alone(block) for block in out)
+    every, held, around = 0, [0] * len(marks), [False] * len(marks)
+    for block in out:
+        text, linked, apart, article, within = block
+        if apart or (free and not alone(block)):
+            continue
+        n = len(text) if len(text) >= LONG and linked <= LINKED else 0
+        every += n
+        for i in within:
+            held[i] += n
+            around[i] = around[i] or (article and not marks[i][1])
+    return {i for i, (loose, _) in enumerate(marks) if loose and (around[i] or 2 * held[i] > every)}
 
 
 def main_text(page: str | None) -> str:

@@ -41,6 +41,27 @@ def test_short_blocks_follow_their_neighbours():
     assert main_text(page) == PARA * 2 + "near text"
 
 
+def test_marks_around_the_article_are_no_boilerplate():
+    body = " ".join((PARA * 2).split())
+    for before, after in (('<div class="layout has-sidebar">', "</div>"), ('<main class="no-comments">', "</main>"),
+                          ('<article id="legal-ruling-2024">', "</article>"), ('<div class="widget"><article>', "</article></div>"),
+                          ('<div class="social">', "</div>"), ('<section aria-label="Legal ruling of 2024">', "</section>")):
+        assert main_text(f"{before}<p>{PARA * 2}</p>{after}") == body, before
+    related = f'<div class="related"><article><p>{PARA * 3}</p></article></div>'
+    assert main_text(f"<article><p>{PARA * 2}</p></article>{related}") == body
+    assert main_text(f"<p>{PARA * 2}</p><div class='comments'><p>{PARA * 9}</p></div>") == body
+
+
+def test_unclosed_silent_elements_lose_no_text():
+    body = " ".join((PARA * 2).split())
+    for page in (f"<html><head><title>T</title><meta charset=u><body><p>{PARA * 2}</p></body></html>",
+                 f"<head><title>T</title><style>p{{}}</style><p>{PARA * 2}</p>", f"<head><title>T</title>{PARA * 2}",
+                 f"<svg class='i' /><p>{PARA * 2}</p><svg><text>x</text></svg>", f"<svg/><p>{PARA * 2}</p>",
+                 f"<svg><p>{PARA * 2}</p>", f"<head><script>a = '<p>no</p>'</script></head><p>{PARA * 2}</p>"):
+        assert main_text(page) == body, page
+    assert len(main_text("<button>" * 20_000 + f"<p>{PARA * 2}</p>")) >= len(body)
+
+
 def test_broken_and_empty_pages(spark):
     for page in (None, "", "   ", "<", "<p", "<<<>>>", "<!--", "<script>x", "</p></div>", "&nbsp;&bogus;"):
         assert isinstance(main_text(page), str)
