@@ -20,6 +20,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,7 +70,7 @@ class Model:
         for lang, kind, item, n in rows:
             counts[kind, item][at[lang]] += n
         self.index: list[dict[str, int]] = [{} for _ in range(LONGEST_GRAM + 1)]
-        table = []
+        table, seen = [], []
         for kind in range(LONGEST_GRAM + 1):
             items = sorted(item for k, item in counts if k == kind)
             if not items:
@@ -77,9 +78,11 @@ class Model:
             c = np.array([counts[kind, i] for i in items])
             # smoothing as of an item seen half a time, the same for all languages
             table.append(np.log(c + 0.5) - np.log(np.maximum(c.sum(0), 1.0) + 0.5 * len(items)))
+            seen.append(c > 0)
             start = sum(map(len, table[:-1]))
             self.index[kind] = {item: start + i for i, item in enumerate(items)}
         self.table = np.concatenate(table).astype(np.float32) if table else np.zeros((0, len(self.langs)), np.float32)
+        self.seen = np.concatenate(seen) if seen else np.zeros((0, len(self.langs)), bool)
 
 
 class Scorer:
@@ -91,6 +94,31 @@ class Scorer:
         self.rows = dict(self.m.index[0])
         self.used = len(self.m.table)
         self.table = np.vstack([self.m.table, np.zeros((1 << 14, len(self.m.langs)), np.float32)])
+        self.fits: dict[str, np.ndarray] = {}
+
+    def _fit(self, word: str) -> np.ndarray:
+        """How far the word is known to each language: 1, or the share of its 2-grams (1-grams of a
+        single letter) that are. Borders do not count: every language has them."""
+        n = min(2, len(word))
+        index, seen = self.m.index[n], self.m.seen
+        parts = [word[i:i + n] for i in range(len(word) - n + 1)]
+        share = sum((seen[index[g]].astype(np.float32) for g in parts if g in index), np.zeros(len(self.m.langs), np.float32))
+        at = self.m.index[0].get(word)
+        return np.maximum(share / len(parts), seen[at] if at is not None else 0)
+
+    def fit(self, text: str | None) -> float:
+        """Mean over the words of ``text`` of how far they are known to a language, that of the
+        language that knows most; it does not grow with the length. Without a letter 0; 1 if there
+        is no language to compare with."""
+        words = Counter(WORD.findall((text or "").lower()))
+        if not words or not self.m.langs:
+            return float(bool(words))
+        if len(self.fits) > REMEMBERED:
+            self.fits.clear()
+        for w in words.keys() - self.fits.keys():
+            self.fits[w] = self._fit(w)
+        known = np.array([self.fits[w] for w in words])
+        return float((np.fromiter(words.values(), np.float64, len(words)) @ known).max()) / sum(words.values())
 
     def _unseen(self, word: str) -> np.ndarray:
         for n in range(LONGEST_GRAM, 0, -1):
@@ -162,7 +190,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs``, unchanged, whose text has a language with a score of ``least`` or more."""
+    """Rows of ``docs``, unchanged, whose text fits a language by ``least`` or more (see
+    ``Scorer.fit``); all texts with a letter, if no language is known."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     at = names.index(text_col)
@@ -172,7 +201,6 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_col:
         scorer = Scorer(shared.value)
         for batch in batches:
             for part in chunks(batch, at):
-                found = scorer.predict(part.column(at).to_pylist())
-                yield part.filter(np.array([lang != "und" and score >= least for lang, score in found]).tolist())
+                yield part.filter(pa.array([scorer.fit(x) >= least for x in part.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

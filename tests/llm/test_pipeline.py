@@ -11,7 +11,7 @@ import tiktoken  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from brieflane.llm import bpe_fst  # noqa: E402
+from brieflane.llm import bpe_fst, langid  # noqa: E402
 from tests.llm.helpers import SF, brute_components, brute_line_dedup, edge_docs, empty_docs  # noqa: E402
 
 
@@ -86,6 +86,19 @@ def test_last_stage_knows_the_order_of_the_files(spark, tmp_path):
     assert [r.doc_id for r in got] == order
 
 
+def test_language_fit_does_not_follow_the_length(spark):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    learn = [(i, "the house is on the hill and animal taxi hotel", "en", "a", 0) for i in range(20)]
+    learn += [(100 + i, "das haus ist auf dem berg und animal taxi hotel", "de", "a", 0) for i in range(20)]
+    model = langid.fit(spark.createDataFrame(learn, schema), F.lit(True))
+    own = [(1, "taxi hotel", None, "a", 0), (2, "дом на горе " * 100, None, "a", 0), (3, "дом", None, "a", 0),
+           (4, "animal taxi hotel " * 100, None, "a", 0), (5, "123", None, "a", 0)]
+    docs = spark.createDataFrame(own, schema)
+    assert sorted(r.doc_id for r in langid.keep_identified(docs, model).collect()) == [1, 4]
+    # nothing to learn from: every text with a letter stays
+    assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, SF).collect()) == [1, 2, 3, 4]
+
+
 def test_stages_on_edge_rows(spark, tmp_path):
     own = ["doc_id", "text", "lang", "source", "n_chars"]
     for name, start in (("edge", edge_docs(spark, extra=False)), ("extra", edge_docs(spark)), ("empty", empty_docs(spark))):
