@@ -7,8 +7,9 @@ import pytest
 
 from conftest import ROOT, SF_SMALL
 
-sys.path.insert(0, os.path.join(ROOT, "scripts"))
+sys.path[:0] = [ROOT, os.path.join(ROOT, "scripts")]
 
+import __spark_entry__ as se  # noqa: E402
 from brieflane.plans import registry  # noqa: E402
 from oracle_check import TABLES, rows_of, type_mismatches  # noqa: E402
 
