@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brieflane.llm import (ann_crosspolytope, bpe_fst, html_extract, jaccard_join, langid, line_dedup, mixing,
-                           token_counts, topk_pivot, toxicity)
+                           piece_bpe, token_counts, topk_pivot, toxicity)
 from brieflane.llm.common import fold, table
 
 
@@ -69,6 +69,10 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_crosspolytope.neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 SQL_LINE_DEDUP = """
 WITH lines AS (
   SELECT doc_id, text, t.i AS i, t.line AS line, trim(t.line) <> '' AS filled,
@@ -141,7 +145,7 @@ FROM pairs QUALIFY rank <= 10
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_token_counts, op2_line_dedup, op3_jaccard_join, op4_toxicity, op5_language_id, op6_exact_topk,
-             op7_source_mixing, op8_html_extract, op9_bpe, op10_ann]
+             op7_source_mixing, op8_html_extract, op9_bpe, op10_ann, op12_sentencepiece]
     return {f.__name__: f for f in found}
 
 
