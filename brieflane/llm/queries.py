@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brieflane.llm import (ann_crosspolytope, bpe_fst, html_extract, jaccard_join, langid, line_dedup, mixing,
-                           piece_bpe, token_counts, topk_pivot, toxicity)
+                           piece_bpe, token_counts, topk_pivot, toxicity, vector_codes)
 from brieflane.llm.common import fold, table
 
 
@@ -73,6 +73,10 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded(table(spark, sf_dir, "embeddings"))
+
+
 SQL_LINE_DEDUP = """
 WITH lines AS (
   SELECT doc_id, text, t.i AS i, t.line AS line, trim(t.line) <> '' AS filled,
@@ -142,13 +146,47 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM pairs QUALIFY rank <= 10
 """
 
+SQL_CODES_HEAD = """
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+places AS (SELECT unnest(range(max(len(v)))) AS k, max(len(v)) // 8 AS wide FROM kept),
+comp AS MATERIALIZED (SELECT rid, k // wide AS part, k % wide AS pos, v[k + 1] AS x FROM kept, places),
+seeds AS (SELECT rid, row_number() OVER (ORDER BY vec_id, v) - 1 AS entry FROM kept QUALIFY entry < 16),
+book0 AS MATERIALIZED (SELECT part, entry, pos, x AS c FROM comp JOIN seeds USING (rid))"""
+
+SQL_CODES_ROUND = """,
+near{r} AS MATERIALIZED (
+  SELECT rid, part, entry, d FROM (
+    SELECT rid, part, entry, sum((x - c) * (x - c)) AS d FROM comp JOIN book{r} USING (part, pos) GROUP BY rid, part, entry)
+  QUALIFY row_number() OVER (PARTITION BY rid, part ORDER BY d, entry) = 1)"""
+
+SQL_CODES_UPDATE = """,
+sums{r} AS (SELECT part, entry, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+           FROM comp JOIN near{r} USING (rid, part) GROUP BY part, entry, pos),
+book{next} AS MATERIALIZED (
+  SELECT part, entry, pos, CASE WHEN n IS NULL THEN c ELSE (s - ((s % n) + n) % n) // n END AS c
+  FROM book{r} LEFT JOIN sums{r} USING (part, entry, pos))"""
+
+SQL_CODES_TAIL = """,
+coded AS (SELECT rid, string_agg(printf('%02x', CAST(entry AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error
+          FROM near6 GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM book6) AS codebooks_sha256
+FROM coded JOIN kept USING (rid)
+"""
+
+SQL_CODES = (SQL_CODES_HEAD + "".join(SQL_CODES_ROUND.format(r=r) + SQL_CODES_UPDATE.format(r=r, next=r + 1) for r in range(6))
+             + SQL_CODES_ROUND.format(r=6) + SQL_CODES_TAIL)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_token_counts, op2_line_dedup, op3_jaccard_join, op4_toxicity, op5_language_id, op6_exact_topk,
-             op7_source_mixing, op8_html_extract, op9_bpe, op10_ann, op12_sentencepiece]
+             op7_source_mixing, op8_html_extract, op9_bpe, op10_ann, op12_sentencepiece, op13_vector_codes]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_line_dedup": SQL_LINE_DEDUP.replace("{docs}", "documents"), "op6_exact_topk": SQL_TOPK,
-            "op7_source_mixing": SQL_MIXING}
+            "op7_source_mixing": SQL_MIXING, "op13_vector_codes": SQL_CODES}
