@@ -34,7 +34,9 @@ from brieflane.llm.common import map_texts
 
 SPACE = "▁"
 #: Parts of texts whose ids a task remembers, and the longest that it does; beyond the number it starts anew.
-REMEMBERED_PARTS, REMEMBERED_LENGTH = 250_000, 64
+REMEMBERED_PARTS, REMEMBERED_LENGTH = 400_000, 64
+#: Longest part that is merged by a scan over its pairs; longer ones by a heap.
+SHORT_PART = 96
 #: Fixed values of the model file: kinds of pieces, kind of model.
 NORMAL, UNKNOWN, CONTROL, BYTE, BPE = 1, 2, 3, 6, 2
 
@@ -156,6 +158,7 @@ class PieceModel:
         self.space = SPACE if rules.get(5, 1) else " "
         self.map = CharacterMap(rules.get(2, b""))
         self.id_of = {n: i for i, (n, k) in enumerate(zip(self.names, self.kinds)) if k == NORMAL}
+        self.cost = {n: -self.scores[i] for n, i in self.id_of.items()}
         self.controls = {i for i, k in enumerate(self.kinds) if k == CONTROL}
         self.byte_ids = [0] * 256
         for i, (n, k) in enumerate(zip(self.names, self.kinds)):
@@ -197,16 +200,42 @@ class PieceModel:
     def merge(self, part: str) -> list[int]:
         """Ids of one part: the pair of neighbours with the best score is joined, the left one of
         equals, until no pair is a piece."""
-        texts: list[str] = list(part)
+        out: list[int] = []
+        for t in (self._merge_short if len(part) <= SHORT_PART else self._merge_long)(part):
+            i = self.id_of.get(t)
+            if i is None:
+                out += [self.byte_ids[x] for x in t.encode()]
+            else:
+                out.append(i)
+        return out
+
+    def _merge_short(self, part: str) -> list[str]:
+        texts, cost, none = list(part), self.cost.get, float("inf")
+        costs = [cost(a + b, none) for a, b in zip(texts, texts[1:])]
+        while costs:
+            least = min(costs)
+            if least == none:
+                break
+            at = costs.index(least)
+            texts[at] += texts.pop(at + 1)
+            del costs[at]
+            if at:
+                costs[at - 1] = cost(texts[at - 1] + texts[at], none)
+            if at < len(costs):
+                costs[at] = cost(texts[at] + texts[at + 1], none)
+        return texts
+
+    def _merge_long(self, part: str) -> list[str]:
+        texts = list(part)
         before, after = list(range(-1, len(texts) - 1)), list(range(1, len(texts) + 1))
         heap: list[tuple[float, int, int, int]] = []
 
         def offer(a: int, b: int) -> None:
             if a >= 0 and b < len(texts):
                 pair = texts[a] + texts[b]
-                i = self.id_of.get(pair)
-                if i is not None:
-                    heapq.heappush(heap, (-self.scores[i], a, b, len(pair)))
+                cost = self.cost.get(pair)
+                if cost is not None:
+                    heapq.heappush(heap, (cost, a, b, len(pair)))
 
         for a in range(len(texts) - 1):
             offer(a, a + 1)
@@ -221,27 +250,22 @@ class PieceModel:
                 before[after[b]] = a
             offer(before[a], a)
             offer(a, after[a])
-        out: list[int] = []
-        for t in texts:
-            if t:
-                i = self.id_of.get(t)
-                out += [self.byte_ids[x] for x in t.encode()] if i is None else [i]
-        return out
+        return [t for t in texts if t]
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids without begin and end, and the original bytes at which each piece begins and ends."""
         normal, origin = self.normalize(text)
         if len(self.known) > REMEMBERED_PARTS:
             self.known.clear()
-        found = []
-        for part in self.parts.findall(normal):
-            ids = self.known.get(part)
-            if ids is None:
-                ids = np.array(self.merge(part), "<u4").tobytes()
-                if len(part) <= REMEMBERED_LENGTH:
-                    self.known[part] = ids
-            found.append(ids)
-        ids = np.frombuffer(b"".join(found), "<u4")
+        parts, known = self.parts.findall(normal), self.known
+        new = set(parts).difference(known)
+        for part in new:
+            ids = self.merge(part)
+            known[part] = struct.pack(f"<{len(ids)}I", *ids)
+        ids = np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u4")
+        for part in new:
+            if len(part) > REMEMBERED_LENGTH:
+                del known[part]
         at = np.concatenate([[0], np.cumsum(self.sizes[ids])])
         return ids, origin[at[:-1]], origin[at[1:]]
 
