@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brieflane.llm import (ann_crosspolytope, bpe_fst, html_extract, jaccard_join, langid, line_dedup, mixing,
+from brieflane.llm import (ann_crosspolytope, bpe_fst, hard_negatives, html_extract, jaccard_join, langid, line_dedup, mixing,
                            piece_bpe, token_counts, topk_pivot, toxicity, vector_codes)
 from brieflane.llm.common import fold, table
 
@@ -69,6 +69,11 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_crosspolytope.neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabel = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, relabel)
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -145,6 +150,27 @@ pairs AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM pairs QUALIFY rank <= 10
 """
+SQL_NEGATIVES = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CAST(r.label AS BIGINT) AS label, r.e AS e FROM (
+    SELECT vec_id, min({'e': list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))),
+                        'label': CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END}) AS r
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id)),
+pairs AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, o.vec_id AS vec_id, a.label = o.label AS same, CAST(list_dot_product(a.e, o.e) AS BIGINT) AS score
+  FROM v a JOIN v o ON a.vec_id % 50 = 0 AND o.vec_id <> a.vec_id AND len(a.e) = len(o.e)),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+       n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same
+ AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
+QUALIFY rank <= 3
+"""
+
 
 SQL_CODES_HEAD = """
 WITH kept AS MATERIALIZED (
@@ -183,10 +209,12 @@ SQL_CODES = (SQL_CODES_HEAD + "".join(SQL_CODES_ROUND.format(r=r) + SQL_CODES_UP
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_token_counts, op2_line_dedup, op3_jaccard_join, op4_toxicity, op5_language_id, op6_exact_topk,
-             op7_source_mixing, op8_html_extract, op9_bpe, op10_ann, op12_sentencepiece, op13_vector_codes]
+             op7_source_mixing, op8_html_extract, op9_bpe, op10_ann, op11_hard_negatives,
+             op12_sentencepiece, op13_vector_codes]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_line_dedup": SQL_LINE_DEDUP.replace("{docs}", "documents"), "op6_exact_topk": SQL_TOPK,
-            "op7_source_mixing": SQL_MIXING, "op13_vector_codes": SQL_CODES}
+            "op7_source_mixing": SQL_MIXING, "op11_hard_negatives": SQL_NEGATIVES,
+            "op13_vector_codes": SQL_CODES}
