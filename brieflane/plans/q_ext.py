@@ -47,15 +47,63 @@ def stream_posts_daily(spark, sf_dir):
     return posts_stream.daily_counts(spark.read.parquet(out))
 
 
-def _landed_stream(spark, sf_dir):
-    """The landed responses, delivered twice, as a stream of posts; the files of a micro-batch
-    come from ``brieflane.stream.filesPerTrigger`` (small in tests, so that state is carried)."""
+FETCHED = fx.EPOCH_2024 + 31 * 86400  # fetched just after the 30-day data window
+
+
+def _files_per_trigger(spark):
+    """Files of a micro-batch: ``brieflane.stream.filesPerTrigger`` (small in tests, so that state is carried)."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", posts_stream.ROCKSDB)
+    return int(spark.conf.get("brieflane.stream.filesPerTrigger", "1000"))
+
+
+def _landed(spark, sf_dir, deliveries=2):
     landing = posts_stream.shared_folder(spark, "landing")
-    fetched = fx.EPOCH_2024 + 31 * 86400  # fetched just after the 30-day data window
-    posts_stream.land_responses(fx.post_responses(spark, sf_dir), landing, fetched, deliveries=2)
-    n = int(spark.conf.get("brieflane.stream.filesPerTrigger", "1000"))
-    return posts_stream.stream_posts(spark, landing, max_files_per_trigger=n)
+    posts_stream.land_responses(fx.post_responses(spark, sf_dir), landing, FETCHED, deliveries)
+    return landing
+
+
+def _landed_stream(spark, sf_dir):
+    """The landed responses, delivered twice, as a stream of posts."""
+    n = _files_per_trigger(spark)
+    return posts_stream.stream_posts(spark, _landed(spark, sf_dir), max_files_per_trigger=n)
+
+
+@query("stream_windowed_counts", with_views(["posts"], f"""
+SELECT TIMESTAMP '1970-01-01 00:00:00' + to_seconds(CAST({FETCHED} + (day * 86400) AS BIGINT)) AS window_start,
+       subreddit, CAST(created_utc AS DATE) AS created_day, count(*) AS n_posts,
+       CAST(sum(score + num_comments) AS BIGINT) AS engagement
+FROM (SELECT subreddit, created_utc, score, num_comments, CAST(floor(resp_order / 100) AS BIGINT) % 3 AS day FROM posts
+      UNION ALL SELECT 'src7', TIMESTAMP '2024-01-01 00:00:00', 1, 2, 0) GROUP BY 1, 2, 3"""))
+def stream_windowed_counts(spark, sf_dir):
+    """K3: landed responses, delivered twice over three days -> file stream -> ingest -> watermark
+    -> de-dup -> counts per fetch day, subreddit and day of creation, all in the stream (append
+    mode). A last poll that finds nothing closes the windows. Equals the batch result."""
+    n = _files_per_trigger(spark)
+    landing, out = (posts_stream.shared_folder(spark, name) for name in ("landing", "windowed"))
+    responses = fx.post_responses(spark, sf_dir).withColumn("late_by", F.greatest(F.col("page"), F.lit(0)) % 3 * 86400)
+    posts_stream.land_responses(responses, landing, FETCHED, 2, F.col("late_by"))
+    posts_stream.land_responses(posts_stream.empty_poll(spark), f"{landing}/close", FETCHED + 30 * 86400, 1)
+    posts = posts_stream.unique_posts(posts_stream.read_landing(spark, landing, n), "5 days")
+    posts_stream.run_available_now(posts_stream.windowed_counts(posts), out, posts_stream.shared_folder(spark, "windowed-ckpt"))
+    counts = spark.read.parquet(out)
+    return counts.select(fx.epoch_to_ntz(F.unix_seconds("window_start")).alias("window_start"), "subreddit", "created_day",
+                         "n_posts", "engagement")
+
+
+@query("stream_dead_letters", """
+SELECT 'post' AS kind, CAST(NULL AS VARCHAR) AS reason, CAST(2 * (count(*) + 1) AS BIGINT) AS n FROM documents
+UNION ALL SELECT * FROM (VALUES ('post', 'bad score', CAST(4 AS BIGINT)), ('post', 'bad created_utc', 2),
+  ('post_response', 'malformed JSON', 2), ('post_response', 'HTTP 503', 2), ('post_response', 'HTTP without status', 2),
+  ('post_response', 'empty body', 4))""")
+def stream_dead_letters(spark, sf_dir):
+    """A8 in the stream: every micro-batch into a table of good posts and one of dead letters;
+    good + bad = input (each response is delivered twice)."""
+    n, folder = _files_per_trigger(spark), posts_stream.shared_folder(spark, "letters")
+    raw = posts_stream.read_landing(spark, _landed(spark, sf_dir), n)
+    posts_stream.split_sinks(raw, folder, posts_stream.shared_folder(spark, "letters-ckpt"))
+    good = spark.read.parquet(f"{folder}/good").select(F.lit("post").alias("kind"), F.lit(None).cast("string").alias("reason"))
+    bad = spark.read.parquet(f"{folder}/bad").select("kind", "reason")
+    return good.unionByName(bad).groupBy("kind", "reason").agg(F.count("*").alias("n"))
 
 
 @query("stream_top_posts", with_views(["posts"], """

@@ -59,3 +59,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what lies in a folder of any file system that Spark reads (none, if it is missing)."""
+    place, fs = _place(spark, folder)
+    return [f.getPath().getName() for f in fs.listStatus(place)] if fs.exists(place) else []
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes an intermediate table of the library that no plan reads any more."""
+    place, fs = _place(spark, path)
+    fs.delete(place, True)

@@ -47,11 +47,13 @@ def response_reason() -> Column:
             .when(F.col("j").isNull() | F.col("j._corrupt_record").isNotNull(), F.lit("malformed JSON")))
 
 
-def envelope_children(parsed: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Every child of the usable responses, typed, with ``reason`` where a value of it is bad."""
+def envelope_children(parsed: DataFrame, carry: tuple[str, ...] = (), outer: bool = False) -> DataFrame:
+    """Every child of the usable responses, typed, with ``reason`` where a value of it is bad.
+    ``outer`` gives a response without children a row, too (with reason ``no data``)."""
+    explode = F.posexplode_outer if outer else F.posexplode
     kids = parsed.where(response_reason().isNull()).select(
         "response_id", F.col("subreddit").alias("req_subreddit"), "search_term", *carry,
-        F.posexplode(F.col("j.data.children")).alias("resp_pos", "c"))
+        explode(F.col("j.data.children")).alias("resp_pos", "c"))
     d = F.col("c.data")
     score, comments = d["score"].try_cast("bigint"), d["num_comments"].try_cast("bigint")
     epoch = epoch_seconds_to_ntz(F.coalesce(d["created_utc"].try_cast("double"), F.when(d["created_utc"].isNull(), F.lit(0.0))))
@@ -68,13 +70,14 @@ def envelope_children(parsed: DataFrame, carry: tuple[str, ...] = ()) -> DataFra
         "search_term", "response_id", F.col("resp_pos").cast("bigint").alias("resp_pos"), *carry, reason.alias("reason"))
 
 
-def envelope_posts(parsed: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def envelope_posts(parsed: DataFrame, carry: tuple[str, ...] = (), outer: bool = False) -> DataFrame:
     """A1 + A2: unwrap data.children[].data into typed posts with defaults.
 
     Missing `data`/`children` (or null children) yields no rows; missing counts and
     times become 0, missing body text '', missing subreddit the searched one.
-    ``carry`` names response-level columns copied onto every post."""
-    good = envelope_children(parsed, carry).where(F.col("reason").isNull()).drop("reason")
+    ``carry`` names response-level columns copied onto every post. ``outer`` changes no row; on
+    a stream it lets responses without posts move the watermark."""
+    good = envelope_children(parsed, carry, outer).where(F.col("reason").isNull()).drop("reason")
     return schemas.conform(good, schemas.POSTS)
 
 
