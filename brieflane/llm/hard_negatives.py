@@ -43,7 +43,7 @@ from brieflane.llm.vectors import matrix
 #: Rows of a block, anchors of a task, rows that the codebooks come from.
 BLOCK_ROWS, QUERY_ROWS, SAMPLE_ROWS = 8192, 4096, 8192
 #: Rows for each cell that the codebook size aims at, and the most entries of a codebook.
-CELL_ROWS, MOST_ENTRIES = 16, 256
+CELL_ROWS, MOST_ENTRIES = 64, 256
 LIMIT, LONG, EXACT = 1 << 60, (1 << 63) - 1, 1 << 52
 
 
@@ -199,7 +199,9 @@ class Block:
         wide, step, spans, held = len(second), 128, [], 0
 
         def take() -> None:
-            rows = np.concatenate([np.arange(a, b) for a, b in spans])
+            starts, ends = np.array(spans).T
+            sizes = ends - starts
+            rows = np.repeat(ends - np.cumsum(sizes), sizes) + np.arange(sizes.sum())
             scores = self.scores(spans, q, whole)
             other = self.ids[rows] != query
             wanted.add(self.ids[rows][other], self.labels[rows][other], scores[other])
