@@ -101,6 +101,7 @@ VIDEOS_PER_ENTITY = 10     # what one video search returns
 TOP_POSTS = 10
 RECENT_NEWS = 5
 TOP_VIDEOS = 5
+TOP_SUBREDDITS = 5
 TRANSCRIPT_SUMMARY_CHARS = 500
 
 # FIXED VALUES — report texts.

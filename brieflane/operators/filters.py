@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +70,27 @@ def text_grams(text: Column) -> Column:
     return F.get(F.transform(F.array(chars), grams), 0)
 
 
+def term_pieces(terms: DataFrame, term_col: str) -> DataFrame:
+    """(_term, _piece, _gram) of the distinct non-null terms: a term's longest piece without a space,
+    which must lie inside a word of any text that holds the term, and its first characters."""
+    pieces = F.split(F.col(term_col), " ")
+    longest = F.element_at(F.array_sort(F.transform(pieces, lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), -1)["x"]
+    keyed = terms.where(F.col(term_col).isNotNull()).select(F.col(term_col).alias("_term"), longest.alias("_piece")).distinct()
+    return keyed.withColumn("_gram", F.substring("_piece", 1, GRAM))
+
+
+def words_with_pieces(grams: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(_word, _term): words of a gram table (_gram, _word) that hold the piece of a term."""
+    near = grams.join(pieces.where(F.col("_piece") != ""), "_gram")
+    return near.where(F.col("_word").contains(F.col("_piece"))).select("_word", "_term").distinct()
+
+
+def distinct_words(rows: DataFrame, row_id: str, text: Column, *keep: str) -> DataFrame:
+    """(_rid, keep..., _word): the distinct words of every text."""
+    words = F.explode(F.array_distinct(F.split(text, " "))).alias("_word")
+    return rows.where(text.isNotNull()).select(F.col(row_id).alias("_rid"), *keep, words).where(F.col("_word") != "")
+
+
 def substring_matches(df: DataFrame, text: Column, terms: DataFrame, term_col: str, row_id: str) -> DataFrame:
     """Rows of ``df`` joined to every row of ``terms`` whose term occurs in ``text`` (compared as
     given; an empty term occurs in every text, a null one in none). ``row_id`` is a unique key
@@ -81,50 +102,54 @@ def substring_matches(df: DataFrame, text: Column, terms: DataFrame, term_col: s
     an equi-join, ``contains`` decides, and the matching words are joined back to their rows. A
     term with a space is then looked for in the text itself, on those rows only. Words that
     very many texts hold make large join partitions, which adaptive execution splits.
+    ``word_index`` keeps the words of landed texts, so that they are split only once.
     """
-    by_term = terms.where(F.col(term_col).isNotNull())
-    pieces = F.split(F.col("_term"), " ")
-    longest = F.element_at(F.array_sort(F.transform(pieces, lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), -1)["x"]
-    keyed = by_term.select(F.col(term_col).alias("_term")).distinct().withColumn("_piece", longest)
-    keyed = keyed.withColumn("_gram", F.substring("_piece", 1, GRAM))
-    src = df.select(F.col(row_id).alias("_rid"), text.alias("_text")).where(F.col("_text").isNotNull())
-    words = src.select("_rid", F.explode(F.array_distinct(F.split("_text", " "))).alias("_word"))
-    vocabulary = words.select("_word").distinct()
-    near = (vocabulary.select("_word", F.explode(text_grams(F.col("_word"))).alias("_gram"))
-            .join(keyed.where(F.col("_piece") != ""), "_gram").where(F.col("_word").contains(F.col("_piece"))).select("_word", "_term"))
-    found = words.join(near, "_word").select("_rid", "_term").distinct()
+    words = distinct_words(df, row_id, text)
+    grams = words.select("_word").distinct().select("_word", F.explode(text_grams(F.col("_word"))).alias("_gram"))
+    found = words.join(words_with_pieces(grams, term_pieces(terms, term_col)), "_word").select("_rid", "_term").distinct()
     spaced = F.instr("_term", " ") > 0
     hits = found.where(~spaced).unionByName(
-        src.join(found.where(spaced), "_rid").where(F.col("_text").contains(F.col("_term"))).select("_rid", "_term"))
+        df.select(F.col(row_id).alias("_rid"), text.alias("_text")).join(found.where(spaced), "_rid")
+        .where(F.col("_text").contains(F.col("_term"))).select("_rid", "_term"))
+    return rows_of_hits(df, hits, terms, term_col, row_id).unionByName(blank_matches(df, text, terms, term_col, row_id))
+
+
+def rows_of_hits(df: DataFrame, hits: DataFrame, terms: DataFrame, term_col: str, row_id: str) -> DataFrame:
+    """``df`` joined to ``terms`` by (_rid, _term) pairs."""
+    by_term = terms.where(F.col(term_col).isNotNull())
     out = hits.join(by_term, F.col("_term") == by_term[term_col]).drop("_term")
-    out = df.join(out.withColumnRenamed("_rid", row_id), row_id)
-    blank = by_term.where(F.trim(term_col) == "")  # empty, or spaces only
-    every = _with_every(df.where(text.isNotNull()), blank, row_id).where(text.contains(F.col(term_col)))
-    return out.unionByName(every)
+    return df.join(out.withColumnRenamed("_rid", row_id), row_id)
+
+
+def blank_matches(df: DataFrame, text: Column, terms: DataFrame, term_col: str, row_id: str) -> DataFrame:
+    """Rows with the terms that are empty or spaces only, which have no piece."""
+    blank = terms.where(F.col(term_col).isNotNull() & (F.trim(term_col) == ""))
+    return _with_every(df.where(text.isNotNull()), blank, row_id).where(text.contains(F.col(term_col)))
 
 
-def _with_every(df: DataFrame, few: DataFrame, row_id: str, parts: int = 16) -> DataFrame:
+def _with_every(df: DataFrame, few: DataFrame, row_id: str) -> DataFrame:
     """Every row of ``df`` with every row of ``few`` (what a trivially true query returns), as an
-    equi-join on a part number."""
+    equi-join on a part number. There are as many parts as the session's shuffles have partitions."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = df.withColumn("_part", F.pmod(F.xxhash64(row_id), F.lit(parts)).cast("int"))
     right = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     return left.join(right, "_part").drop("_part")
 
 
 def cnf_matches(df: DataFrame, row_id: str, text: Column, queries: DataFrame, keys: Sequence[str],
-                cnf_col: str = "cnf") -> DataFrame:
+                cnf_col: str = "cnf", match: Callable[..., DataFrame] = substring_matches) -> DataFrame:
     """Rows of ``df`` joined to every query row (``keys`` + CNF) whose CNF holds on ``text``,
     as ``matches_cnf`` has it: terms are looked for in lower(text), no group is always true, an
     empty group never.
 
-    A (row, query) pair matches when every OR-group has a hit; hits come from
-    ``substring_matches``.
+    A (row, query) pair matches when every OR-group has a hit; hits come from ``match``
+    (``substring_matches``, or a ``word_index`` of the texts).
     """
     low = F.lower(text)
     q = queries.select(*keys, cnf_col).distinct()
     groups = q.select(*keys, F.size(cnf_col).alias("_ng"), F.posexplode(cnf_col).alias("_g", "_grp"))
     terms = groups.select(*keys, "_ng", "_g", F.explode("_grp").alias("_term_of")).distinct()
-    hits = substring_matches(df.select(row_id, low.alias("_t")), F.col("_t"), terms, "_term_of", row_id)
+    hits = match(df.select(row_id, low.alias("_t")), F.col("_t"), terms, "_term_of", row_id)
     n_hit = hits.select(row_id, *keys, "_ng", "_g").distinct().groupBy(row_id, *keys, "_ng").agg(F.count("*").alias("_hit"))
     ok = n_hit.where(F.col("_hit") == F.col("_ng")).select(row_id, *keys)
     every = _with_every(df.where(text.isNotNull()).select(row_id), q.where(F.size(cnf_col) == 0).select(*keys), row_id)

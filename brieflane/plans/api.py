@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from brieflane import fixed
 from brieflane.operators import config as cfgops
 from brieflane.operators import filters, ranking
+from brieflane.operators.word_index import WordIndex
 
 ENTITY_KEYS = ("entity", "entity_pos", "timeframe")
 
@@ -107,17 +108,35 @@ class Sources:
         self.segments = segments
 
 
-def news_matches(articles: DataFrame, entities: DataFrame) -> DataFrame:
-    """B7 + C3: articles whose title and description satisfy an entity's boolean query."""
+def news_text() -> Column:
+    """What a news query looks at; a word index of articles holds this text."""
+    return F.lower(F.concat_ws(" ", "title", "description"))
+
+
+def news_matches(articles: DataFrame, entities: DataFrame, index: WordIndex | None = None) -> DataFrame:
+    """B7 + C3: articles whose title and description satisfy an entity's boolean query, by the
+    articles' word ``index`` where there is one."""
     q = entities.select(*ENTITY_KEYS, cfgops.news_query(F.col("entity")).alias("cnf"))
-    text = F.lower(F.concat_ws(" ", "title", "description"))
-    return filters.cnf_matches(articles, "article_id", text, q, ENTITY_KEYS)
+    match = index.matches if index else filters.substring_matches
+    return filters.cnf_matches(articles, "article_id", news_text(), q, ENTITY_KEYS, match=match)
+
+
+def discover_subreddits(posts: DataFrame, cfg: DataFrame, k: int = fixed.TOP_SUBREDDITS, index: WordIndex | None = None) -> DataFrame:
+    """Per entity, the k subreddits with most posts whose title holds one of its keywords
+    (over all posts, not only configured subreddits), by the titles' word ``index`` where there is one."""
+    p = posts.select("id", "subreddit", F.lower("title").alias("ltitle"))
+    kw = cfg.select("entity", F.explode("keywords").alias("term")).where(F.length("term") > 0).distinct()
+    match = index.matches if index else filters.substring_matches
+    hits = match(p, F.col("ltitle"), kw, "term", "id").select("entity", "id", "subreddit").distinct()
+    counts = hits.groupBy("entity", "subreddit").agg(F.count("*").alias("n_relevant"))
+    top = ranking.top_k(counts, ["entity"], [F.col("n_relevant").desc(), F.col("subreddit")], k)
+    return top.select("entity", "subreddit", "n_relevant", "rank")
 
 
-def news_for_entities(articles: DataFrame, entities: DataFrame, cap: int | None = None) -> DataFrame:
+def news_for_entities(articles: DataFrame, entities: DataFrame, cap: int | None = None, index: WordIndex | None = None) -> DataFrame:
     """Articles a news search returns per entity: boolean match, English only; ``cap`` keeps
     the first n in landed (relevance) order, as a search that returns so many would."""
-    hits = news_matches(articles.where(filters.language_is(F.col("language"), "en")), entities)
+    hits = news_matches(articles.where(filters.language_is(F.col("language"), "en")), entities, index)
     if cap is None:
         return hits
     return ranking.request_cap(hits, ENTITY_KEYS, F.col("article_id"), cap).drop("resp_rank")
@@ -154,9 +173,9 @@ def with_summaries(videos: DataFrame, segments: DataFrame | None) -> DataFrame:
     return out.withColumn("transcript_summary", summary).drop("transcript_chars", "transcript_head")
 
 
-def recent_news(articles: DataFrame, entities: DataFrame, k: int = fixed.RECENT_NEWS) -> DataFrame:
+def recent_news(articles: DataFrame, entities: DataFrame, k: int = fixed.RECENT_NEWS, index: WordIndex | None = None) -> DataFrame:
     """I3 news: per entity, the k newest of the articles its news search returns."""
-    news = news_for_entities(articles, entities)
+    news = news_for_entities(articles, entities, index=index)
     return ranking.top_k(news, ENTITY_KEYS, [F.col("publishedAt").desc(), F.col("article_id")], k)
 
 

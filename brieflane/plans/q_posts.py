@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from brieflane import fixed
 from brieflane.operators import config as cfgops
 from brieflane.operators import filters, ranking
-from brieflane.plans import api
+from brieflane.plans import api, indexes
 from brieflane.plans.oracle_views import sql_relevant, with_views
 from brieflane.plans.registry import query
 from brieflane.sources import fixtures as fx
@@ -103,13 +103,9 @@ SELECT entity, subreddit, n_relevant,
 FROM counts QUALIFY rank <= 5"""))
 def subreddit_discovery(spark, sf_dir):
     """For every entity, the 5 subreddits with most posts matching its keywords
-    (over all posts, not only configured subreddits)."""
-    p = fx.posts(spark, sf_dir).select("id", "subreddit", F.lower("title").alias("ltitle"))
-    kw = _cfg(spark).select("entity", F.explode("keywords").alias("term")).where(F.length("term") > 0).distinct()
-    hits = filters.substring_matches(p, F.col("ltitle"), kw, "term", "id").select("entity", "id", "subreddit").distinct()
-    counts = hits.groupBy("entity", "subreddit").agg(F.count("*").alias("n_relevant"))
-    return ranking.top_k(counts, ["entity"], [F.col("n_relevant").desc(), F.col("subreddit")], 5) \
-        .select("entity", "subreddit", "n_relevant", "rank")
+    (over all posts, not only configured subreddits), from the titles' word index."""
+    p = fx.posts(spark, sf_dir)
+    return api.discover_subreddits(p, _cfg(spark), index=indexes.of_posts(spark, sf_dir))
 
 
 @query("engagement_trend", with_views(["relevant"], """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from brieflane import fixed
 from brieflane.operators import filters
-from brieflane.plans import api
+from brieflane.plans import api, indexes
 from brieflane.plans.oracle_views import (lit, register_view, sql_epoch_ntz, sql_iso, sql_window_days,
                                           str_list, with_views)
 from brieflane.plans.registry import query
@@ -190,8 +190,8 @@ def language_filter(spark, sf_dir):
 SELECT entity, article_id, title FROM news_hits"""))
 def news_boolean_query(spark, sf_dir):
     """B7 + C3: articles matching each entity's boolean news query (CNF of substrings
-    over title and description)."""
-    hits = api.news_matches(articles(spark, sf_dir), fx.analyzed_entities(spark))
+    over title and description), from the articles' word index."""
+    hits = api.news_matches(articles(spark, sf_dir), fx.analyzed_entities(spark), indexes.of_articles(spark, sf_dir))
     return hits.select("entity", "article_id", "title")
 
 
@@ -200,7 +200,7 @@ SELECT entity, rank, title, description, source, strftime(publishedAt, '%Y-%m-%d
 FROM recent_news"""))
 def recent_news(spark, sf_dir):
     """The 5 most recent matching English articles per entity."""
-    r = api.recent_news(articles(spark, sf_dir), fx.analyzed_entities(spark))
+    r = api.recent_news(articles(spark, sf_dir), fx.analyzed_entities(spark), index=indexes.of_articles(spark, sf_dir))
     return r.select("entity", "rank", "title", "description", "source", fmt_ts("publishedAt").alias("publishedAt"))
 
 

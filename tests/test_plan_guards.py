@@ -9,7 +9,8 @@ from brieflane.plans import api, registry
 from brieflane.sources import fixtures as fx
 
 # These run jobs while they are built (streams, sinks, model fit); their outputs are checked elsewhere.
-BUILT_BY_RUNNING = {"stream_posts_daily", "stream_top_posts", "stream_windowed_counts", "stream_dead_letters", "quality_classifier", "features_sink", "report_export"}
+BUILT_BY_RUNNING = {"stream_posts_daily", "stream_top_posts", "stream_windowed_counts", "stream_dead_letters",
+                    "quality_classifier", "features_sink", "report_export"}
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - BUILT_BY_RUNNING))
