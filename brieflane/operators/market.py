@@ -24,20 +24,53 @@ def pct_change(cur: Column, prev: Column) -> Column:
     return (cur - prev) / prev * F.lit(100.0)
 
 
+#: Doubles from here on are whole numbers; from the second on, a long does not hold their upper part.
+WHOLE, WIDE = 2.0 ** 62, 2.0 ** 125
+
+
+def bound(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` as a lambda's variable: it is computed once, and the expression
+    holds it once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def whole_digits(a: Column) -> Column:
+    """A whole double that is not negative, in full (2.0 ** 70 is 1180591620717411303424), up to
+    2 ** 125; beyond, with a double's shortest digits."""
+    def wide(high: Column) -> Column:  # dividing by a power of two is exact
+        low = (a - high.cast("double") * WHOLE).cast("bigint").cast("decimal(19,0)")
+        return (high.cast("decimal(19,0)") * F.lit(1 << 62).cast("decimal(19,0)") + low).cast("decimal(38,0)").cast("string")
+
+    return (F.when(a < WHOLE, a.cast("bigint").cast("string"))
+            .when(a < WIDE, bound(F.floor(F.when(a < WIDE, a) / WHOLE).cast("bigint"), wide))
+            .otherwise(F.format_string("%.0f", a)))
+
+
 def fixed_decimals(x: Column, digits: int) -> Column:
-    """``x`` with ``digits`` decimals, rounded as its exact binary value lies between the two
-    neighbours (2.675 is below the middle: 2.67), to the even one in the very middle
-    (0.125: 0.12). For magnitudes up to 2^43."""
+    """``x`` with ``digits`` decimals (one at least), rounded as its exact binary value lies
+    between the two neighbours (2.675 is below the middle: 2.67), to the even one in the very middle
+    (0.125: 0.12). Infinities and NaN print as ``inf``, ``-inf`` and ``nan``."""
     scale = 10 ** digits
-    a = F.abs(x)
-    # a = high + low, high with so few bits that its product with 2 * scale is exact
-    c = a * F.lit(134217729.0)
-    high = c - (c - a)
-    k = F.floor(a * F.lit(float(scale))).cast("bigint")
-    side = (high * F.lit(2.0 * scale) - (2 * k + 1).cast("double")) + (a - high) * F.lit(2.0 * scale)
-    n = k + F.when((side > 0) | ((side == 0) & (k % 2 == 1)), 1).otherwise(0)
-    whole, rest = F.floor(n / scale).cast("bigint").cast("string"), F.lpad((n % scale).cast("string"), digits, "0")
-    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), whole, F.lit("."), rest)
+
+    def hundredths(r: Column) -> Column:
+        """``r`` (0 <= r < 1, exact) in units of the last digit."""
+        # r = high + low, high with so few bits that its product with 2 * scale is exact
+        c = r * F.lit(134217729.0)
+        high = c - (c - r)
+        return bound(F.floor(r * F.lit(float(scale))).cast("bigint"), lambda k: bound(
+            (high * F.lit(2.0 * scale) - (2 * k + 1).cast("double")) + (r - high) * F.lit(2.0 * scale),
+            lambda side: k + F.when((side > 0) | ((side == 0) & (k % 2 == 1)), 1).otherwise(0)))
+
+    def number(a: Column) -> Column:
+        return bound(F.when(a < WHOLE, F.floor(F.when(a < WHOLE, a)).cast("double")).otherwise(a), lambda whole: bound(
+            hundredths(a - whole), lambda n: F.concat(
+                bound(whole + F.when(n >= scale, 1.0).otherwise(0.0), whole_digits), F.lit("."),
+                F.lpad((n % scale).cast("string"), digits, "0"))))
+
+    finite = ~F.isnan(x) & (F.abs(x) < float("inf"))
+    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
+    return F.when(F.isnan(x), F.lit("nan")).when(finite, F.concat(sign, bound(F.abs(x), number))).when(
+        x.isNotNull(), F.concat(sign, F.lit("inf")))
 
 
 def symbol_quotes(requested: DataFrame, charts: DataFrame) -> DataFrame:
@@ -46,7 +79,7 @@ def symbol_quotes(requested: DataFrame, charts: DataFrame) -> DataFrame:
     Adds status (404 when no response landed), current_price, previous_close,
     last_volume, ok (both prices truthy) and reason (error text when not ok).
     """
-    parsed = (ingest.parse_charts(ingest.one_chart_each(charts)).drop("n_bars")
+    parsed = (ingest.one_chart_each(ingest.parse_charts(charts)).drop("n_bars")
               .withColumn("_landed", F.lit(True)).withColumnRenamed("status", "_status"))
     j = requested.join(parsed, "symbol", "left")
     status = F.when(F.col("_landed"), F.col("_status")).otherwise(F.lit(404))

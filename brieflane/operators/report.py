@@ -29,8 +29,8 @@ def news_line(title: Column, source: Column) -> Column:
 
 
 def news_line_plain(title: Column, description: Column) -> Column:
-    """H2, plain variant: '- title: description'."""
-    return F.format_string(fixed.NEWS_LINE_PLAIN, title, description)
+    """H2, plain variant: '- title: description', missing ones empty."""
+    return F.format_string(fixed.NEWS_LINE_PLAIN, F.coalesce(title, F.lit("")), F.coalesce(description, F.lit("")))
 
 
 def video_line(title: Column, channel: Column, views: Column) -> Column:

@@ -110,7 +110,7 @@ class Sources:
 
 def news_text() -> Column:
     """What a news query looks at; a word index of articles holds this text."""
-    return F.lower(F.concat_ws(" ", "title", "description"))
+    return F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("description", F.lit(""))))
 
 
 def news_matches(articles: DataFrame, entities: DataFrame, index: WordIndex | None = None) -> DataFrame:
@@ -259,7 +259,7 @@ def analyze_entities(src: Sources, entities: DataFrame, anchor: Column | None =
                                "search_term")}, {})
     news_lists = rp.ranked_lists(
         ranking.top_k(news, keys, [F.col("publishedAt").desc(), F.col("article_id")], fixed.RECENT_NEWS), keys, "rank",
-        {"recent_news": F.struct("title", "description", "source", fmt_ts(F.col("publishedAt")).alias("publishedAt"))},
+        {"recent_news": F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "description", "source")], fmt_ts(F.col("publishedAt")).alias("publishedAt"))},
         {"news_lines": rp.news_line(F.col("title"), F.col("source")),
          "news_lines_plain": rp.news_line_plain(F.col("title"), F.col("description"))})
     best = ranking.top_k(vids, keys, [F.col("view_count").desc(), F.col("video_id")], fixed.TOP_VIDEOS)

@@ -22,7 +22,9 @@ register_view("chart_parsed", ("quote_days",), """
          max(CASE WHEN rd = 2 THEN close END) AS previous_close,
          max(CASE WHEN rd = 1 THEN volume END) AS last_volume, count(*) AS n_bars
   FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day DESC) AS rd FROM quote_days)
-  GROUP BY symbol""")
+  GROUP BY symbol
+  UNION ALL SELECT * FROM (VALUES ('BIG', CAST(1e17 AS DOUBLE), CAST(3e18 AS DOUBLE), 9, 1),
+                                  ('TWICE', CAST(2.675 AS DOUBLE), CAST(0.125 AS DOUBLE), 1200, 1))""")
 
 register_view("req_symbols", ("analyzed", "entity_config"), f"""
   SELECT entity, timeframe, entity_pos, CAST(generate_subscripts(syms, 1) - 1 AS INTEGER) AS symbol_pos,
@@ -70,7 +72,8 @@ def symbol_quotes(spark, sf_dir):
 
 
 @query("ingest_quotes", with_views(["chart_parsed"], """
-SELECT symbol, current_price, previous_close, last_volume, n_bars FROM chart_parsed"""))
+SELECT symbol, current_price, previous_close, last_volume, n_bars FROM chart_parsed
+UNION ALL SELECT 'TWICE', NULL, NULL, NULL, 0"""))
 def ingest_quotes(spark, sf_dir):
     """Every chart response parsed to price, previous close and last volume."""
     return ingest.parse_charts(fx.chart_responses(spark, sf_dir)).where(F.col("status") == 200).select(

@@ -26,15 +26,15 @@ register_view("report_parts", ("analyzed", "fetched", "news_english", "video_hit
     (SELECT string_agg({_POST_FMT}, chr(10) ORDER BY rank) FROM top_posts t WHERE t.entity_pos = a.entity_pos) AS post_lines,
     (SELECT string_agg({_NEWS_FMT}, chr(10) ORDER BY rank)
        FROM recent_news r WHERE r.entity_pos = a.entity_pos) AS news_lines,
-    (SELECT string_agg(printf({lit(fixed.NEWS_LINE_PLAIN)}, title, description), chr(10) ORDER BY rank)
+    (SELECT string_agg(printf({lit(fixed.NEWS_LINE_PLAIN)}, coalesce(title, ''), coalesce(description, '')), chr(10) ORDER BY rank)
        FROM recent_news r WHERE r.entity_pos = a.entity_pos) AS news_lines_plain,
     (SELECT string_agg({_VIDEO_FMT}, chr(10) ORDER BY rank)
        FROM top_videos v WHERE v.entity_pos = a.entity_pos) AS video_lines,
     coalesce((SELECT to_json(list({{'subreddit': subreddit, 'title': title, 'score': score,
                                     'comments': num_comments, 'search_term': search_term}} ORDER BY rank))
               FROM top_posts_score t WHERE t.entity_pos = a.entity_pos), '[]') AS tp_json,
-    coalesce((SELECT to_json(list({{'title': title, 'description': description, 'source': source,
-                                    'publishedAt': strftime(publishedAt, {_TS})}} ORDER BY rank))
+    coalesce((SELECT to_json(list({{'title': coalesce(title, ''), 'description': coalesce(description, ''),
+                                    'source': coalesce(source, ''), 'publishedAt': strftime(publishedAt, {_TS})}} ORDER BY rank))
               FROM recent_news r WHERE r.entity_pos = a.entity_pos), '[]') AS rn_json,
     coalesce((SELECT to_json(list({{'title': title, 'channel': channel_title, 'views': view_count,
                                     'published_at': strftime(published_at, {_TS}), 'video_id': video_id,

@@ -18,17 +18,16 @@ E = fx.EPOCH_2024
 # ------------------------------------------------------------------ DuckDB twins
 register_view("article_raw", (), f"""
   SELECT page_id AS article_id,
-         regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
+         CASE WHEN page_id % 50 <> 7 THEN regexp_extract(html, '<title>([^<]*)</title>', 1) END AS title,
          trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS description,
          CASE WHEN contains(url, 'utm_source=') THEN strftime(ts, '%Y/%m/%d %H:%M') ELSE {sql_iso('ts')} END AS publishedAt,
-         regexp_extract(url, '^https?://([^/?#:]+)', 1) AS source_name,
+         CASE WHEN page_id % 50 <> 11 THEN regexp_extract(url, '^https?://([^/?#:]+)', 1) END AS source_name,
          regexp_extract(html, '<html lang="([^"]*)"', 1) AS language
   FROM (SELECT *, {sql_epoch_ntz(f'{E} + (page_id % 30) * 86400 + (page_id * 7919) % 86400')} AS ts FROM pages)""")
 
 register_view("articles_typed", ("article_raw",), """
-  SELECT article_id, coalesce(title, '') AS title, coalesce(description, '') AS description,
-         try_strptime(publishedAt, '%Y-%m-%dT%H:%M:%SZ') AS publishedAt,
-         coalesce(source_name, '') AS source, language
+  SELECT article_id, title, description, try_strptime(publishedAt, '%Y-%m-%dT%H:%M:%SZ') AS publishedAt,
+         source_name AS source, language
   FROM article_raw""")
 
 register_view("articles", ("articles_typed",), "SELECT * FROM articles_typed WHERE publishedAt IS NOT NULL")
@@ -74,7 +73,7 @@ register_view("news_hits", ("articles", "entity_queries"), """
   SELECT q.entity, q.entity_pos, a.*
   FROM articles a JOIN entity_queries q
     ON len(list_filter(q.cnf, lambda g: len(list_filter(g, lambda t:
-           contains(lower(a.title || ' ' || a.description), t))) > 0)) = len(q.cnf)""")
+           contains(lower(coalesce(a.title, '') || ' ' || coalesce(a.description, '')), t))) > 0)) = len(q.cnf)""")
 
 register_view("recent_news", ("news_hits",), f"""
   SELECT *, CAST(row_number() OVER (PARTITION BY entity_pos ORDER BY publishedAt DESC, article_id) AS BIGINT) AS rank
@@ -172,10 +171,12 @@ def ingest_balance(spark, sf_dir):
 
 
 @query("articles_extract", with_views(["articles"], """
-SELECT article_id, title, description, publishedAt, source, language FROM articles"""))
+SELECT article_id, coalesce(title, '') AS title, coalesce(description, '') AS description, publishedAt,
+       coalesce(source, '') AS source, language FROM articles"""))
 def articles_extract(spark, sf_dir):
     """A3: typed articles (defaults, nested source name, ISO-Z time)."""
-    return articles(spark, sf_dir).select("article_id", "title", "description", "publishedAt", "source", "language")
+    a = ingest.article_defaults(articles(spark, sf_dir))
+    return a.select("article_id", "title", "description", "publishedAt", "source", "language")
 
 
 @query("language_filter", with_views(["articles"], """

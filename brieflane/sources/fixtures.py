@@ -30,7 +30,7 @@ FIXTURE_CONFIGS: dict[str, dict] = {
     "tion": {
         "subreddits": ["src0", "src1", "src2", "src3", "src4"],
         "search_terms": ["en", "fr"],
-        "companies": ["U1", "U2", "U3", "U5", "U8", "HEHE"],
+        "companies": ["U1", "U2", "U3", "U5", "U8", "HEHE", "BIG", "TWICE"],
         "keywords": ["tion", "rewh", "orre", "ev"],
     },
     "sch": {
@@ -154,7 +154,7 @@ def article_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw news articles (nested `source.name`, ISO-Z `publishedAt` string, language).
 
     Pages reached through a feed link (`?utm_source=`) carry a non-ISO date, which the
-    typed ingest cannot parse and routes to quarantine.
+    typed ingest cannot parse and routes to quarantine. One in fifty has no title, one no source.
     """
     pg = read(spark, sf_dir, "pages")
     ts = epoch_to_ntz(F.lit(EPOCH_2024) + F.pmod("page_id", F.lit(30)) * 86400
@@ -163,11 +163,11 @@ def article_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     loose = F.date_format(ts, "yyyy/MM/dd HH:mm")
     return pg.select(
         F.col("page_id").alias("article_id"),
-        F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("title"),
+        F.when(F.pmod("page_id", F.lit(50)) != 7, F.regexp_extract("html", r"<title>([^<]*)</title>", 1)).alias("title"),
         F.trim(F.regexp_replace(F.regexp_replace("html", r"<[^>]*>", " "),
                                 r"[ \t\n\x0B\f\r]+", " ")).alias("description"),
         F.when(F.col("url").contains("utm_source="), loose).otherwise(iso).alias("publishedAt"),
-        F.struct(F.regexp_extract("url", r"^https?://([^/?#:]+)", 1).alias("name")).alias("source"),
+        F.struct(F.when(F.pmod("page_id", F.lit(50)) != 11, F.regexp_extract("url", r"^https?://([^/?#:]+)", 1)).alias("name")).alias("source"),
         F.regexp_extract("html", r'<html lang="([^"]*)"', 1).alias("language"),
         F.col("url"),
     )
@@ -228,9 +228,18 @@ def quote_days(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.count("*").alias("volume")))
 
 
+#: Prices beyond 2^43, and a symbol with a truncated response beside a good one.
+ODD_CHARTS = [
+    ("BIG", 200, '{"chart":{"result":[{"meta":{"regularMarketPrice":1e17,"previousClose":3e18},"indicators":{"quote":[{"volume":[9]}]}}]}}'),
+    ("TWICE", 200, '{"chart":{"result":[{"meta":{"regularMarketPrice":2.675,"previousCl'),
+    ("TWICE", 200, '{"chart":{"result":[{"meta":{"regularMarketPrice":2.675,"previousClose":0.125},"indicators":{"quote":[{"volume":[1200]}]}}]}}'),
+]
+
+
 def chart_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chart JSON per symbol: meta.regularMarketPrice (latest close, missing if the last
-    event was an error), meta.previousClose (prior day close) and the daily volume array."""
+    event was an error), meta.previousClose (prior day close) and the daily volume array.
+    ``ODD_CHARTS`` come with them."""
     d = quote_days(spark, sf_dir)
     bars = d.groupBy("symbol").agg(
         F.sort_array(F.collect_list(F.struct("day", "close", "last_type", "volume"))).alias("bars"))
@@ -243,7 +252,8 @@ def chart_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.to_json(F.struct(F.struct(F.array(F.struct(
         meta.alias("meta"), F.struct(F.array(quote).alias("quote")).alias("indicators")))
         .alias("result")).alias("chart")))
-    return bars.select("symbol", F.lit(200).alias("status"), body.alias("body"))
+    odd = values_table(spark, ODD_CHARTS, [("symbol", "string"), ("status", "int"), ("body", "string")])
+    return bars.select("symbol", F.lit(200).alias("status"), body.alias("body")).unionByName(odd)
 
 
 # ------------------------------------------------------------------ configs, entities

@@ -96,18 +96,22 @@ def children_quarantine(parsed: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- articles
 def typed_articles(raw: DataFrame) -> DataFrame:
-    """A3: article fields with defaults, nested source name, parsed publication time."""
+    """A3: article fields, nested source name, parsed publication time. Missing texts stay null:
+    lines have their own text for them (H2), tables and the digest ``article_defaults``."""
     return schemas.conform(raw.select(
-        "article_id",
-        F.coalesce("title", F.lit("")).alias("title"),
-        F.coalesce("description", F.lit("")).alias("description"),
+        "article_id", "title", "description",
         parse_iso_z(F.col("publishedAt")).alias("publishedAt"),
-        F.coalesce(F.col("source.name"), F.lit("")).alias("source"),
+        F.col("source.name").alias("source"),
         F.col("language"),
         F.col("publishedAt").alias("publishedAt_raw"),
     ), schemas.ARTICLES)
 
 
+def article_defaults(articles: DataFrame) -> DataFrame:
+    """Missing title, description and source as empty texts."""
+    return articles.withColumns({c: F.coalesce(c, F.lit("")) for c in ("title", "description", "source")})
+
+
 def articles_good(typed: DataFrame) -> DataFrame:
     return typed.where(F.col("publishedAt").isNotNull()).drop("publishedAt_raw")
 
@@ -173,10 +177,15 @@ def enrich_videos(search: DataFrame, stats: DataFrame, transcripts: DataFrame) -
 
 
 # ----------------------------------------------------------------------------- quotes
-def one_chart_each(charts: DataFrame) -> DataFrame:
-    """One response per symbol: a usable one before others, then by a hash of the body."""
-    w = Window.partitionBy("symbol").orderBy(F.col("status").eqNullSafe(200).desc(), "status", F.xxhash64("body"))
-    return charts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
+def one_chart_each(parsed: DataFrame) -> DataFrame:
+    """One parsed response per symbol: one with both prices before one that parsed, before any other
+    200 response, before the rest; then by status and a hash of what was read. A truncated response
+    never stands before a good one, whatever their order."""
+    usable = F.col("status").eqNullSafe(200) & ~F.col("malformed")
+    priced = usable & F.col("current_price").isNotNull() & F.col("previous_close").isNotNull()
+    read = F.xxhash64("current_price", "previous_close", "last_volume", "n_bars")
+    w = Window.partitionBy("symbol").orderBy(priced.desc(), usable.desc(), F.col("status").eqNullSafe(200).desc(), "status", read)
+    return parsed.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
 
 
 def parse_charts(charts: DataFrame) -> DataFrame:

@@ -285,3 +285,51 @@ def test_per_request_cap_option(spark):
     per_req = capped.groupBy("entity_pos", "subreddit", "search_term").count().collect()
     assert per_req and max(r["count"] for r in per_req) == 3
     assert capped.count() < api.fetch_posts(p, cfg, None).count()
+
+
+def test_large_and_odd_prices_print_and_kill_no_job(spark):
+    import math
+    import random
+    rng = random.Random(7)
+    xs = [1e17, 1e18, 2.0 ** 43 + 0.125, 2.0 ** 52 + 0.5, 2.0 ** 63, 2.0 ** 63 - 1024, -2.0 ** 80, 4.1e37, -1e17, 999.995, 0.999999, -0.0, 5e-324,
+          float("inf"), float("-inf"), float("nan")]
+    xs += [rng.uniform(0.5, 1) * 2.0 ** rng.randrange(30, 126 - 1) for _ in range(400)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = [r[0] for r in df.select(market.fixed_decimals(F.col("x"), 2)).collect()]
+    assert [g.removeprefix("-") for g in got] == [f"{x:.2f}".removeprefix("-") for x in xs]
+    assert [g for g, x in zip(got, xs) if x < 0] == [f"{x:.2f}" for x in xs if x < 0]
+    huge = spark.createDataFrame([(1e300,), (-1.7e308,)], "x double").select(market.fixed_decimals(F.col("x"), 1)).collect()
+    assert [math.isclose(float(r[0]), x) and r[0].endswith(".0") for r, x in zip(huge, (1e300, -1.7e308))] == [True, True]
+
+
+def chart(price, previous):
+    return ('{"chart":{"result":[{"meta":{"regularMarketPrice":%s,"previousClose":%s},"indicators":{"quote":[{"volume":[1]}]}}]}}'
+            % (price, previous))
+
+
+def test_market_report_of_odd_prices(spark):
+    rows = [("A", "1e17", "8.0"), ("B", "Infinity", "8.0"), ("C", "NaN", "8.0"), ("D", "5.0", "1e-300"), ("E", "1.5", "5e-324")]
+    charts = spark.createDataFrame([(s, 200, chart(p, q)) for s, p, q in rows], "symbol string, status int, body string")
+    req = spark.createDataFrame([("e", "1d", i, s) for i, s in enumerate("ABCDE")], "entity string, timeframe string, symbol_pos int, symbol string")
+    r = market.market_reports(market.symbol_quotes(req, charts)).collect()[0]
+    assert r.n_ok == 5 and "Current Price: $100000000000000000.00" in r.analysis
+    assert "Current Price: $inf" in r.analysis and "Change: inf%" in r.analysis and "Current Price: $nan" in r.analysis
+
+
+def test_a_truncated_response_never_stands_before_a_good_one(spark):
+    good, cut, empty = chart("2.0", "1.0"), chart("2.0", "1.0")[:60], '{"chart":{"result":[]}}'
+    for bodies in ([good, cut], [cut, good], [empty, good, cut], [cut + " ", good], [good, empty]):
+        charts = spark.createDataFrame([("A", 200, b) for b in bodies] + [("A", 503, None)], "symbol string, status int, body string")
+        req = spark.createDataFrame([("e", "1d", 0, "A")], "entity string, timeframe string, symbol_pos int, symbol string")
+        assert [r.ok for r in market.symbol_quotes(req, charts).collect()] == [True]
+
+
+def test_missing_title_and_source_have_their_texts(spark):
+    raw = spark.createDataFrame([(1, None, "d", "2024-01-02T03:04:05Z", None, "en"), (2, "t", None, "2024-01-02T03:04:05Z", "n", "en")],
+                                "article_id long, title string, description string, publishedAt string, name string, language string")
+    a = ingest.articles_good(ingest.typed_articles(raw.withColumn("source", F.struct("name"))))
+    from brieflane.operators import report as rp
+    lines = a.orderBy("article_id").select(rp.news_line(F.col("title"), F.col("source")), rp.news_line_plain(F.col("title"), F.col("description"))).collect()
+    assert [tuple(r) for r in lines] == [("- No title (Source: Unknown)", "- : d"), ("- t (Source: n)", "- t: ")]
+    d = {r.article_id: r for r in ingest.article_defaults(a).collect()}
+    assert d[1].title == "" and d[1].source == "" and d[2].description == ""
