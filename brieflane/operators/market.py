@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brieflane import fixed
+from brieflane.operators import asof
 from brieflane.sources import ingest
 
 
@@ -91,6 +92,16 @@ def symbol_quotes(requested: DataFrame, charts: DataFrame) -> DataFrame:
             .drop("_status", "_landed", "malformed"))
 
 
+def quotes_at(asks: DataFrame, ticks: DataFrame, unit: str = "day") -> DataFrame:
+    """Quote snapshots: ``asks`` (symbol, at, ...) with the last price of ``ticks`` (symbol, ts, price)
+    at that time, the last one of an earlier day (previous close) and the percent change (C2, F3)."""
+    now = asof.asof_join(asks, ticks, ["symbol"], "at", "ts", {"price": "current_price", "ts": "price_ts"}, unit)
+    day = now.withColumn("_today", F.date_trunc("day", "at"))
+    both = asof.asof_join(day, ticks, ["symbol"], "_today", "ts", {"price": "previous_close"}, unit, strict=True).drop("_today")
+    known = truthy(F.col("current_price")) & truthy(F.col("previous_close"))
+    return both.withColumn("change_pct", F.when(known, F.round(pct_change(F.col("current_price"), F.col("previous_close")), 6)))
+
+
 def symbol_block(symbol: Column, cur: Column, prev: Column, vol: Column, ok: Column, reason: Column) -> Column:
     """H4 per-symbol text: price lines (+ volume when the last bar's volume is truthy),
     or an error line."""

@@ -111,3 +111,23 @@ SELECT entity, timeframe, n_symbols, n_ok, data_available, analysis, error FROM
 def market_report(spark, sf_dir):
     """H4 + H9: the market report row per entity (text in symbol order, or an error)."""
     return market.market_reports(symbol_quotes(spark, sf_dir))
+
+
+register_view("ticks", (), """
+  SELECT 'U' || CAST(user_id AS VARCHAR) AS symbol, ts, max(value) AS price
+  FROM events WHERE event_type NOT IN ('signup', 'error') GROUP BY 1, 2""")
+register_view("quote_asks", (), """
+  SELECT event_id, 'U' || CAST(user_id AS VARCHAR) AS symbol, ts AS at, date_trunc('day', ts) AS today
+  FROM events WHERE event_type = 'signup'""")
+
+
+@query("quote_asof", with_views(["ticks", "quote_asks"], """
+SELECT a.event_id, a.symbol, a.at, t.price AS current_price, t.ts AS price_ts, p.price AS previous_close,
+       CASE WHEN coalesce(t.price, 0) <> 0 AND coalesce(p.price, 0) <> 0
+            THEN round((t.price - p.price) / p.price * 100.0, 6) END AS change_pct
+FROM quote_asks a ASOF LEFT JOIN ticks t ON a.symbol = t.symbol AND a.at >= t.ts
+ASOF LEFT JOIN ticks p ON a.symbol = p.symbol AND a.today > p.ts"""))
+def quote_asof(spark, sf_dir):
+    """A6 + F3 at an anchor: for every asked (symbol, time), the last price then, the last price of
+    an earlier day, and the change."""
+    return market.quotes_at(fx.quote_asks(spark, sf_dir), fx.quote_ticks(spark, sf_dir))

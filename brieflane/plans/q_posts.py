@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from brieflane import fixed
 from brieflane.operators import config as cfgops
-from brieflane.operators import filters, ranking
+from brieflane.operators import filters, ranking, trend
 from brieflane.plans import api, indexes
-from brieflane.plans.oracle_views import sql_relevant, with_views
+from brieflane.plans.oracle_views import register_view, sql_relevant, with_views
 from brieflane.plans.registry import query
 from brieflane.sources import fixtures as fx
 
@@ -108,18 +108,46 @@ def subreddit_discovery(spark, sf_dir):
     return api.discover_subreddits(p, _cfg(spark), index=indexes.of_posts(spark, sf_dir))
 
 
-@query("engagement_trend", with_views(["relevant"], """
-WITH d AS (SELECT entity, date_trunc('day', created_utc) AS day_start, entity_pos, CAST(count(*) AS BIGINT) AS n_posts,
-                  CAST(sum(engagement) AS BIGINT) AS engagement
-           FROM relevant GROUP BY entity, entity_pos, 2)
-SELECT entity, day_start, n_posts, engagement,
-       lag(engagement) OVER (PARTITION BY entity_pos ORDER BY day_start) AS prev_engagement,
-       engagement - lag(engagement) OVER (PARTITION BY entity_pos ORDER BY day_start) AS change
-FROM d"""))
+register_view("trend_days", ("relevant", "anchor"), """
+  SELECT s.entity, s.entity_pos, s.timeframe, s.day, coalesce(c.n_posts, 0) AS n_posts, coalesce(c.engagement, 0) AS engagement
+  FROM (SELECT entity, entity_pos, timeframe, CAST(unnest(generate_series(first_day, last_day, INTERVAL 1 DAY)) AS DATE) AS day
+        FROM (SELECT entity, entity_pos, timeframe, min(CAST(created_utc AS DATE)) AS first_day,
+                     (SELECT CAST(anchor_ts AS DATE) FROM anchor) AS last_day FROM relevant GROUP BY 1, 2, 3)) s
+  LEFT JOIN (SELECT entity_pos, CAST(created_utc AS DATE) AS day, count(*) AS n_posts, CAST(sum(engagement) AS BIGINT) AS engagement
+             FROM relevant GROUP BY 1, 2) c ON s.entity_pos = c.entity_pos AND s.day = c.day""")
+
+
+@query("engagement_trend", with_views(["trend_days"], """
+SELECT entity, CAST(day AS TIMESTAMP) AS day_start, CAST(n_posts AS BIGINT) AS n_posts, CAST(engagement AS BIGINT) AS engagement,
+       CAST(lag(engagement) OVER w AS BIGINT) AS prev_engagement,
+       CAST(engagement - lag(engagement) OVER w AS BIGINT) AS change
+FROM trend_days WINDOW w AS (PARTITION BY entity_pos ORDER BY day)"""))
 def engagement_trend(spark, sf_dir):
-    """K1: relevant posts and engagement per entity per day, change vs the previous day."""
-    from brieflane.operators import trend
-    return trend.engagement_trend(_relevant(spark, sf_dir))
+    """K1: relevant posts and engagement per entity per day up to the anchor, change vs the day
+    before; a day without posts counts 0."""
+    p = fx.posts(spark, sf_dir)
+    anchor = api.anchor_of(p, "created_utc")
+    return trend.engagement_trend(api.relevant_posts(p, _cfg(spark), anchor), anchor)
+
+
+@query("engagement_windows", with_views(["trend_days"], """
+WITH n AS (
+  SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY entity_pos) AS days,
+         sum(n_posts) OVER (w ROWS 2 PRECEDING) AS wp, sum(engagement) OVER (w ROWS 2 PRECEDING) AS we
+  FROM trend_days WINDOW w AS (PARTITION BY entity_pos ORDER BY day)),
+b AS (SELECT a.entity_pos, a.i, avg(p.we) AS baseline, max(CASE WHEN p.i = a.i - 3 THEN p.we END) AS prev
+      FROM n a JOIN n p ON a.entity_pos = p.entity_pos AND p.i IN (a.i - 3, a.i - 6, a.i - 9, a.i - 12) AND p.i >= 3 GROUP BY 1, 2)
+SELECT n.entity, n.timeframe, n.day - 2 AS first_day, n.day AS last_day, CAST(wp AS BIGINT) AS n_posts, CAST(we AS BIGINT) AS engagement,
+       CAST(b.prev AS BIGINT) AS prev_engagement, CAST(we - b.prev AS BIGINT) AS change, round(b.baseline, 6) AS baseline,
+       CASE WHEN b.baseline > 0 THEN round(we / b.baseline, 6) END AS ratio
+FROM n LEFT JOIN b USING (entity_pos, i) WHERE n.i >= 3 AND (n.days - n.i) % 2 = 0"""))
+def engagement_windows(spark, sf_dir):
+    """K1: three-day windows every two days per entity, against the window before and the mean of
+    the last four."""
+    p = fx.posts(spark, sf_dir)
+    anchor = api.anchor_of(p, "created_utc")
+    out = trend.window_trend(api.relevant_posts(p, _cfg(spark), anchor), days=3, step=2, baseline=4, until=anchor)
+    return out.drop("entity_pos")
 
 
 _WORDS = "'[^\\p{L}\\p{N}]+'"

@@ -228,6 +228,19 @@ def quote_days(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.count("*").alias("volume")))
 
 
+def quote_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices as they come in (symbol, ts, price): the events that are neither errors nor sign-ups."""
+    e = read(spark, sf_dir, "events").where(~F.col("event_type").isin("signup", "error"))
+    symbol = F.concat(F.lit("U"), F.col("user_id").cast("string"))
+    return e.groupBy(symbol.alias("symbol"), "ts").agg(F.max("value").alias("price"))
+
+
+def quote_asks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times at which a symbol's quote is asked for: a user's sign-up events."""
+    e = read(spark, sf_dir, "events").where(F.col("event_type") == "signup")
+    return e.select("event_id", F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("symbol"), F.col("ts").alias("at"))
+
+
 #: Prices beyond 2^43, and a symbol with a truncated response beside a good one.
 ODD_CHARTS = [
     ("BIG", 200, '{"chart":{"result":[{"meta":{"regularMarketPrice":1e17,"previousClose":3e18},"indicators":{"quote":[{"volume":[9]}]}}]}}'),
