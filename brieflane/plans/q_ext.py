@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from brieflane import sinks
@@ -16,21 +15,22 @@ from brieflane.streaming import posts_stream
 
 @query("quality_classifier")
 def quality_classifier(spark, sf_dir):
-    """K2: held-out predictions of a TF-IDF + logistic-regression quality model trained
-    on labelled documents (whole texts)."""
+    """K2: held-out predictions of a logistic regression on hashed TF-IDF features of labelled
+    documents (whole texts), with class weights and a threshold from a validation fold."""
     docs = fx.read(spark, sf_dir, "documents").select("doc_id", "text")
     labeled = docs.join(fx.read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "inner")
-    _, pred = classify.quality_model(labeled)
-    return pred.select("doc_id", "quality", F.col("prediction").cast("int").alias("prediction"),
-                       F.round(vector_to_array("probability")[1], 6).alias("p_quality"))
+    _, _, pred = classify.quality_model(labeled)
+    return pred.select("doc_id", "quality", "prediction", F.round("p", 6).alias("p_quality"))
 
 
-@query("quality_held_out")
+@query("quality_held_out", f"""
+SELECT doc_id, quality FROM documents JOIN labels USING (doc_id)
+WHERE quality IS NOT NULL AND substring(md5(CAST(doc_id AS VARCHAR)), 1, 1) IN {classify.HELD_OUT}""")
 def quality_held_out(spark, sf_dir):
     """K2: the rows that the classifier is measured on."""
     rows = fx.read(spark, sf_dir, "documents").select("doc_id").join(
         fx.read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    return rows.where(classify.held_out("doc_id"))
+    return rows.where(classify.held_out("doc_id") & F.col("quality").isNotNull())
 
 
 @query("stream_posts_daily", with_views(["posts"], """

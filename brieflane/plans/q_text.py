@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from brieflane import fixed
 from brieflane import sinks
+from brieflane.operators import features
 from brieflane.operators import text as tx
 from brieflane.plans import q_sources
 from brieflane.plans.oracle_views import lit, register_view, with_views
@@ -138,6 +139,44 @@ def tfidf_mllib(spark, sf_dir):
         F.round("total", 4).alias("weight_sum"))
 
 
+def _vectors_sql(texts: str, model: str) -> str:
+    """What the vectors of the corpus ``texts`` hold, by the vocabulary and IDF of ``model``."""
+    return with_views([f"{texts}_tf", f"{texts}_docs", f"{model}_df", f"{model}_idf"], f"""
+WITH ranks AS (SELECT term, row_number() OVER (ORDER BY total_count DESC, term) - 1 AS i FROM {model}_df),
+w AS (SELECT t.doc_id, r.i, t.tf * d.idf AS w FROM {texts}_tf t JOIN ranks r USING (term) JOIN {model}_idf d USING (term))
+SELECT d.doc_id, (SELECT count(*) FROM ranks) AS size, CAST(count(w.i) AS INTEGER) AS n_terms, min(w.i) AS first_index,
+       max(w.i) AS last_index, CAST(coalesce(sum(w.i), 0) AS BIGINT) AS index_sum, round(coalesce(sum(w.w), 0.0), 4) AS weight_sum,
+       round(sqrt(coalesce(sum(w.w * w.w), 0.0)), 4) AS length
+FROM {texts}_docs d LEFT JOIN w ON w.doc_id = d.doc_id GROUP BY d.doc_id""")
+
+
+@query("feature_vectors", _vectors_sql("ptext", "ptext"))
+def feature_vectors(spark, sf_dir):
+    """The sparse TF-IDF vector of every title, by a stored model (see ``features``)."""
+    p = _posts_docs(spark, sf_dir)
+    model = features.fit(p, "id", "title", posts_stream.shared_folder(spark, "feature-model"))
+    return features.summary(model.vectors(p, "id", "title"), "id", model.n_terms)
+
+
+SPLIT = "2024-01-21"
+register_view("seen", ("posts",), f"SELECT * FROM posts WHERE created_utc < TIMESTAMP '{SPLIT}'")
+register_view("unseen", ("posts",), f"SELECT * FROM posts WHERE created_utc >= TIMESTAMP '{SPLIT}'")
+_register_corpus("stext", "seen", "id", "title")
+_register_corpus("utext", "unseen", "id", "title")
+
+
+@query("feature_vectors_unseen", _vectors_sql("utext", "stext"))
+def feature_vectors_unseen(spark, sf_dir):
+    """Vectors of the posts of the last days by a model of the earlier ones; terms that the
+    model has not seen are left out."""
+    p = fx.posts(spark, sf_dir).select("id", "title", "created_utc")
+    early = F.col("created_utc") < F.lit(SPLIT).cast("timestamp_ntz")
+    folder = posts_stream.shared_folder(spark, "feature-model")
+    features.fit(p.where(early), "id", "title", folder)
+    model = features.FeatureModel(spark, folder)
+    return features.summary(model.vectors(p.where(~early), "id", "title"), "id", model.n_terms)
+
+
 @query("features_sink", _tfidf_sql("atext"))
 def features_sink(spark, sf_dir):
     """Article features written to Parquet in the shared folder and read back."""
