@@ -16,7 +16,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, QueryFn] = {}
 _ORACLES: dict[str, str] = {}
 
-_MODULES = ["q_posts", "q_config", "q_sources", "q_text", "q_market", "q_report", "q_ext"]
+_MODULES = ["q_posts", "q_config", "q_sources", "q_text", "q_market", "q_report", "q_landing", "q_ext"]
 
 
 def query(name: str, oracle: str | None = None):

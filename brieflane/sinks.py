@@ -27,3 +27,12 @@ def land_posts_by_day(posts: DataFrame, path: str, day_col: str = "day", mode: s
     """Landed posts partitioned by creation day, so timeframe filters prune partitions
     (read back and pass ``day_col`` to ``fetch_posts`` / ``relevant_posts``)."""
     posts.withColumn(day_col, F.to_date("created_utc")).write.mode(mode).partitionBy(day_col).parquet(path)
+
+
+def land_posts_bucketed(posts: DataFrame, table: str, path: str, buckets: int = 64, mode: str = "overwrite") -> DataFrame:
+    """Landed posts as a table partitioned by creation day and bucketed by request (subreddit, search
+    term): a search plan of any size meets the posts without shuffling them, as only the plan is
+    dealt to the buckets. ``path`` must be on shared storage; returns the table."""
+    (posts.withColumn("day", F.to_date("created_utc")).write.mode(mode).format("parquet").option("path", path)
+     .partitionBy("day").bucketBy(buckets, "subreddit", "search_term").sortBy("subreddit", "search_term").saveAsTable(table))
+    return posts.sparkSession.table(table)

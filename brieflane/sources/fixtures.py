@@ -305,6 +305,22 @@ def entity_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_parts.unionByName(named)
 
 
+def request_spans(spark: SparkSession, sf_dir: str, anchor: Column) -> DataFrame:
+    """Requests with time spans (request_id, subreddit, search_term, span_start, span_end): one per
+    catalogue part, for its own request and timeframe, ending at its own time before ``anchor``."""
+    from brieflane.operators import config as cfgops
+
+    part = read(spark, sf_dir, "part")
+    pick = lambda values, c: F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(c, F.lit(len(values))) + 1).cast("int"))
+    end = anchor - F.make_dt_interval(F.lit(0), F.pmod(F.col("p_partkey") * 7, F.lit(480)).cast("int"))
+    spans = part.select(
+        F.col("p_partkey").alias("request_id"), F.concat(F.lit("src"), F.pmod("p_partkey", F.lit(10)).cast("string")).alias("subreddit"),
+        pick(["en", "de", "fr", "es"], F.col("p_size")).alias("search_term"), pick(REQUEST_TIMEFRAMES, F.col("p_size")).alias("timeframe"),
+        end.alias("span_end"))
+    return spans.select("request_id", "subreddit", "search_term",
+                        cfgops.cutoff(F.col("span_end"), cfgops.window_days(F.col("timeframe"))).alias("span_start"), "span_end")
+
+
 def anchor_ts(p: DataFrame) -> DataFrame:
     """One-row frame with the analysis anchor: the latest post time (replaces `now()`)."""
     return p.agg(F.max("created_utc").alias("anchor_ts"))
