@@ -1,13 +1,15 @@
 """Entity-level plans: what a caller runs for many entities in one job.
 
 ``analyze_entities`` and ``analyze_markets`` take an entities DataFrame
-(entity, timeframe, entity_pos) and landed source tables and return one DataFrame without
-running a job. An entity may come with several timeframes: everything is keyed by the whole
+(entity, timeframe, entity_pos) and landed source tables and return one DataFrame. What belongs
+to the entities is written to the shared folder while the plan is built (``gather``). An entity may come with several timeframes: everything is keyed by the whole
 row (``ENTITY_KEYS``). The building blocks below are reused by the query registry.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from brieflane import fixed
 from brieflane.operators import config as cfgops
 from brieflane.operators import filters, ranking
 from brieflane.operators.word_index import WordIndex
+from brieflane.session import written
 
 ENTITY_KEYS = ("entity", "entity_pos", "timeframe")
 
@@ -81,9 +84,35 @@ def best_posts(rel: DataFrame) -> DataFrame:
     return ranking.dedup_best(rel.select(*cols), ENTITY_KEYS, "title", engagement_order())
 
 
+#: What tells the rows of a stored table of fetched posts apart.
+PLACE = (*ENTITY_KEYS, "id", *ARRIVAL)
+
+
+def texts_of(chosen: DataFrame, stored: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``chosen`` rows with the columns ``cols`` of the stored table they come from. The chosen rows
+    are written first: their true size decides whether the stored ones stay where they are."""
+    few = written(chosen, "chosen")
+    own = stored.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(PLACE)], *cols)
+    on = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(PLACE)]
+    names = [f"_{i}" for i in range(len(PLACE))]
+    found = own.join(few.select(*PLACE).distinct(), on, "left_semi").dropDuplicates(names)  # rows of one place are copies
+    return few.join(found, on).drop(*names)
+
+
 def top_posts_by_engagement(rel: DataFrame, k: int = fixed.TOP_POSTS) -> DataFrame:
-    """D3: top-k de-duplicated posts per entity by engagement."""
-    return ranking.top_k(best_posts(rel), ENTITY_KEYS, engagement_order(), k)
+    """D3: top-k de-duplicated posts per entity by engagement.
+
+    The relevant posts are written once. Titles take no part in ranking: rows of hashes, numbers and
+    ids go through both windows, and the titles of the chosen posts are looked up in the table."""
+    return top_of_stored(written(rel, "relevant"), k)
+
+
+def top_of_stored(stored: DataFrame, k: int = fixed.TOP_POSTS) -> DataFrame:
+    """As ``top_posts_by_engagement``, from a stored table of relevant posts."""
+    narrow = stored.select(*PLACE, "engagement", F.xxhash64("title").alias("_h1"), F.xxhash64(F.lit("second"), "title").alias("_h2"))
+    best = ranking.top_k(narrow, [*ENTITY_KEYS, "_h1", "_h2"], engagement_order(), 1, rank_col="_r").drop("_r", "_h1", "_h2")
+    top = ranking.top_k(best, ENTITY_KEYS, engagement_order(), k)
+    return texts_of(top, stored, ["title", "subreddit", "search_term", "score", "num_comments", "created_utc"])
 
 
 POST_OUT = ["entity", "rank", "id", "subreddit", "title", "score", "num_comments",
@@ -100,12 +129,13 @@ def top_posts_by_score(fetched: DataFrame, k: int = fixed.TOP_POSTS) -> DataFram
 class Sources:
     """Landed, typed source tables an analysis reads. ``videos`` are facts per video (see
     ``ingest.video_facts``); ``segments`` are transcript segments, from which the chosen
-    videos get their ``transcript_summary``."""
+    videos get their ``transcript_summary``; ``news_index`` is the word index of the articles, if
+    they have one."""
 
     def __init__(self, posts: DataFrame, articles: DataFrame, videos: DataFrame, config: DataFrame,
-                 charts: DataFrame | None = None, segments: DataFrame | None = None):
+                 charts: DataFrame | None = None, segments: DataFrame | None = None, news_index: WordIndex | None = None):
         self.posts, self.articles, self.videos, self.config, self.charts = posts, articles, videos, config, charts
-        self.segments = segments
+        self.segments, self.news_index = segments, news_index
 
 
 def news_text() -> Column:
@@ -207,12 +237,38 @@ def fmt_ts(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
-def gathered(src: Sources, entities: DataFrame, anchor: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The posts, articles and videos that belong to each entity row."""
+class Gathered:
+    """What the entities' searches found: ``posts`` (with engagement and whether they are relevant),
+    ``news`` and ``videos``, keyed by the entity rows, as stored tables."""
+
+    def __init__(self, posts: DataFrame, news: DataFrame, videos: DataFrame):
+        self.posts, self.news, self.videos = posts, news, videos
+
+
+def gather(src: Sources, entities: DataFrame, anchor: Column | None = None) -> Gathered:
+    """The posts, articles and videos that belong to each entity row, each found by one pass over its
+    source and written to the shared folder. Counts and lists are built from these tables: numbers
+    and ids are read without the texts, and no source is read again."""
     anchor = anchor if anchor is not None else anchor_of(src.posts, "created_utc")
-    cfg = cfgops.config_lookup(entities, src.config)
-    return (fetch_posts(src.posts, cfg, anchor), news_for_entities(src.articles, entities),
-            videos_for_entities(src.videos, entities, anchor))
+    posts = fetch_posts(src.posts, cfgops.config_lookup(entities, src.config), anchor)
+    posts = posts.select(*PLACE, "title", "subreddit", "search_term", "score", "num_comments", "created_utc",
+                         ranking.engagement(F.col("score"), F.col("num_comments")).alias("engagement"),
+                         filters.is_relevant(F.col("title"), F.col("keywords"), F.col("companies")).alias("relevant"))
+    news = news_for_entities(src.articles, entities, index=src.news_index)
+    videos = videos_for_entities(src.videos, entities, anchor)
+    return Gathered(written(posts, "posts"), written(news, "news"), written(videos, "videos"))
+
+
+def source_counts(entities: DataFrame, found: Gathered) -> DataFrame:
+    """G1: rows per source of each entity row (0 where there are none)."""
+    from brieflane.operators import report as rp
+
+    keys = list(ENTITY_KEYS)
+    parts = [df.groupBy(*keys).agg(F.count("*").alias(name))
+             for df, name in ((found.posts, "n_posts"), (found.news, "n_articles"), (found.videos, "n_videos"))]
+    zero = F.lit(0).cast("bigint")
+    return rp.attach(entities.select(*keys), parts, keys).select(
+        *keys, *[F.coalesce(c, zero).alias(c) for c in ("n_posts", "n_articles", "n_videos")])
 
 
 def raw_data_rows(src: Sources, entities: DataFrame, anchor: Column | None = None) -> DataFrame:
@@ -220,7 +276,8 @@ def raw_data_rows(src: Sources, entities: DataFrame, anchor: Column | None = Non
     section, arrival order, line), so an entity's raw data is never one string."""
     from brieflane.operators import report as rp
 
-    posts, news, videos = gathered(src, entities, anchor)
+    found = gather(src, entities, anchor)
+    posts, news, videos = found.posts, found.news, found.videos
     keys = [F.col(c) for c in ENTITY_KEYS]
     no = F.lit(0).cast("bigint")
     return (posts.select(*keys, F.lit("Reddit Posts").alias("section"), F.col("sub_pos").cast("bigint").alias("o1"),
@@ -232,8 +289,9 @@ def raw_data_rows(src: Sources, entities: DataFrame, anchor: Column | None = Non
 
 
 def analyze_entities(src: Sources, entities: DataFrame, anchor: Column | None = None,
-                     analyses: DataFrame | None = None) -> DataFrame:
-    """I1 for many entities at once: one report row per row of ``entities``.
+                     analyses: DataFrame | None = None, found: Gathered | None = None) -> DataFrame:
+    """I1 for many entities at once: one report row per row of ``entities``, from what ``gather``
+    found (``found``, if it was called before).
 
     ``entities``: (entity, timeframe, entity_pos). ``anchor`` replaces `now()` for the
     timeframe windows (default: latest post time). Columns: counts per source (G1),
@@ -244,17 +302,13 @@ def analyze_entities(src: Sources, entities: DataFrame, anchor: Column | None =
     """
     from brieflane.operators import report as rp
 
-    fetched, news, vids = gathered(src, entities, anchor)
-    keys = list(ENTITY_KEYS)
-
-    def count(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.count("*").alias(name))
-
-    rel = filters.relevance_filter(fetched).withColumn(
-        "engagement", ranking.engagement(F.col("score"), F.col("num_comments")))
-    post_lines = rp.ranked_lists(top_posts_by_engagement(rel), keys, "rank", {}, {"post_lines": rp.post_line_of()})
+    found = found or gather(src, entities, anchor)
+    news, vids, keys = found.news, found.videos, list(ENTITY_KEYS)
+    top_posts = top_of_stored(found.posts.where("relevant"))
+    post_lines = rp.ranked_lists(top_posts, keys, "rank", {}, {"post_lines": rp.post_line_of()})
+    by_score = top_posts_by_score(found.posts.select(*PLACE, "score"))
     score_lists = rp.ranked_lists(
-        top_posts_by_score(fetched), keys, "rank",
+        texts_of(by_score, found.posts, ["title", "subreddit", "search_term", "num_comments"]), keys, "rank",
         {"top_posts": F.struct("subreddit", "title", "score", F.col("num_comments").alias("comments"),
                                "search_term")}, {})
     news_lists = rp.ranked_lists(
@@ -271,16 +325,14 @@ def analyze_entities(src: Sources, entities: DataFrame, anchor: Column | None =
                                 F.col("transcript_summary"))},
         {"video_lines": rp.video_line_of()})
 
-    parts = [count(fetched, "n_posts"), count(news, "n_articles"), count(vids, "n_videos"), post_lines, score_lists,
-             news_lists, video_lists]
+    parts = [post_lines, score_lists, news_lists, video_lists]
     if analyses is not None:
         own = [c for c in keys if c in analyses.columns]
         parts.append(analyses.select(*own, F.col("analysis").alias("model_analysis")))
-    j = rp.attach(entities.select(*keys), parts, keys)
+    j = rp.attach(source_counts(entities, found), parts, keys)
     if analyses is None:
         j = j.withColumn("model_analysis", F.lit(None).cast("string"))
-    zero = F.lit(0).cast("bigint")
-    n_p, n_a, n_v = (F.coalesce(F.col(c), zero) for c in ("n_posts", "n_articles", "n_videos"))
+    n_p, n_a, n_v = F.col("n_posts"), F.col("n_articles"), F.col("n_videos")
     tp = rp.empty_if_null(F.col("top_posts"), "struct<subreddit:string,title:string,score:bigint,"
                                              "comments:bigint,search_term:string>")
     rn = rp.empty_if_null(F.col("recent_news"), "struct<title:string,description:string,source:string,"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from brieflane import fixed
-from brieflane.plans import api, q_sources
+from brieflane.plans import api, indexes, q_sources
 from brieflane.plans.oracle_views import lit, register_view, with_views
 from brieflane.plans.registry import query
 from brieflane.sources import fixtures as fx
@@ -71,7 +71,8 @@ def entity_reports(spark, sf_dir):
 def _sources(spark, sf_dir):
     facts = ingest.video_facts(fx.video_search(spark, sf_dir), fx.video_stats(spark, sf_dir))
     return api.Sources(posts=fx.posts(spark, sf_dir), articles=q_sources.articles(spark, sf_dir), videos=facts,
-                       config=fx.config_table(spark), segments=fx.transcript_segments(spark, sf_dir))
+                       config=fx.config_table(spark), segments=fx.transcript_segments(spark, sf_dir),
+                       news_index=indexes.of_articles(spark, sf_dir))
 
 
 def _q(name: str, cols: list[str], doc: str):
@@ -85,7 +86,13 @@ def _q(name: str, cols: list[str], doc: str):
     query(name, sql)(fn)
 
 
-_q("source_counts", ["entity", "n_posts", "n_articles", "n_videos"], "G1: rows per source per entity.")
+@query("source_counts", with_views(["entity_reports"], "SELECT entity, n_posts, n_articles, n_videos FROM entity_reports"))
+def source_counts(spark, sf_dir):
+    """G1: rows per source per entity."""
+    entities = fx.analyzed_entities(spark)
+    return api.source_counts(entities, api.gather(_sources(spark, sf_dir), entities)).select("entity", "n_posts", "n_articles", "n_videos")
+
+
 _q("entity_status", ["entity", "n_posts", "n_articles", "status", "error"],
    "C8: per-entity empty-input guard (no posts and no articles -> no_data).")
 _q("post_lines", ["entity", "post_lines"], "H1: top-post lines per entity (fallback text when none).")
