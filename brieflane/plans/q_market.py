@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from brieflane import fixed
 from brieflane.operators import config as cfgops
 from brieflane.operators import market
+from brieflane.plans import api
 from brieflane.plans.oracle_views import lit, register_view, str_list, with_views
 from brieflane.plans.registry import query
 from brieflane.sources import fixtures as fx
@@ -109,8 +110,8 @@ def market_coverage(spark, sf_dir):
 @query("market_report", with_views(["market_reports"], """
 SELECT entity, timeframe, n_symbols, n_ok, data_available, analysis, error FROM market_reports"""))
 def market_report(spark, sf_dir):
-    """H4 + H9: the market report row per entity (text in symbol order, or an error)."""
-    return market.market_reports(symbol_quotes(spark, sf_dir))
+    """I2, H4 + H9: the market report row per entity (text in symbol order, or an error)."""
+    return api.analyze_markets(fx.analyzed_entities(spark), fx.config_table(spark), fx.chart_responses(spark, sf_dir))
 
 
 register_view("ticks", (), """

@@ -8,7 +8,7 @@ from brieflane import fixed
 from brieflane import sinks
 from brieflane.operators import features
 from brieflane.operators import text as tx
-from brieflane.plans import q_sources
+from brieflane.plans import api, q_sources
 from brieflane.plans.oracle_views import lit, register_view, with_views
 from brieflane.plans.registry import query
 from brieflane.sources import fixtures as fx
@@ -109,9 +109,9 @@ def tfidf_posts(spark, sf_dir):
 
 @query("tfidf_articles", _tfidf_sql("atext"))
 def tfidf_articles(spark, sf_dir):
-    """TF-IDF of article titles."""
+    """TF-IDF of article titles."""
     a = q_sources.articles(spark, sf_dir).select(F.col("article_id").alias("doc_id"), "title")
-    return _tfidf_out(tx.tfidf(a, "doc_id", "title"))
+    return _tfidf_out(api.text_features(a, "doc_id", "title"))
 
 
 @query("tfidf_transcripts", _tfidf_sql("vtext"))
