@@ -14,14 +14,12 @@ model has not seen have no index and are left out, as Spark ML does it.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brieflane.operators import text as tx
-from brieflane.session import ensure_checkpoint_dir, names_in
+from brieflane.session import intermediate, names_in
 
 TERMS = "term string, index bigint, doc_freq bigint, idf double"
 SIZE = "n_docs bigint, n_terms bigint"
@@ -76,7 +74,7 @@ class FeatureModel:
             raise ValueError(f"{self.n_terms} terms are more than a Spark ML vector holds")
         sparse = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(self.n_terms).cast("int").alias("size"),
                           F.col("indices").cast("array<int>").alias("indices"), F.col("values"))
-        path = f"{ensure_checkpoint_dir(self.spark)}/brieflane-vectors-{uuid.uuid4().hex}"
+        path = intermediate(self.spark, "vectors")
         kind = docs.schema[id_col].dataType
         self.vectors(docs, id_col, text_col).select(id_col, sparse.alias("features")).write.parquet(path)
         return self.spark.read.schema(T.StructType([T.StructField(id_col, kind), T.StructField("features", VectorUDT())])).parquet(path)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brieflane.operators import filters
-from brieflane.session import discard, ensure_checkpoint_dir, names_in
+from brieflane.session import discard, intermediate, names_in
 
 BUCKETS_CONF, DEFAULT_BUCKETS = "brieflane.index.buckets", 2  # raise it on large clusters
 
@@ -111,7 +111,7 @@ class WordIndex:
             parts.append(found.where(F.col("_word").contains(F.col("_piece"))).select("_term", "_word"))
         none = self.spark.createDataFrame([], "_term string, _word string")
         near = functools.reduce(DataFrame.unionByName, parts, none)
-        path = f"{ensure_checkpoint_dir(self.spark)}/brieflane-words-{uuid.uuid4().hex}"
+        path = intermediate(self.spark, "words")
         near.distinct().withColumn("bucket", self._bucket("_word")).write.parquet(path)
         return self.spark.read.schema("_term string, _word string, bucket int").parquet(path)
 

@@ -62,11 +62,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_intermediate: list[str] = []  # folders that this application has made for itself
+
+
+def intermediate(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder, for a table that only this application reads."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/brieflane-{name}-{uuid.uuid4().hex}"
+    _intermediate.append(path)
+    return path
+
+
+def sweep(spark: SparkSession) -> int:
+    """Removes all intermediate tables of this application and returns their number. Call it when
+    every result is written: DataFrames that were built before read from them."""
+    n = len(_intermediate)
+    while _intermediate:
+        discard(spark, _intermediate.pop())
+    return n
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written to the shared folder and read again: computed once, kept if an executor is
     lost, column by column for what reads it, and with its true size for the joins that follow."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/brieflane-{name}-{uuid.uuid4().hex}"
+    path = intermediate(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

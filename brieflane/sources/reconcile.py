@@ -7,14 +7,13 @@ a run has written is unchanged to the next one.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brieflane.session import discard, ensure_checkpoint_dir, names_in
+from brieflane.session import discard, intermediate, names_in
 
 #: What a row is to a run: new, different from the stored one, equal to it, or stored only.
 KINDS = ("inserted", "changed", "unchanged", "kept")
@@ -60,7 +59,7 @@ def reconcile(path: str, landed: DataFrame, day: Column, key: str = "id", fetche
     spark = landed.sparkSession
     one = newest(landed.withColumn("day", F.coalesce(day, F.lit("1970-01-01").cast("date"))), key, fetched)
     schema = T.StructType([f for f in one.schema.fields if f.name != "day"])
-    place = f"{ensure_checkpoint_dir(spark)}/brieflane-reconcile-{uuid.uuid4().hex}"
+    place = intermediate(spark, "reconcile")
     rows = compare(stored_table(spark, path, schema), one, key)
     rows.write.parquet(place)
     rows = spark.read.schema(rows.schema).parquet(place)

@@ -16,14 +16,12 @@ All folders live under the cluster's shared checkpoint folder.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brieflane.operators import ranking
-from brieflane.session import discard, ensure_checkpoint_dir, names_in
+from brieflane.session import discard, intermediate, names_in
 from brieflane.sources import ingest
 
 RESPONSE_SCHEMA = T.StructType([
@@ -35,8 +33,7 @@ RESPONSE_SCHEMA = T.StructType([
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/brieflane-{name}-{uuid.uuid4().hex}"
+    return intermediate(spark, name)
 
 
 def land_responses(responses: DataFrame, landing: str, fetched_epoch: int, deliveries: int = 2,

@@ -142,3 +142,17 @@ def test_levels_equal_python_and_sketches_stay_within_their_error(spark):
         for x in distinct.merged(spark.read.parquet(path), keys, ["r"]).collect():
             n, exact, _ = got[(",".join(keys), x.asDict().get("e"), x.asDict().get("d"))]
             assert x.n_rows == n and abs(x.about_r - exact) <= 4 * distinct.standard_error() * exact + 1
+
+
+def test_intermediate_tables_are_swept(spark):
+    from brieflane import session
+    kept = list(session._intermediate)
+    session._intermediate.clear()
+    try:
+        df = session.written(spark.range(3), "sweep")
+        assert df.count() == 3
+        path = session._intermediate[0]
+        assert session.names_in(spark, path) and session.sweep(spark) == 1
+        assert session.names_in(spark, path) == [] and session.sweep(spark) == 0
+    finally:
+        session._intermediate.extend(kept)
