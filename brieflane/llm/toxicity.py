@@ -2,13 +2,14 @@
 
 A logistic model over words and word beginnings (presence in the text). Besides the fit to the
 labels it is penalised for counterfactuals: in every labelled sentence that names a group, the
-name is swapped for another of the same list, and the squared change of the sentence's score
-is part of the loss. So a group's name alone cannot raise a score, and neutral mentions are no
-false positives.
+name is swapped for each other one of the same list, and the squared change of the sentence's
+log-odds is part of the loss. So a group's name alone cannot raise a score, and neutral mentions
+are no false positives.
 
 The model is fitted on a bounded sample of about ``sample_docs`` labelled documents chosen by
-a hash of the id (all, if there are fewer), with at most ``FEATURES`` features. Scoring covers
-whole texts of all documents.
+a hash of the id (all, if there are fewer). Its features are those that at least ``LEAST_DOCS`` of
+them hold and whose likelihood ratio is at least ``LEAST_STRENGTH``, however many these are, and
+the names of groups. Scoring covers whole texts of all documents.
 
 Rules: null and empty texts get the score of no feature at all; several labels of one id count
 as the highest; without labelled rows every score is 0; every input row gives one output row;
@@ -24,10 +25,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brieflane.llm.common import map_texts, share
+from brieflane.llm.common import map_texts, saved, share
 
 SAMPLE_DOCS = 20_000
-FEATURES = 6000
+LEAST_DOCS, LEAST_STRENGTH = 4, 3.0
 PREFIXES = (5, 7)
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -54,25 +55,39 @@ def features(words: set[str]) -> set[str]:
     return out
 
 
-def _presence(df: DataFrame) -> DataFrame:
-    """(feature, kind, n): kind 0 and 1 count documents of that label with the feature, kind 2
-    sentences that name the group."""
-    names = {t for terms in IDENTITY for t in terms}
+PLACE = {t: at for at, terms in enumerate(IDENTITY) for t in terms}
+
+
+def swaps(sentence: str) -> list[tuple[frozenset, frozenset]]:
+    """What every swap of a group's name in a sentence takes from its features, and what it adds."""
+    words = set(WORD.findall(sentence))
+    out = []
+    for name in sorted(words & PLACE.keys()):
+        before = features(words)
+        for other in IDENTITY[PLACE[name]]:
+            if other != name:
+                after = features(words - {name} | {other})
+                out.append((frozenset(before - after), frozenset(after - before)))
+    return out
+
 
+def _presence(df: DataFrame) -> DataFrame:
+    """(feature, other, kind, n): kind 0 and 1 count documents of that label with the feature, kind 2
+    swaps in their sentences that take ``feature`` and add ``other`` (each several, joined by spaces)."""
     def make():
         def work(part):
             n: Counter = Counter()
             for label, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 low = (text or "").lower()
                 words = set(WORD.findall(low))
-                n.update((f, label) for f in features(words))
-                n[" documents", label] += 1
-                if not names.isdisjoint(words):
+                n.update((f, "", label) for f in features(words))
+                n[" documents", "", label] += 1
+                if not words.isdisjoint(PLACE):
                     for s in SENTENCE.split(low):
-                        n.update((t, 2) for t in names.intersection(WORD.findall(s)))
-            return [[k[0] for k in n], [k[1] for k in n], list(n.values())]
+                        n.update((" ".join(sorted(a)), " ".join(sorted(b)), 2) for a, b in swaps(s))
+            return [[k[at] for k in n] for at in range(3)] + [list(n.values())]
         return work
-    return map_texts(df, "feature string, kind int, n bigint", make)
+    return map_texts(df, "feature string, other string, kind int, n bigint", make)
 
 
 def _vectors(df: DataFrame, index: dict[str, int]) -> DataFrame:
@@ -91,18 +106,12 @@ def _vectors(df: DataFrame, index: dict[str, int]) -> DataFrame:
     return map_texts(df, "label int, vector binary", make)
 
 
-def swap_rows(index: dict[str, int], mentions: dict[str, int]) -> list[tuple[float, list[int], list[int]]]:
-    """The swaps of the counterfactual loss: (weight, features of the name, of the other name)."""
-    rows = []
-    total = sum(mentions.values()) or 1
-    for terms in IDENTITY:
-        ids = [[index[f] for f in features({t}) if f in index] for t in terms]
-        for i, t in enumerate(terms):
-            for j in range(len(terms)):
-                if i != j and (ids[i] or ids[j]):
-                    # a term that the sample never names still counts a little
-                    rows.append(((mentions.get(t, 0) + 1) / (total + 1) / (len(terms) - 1), ids[i], ids[j]))
-    return rows
+def swap_rows(index: dict[str, int], counted: dict[tuple[str, str], int]) -> list[tuple[float, list[int], list[int]]]:
+    """The swaps of the counterfactual loss: (share of all swaps, features taken, features added);
+    ``counted`` by (taken, added), each joined by spaces."""
+    whole = sum(counted.values()) or 1
+    at = lambda names: [index[f] for f in names.split() if f in index]
+    return [(n / whole, at(a), at(b)) for (a, b), n in sorted(counted.items()) if at(a) or at(b)]
 
 
 def fit_weights(vectors: list[np.ndarray], labels: np.ndarray, size: int, swaps: list, ridge: float = 2e-4,
@@ -156,30 +165,30 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     marks = (labels.where(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
              .groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("label")))
     keep = share("id", marks.count(), sample_docs)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sample = texts.where(keep).join(marks.where(keep), "id").select("label", "text")
-    counts = _presence(sample).groupBy("feature").agg(
-        *[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(c)
-          for k, c in ((0, "neg"), (1, "pos"), (2, "named"))])
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(keep)
+    # about ``sample_docs`` ids at most; the sample is read several times, so it is written once
+    sample = saved(texts.join(F.broadcast(marks.where(keep)), "id").select("label", "text"))
+    found = saved(_presence(sample).groupBy("feature", "other", "kind").agg(F.sum("n").alias("n")))
+    counts = found.where(F.col("kind") < 2).groupBy("feature").agg(
+        *[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(c) for k, c in ((0, "neg"), (1, "pos"))])
     total = counts.where(F.col("feature") == " documents").collect()
     if not total:
         return Model({}, 0.0, fitted=False)
     neg, pos = float(total[0]["neg"]), float(total[0]["pos"])
-    names = [t for terms in IDENTITY for t in terms]
-    mentions = {r["feature"]: r["named"] for r in counts.where(F.col("feature").isin(names)).collect()}
-    # features by the signed root of their likelihood ratio, as far as they are allowed
+    counted = {(r["feature"], r["other"]): r["n"] for r in found.where(F.col("kind") == 2).collect()}
+    # features by the signed root of their likelihood ratio
     all_n, seen = neg + pos, F.col("pos") + F.col("neg")
     expect = seen * (pos / all_n)
     strength = (F.col("pos") - expect) * F.abs(F.col("pos") - expect) / (expect + 0.5)
-    chosen = (counts.where((F.col("feature") != " documents") & (seen >= 4) & (seen <= 0.7 * all_n + 4))
-              .withColumn("strength", F.abs(strength)).where(F.col("strength") >= 3)
-              .orderBy(F.desc("strength"), "feature").limit(FEATURES).select("feature").collect())
+    chosen = (counts.where((F.col("feature") != " documents") & (seen >= LEAST_DOCS) & (F.abs(strength) >= LEAST_STRENGTH))
+              .select("feature").collect())
+    names = PLACE.keys()
     index = {f: i for i, f in enumerate(sorted({r[0] for r in chosen} | features(set(names))))}
     rows = _vectors(sample, index).collect()
     rows.sort(key=lambda r: (r[1], r[0]))
     y = np.array([r[0] for r in rows], np.float64)
     vectors = [np.frombuffer(r[1], "<i4") for r in rows]
-    w, b = fit_weights(vectors, y, len(index), swap_rows(index, mentions))
+    w, b = fit_weights(vectors, y, len(index), swap_rows(index, counted))
     return Model({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3}, b)
 
 
