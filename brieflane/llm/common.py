@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,10 +12,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from brieflane.session import ensure_checkpoint_dir
+from brieflane.session import discard, intermediate  # noqa: F401
 
 CHUNK_BYTES = 8 << 20
 
+WORDS = re.compile(r"[^\W\d_]+")
+
+
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters. The pattern, which is fast, takes other numerals (fractions, Roman ones) for
+    letters; a text that has some is gone through again."""
+    found = WORDS.findall(text)
+    if not found or "".join(found).isalpha():
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split(" ") if w]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,17 +36,11 @@ def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: computed once, kept if an executor is
     lost, with a short plan and true sizes for the joins that follow."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = intermediate(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Removes an intermediate table that no plan reads any more."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def fold(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n`` (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n

@@ -16,7 +16,6 @@ language name; every input row gives one output row; other columns are not looke
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -24,13 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brieflane.llm.common import map_texts, share
+from brieflane.llm.common import chunks, letter_runs, map_texts, share
 
 SAMPLE_DOCS = 1500   # documents of each language that the model is fitted on
 LONGEST_GRAM = 4
 LANGUAGES = 1000     # a table with more distinct languages is refused
 REMEMBERED = 100_000
-WORD = re.compile(r"[^\W\d_]+")
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -44,7 +42,7 @@ def count_words(df: DataFrame) -> DataFrame:
         def work(part):
             words: dict[str, Counter] = defaultdict(Counter)
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                words[lang].update(WORD.findall((text or "").lower()))
+                words[lang].update(letter_runs((text or "").lower()))
             rows = []
             for lang, found in words.items():
                 parts: Counter = Counter()
@@ -85,40 +83,26 @@ class Model:
         self.seen = np.concatenate(seen) if seen else np.zeros((0, len(self.langs)), bool)
 
 
+    def known_to(self) -> list[int]:
+        """For each row of the table, the languages that hold it, as bits."""
+        if not hasattr(self, "bits"):
+            self.bits = [0] * len(self.seen)
+            for at in range(0, len(self.langs), 62):
+                some = self.seen[:, at:at + 62]
+                part = (some @ (1 << np.arange(some.shape[1], dtype=np.int64))).tolist()
+                self.bits = part if not at else [b | p << at for b, p in zip(self.bits, part)]
+        return self.bits
+
+
 class Scorer:
     def __init__(self, model: Model):
         self.m = model
         self.reset()
 
     def reset(self) -> None:
-        self.rows = dict(self.m.index[0])
+        self.rows: dict[str, int] = {}  # words met so far
         self.used = len(self.m.table)
         self.table = np.vstack([self.m.table, np.zeros((1 << 14, len(self.m.langs)), np.float32)])
-        self.fits: dict[str, np.ndarray] = {}
-
-    def _fit(self, word: str) -> np.ndarray:
-        """How far the word is known to each language: 1, or the share of its 2-grams (1-grams of a
-        single letter) that are. Borders do not count: every language has them."""
-        n = min(2, len(word))
-        index, seen = self.m.index[n], self.m.seen
-        parts = [word[i:i + n] for i in range(len(word) - n + 1)]
-        share = sum((seen[index[g]].astype(np.float32) for g in parts if g in index), np.zeros(len(self.m.langs), np.float32))
-        at = self.m.index[0].get(word)
-        return np.maximum(share / len(parts), seen[at] if at is not None else 0)
-
-    def fit(self, text: str | None) -> float:
-        """Mean over the words of ``text`` of how far they are known to a language, that of the
-        language that knows most; it does not grow with the length. Without a letter 0; 1 if there
-        is no language to compare with."""
-        words = Counter(WORD.findall((text or "").lower()))
-        if not words or not self.m.langs:
-            return float(bool(words))
-        if len(self.fits) > REMEMBERED:
-            self.fits.clear()
-        for w in words.keys() - self.fits.keys():
-            self.fits[w] = self._fit(w)
-        known = np.array([self.fits[w] for w in words])
-        return float((np.fromiter(words.values(), np.float64, len(words)) @ known).max()) / sum(words.values())
 
     def _unseen(self, word: str) -> np.ndarray:
         for n in range(LONGEST_GRAM, 0, -1):
@@ -129,19 +113,24 @@ class Scorer:
         return np.zeros(len(self.m.langs), np.float32)
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.rows) > len(self.m.index[0]) + REMEMBERED:
+        if self.used > len(self.m.table) + REMEMBERED:
             self.reset()
+        known = self.m.index[0].get
         for w in words.difference(self.rows):
-            if self.used == len(self.table):
-                self.table = np.vstack([self.table, np.zeros_like(self.table)])
-            self.table[self.used] = self._unseen(w)
-            self.rows[w] = self.used
-            self.used += 1
+            at = known(w)
+            if at is None:
+                if self.used == len(self.table):
+                    self.table = np.vstack([self.table, np.zeros_like(self.table)])
+                self.table[self.used] = self._unseen(w)
+                at, self.used = self.used, self.used + 1
+            self.rows[w] = at
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        found = [WORD.findall(t.lower()) if t else [] for t in texts]
+        return self.predict_words([letter_runs(t.lower()) if t else [] for t in texts])
+
+    def predict_words(self, found: list[list[str]]) -> list[tuple[str, float]]:
         if not self.m.langs:
-            return [("und", 0.0)] * len(texts)
+            return [("und", 0.0)] * len(found)
         self._learn(set().union(*found) if found else set())
         get, out = self.rows.__getitem__, []
         for words in found:
@@ -169,7 +158,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     for lang, n in sizes:
         taken = taken | ((F.col("lang") == lang) & share("id", n, sample_docs))
     rows = count_words(own.where(taken).select("lang", "text"))
-    return Model([tuple(r) for r in rows.where((F.col("kind") > 0) | (F.col("n") > 1)).toLocalIterator()])
+    return Model([tuple(r) for r in rows.toLocalIterator()])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,18 +178,85 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return map_texts(slim, f"id {kind}, lang_pred string, score double", make).withColumnRenamed("id", id_col)
 
 
+class Fit:
+    """How well a text fits the language that it is identified as: the mean over its words of how far
+    the back-off goes until the word is known to that language. A known word counts 1, one that backs
+    off to n-grams n / 5, one of which not a letter is known 0. It does not grow with the length.
+
+    Languages are bits of a number here: a word's languages at each step of the back-off are the
+    union of its n-grams' ones, and words of one such pattern share a row of ``levels``."""
+
+    def __init__(self, model: Model):
+        self.scorer, self.m = Scorer(model), model
+        self.every = (1 << len(model.langs)) - 1
+        self.patterns: dict[tuple[int, ...], int] = {}
+        self.levels = np.zeros((64, len(model.langs)), np.float32)
+        self.rows: dict[str, int] = {}
+
+    def _pattern(self, word: str) -> tuple[int, ...]:
+        """Languages that know the word, and those of the rest that know one of its n-grams, longest first."""
+        known = self.m.known_to()
+        at = self.m.index[0].get(word)
+        have = known[at] if at is not None else 0
+        out = [have]
+        for n in range(LONGEST_GRAM, 0, -1):
+            if have == self.every:
+                break
+            # borders alone say nothing: every language has them
+            w, get, found = f"<{word}>" if n > 1 else word, self.m.index[n].get, 0
+            for i in range(len(w) - n + 1):
+                at = get(w[i:i + n])
+                if at is not None:
+                    found |= known[at]
+                    if found | have == self.every:
+                        break
+            out.append(found & ~have)
+            have |= found
+        return tuple(out)
+
+    def _row(self, pattern: tuple[int, ...]) -> int:
+        at = self.patterns.get(pattern)
+        if at is None:
+            at = self.patterns[pattern] = len(self.patterns)
+            if at == len(self.levels):
+                self.levels = np.vstack([self.levels, np.zeros_like(self.levels)])
+            for step, langs in enumerate(pattern):
+                level = 1.0 if step == 0 else (LONGEST_GRAM + 1 - step) / (LONGEST_GRAM + 1)
+                for k in range(len(self.m.langs)):
+                    if langs >> k & 1:
+                        self.levels[at, k] = level
+        return at
+
+    def of(self, texts: list[str | None]) -> list[float]:
+        """Fit of every text; 0 without a letter, and 1 for the others if there is no language."""
+        words = [letter_runs(t.lower()) if t else [] for t in texts]
+        if not self.m.langs:
+            return [float(bool(w)) for w in words]
+        place = {lang: i for i, lang in enumerate(self.m.langs)}
+        if len(self.rows) > REMEMBERED:
+            self.rows.clear()
+        for w in set().union(*words).difference(self.rows) if words else ():
+            self.rows[w] = self._row(self._pattern(w))
+        get, out = self.rows.__getitem__, []
+        for own, (lang, _) in zip(words, self.scorer.predict_words(words)):
+            if own:
+                rows = np.fromiter(map(get, own), np.int64, len(own))
+                out.append(float(self.levels[rows, place[lang]].mean()))
+            else:
+                out.append(0.0)
+        return out
+
+
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs``, unchanged, whose text fits a language by ``least`` or more (see
-    ``Scorer.fit``); all texts with a letter, if no language is known."""
+    """Rows of ``docs``, unchanged, whose text is identified and fits its language by ``least`` or more
+    (see ``Fit``); all texts with a letter, if no language is known."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    at = names.index(text_col)
+    at = docs.columns.index(text_col)
 
     def run(batches):
-        from brieflane.llm.common import chunks
-        scorer = Scorer(shared.value)
+        fit_of = Fit(shared.value)
         for batch in batches:
             for part in chunks(batch, at):
-                yield part.filter(pa.array([scorer.fit(x) >= least for x in part.column(at).to_pylist()], pa.bool_()))
+                yield part.filter(pa.array([x >= least for x in fit_of.of(part.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -25,7 +25,6 @@ of their own. With fewer rows than entries there are as many entries as rows. Co
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +33,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from brieflane.llm.common import discard
+from brieflane.llm.common import discard, intermediate
 from brieflane.llm.vectors import matrix
 from brieflane.operators.skew import salted_join
-from brieflane.session import ensure_checkpoint_dir
 
 PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4096
 LIMIT, LONG = 1 << 60, (1 << 63) - 1
@@ -190,9 +188,9 @@ def compress(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     kinds = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
     schema = STATE.format(id=kinds["id"], label=kinds["label"])
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    folder, state, moved, path = ensure_checkpoint_dir(spark), kept, None, None
+    state, moved, path = kept, None, None
     for at in range(rounds + 1):
-        before, path = path, f"{folder}/codes-{uuid.uuid4().hex}"
+        before, path = path, intermediate(spark, "codes")
         state.mapInArrow(one_round(books, moved, arrow), schema).write.parquet(path)
         if before:
             discard(spark, before)

@@ -117,7 +117,7 @@ def test_stages_on_edge_rows(spark, tmp_path):
 def test_spark_entry_registers_it(spark):
     import __spark_entry__ as entry
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 def test_input_from_a_table_with_null_columns(spark):
