@@ -3,15 +3,18 @@
 A page is cut into blocks at block-level tags. Pass 1 decides what it can: blocks inside
 navigation, header, footer, form and comment elements, and blocks made of links, are
 boilerplate; long blocks, or blocks dense in stop words, are text; where the page marks its
-article, blocks outside it are boilerplate. Short blocks stay undecided. Pass 2 gives an
-undecided block the label of its nearest decided neighbours: the common label of both, else
-that of the nearer one (the following one on a tie, as a heading belongs to what it heads).
+article, blocks outside it are boilerplate and links inside it are no sign of it. Short blocks stay
+undecided. Pass 2 gives an undecided block the label of its nearest decided neighbours: the common
+label of both, else that of the nearer one (the following one on a tie, as a heading belongs to what
+it heads). Where nothing was decided to be text, the page is a short one: undecided blocks are its text.
 
 A class or id marks boilerplate by whole names only, and not around the page's only article or
 most of its long text.
 
+Every step takes time in proportion to the page, whatever its markup is.
+
 Rules: null and empty pages give an empty text; unclosed, unknown and stray tags are passed
-over (an unclosed script or style has the rest of the page); <head> ends where body text begins;
+over, and a tag that another one begins in is text (an unclosed script or style has the rest of the page); <head> ends where body text begins;
 references without a meaning stay as they are; every input row gives one output row; other
 columns are not looked at.
 """
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +49,7 @@ SILENT = ("script", "style", "noscript", "template", "svg", "math", "iframe", "o
 #: What may stand in <head>; any other tag, and text, ends it.
 HEAD = {"head", "base", "link", "meta", "script", "style", "noscript", "template", "title", "object"}
 #: Elements that hold boilerplate.
-APART = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset", "figcaption"}
+APART = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 #: Elements that hold the article.
 ARTICLE = {"article", "main"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt",
@@ -71,7 +75,7 @@ BESIDE = re.compile(r"top|bottom|left|right|main|site|page|global|primary|second
 FIRM = re.compile(r"comments?|replies|reply|respond|disqus|cookies?|consent|gdpr", re.I)
 MAIN_HINT = re.compile(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody\b", re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|([^<]+|<)", re.S)
 CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in SILENT}
 SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -95,12 +99,30 @@ def mark(attributes: str) -> str:
     return found
 
 
+class Marks:
+    """Boilerplate marks, each inside the one before it (``parent``, -1 for none)."""
+
+    def __init__(self):
+        self.loose: list[bool] = []
+        self.parent: list[int] = []
+        self.article: list[bool] = []      # the mark stands inside an article
+        self.all_article: list[bool] = []  # ... and so do those around it
+
+    def add(self, loose: bool, article: bool, parent: int) -> int:
+        self.loose.append(loose)
+        self.parent.append(parent)
+        self.article.append(article)
+        self.all_article.append(article and (parent < 0 or self.all_article[parent]))
+        return len(self.loose) - 1
+
+
 def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
     """(text, share of it in links, inside boilerplate, inside an article) in page order."""
-    out: list[tuple[str, float, bool, bool, tuple[int, ...]]] = []
-    # open elements: name, boilerplate, article, the marks they are in
-    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []
-    marks: list[tuple[bool, bool]] = []  # loose, inside an article
+    out: list[tuple[str, float, bool, bool, int]] = []
+    # open elements: name, boilerplate, article, the innermost mark they are in
+    stack: list[tuple[str, bool, bool, int]] = []
+    opened: Counter = Counter()
+    marks = Marks()
     text: list[str] = []
     linked = [0]
     links = 0
@@ -110,16 +132,21 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
     def flush():
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            _, apart, article, within = stack[-1] if stack else ("", False, False, ())
+            _, apart, article, within = stack[-1] if stack else ("", False, False, -1)
             out.append((joined, min(1.0, linked[0] / len(joined)), apart, article, within))
         text.clear()
         linked[0] = 0
 
-    at = 0
+    at, last = 0, page.rfind(">")
     while at < len(page):
-        m = TOKEN.match(page, at)
-        at = m.end()
-        close, name, attributes, data = m.groups()
+        if at > last and not page.startswith("<!--", at):  # no tag ends any more
+            end = page.find("<!--", at)
+            data, at = page[at:end if end >= 0 else len(page)], end if end >= 0 else len(page)
+            close = name = attributes = None
+        else:
+            m = TOKEN.match(page, at)
+            at = m.end()
+            close, name, attributes, data = m.groups()
         if data is not None:
             if head and data.strip():
                 head = False
@@ -152,57 +179,68 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
                 links = max(0, links - 1)
             elif name in BLOCKS:
                 flush()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        links = 0
-                        break
+                if opened[name]:
+                    links = 0
+                    while True:
+                        gone = stack.pop()[0]
+                        opened[gone] -= 1
+                        if gone == name:
+                            break
             continue
         if name == "a":
-            links = 0 if attributes.endswith("/") else 1
+            links = 0 if SELF_CLOSED.search(attributes) else 1
         elif name == "br":
             text.append(" ")
         elif name in BLOCKS:
             flush()
             links = 0
             while stack and name in ENDS.get(stack[-1][0], ()):
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
             if name in VOID:
                 continue
-            _, apart, article, within = stack[-1] if stack else ("", False, False, ())
+            _, apart, article, within = stack[-1] if stack else ("", False, False, -1)
             inside = name in ARTICLE or bool(attributes and MAIN_HINT.search(attributes))
             marked = "" if inside or name in ("body", "html") or not attributes else mark(attributes)
             if marked:
-                marks.append((marked == "loose", article))
-                within = (*within, len(marks) - 1)
+                within = marks.add(marked == "loose", article, within)
             outside = name in APART or (name == "header" and not article)
             stack.append((name, apart or outside, article or inside, within))
+            opened[name] += 1
     flush()
     void = void_marks(out, marks)
-    return [(t, share, apart or not void.issuperset(within), article) for t, share, apart, article, within in out]
+    return [(t, share, apart or (within >= 0 and not void[within]), article) for t, share, apart, article, within in out]
 
 
-def void_marks(out: list[tuple[str, float, bool, bool, tuple[int, ...]]], marks: list[tuple[bool, bool]]) -> set[int]:
-    """Loose marks that stand around the page's only article, or around most of the long text (of
-    the article, if one stands outside all marks, else of the page)."""
-    if not marks:
-        return set()
+def void_marks(out: list[tuple[str, float, bool, bool, int]], marks: Marks) -> list[bool]:
+    """For each mark, whether it and all marks around it are void: loose ones that stand around the
+    page's only article, or around most of the long text (of the article, if one stands outside all
+    marks, else of the page)."""
+    n_marks = len(marks.loose)
 
     def alone(block) -> bool:
-        return block[3] and not block[2] and all(marks[i][1] for i in block[4])
+        return block[3] and not block[2] and (block[4] < 0 or marks.all_article[block[4]])
 
     free = any(alone(block) for block in out)
-    every, held, around = 0, [0] * len(marks), [False] * len(marks)
+    every, held, article_in = 0, [0] * n_marks, [False] * n_marks
     for block in out:
         text, linked, apart, article, within = block
         if apart or (free and not alone(block)):
             continue
         n = len(text) if len(text) >= LONG and linked <= LINKED else 0
         every += n
-        for i in within:
-            held[i] += n
-            around[i] = around[i] or (article and not marks[i][1])
-    return {i for i, (loose, _) in enumerate(marks) if loose and (around[i] or 2 * held[i] > every)}
+        if within >= 0:
+            held[within] += n
+            article_in[within] = article_in[within] or article
+    for i in range(n_marks - 1, -1, -1):  # a mark comes after those around it
+        around = marks.parent[i]
+        if around >= 0:
+            held[around] += held[i]
+            article_in[around] = article_in[around] or article_in[i]
+    void = [False] * n_marks
+    for i in range(n_marks):
+        own = marks.loose[i] and ((article_in[i] and not marks.article[i]) or 2 * held[i] > every)
+        void[i] = own and (marks.parent[i] < 0 or void[marks.parent[i]])
+    return void
 
 
 def main_text(page: str | None) -> str:
@@ -212,12 +250,14 @@ def main_text(page: str | None) -> str:
     for text, linked, apart, article in found:
         words = LETTERS.findall(text.lower())
         dense = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if apart or linked > LINKED or (marked and not article):
+        if apart or (marked and not article) or (linked > LINKED and not marked):
             labels.append(False)
         elif len(text) >= LONG or (len(text) >= SHORT and dense >= DENSE):
             labels.append(True)
         else:
             labels.append(None)
+    if True not in labels:  # a short page
+        labels = [label is None for label in labels]
     # in a marked article neither what stands outside nor an inserted part (aside, share list)
     # says anything about its short blocks
     voters = [i for i, x in enumerate(labels) if x is not None and (not marked or (found[i][3] and not found[i][2]))]
@@ -229,7 +269,7 @@ def main_text(page: str | None) -> str:
             before = voters[k - 1] if k else None
             after = voters[k] if k < len(voters) else None
             if before is None and after is None:
-                label = marked
+                label = True
             elif before is None or after is None or labels[before] == labels[after]:
                 label = labels[before if after is None else after]
             else:

@@ -62,6 +62,34 @@ def test_unclosed_silent_elements_lose_no_text():
     assert len(main_text("<button>" * 20_000 + f"<p>{PARA * 2}</p>")) >= len(body)
 
 
+def test_short_pages_keep_their_text():
+    assert main_text("<p>Short text.</p>") == "Short text."
+    assert main_text("plain text without tags") == "plain text without tags"
+    assert main_text("<nav><a href=/>Home</a></nav><h1>News</h1><p>Short text.</p><footer>c 2020</footer>") == "News Short text."
+    assert main_text("<div><a href=/>only a link</a></div>") == ""
+
+
+def test_links_and_captions_of_a_marked_article_stay():
+    page = f"""<article><h1>Head</h1><p>{PARA * 2}</p><figure><img src=x><figcaption>The river in May</figcaption></figure>
+      <p><a href=r>The whole report of the council</a></p><ul><li><a href=1>First part</a></li><li>Second</li></ul></article>
+      <div><a href=x>other news</a></div>"""
+    body = " ".join((PARA * 2).split())
+    assert main_text(page) == f"Head {body} The river in May The whole report of the council First part Second"
+
+
+def test_time_is_in_proportion_to_the_page():
+    import time
+    for piece in ("<a ", "</p>", "<", "<!", '<a "', "<a '", "<p><b>", "<div class=ad>", "<div class=ad>x", "<svg>", "<a href='", "<li>x</p>",
+                  "<table><tr><td>", "</div><p>", "<script", "<!--x", "&amp", "<div></p>"):
+        page = piece * (1_000_000 // len(piece))
+        start = time.time()
+        main_text(page)
+        assert time.time() - start < 15, piece  # linear: a few seconds on a slow machine; quadratic: minutes
+    deep = "<div>" * 100_000 + "</p>" * 100_000 + "x"
+    start = time.time()
+    assert main_text(deep) == "x" and time.time() - start < 15
+
+
 def test_broken_and_empty_pages(spark):
     for page in (None, "", "   ", "<", "<p", "<<<>>>", "<!--", "<script>x", "</p></div>", "&nbsp;&bogus;"):
         assert isinstance(main_text(page), str)
