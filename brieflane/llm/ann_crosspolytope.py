@@ -11,8 +11,9 @@ Equal vectors are one entry of the index, with the smallest ids that a query can
 copies do not fill buckets. A bucket is one task's work as long as it holds at most
 ``BUCKET_ROWS`` entries; larger ones are dealt by a hash of the id into parts, and a query
 goes to each of the parts; where more than ``QUERY_ROWS`` queries meet in a bucket, they are dealt
-by a hash into lots, and an entry goes to each of the lots. With many rows a bucket is a combination of ``hashes`` axes; there
-are then ``TABLES * hashes`` tables and ``PROBES ** hashes`` probes, so that as many neighbours
+by a hash into lots, and an entry goes to each of the lots. A bucket is a combination of ``hashes`` axes, whose number
+follows the rows and components by one rule (``hashes_for``); there
+are ``TABLES * hashes`` tables and ``PROBES ** hashes`` probes, so that as many neighbours
 are found as with one axis.
 
 Rules: see ``vectors.usable`` (zero vectors take no part); vectors of different lengths are not
@@ -32,12 +33,18 @@ from pyspark.sql import functions as F
 from brieflane.llm.common import saved
 from brieflane.llm.vectors import matrix, usable
 
-TABLES, PROBES, BUCKET_ROWS, ROWS_A_HASH = 8, 16, 4096, 2_000_000
+TABLES, PROBES, BUCKET_ROWS = 8, 16, 4096
 QUERY_ROWS = 16_384  # queries of a bucket in one task
 RATIO = 1.1  # between the largest and the smallest length of a range
 HASH_ROWS = 256  # rows hashed at a time: two hashes look at (twice the dimension) ** 2 buckets of each
 
 
+def hashes_for(rows: int, size: int) -> int:
+    """Hashes of a bucket: as many as bring ``rows`` vectors of ``size`` components nearest to
+    ``BUCKET_ROWS`` a bucket, each hash parting them by its signed axes (one at least)."""
+    return max(1, round(math.log(max(rows, 1) / BUCKET_ROWS) / math.log(2 * width(size)))) if size > 1 else 1
+
+
 def hadamard(y: np.ndarray) -> np.ndarray:
     """Fast Hadamard transform of every row (a power of two long), scaled to keep lengths."""
     d, h = y.shape[1], 1
@@ -136,11 +143,13 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str =
     # one row for each length and range of norms, not for each vector
     found_ranges = (sized.groupBy("size", F.floor(F.log("norm") / math.log(RATIO)).alias("band"))
                     .agg(F.max("norm").alias("most"), F.min("norm").alias("least"), F.count("*").alias("n")).collect())
-    turns = hashes or 1 + int(sum(r["n"] for r in found_ranges) > ROWS_A_HASH)
-    tables, probes = tables or TABLES * turns, probes or PROBES ** turns
+    rows_of: dict[int, int] = {}
+    for r in found_ranges:
+        rows_of[r["size"]] = rows_of.get(r["size"], 0) + r["n"]
+    turns_of = {size: hashes or hashes_for(n, size) for size, n in rows_of.items()}
     ranges = norm_ranges([(r["size"], r["least"], r["most"], r["n"]) for r in found_ranges], whole)
 
-    def hashed(query: bool, n_probes: int):
+    def hashed(query: bool):
         def run(batches):
             for batch in batches:
                 t = pa.Table.from_batches([batch])
@@ -166,8 +175,9 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str =
                                     rest = 0.0 if query else np.sqrt(np.maximum(1 - (norms[mine] / most) ** 2, 0.0))
                                     u = np.concatenate([u, np.broadcast_to(rest, len(mine))[:, None]], 1)
                                 # as many of all buckets, should the component double their number
-                                wide = 1 if n_probes == 1 else n_probes * (width(u.shape[1]) // width(size)) ** turns
-                                codes = np.stack([axes(u, i, turns, wide, seed) for i in range(tables)], 1)
+                                turns = turns_of[size]
+                                own = (probes or PROBES ** turns) * (width(u.shape[1]) // width(size)) ** turns if query else 1
+                                codes = np.stack([axes(u, i, turns, own, seed) for i in range(tables or TABLES * turns)], 1)
                             yield pa.RecordBatch.from_arrays([
                                 part[0].take(pa.array(mine)).combine_chunks(), pa.array([size] * len(mine), pa.int32()),
                                 pa.array([band] * len(mine), pa.int32()), pa.array([r.tobytes() for r in x[mine]], pa.binary()),
@@ -181,9 +191,9 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str =
 
     keys = ["size", "band", "tab", "bucket"]
     index = saved(entries.select("ids", "v").mapInArrow(
-        hashed(False, 1), "ids array<bigint>, size int, band int, v binary, codes array<array<bigint>>"))
+        hashed(False), "ids array<bigint>, size int, band int, v binary, codes array<array<bigint>>"))
     questions = saved(data.where(is_query).select("id", "v").mapInArrow(
-        hashed(True, probes), "id bigint, size int, band int, v binary, codes array<array<bigint>>"))
+        hashed(True), "id bigint, size int, band int, v binary, codes array<array<bigint>>"))
     rows, asked = spread(index), spread(questions)
     cells = (rows.groupBy(*keys).agg(F.ceil(F.count("*") / BUCKET_ROWS).cast("int").alias("parts"))
              .join(asked.groupBy(*keys).agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("lots")), keys))

@@ -164,3 +164,10 @@ def test_neighbours_of_edge_rows(spark):
 def test_usable(spark):
     rows = usable(spark.createDataFrame(EDGE, SCHEMA), "vec_id", "embedding", zero=True).collect()
     assert sorted(r.id for r in rows) == [0, 1, 2, 7, 9, 10, 20, 100]
+
+
+def test_hashes_follow_rows_and_components():
+    rule = ann_crosspolytope.hashes_for
+    assert [rule(n, 64) for n in (0, 1, 2000, 500_000, 60_000_000, 10 ** 10)] == [1, 1, 1, 1, 2, 3]
+    assert [rule(n, 64) for n in range(1, 10 ** 7, 99_991)] == sorted(rule(n, 64) for n in range(1, 10 ** 7, 99_991))
+    assert rule(10 ** 9, 1) == 1 and rule(10 ** 9, 1024) <= rule(10 ** 9, 64) <= rule(10 ** 9, 8)
