@@ -10,9 +10,12 @@ are one *set* from then on, named by 128 bits of hash, so copies cost one row.
    as rows (token, group), the union of all tokens as a bitmap of hashed columns. By the prefix
    rule two linked sets share a token among the first n - ceil(s * n) + 1 of each in one common
    order; the order puts tokens that are frequent last, which keeps the rows of a token few.
-3. Bound and open. For two groups that share a prefix token, each member is a query against the
-   other group: its size less the tokens that the group's bitmap lacks bounds the overlap. Only
-   members and groups that can reach the threshold are opened and compared set by set.
+3. Bound and open. For two groups that share a prefix token, the members of the smaller one are
+   queries against the other: a query's size less the tokens that the group's bitmap lacks bounds
+   the overlap. The union of a large group fills its bitmap, so a query that it lets pass goes on to
+   the unions of its *bounds* (at most ``BOUND`` members each), and only members of a bound that lets
+   it pass are queries against the query's own bound. What can reach the threshold is opened and
+   compared set by set.
 
 So no link is lost, whatever step 1 and the frequency estimate do; they only save work. Tokens
 in very many groups are compared in blocks by bitmaps, never as rows of pairs. Links are joined
@@ -43,6 +46,8 @@ FREQUENT_FROM = 4        # ... those counted so often
 COUNTED_TOKENS = 1 << 20  # a task counts tokens in blocks of so many
 BLOCK = 512              # sets compared at once
 LIGHT = 24               # groups of a token up to which pairs of groups become rows
+BOUND = 64               # members whose union is one bitmap in the second look at a large group
+LOT_ROWS = 4096          # rows of a task's cells, about
 BROADCAST_ROWS = 500_000  # text hashes (8 bytes each) that are broadcast at most
 
 M1, M2, M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -259,10 +264,14 @@ def sets_of(docs: DataFrame, nodes: DataFrame, words: int, bits: bool = False) -
     return some.mapInArrow(run, "node binary, " + ("bits array<bigint>" if bits else "tokens binary"))
 
 
+def in_lots(cells: DataFrame) -> DataFrame:
+    """Stored cells with the ``lot`` that each belongs to: about ``LOT_ROWS`` rows are one."""
+    return cells.withColumn("lot", F.pmod(F.xxhash64("cell"), F.lit(max(1024, cells.count() // LOT_ROWS))))
+
+
 def compare(cells: DataFrame, percent: int) -> DataFrame:
-    """``cells`` (cell, label, node, tokens): edges (a, b) between the labels of linked sets
-    that share a cell. Cells have a bounded number of rows; some share a task's group."""
-    rows = cells.withColumn("lot", F.pmod(F.xxhash64("cell"), F.lit(4096)))
+    """``cells`` (lot, cell, label, node, tokens): edges (a, b) between the labels of linked sets
+    that share a cell. Cells have a bounded number of rows; those of a lot are one task's group."""
 
     def run(table: pa.Table) -> pa.Table:
         edges = set()
@@ -285,7 +294,7 @@ def compare(cells: DataFrame, percent: int) -> DataFrame:
             at = to
         return pa.table({"a": pa.array([x[0] for x in edges], pa.binary()), "b": pa.array([x[1] for x in edges], pa.binary())})
 
-    return rows.groupBy("lot").applyInArrow(run, "a binary, b binary")
+    return cells.groupBy("lot").applyInArrow(run, "a binary, b binary")
 
 
 def partition_cells(nodes: DataFrame) -> DataFrame:
@@ -378,7 +387,7 @@ def components_of(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id
 
     # 1. groups
     cells = saved(partition_cells(nodes))
-    held = cells.join(sets_of(own, cells, words), "node").select("cell", "label", "node", "tokens")
+    held = in_lots(cells).join(sets_of(own, cells, words), "node").select("lot", "cell", "label", "node", "tokens")
     grouped = connected(compare(held, percent))
     nodes = saved(nodes.join(grouped, "node", "left").select("node", "rep", "n", "th", F.coalesce("label", "node").alias("grp")))
 
@@ -405,35 +414,46 @@ def components_of(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id
     # the union of a group's tokens: bitmaps, combined word by word
     asked = pairs.select(F.col("a").alias("grp")).union(pairs.select("b")).union(crowded.select("grp")).distinct()
     asked = nodes.join(asked, "grp", "left_semi")
-    heads = sets_of(own, asked, words, bits=True).join(asked.select("node", "grp", "n"), "node")
-    heads = saved(heads.select("node", "grp", "n", "bits"))
-    single = heads.select("grp", F.col("bits").alias("union")).join(sized.where(F.col("size") == 1), "grp")
-    many = heads.select("grp", F.posexplode("bits").alias("at", "word")).join(
-        sized.where(F.col("size") > 1).select("grp"), "grp", "left_semi")
-    many = (many.groupBy("grp", "at").agg(F.bit_or("word").alias("word")).groupBy("grp")
-            .agg(F.sort_array(F.collect_list(F.struct("at", "word"))).alias("words"))
-            .select("grp", F.transform("words", lambda w: w["word"]).alias("union")).join(sized, "grp"))
-    groups = single.unionByName(many).select("grp", "union", "size", "low", "high")
+    heads = sets_of(own, asked, words, bits=True).join(asked.select("node", "grp", "n"), "node").join(sized.select("grp", "size"), "grp")
+    bound = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BOUND)).cast("int")
+    heads = saved(heads.select("node", "grp", "n", "bits", "size", bound.alias("bound")))
+
+    def union_of(parts: DataFrame, keys: list[str]) -> DataFrame:
+        each = parts.select(*keys, F.posexplode("bits").alias("at", "word")).groupBy(*keys, "at").agg(F.bit_or("word").alias("word"))
+        return (each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("at", "word"))).alias("words"))
+                .select(*keys, F.transform("words", lambda w: w["word"]).alias("bits")))
+
+    several = heads.where(F.col("size") > 1)
+    spans = several.groupBy("grp", "bound").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    bounds = saved(heads.where(F.col("size") == 1).select("grp", "bound", "bits", F.col("n").alias("low"), F.col("n").alias("high"))
+                   .unionByName(union_of(several, ["grp", "bound"]).join(spans, ["grp", "bound"])))
+    whole = bounds.join(sized.where(F.col("size") <= BOUND).select("grp"), "grp", "left_semi").select("grp", "bits")
+    large = union_of(bounds.join(sized.where(F.col("size") > BOUND).select("grp"), "grp", "left_semi").select("grp", "bits"), ["grp"])
+    groups = saved(whole.unionByName(large)).withColumnRenamed("bits", "union").join(sized, "grp").select("grp", "union", "size", "low", "high")
     pairs = pairs.unionByName(heavy_pairs(crowded, groups, percent)).distinct()
 
     # 3. bound and open
-    # members of the smaller group ask first; those of the other only where one of them may link
+    # the members of the smaller group ask the larger one, then its bounds; the members of a bound that
+    # lets one pass ask that one's own bound
     of = lambda x: sized.select(F.col("grp").alias(x), F.col("size").alias(f"size_{x}"))
     pairs = pairs.join(of("a"), "a").join(of("b"), "b")
     a_first = F.col("size_a") <= F.col("size_b")
+    pairs = pairs.select("a", "b", F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("grp"),
+                         F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("other"))
     others = groups.select(F.col("grp").alias("other"), F.col("union").alias("other_bits"), F.col("low").alias("other_min"),
                            F.col("high").alias("other_max"))
-
-    def asking(sides: DataFrame) -> DataFrame:
-        rows = sides.join(others, "other").join(heads.select("grp", "node", "n", "bits"), "grp")
-        return saved(reach(rows.select("a", "b", "grp", "node", "n", "bits", "other_bits", "other_min", "other_max"), percent)
-                     .select("a", "b", "grp", "node"))
-
-    one = asking(pairs.select("a", "b", F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("grp"),
-                              F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("other")))
-    left = one.select("a", "b", F.col("grp").alias("other")).distinct()
-    two = asking(left.select("a", "b", F.when(F.col("other") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("grp"), "other"))
-    queries = one.unionByName(two)
+    bound_of = bounds.select(F.col("grp").alias("other"), F.col("bound").alias("other_bound"), F.col("bits").alias("other_bits"),
+                             F.col("low").alias("other_min"), F.col("high").alias("other_max"))
+    members, facing = heads.select("grp", "bound", "node", "n", "bits"), ["other_bits", "other_min", "other_max"]
+    one = pairs.join(others, "other").join(members, "grp").select("a", "b", "grp", "bound", "node", "n", "bits", "other", *facing)
+    one = saved(reach(one, percent).drop(*facing))
+    one = one.join(bound_of, "other").select("a", "b", "grp", "bound", "node", "n", "bits", "other", "other_bound", *facing)
+    one = saved(reach(one, percent).select("a", "b", "grp", "bound", "node", "other", "other_bound"))
+    two = one.select("a", "b", F.col("other").alias("grp"), F.col("other_bound").alias("bound"), F.col("grp").alias("other"),
+                     F.col("bound").alias("other_bound")).distinct()
+    two = two.join(bound_of, ["other", "other_bound"]).join(members, ["grp", "bound"]).select("a", "b", "grp", "node", "n", "bits", *facing)
+    two = reach(two, percent).select("a", "b", "grp", "node")
+    queries = saved(one.select("a", "b", "grp", "node").unionByName(two).distinct())
     counts = queries.groupBy("a", "b").agg(F.count_if(F.col("grp") == F.col("a")).alias("n_a"),
                                            F.count_if(F.col("grp") == F.col("b")).alias("n_b"))
     counts = counts.where((F.col("n_a") > 0) & (F.col("n_b") > 0))
@@ -447,7 +467,7 @@ def components_of(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id
                     F.when(of_a, F.col("facing")).otherwise(F.col("part"))).alias("cell"), F.col("grp").alias("label"), "node")
     open_ = saved(open_)
     needed = nodes.join(open_.select("node").distinct(), "node", "left_semi")
-    held = open_.join(sets_of(own, needed, words), "node").select("cell", "label", "node", "tokens")
+    held = in_lots(open_).join(sets_of(own, needed, words), "node").select("lot", "cell", "label", "node", "tokens")
     merged = connected(compare(held, percent)).select(F.col("node").alias("grp"), F.col("label").alias("top"))
 
     comps = nodes.join(merged, "grp", "left").select("node", "rep", F.coalesce("top", "grp").alias("top"))

@@ -59,6 +59,20 @@ def test_matrix_alone_loses_no_link(spark, monkeypatch):
         == brute_components(rows, 4, 85)
 
 
+@pytest.mark.parametrize("bound", [1, 3])
+def test_bounds_of_large_groups_lose_no_link(spark, monkeypatch, bound):
+    """Large groups of near copies that foreign texts share passages with, in many bounds."""
+    for name, value in (("BOUND", bound), ("BITS", 256), ("LIGHT", 6)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = random.Random(bound)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    base = [word() for _ in range(60)]
+    rows = [(i, " ".join(w if rng.random() > 0.02 else word() for w in base)) for i in range(80)]
+    rows += [(100 + i, " ".join(base[:rng.randint(5, 58)] + [word() for _ in range(rng.randint(0, 12))])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert result(jaccard_join.components_of(docs, 4, 85)) == brute_components(rows, 4, 85)
+
+
 def test_edge_rows(spark):
     rows = [(d, t) for d, t, *_ in EDGE_ROWS]
     assert result(jaccard_join.components_of(edge_docs(spark), 4, 85)) == brute_components(rows, 4, 85)
