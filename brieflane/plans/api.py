@@ -107,12 +107,16 @@ def top_posts_by_engagement(rel: DataFrame, k: int = fixed.TOP_POSTS) -> DataFra
     return top_of_stored(written(rel, "relevant"), k)
 
 
-def top_of_stored(stored: DataFrame, k: int = fixed.TOP_POSTS) -> DataFrame:
-    """As ``top_posts_by_engagement``, from a stored table of relevant posts."""
+def ranked_places(stored: DataFrame, k: int) -> DataFrame:
+    """D2 + D3 without texts: places and engagement of the top-k de-duplicated posts."""
     narrow = stored.select(*PLACE, "engagement", F.xxhash64("title").alias("_h1"), F.xxhash64(F.lit("second"), "title").alias("_h2"))
     best = ranking.top_k(narrow, [*ENTITY_KEYS, "_h1", "_h2"], engagement_order(), 1, rank_col="_r").drop("_r", "_h1", "_h2")
-    top = ranking.top_k(best, ENTITY_KEYS, engagement_order(), k)
-    return texts_of(top, stored, ["title", "subreddit", "search_term", "score", "num_comments", "created_utc"])
+    return ranking.top_k(best, ENTITY_KEYS, engagement_order(), k)
+
+
+def top_of_stored(stored: DataFrame, k: int = fixed.TOP_POSTS) -> DataFrame:
+    """As ``top_posts_by_engagement``, from a stored table of relevant posts."""
+    return texts_of(ranked_places(stored, k), stored, ["title", "subreddit", "search_term", "score", "num_comments", "created_utc"])
 
 
 POST_OUT = ["entity", "rank", "id", "subreddit", "title", "score", "num_comments",

@@ -30,7 +30,7 @@ FIXTURE_CONFIGS: dict[str, dict] = {
     "tion": {
         "subreddits": ["src0", "src1", "src2", "src3", "src4"],
         "search_terms": ["en", "fr"],
-        "companies": ["U1", "U2", "U3", "U5", "U8", "HEHE", "BIG", "TWICE"],
+        "companies": ["U1", "U2", "U3", "U5", "U8", "HEHE"],
         "keywords": ["tion", "rewh", "orre", "ev"],
     },
     "sch": {
@@ -39,6 +39,12 @@ FIXTURE_CONFIGS: dict[str, dict] = {
         "companies": None,  # no companies -> default ticker
         "keywords": ["sch", "ung"],
     },
+    "odd": {  # its symbols are those of ODD_CHARTS
+        "subreddits": ["src10"],
+        "search_terms": ["en"],
+        "companies": ["BIG", "TWICE"],
+        "keywords": ["odd"],
+    },
 }
 
 # Entities analysed by the report queries: the fixture owners, the configured entries,
@@ -58,6 +64,7 @@ ANALYZED_ENTITIES: list[tuple[str, str]] = [
     ("cryptocurrency", "3mo"),
     ("tion", "1d"),  # a second timeframe of an entity above
     ("cryptocurrency", "1w"),
+    ("odd", "1w"),
 ]
 
 # Timeframe codes assigned to catalogue-derived requests (includes unknown codes).
