@@ -100,11 +100,8 @@ def texts_of(chosen: DataFrame, stored: DataFrame, cols: Sequence[str]) -> DataF
 
 
 def top_posts_by_engagement(rel: DataFrame, k: int = fixed.TOP_POSTS) -> DataFrame:
-    """D3: top-k de-duplicated posts per entity by engagement.
-
-    The relevant posts are written once. Titles take no part in ranking: rows of hashes, numbers and
-    ids go through both windows, and the titles of the chosen posts are looked up in the table."""
-    return top_of_stored(written(rel, "relevant"), k)
+    """D3: top-k de-duplicated posts per entity by engagement."""
+    return ranking.top_k(best_posts(rel), ENTITY_KEYS, engagement_order(), k)
 
 
 def ranked_places(stored: DataFrame, k: int) -> DataFrame:
@@ -115,7 +112,9 @@ def ranked_places(stored: DataFrame, k: int) -> DataFrame:
 
 
 def top_of_stored(stored: DataFrame, k: int = fixed.TOP_POSTS) -> DataFrame:
-    """As ``top_posts_by_engagement``, from a stored table of relevant posts."""
+    """As ``top_posts_by_engagement``, from a stored table of relevant posts. Titles take no part in
+    ranking: rows of hashes, numbers and ids go through both windows, and the titles of the chosen
+    posts are looked up in the table."""
     return texts_of(ranked_places(stored, k), stored, ["title", "subreddit", "search_term", "score", "num_comments", "created_utc"])
 
 

@@ -116,24 +116,25 @@ def test_keep_best_and_top_k_properties(spark):
 
 def test_flagship_plan_shape(spark):
     df = registry.queries()["top_posts_engagement"](spark, SF_MID)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan          # top-k before the shuffle
+    assert "SortAggregate" not in plan and "_h1" in plan            # keep-best goes by hashes, first rows only
+    assert "BroadcastHashJoin" in plan and "BuildRight" in plan     # the search plan is the broadcast side
+    scan = [ln for ln in plan.splitlines() if "FileScan parquet" in ln and "documents" in ln]
+    assert scan and all("ReadSchema" in ln for ln in scan)
+
+
+def test_ranking_of_stored_posts_carries_no_titles(spark):
     p = fx.posts(spark, SF_MID)
     cfg = cfgops.config_lookup(fx.analyzed_entities(spark), fx.config_table(spark))
     rel = api.relevant_posts(p, cfg, api.anchor_of(p, "created_utc"))
-    # the relevant posts are written once ...
-    first = rel._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in first and "BuildRight" in first   # the search plan is the broadcast side
-    scan = [ln for ln in first.splitlines() if "FileScan parquet" in ln and "documents" in ln]
-    assert scan and all("ReadSchema" in ln for ln in scan)
-    # ... and ranked from the table, without their titles
-    top = api.top_of_stored(written(rel, "t-relevant"))
-    files = df.inputFiles()
-    assert any("brieflane-chosen" in f for f in files) and not any("documents" in f for f in files)
-    assert sorted(map(tuple, top.select("entity", "rank", "id", "title").collect())) == sorted(
-        map(tuple, df.select("entity", "rank", "id", "title").collect()))
-    best = api.best_posts(rel)._jdf.queryExecution().executedPlan().toString()
-    for shape in (best, api.ranked_places(written(rel, "t-relevant"), 10)._jdf.queryExecution().executedPlan().toString()):
-        assert "WindowGroupLimit" in shape and "Partial" in shape    # top-k before the shuffle
-        assert "SortAggregate" not in shape and "_h1" in shape      # keep-best goes by hashes, first rows only
+    stored = written(rel, "t-relevant")
+    cols = ["entity", "rank", "id", "title", "engagement"]
+    top = api.top_of_stored(stored)
+    assert _set(top, cols) == _set(api.top_posts_by_engagement(rel), cols)
+    assert not any("documents" in f for f in top.inputFiles())
+    shape = api.ranked_places(stored, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in shape and "SortAggregate" not in shape and "_h1" in shape
     exchanges = [ln for ln in shape.splitlines() if "Exchange" in ln or "Window" in ln]
     assert exchanges and not any("title" in ln for ln in exchanges)
 
