@@ -1,17 +1,20 @@
 """Byte-level BPE encoding and decoding by a finite-state transducer (operator 9).
 
 The encoding of every prefix of a pre-token ends in one token, and that token follows the
-encoding of what stands before it. So a left-to-right machine can encode: a state is the set
-of hypotheses (last finished token, part of a next token as a node of the vocabulary's trie);
-reading a byte moves every hypothesis along the trie, and where a vocabulary token ends, the
-pair (last token, token) must survive the merge rules, which are applied to the pair's bytes
-once and remembered. States are determinised when first reached and kept in a table
-(state, byte) -> state, so that a slice of distinct pre-tokens runs through it in lockstep.
-A token is certain, and is emitted, as soon as all hypotheses agree on it: after as many bytes
-as the trie is deep at most.
-
-Decoding joins token bytes; the streaming decoder holds back an unfinished UTF-8 sequence,
-which a small state machine over the bytes finds.
+encoding of what stands before it. So a left-to-right machine can encode. A state is the set of
+hypotheses under way: part of a next token (a node of the vocabulary's trie), the last finished
+token before it, and the finished tokens that not all hypotheses share. Reading a byte moves every
+hypothesis along the trie; where a vocabulary token ends, the pair (last token, token) must survive
+the merge rules, which are applied to the pair's bytes once and remembered. The tokens that all
+hypotheses then begin with are certain: they are the transition's output, after as many bytes of
+lookahead as the trie is deep at most. At the end of a pre-token the state's own rest follows.
+
+States are determinised when first reached and kept in tables (state, byte) -> state and output, so
+that a slice of distinct pre-tokens runs through them in lockstep. Only pre-tokens that are a token
+which the merge rules never make are looked up as a whole, as the library has it.
+
+Decoding joins token bytes; the streaming decoder follows them with a small state machine for UTF-8
+and holds back an unfinished character.
 
 Rules: null and empty texts have no tokens (hashes of no bytes); texts are encoded whole,
 each match of the pattern separately; each input row gives one output row; other columns of
@@ -22,18 +25,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brieflane.llm.common import map_texts
+from brieflane.llm.common import held, map_texts
 
-#: Bounds of what a task remembers; beyond them the tables start anew.
+#: Bounds of what a task remembers; beyond them the younger half is forgotten.
 REMEMBERED_WORDS, REMEMBERED_STATES, REMEMBERED_PAIRS = 250_000, 65_000, 250_000
-#: Longer pre-tokens run alone, not in lockstep.
-LOCKSTEP_BYTES = 48
+#: Longer pre-tokens run alone, not in lockstep; so many others at a time.
+LOCKSTEP_BYTES, LOCKSTEP_PIECES = 48, 10_000
+Hypothesis = tuple[int, int, tuple[int, ...]]
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -64,26 +68,53 @@ class Transducer:
         self.inner = {key >> 8 for key in self.child}
         self.pairs: dict[int, bool] = {}
         self.spines: dict[tuple[int, bool], list[tuple[bytes, int]]] = {}
+        self.unmade = {t: i for t, i in ranks.items() if self.merged(t) != [t]}
         self.reset()
 
     def reset(self) -> None:
         self.ids: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.last = np.full(1024, -1, np.int64)
+        self.states: list[tuple[Hypothesis, ...]] = []
         self.next = np.full((1024, 32), -1, np.int32)
-        self.column = np.full(256, -1, np.int64)  # columns of the table, given to bytes as they come
+        self.emit = np.zeros((1024, 32), np.int32)  # output of a transition, as a number of ``outputs``
+        self.column = np.full(256, -1, np.int64)    # columns of the tables, given to bytes as they come
         self.columns = 0
-        self._state(((0, -1),), -1)
+        self.outputs: dict[tuple[int, ...], int] = {(): 0}
+        self.sizes, self.starts, self.flat = [0], [0], []
+        self._state(((0, -1, ()),))
+
+    def trim(self) -> None:
+        """Forgets the younger half of the states (all, if the outputs are too many): the oldest ones
+        are those of frequent pre-tokens."""
+        keep = REMEMBERED_STATES // 2
+        if len(self.outputs) > 4 * REMEMBERED_STATES:
+            self.reset()
+            return
+        for hyps in self.states[keep:]:
+            del self.ids[hyps]
+        del self.states[keep:]
+        self.next[keep:] = -1
+        old = self.next[:keep]
+        old[old >= keep] = -1
+
+    def _output(self, tokens: tuple[int, ...]) -> int:
+        at = self.outputs.get(tokens)
+        if at is None:
+            at = self.outputs[tokens] = len(self.sizes)
+            self.starts.append(len(self.flat))
+            self.sizes.append(len(tokens))
+            self.flat += tokens
+        return at
 
-    def _state(self, hyps: tuple, last: int) -> int:
+    def _state(self, hyps: tuple[Hypothesis, ...]) -> int:
+        """The number of a state. Its last hypothesis is that a pre-token ends here: no token is under way."""
         at = self.ids.get(hyps)
         if at is None:
             at = self.ids[hyps] = len(self.states)
             self.states.append(hyps)
             if at >= len(self.next):
-                self.next = np.vstack([self.next, np.full_like(self.next, -1)])
-                self.last = np.concatenate([self.last, np.full_like(self.last, -1)])
-            self.last[at] = last
+                more = (8192, self.next.shape[1])
+                self.next = np.vstack([self.next, np.full(more, -1, np.int32)])
+                self.emit = np.vstack([self.emit, np.zeros(more, np.int32)])
         return at
 
     def merged(self, piece: bytes, below: int = 1 << 60) -> list[bytes]:
@@ -147,66 +178,81 @@ class Transducer:
                 self.columns += 1
         while self.columns > self.next.shape[1]:
             self.next = np.hstack([self.next, np.full_like(self.next, -1)])
+            self.emit = np.hstack([self.emit, np.zeros_like(self.emit)])
 
-    def step(self, state: int, byte: int) -> int:
+    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """The state after a byte, and the tokens that are certain now."""
         if self.column[byte] < 0:
             self._columns(np.array([byte]))
-        to = int(self.next[state, self.column[byte]])
-        return to if to >= 0 else self._new(state, byte)
+        if self.next[state, self.column[byte]] < 0:
+            self._new(state, byte)
+        return int(self.next[state, self.column[byte]]), self._tokens(int(self.emit[state, self.column[byte]]))
 
-    def _new(self, state: int, byte: int) -> int:
+    def _tokens(self, output: int) -> tuple[int, ...]:
+        return tuple(self.flat[self.starts[output]:self.starts[output] + self.sizes[output]])
+
+    def _new(self, state: int, byte: int) -> None:
         """Determinises one transition."""
-        going, last, child, ends, inner = [], -1, self.child, self.ends, self.inner
-        for node, prev in self.states[state]:
+        going: list[Hypothesis] = []
+        done, child, ends, inner, pairs = None, self.child, self.ends, self.inner, self.pairs
+        for node, prev, rest in self.states[state]:
             node = child.get(node << 8 | byte)
             if node is None:
                 continue
             token = ends[node]
-            if token >= 0 and last < 0 and self.follows(prev, token):
-                last = token
+            if token >= 0 and done is None:
+                known = pairs.get((prev + 1) << 32 | token)
+                if self.follows(prev, token) if known is None else known:
+                    done = (0, token, (*rest, token))
             if node in inner:
-                going.append((node, prev))
-        if last < 0:
+                going.append((node, prev, rest))
+        if done is None:
             raise ValueError("no token of the vocabulary ends here")
-        going.append((0, last))
-        to = self._state(tuple(going), last)
-        self.next[state, self.column[byte]] = to
-        return to
+        # tokens that all begin with are certain
+        sure, first = len(done[2]), done[2]
+        for _, _, rest in going:
+            n = min(sure, len(rest))
+            sure = 0
+            while sure < n and rest[sure] == first[sure]:
+                sure += 1
+            if not sure:
+                break
+        going.append(done)
+        at = self.column[byte]
+        if sure:
+            going = [(node, prev, rest[sure:]) for node, prev, rest in going]
+            emitted = self._output(first[:sure])
+        else:
+            emitted = 0
+        to = self._state(tuple(going))
+        self.next[state, at] = to
+        self.emit[state, at] = emitted
 
     def encode(self, piece: bytes) -> list[int]:
-        """Tokens of one pre-token of any length."""
-        if piece in self.ranks:
-            return [self.ranks[piece]]
-        state, lasts = 0, []
+        """Tokens of one pre-token of any length, each emitted once it is certain."""
+        if piece in self.unmade:
+            return [self.unmade[piece]]
+        stream, out = StreamEncoder(self), []
         for b in piece:
-            state = self.step(state, b)
-            lasts.append(int(self.last[state]))
-            if len(self.states) > REMEMBERED_STATES:
-                hyps, last = self.states[state], int(self.last[state])
-                self.reset()
-                state = self._state(hyps, last)
-        out, at = [], len(piece)
-        while at:
-            out.append(lasts[at - 1])
-            at -= int(self.size_of[out[-1]])
-        return out[::-1]
+            out += stream.feed(b)
+        return out + stream.end()
 
     def encode_all(self, pieces: list[bytes]) -> list[bytes]:
         """For each pre-token its ids as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(pieces)
         order = []
         for i, p in enumerate(pieces):
-            if p in self.ranks:
-                out[i] = self.ranks[p].to_bytes(4, "little")
+            if p in self.unmade:
+                out[i] = self.unmade[p].to_bytes(4, "little")
             elif len(p) > LOCKSTEP_BYTES:
                 out[i] = np.array(self.encode(p), "<u4").tobytes()
             else:
                 order.append(i)
         order.sort(key=lambda i: -len(pieces[i]))
-        for at in range(0, len(order), 20_000):
+        for at in range(0, len(order), LOCKSTEP_PIECES):
             if len(self.states) > REMEMBERED_STATES:
-                self.reset()
-            some = order[at:at + 20_000]
+                self.trim()
+            some = order[at:at + LOCKSTEP_PIECES]
             for i, ids in zip(some, self._lockstep([pieces[i] for i in some])):
                 out[i] = ids
         return out
@@ -218,7 +264,7 @@ class Transducer:
         text = np.frombuffer(b"".join(p.ljust(wide, b"\0") for p in pieces), np.uint8).reshape(-1, wide)
         self._columns(np.unique(text))
         state = np.zeros(len(pieces), np.int32)
-        lasts = np.zeros((wide, len(pieces)), np.int64)
+        codes = np.zeros((len(pieces), wide + 1), np.int32)  # outputs on the way, and at the end
         for j in range(wide):
             n = int(np.searchsorted(-sizes, -j, "left"))  # pieces longer than j
             now, byte = state[:n], text[:n, j]
@@ -227,84 +273,85 @@ class Transducer:
                 for key in np.unique((now[to < 0].astype(np.int64) << 8) | byte[to < 0]).tolist():
                     self._new(key >> 8, key & 255)
                 to = self.next[now, self.column[byte]]
+            codes[:n, j] = self.emit[now, self.column[byte]]
             state[:n] = to
-            lasts[j, :n] = self.last[to]
-        tokens = np.zeros((len(pieces), wide), "<u4")
-        at, filled, rows = sizes.copy(), np.zeros(len(pieces), np.int64), np.arange(len(pieces))
-        while len(rows):
-            token = lasts[at[rows] - 1, rows]
-            filled[rows] += 1
-            tokens[rows, wide - filled[rows]] = token
-            at[rows] -= self.size_of[token]
-            rows = rows[at[rows] > 0]
-        flat = tokens.tobytes()
-        return [flat[((i + 1) * wide - k) * 4:(i + 1) * wide * 4] for i, k in enumerate(filled.tolist())]
+        ended, place = np.unique(state, return_inverse=True)
+        codes[:, wide] = np.array([self._output(self.states[x][-1][2]) for x in ended.tolist()], np.int32)[place]
+        count = np.array(self.sizes)[codes]
+        every, each = count.reshape(-1), count.sum(1)
+        at = np.repeat(np.array(self.starts)[codes].reshape(-1) - np.cumsum(every) + every, every) + np.arange(int(every.sum()))
+        flat = np.array(self.flat, "<u4")[at].tobytes()
+        ends = np.cumsum(each).tolist()
+        return [flat[(e - k) * 4:e * 4] for e, k in zip(ends, each.tolist())]
 
 
 class StreamEncoder:
     """Feeds bytes of one pre-token; gives every token once it is certain."""
 
     def __init__(self, machine: Transducer):
-        self.machine, self.state, self.at, self.sent = machine, 0, 0, 0
-        self.before: list[tuple] = [()]  # for each position: the tokens up to it, from `sent` on, as (rest, token)
-        self.starts: dict[tuple, int] = {}
-
-    def _chain(self, at: int) -> list[int]:
-        out, link = [], self.before[at]
-        while link:
-            link, token = link
-            out.append(token)
-        return out[::-1]
+        self.machine, self.state, self.at = machine, 0, 0
 
     def feed(self, byte: int) -> list[int]:
         m = self.machine
-        self.state = m.step(self.state, byte)
         self.at += 1
-        last = int(m.last[self.state])
-        self.before.append((self.before[self.at - int(m.size_of[last])], last))
-        # positions from which a hypothesis is under way: the trie node's depth before here
-        chains = [self._chain(self.at - d) for d in self._depths()]
-        sure = 0
-        for tokens in zip(*chains):
-            if any(t != tokens[0] for t in tokens):
-                break
-            sure += 1
-        out = chains[0][self.sent:sure]
-        self.sent = max(self.sent, sure)
-        return out
-
-    def _depths(self) -> list[int]:
-        if not self.starts:
-            self.starts[0] = 0
-            for key, node in self.machine.child.items():
-                self.starts[node] = self.starts[key >> 8] + 1
-        return [self.starts[node] for node, _ in self.machine.states[self.state]]
+        if len(m.states) > REMEMBERED_STATES:
+            hyps = m.states[self.state]
+            m.trim()
+            self.state = m._state(hyps)
+        self.state, sure = m.step(self.state, byte)
+        return list(sure)
 
     def end(self) -> list[int]:
-        return self._chain(self.at)[self.sent:]
+        return list(self.machine.states[self.state][-1][2])
+
 
+class Utf8Machine:
+    """Follows bytes as UTF-8: how many more a character needs, and between which two the next one
+    must lie. A byte that cannot stand where it does begins anew."""
 
-def unfinished(data: bytes) -> int:
-    """Bytes at the end of ``data`` that begin a UTF-8 sequence but do not end it."""
-    for back in range(1, min(3, len(data)) + 1):
-        b = data[-back]
-        if b >= 0xC0:
-            need = 2 if b < 0xE0 else 3 if b < 0xF0 else 4
-            return back if back < need else 0
-        if b < 0x80:
-            return 0
-    return 0
+    #: First byte from, to; bytes that follow; the second one from, to.
+    LEADS = ((0xC2, 0xDF, 1, 0x80, 0xBF), (0xE0, 0xE0, 2, 0xA0, 0xBF), (0xE1, 0xEC, 2, 0x80, 0xBF), (0xED, 0xED, 2, 0x80, 0x9F),
+             (0xEE, 0xEF, 2, 0x80, 0xBF), (0xF0, 0xF0, 3, 0x90, 0xBF), (0xF1, 0xF3, 3, 0x80, 0xBF), (0xF4, 0xF4, 3, 0x80, 0x8F))
+    START = {b: (n, low, high) for a, z, n, low, high in LEADS for b in range(a, z + 1)}
+
+    def __init__(self):
+        self.reset()
+
+    def reset(self) -> None:
+        self.need, self.low, self.high, self.since = 0, 0, 0, 0
+
+    def step(self, byte: int) -> None:
+        if self.need and self.low <= byte <= self.high:
+            self.need, self.low, self.high, self.since = self.need - 1, 0x80, 0xBF, self.since + 1
+        else:
+            self.need, self.low, self.high = self.START.get(byte, (0, 0, 0))
+            self.since = 1
+        if not self.need:
+            self.since = 0
+
+    def follow(self, data: bytes) -> int:
+        """Takes ``data`` in and returns how many of the bytes so far belong to an unfinished
+        character. A run of bytes that ends in ASCII leaves the machine at its start."""
+        at = len(data)
+        while at > max(0, len(data) - 4) and data[at - 1] >= 0x80:
+            at -= 1
+        if at > 0:  # what precedes the last four bytes, or an ASCII byte, decides nothing after them
+            self.reset()
+        for b in data[at:]:
+            self.step(b)
+        return self.since
 
 
 class StreamDecoder:
     """Decodes ids piece by piece; an unfinished character waits for its last byte."""
 
     def __init__(self, bytes_of: dict[int, bytes]):
-        self.bytes_of, self.held = bytes_of, b""
+        self.bytes_of, self.held, self.machine = bytes_of, b"", Utf8Machine()
 
     def feed(self, ids: list[int]) -> str:
-        data = self.held + b"".join(map(self.bytes_of.__getitem__, ids))
-        k = unfinished(data)
+        new = b"".join(map(self.bytes_of.__getitem__, ids))
+        k = self.machine.follow(new)
+        data = self.held + new
         self.held = data[len(data) - k:]
         return data[:len(data) - k].decode("utf-8", "replace")
 
@@ -325,8 +372,8 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         found = [self.words.findall(t) for t in texts]
-        if len(self.known) > REMEMBERED_WORDS:
-            self.known.clear()
+        if len(self.known) > REMEMBERED_WORDS:  # the oldest ones are the frequent ones
+            self.known = dict(islice(self.known.items(), REMEMBERED_WORDS // 2))
         new = list(set().union(*found).difference(self.known)) if found else []
         self.known.update(zip(new, self.machine.encode_all([w.encode() for w in new])))
         get = self.known.__getitem__
@@ -341,10 +388,9 @@ class Codec:
         return "".join(out).encode()
 
 
-@lru_cache(maxsize=2)
 def codec(ranks_path: str, pattern: str) -> Codec:
-    """One for each worker process, which keeps its tables from task to task."""
-    return Codec(ranks_path, pattern)
+    """One for each worker process, which keeps its tables from task to task of this operator."""
+    return held(("byte_bpe", ranks_path, pattern), lambda: Codec(ranks_path, pattern))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",

@@ -66,6 +66,23 @@ def chunks(batch: pa.RecordBatch, text_at: int, most: int = CHUNK_BYTES) -> Iter
         yield batch.slice(start)
 
 
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """What a worker process keeps from task to task, by ``key``: the tables of one operator only, so
+    that those of a pipeline's stages do not add up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Drops what the worker process holds for another operator."""
+    _held.clear()
+
+
 def map_texts(df: DataFrame, schema: str, make: Callable, text_at: int = 1) -> DataFrame:
     """``make()`` is called once in each task and returns a function from a slice of a batch
     (see :func:`chunks`) to the list of output columns, in the order of ``schema``."""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brieflane.llm.common import chunks, letter_runs, map_texts, share
+from brieflane.llm.common import chunks, letter_runs, map_texts, release, share
 
 SAMPLE_DOCS = 1500   # documents of each language that the model is fitted on
 LONGEST_GRAM = 4
@@ -39,6 +39,8 @@ def grams(word: str, n: int) -> list[str]:
 def count_words(df: DataFrame) -> DataFrame:
     """(lang, kind, item, n): words (kind 0) and n-grams (kind n) of each language."""
     def make():
+        release()
+
         def work(part):
             words: dict[str, Counter] = defaultdict(Counter)
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
@@ -126,11 +128,9 @@ class Scorer:
             self.rows[w] = at
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        return self.predict_words([letter_runs(t.lower()) if t else [] for t in texts])
-
-    def predict_words(self, found: list[list[str]]) -> list[tuple[str, float]]:
+        found = [letter_runs(t.lower()) if t else [] for t in texts]
         if not self.m.langs:
-            return [("und", 0.0)] * len(found)
+            return [("und", 0.0)] * len(texts)
         self._learn(set().union(*found) if found else set())
         get, out = self.rows.__getitem__, []
         for words in found:
@@ -167,6 +167,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
+        release()
         scorer = Scorer(shared.value)
 
         def work(part):
@@ -179,15 +180,16 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 class Fit:
-    """How well a text fits the language that it is identified as: the mean over its words of how far
-    the back-off goes until the word is known to that language. A known word counts 1, one that backs
-    off to n-grams n / 5, one of which not a letter is known 0. It does not grow with the length.
+    """How well a text fits a language: the mean over its words of how far the back-off goes until the
+    word is known to that language. A known word counts 1, one that backs off to n-grams n / 5, one of
+    which not a letter is known 0. It does not grow with the length of the text, nor with that of what
+    a language was learned from.
 
     Languages are bits of a number here: a word's languages at each step of the back-off are the
     union of its n-grams' ones, and words of one such pattern share a row of ``levels``."""
 
     def __init__(self, model: Model):
-        self.scorer, self.m = Scorer(model), model
+        self.m = model
         self.every = (1 << len(model.langs)) - 1
         self.patterns: dict[tuple[int, ...], int] = {}
         self.levels = np.zeros((64, len(model.langs)), np.float32)
@@ -228,32 +230,29 @@ class Fit:
         return at
 
     def of(self, texts: list[str | None]) -> list[float]:
-        """Fit of every text; 0 without a letter, and 1 for the others if there is no language."""
+        """Fit of every text to the language that it fits best; 0 without a letter, and 1 for the others
+        if there is no language."""
         words = [letter_runs(t.lower()) if t else [] for t in texts]
         if not self.m.langs:
             return [float(bool(w)) for w in words]
-        place = {lang: i for i, lang in enumerate(self.m.langs)}
         if len(self.rows) > REMEMBERED:
             self.rows.clear()
         for w in set().union(*words).difference(self.rows) if words else ():
             self.rows[w] = self._row(self._pattern(w))
-        get, out = self.rows.__getitem__, []
-        for own, (lang, _) in zip(words, self.scorer.predict_words(words)):
-            if own:
-                rows = np.fromiter(map(get, own), np.int64, len(own))
-                out.append(float(self.levels[rows, place[lang]].mean()))
-            else:
-                out.append(0.0)
-        return out
+        get = self.rows.__getitem__
+        # words of one pattern are counted together: there are few patterns
+        count = [np.bincount(np.fromiter(map(get, own), np.int64, len(own)), minlength=len(self.levels)) for own in words]
+        return [float((n @ self.levels).max()) / len(own) if own else 0.0 for n, own in zip(count, words)]
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs``, unchanged, whose text is identified and fits its language by ``least`` or more
-    (see ``Fit``); all texts with a letter, if no language is known."""
+    """Rows of ``docs``, unchanged, whose text has a letter and fits a language by ``least`` or more (see
+    ``Fit``); all texts with a letter, if no language is known."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches):
+        release()
         fit_of = Fit(shared.value)
         for batch in batches:
             for part in chunks(batch, at):

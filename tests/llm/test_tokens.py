@@ -106,3 +106,27 @@ def test_tables_start_anew_when_full(monkeypatch):
     codec = bpe_fst.Codec(BYTE_FILE, P.PATTERN)
     for text in EXTRA * 2:
         assert np.frombuffer(codec.encode([text])[0], "<u4").tolist() == library_ids_once().encode_ordinary(text)
+
+
+def test_utf8_machine_equals_the_library_decoder():
+    """Byte by byte and in runs, also of bytes that are no UTF-8."""
+    import codecs
+    import random
+    rng = random.Random(2)
+    alphabet = [b"a", "é".encode(), "日".encode(), "👩".encode(), b"\x80", b"\xe2\x82", b"\xf0\x9f", b"\xc0", b"\xff", b"\xe0\x80"]
+    for _ in range(3000):
+        runs = [b"".join(rng.choices(alphabet, k=rng.randint(0, 4))) for _ in range(4)]
+        machine, held = bpe_fst.Utf8Machine(), codecs.getincrementaldecoder("utf-8")("replace")
+        for run in runs:
+            k = machine.follow(run)
+            held.decode(run)
+            assert k == len(held.getstate()[0]), runs
+
+
+def test_every_token_of_the_vocabulary_alone():
+    """Tokens that merging makes come out of the transducer, the few others are looked up."""
+    machine = bpe_fst.codec(BYTE_FILE, P.PATTERN).machine
+    pieces = list(machine.ranks)
+    got = machine.encode_all(pieces)
+    assert [int.from_bytes(g, "little") for g in got] == [machine.ranks[p] for p in pieces]
+    assert len(machine.unmade) < 0.05 * len(machine.ranks)
