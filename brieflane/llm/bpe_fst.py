@@ -48,8 +48,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encoder of single pre-tokens."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], memory: float = 1.0):
+        self.ranks, self.memory = ranks, memory
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.size_of = np.zeros(max(self.bytes_of) + 1, np.int64)
         for i, t in self.bytes_of.items():
@@ -82,10 +82,13 @@ class Transducer:
         self.sizes, self.starts, self.flat = [0], [0], []
         self._state(((0, -1, ()),))
 
+    def most_states(self) -> int:
+        return int(REMEMBERED_STATES * self.memory)
+
     def trim(self) -> None:
         """Forgets the younger half of the states (all, if the outputs are too many): the oldest ones
         are those of frequent pre-tokens."""
-        keep = REMEMBERED_STATES // 2
+        keep = self.most_states() // 2
         if len(self.outputs) > 4 * REMEMBERED_STATES:
             self.reset()
             return
@@ -250,7 +253,7 @@ class Transducer:
                 order.append(i)
         order.sort(key=lambda i: -len(pieces[i]))
         for at in range(0, len(order), LOCKSTEP_PIECES):
-            if len(self.states) > REMEMBERED_STATES:
+            if len(self.states) > self.most_states():
                 self.trim()
             some = order[at:at + LOCKSTEP_PIECES]
             for i, ids in zip(some, self._lockstep([pieces[i] for i in some])):
@@ -294,7 +297,7 @@ class StreamEncoder:
     def feed(self, byte: int) -> list[int]:
         m = self.machine
         self.at += 1
-        if len(m.states) > REMEMBERED_STATES:
+        if len(m.states) > m.most_states():
             hyps = m.states[self.state]
             m.trim()
             self.state = m._state(hyps)
@@ -363,17 +366,19 @@ class StreamDecoder:
 class Codec:
     """Whole texts: pattern, transducer, memory of pre-tokens."""
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, memory: float = 1.0):
         import regex
-        self.machine = Transducer(load_ranks(ranks_path))
+        self.memory = memory
+        self.machine = Transducer(load_ranks(ranks_path), memory)
         self.words = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         found = [self.words.findall(t) for t in texts]
-        if len(self.known) > REMEMBERED_WORDS:  # the oldest ones are the frequent ones
-            self.known = dict(islice(self.known.items(), REMEMBERED_WORDS // 2))
+        most = int(REMEMBERED_WORDS * self.memory)
+        if len(self.known) > most:  # the oldest ones are the frequent ones
+            self.known = dict(islice(self.known.items(), most // 2))
         new = list(set().union(*found).difference(self.known)) if found else []
         self.known.update(zip(new, self.machine.encode_all([w.encode() for w in new])))
         get = self.known.__getitem__
@@ -388,19 +393,20 @@ class Codec:
         return "".join(out).encode()
 
 
-def codec(ranks_path: str, pattern: str) -> Codec:
+def codec(ranks_path: str, pattern: str, memory: float = 1.0) -> Codec:
     """One for each worker process, which keeps its tables from task to task of this operator."""
-    return held(("byte_bpe", ranks_path, pattern), lambda: Codec(ranks_path, pattern))
+    return held(("byte_bpe", ranks_path, pattern, memory), lambda: Codec(ranks_path, pattern, memory))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
-                     text_col: str = "text", keep_ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+                     text_col: str = "text", keep_ids: bool = False, carry: tuple[str, ...] = (),
+                     memory: float = 1.0) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids binary]) and the columns ``carry`` for every
-    row of ``docs``."""
+    row of ``docs``. ``memory`` scales what a worker remembers, which changes no result."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
-        c = codec(ranks_path, pattern)
+        c = codec(ranks_path, pattern, memory)
 
         def work(part):
             encoded = c.encode([t or "" for t in part.column(1).to_pylist()])
