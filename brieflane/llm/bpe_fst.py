@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from brieflane.llm.common import held, map_texts
 
 #: Bounds of what a task remembers; beyond them the younger half is forgotten.
-REMEMBERED_WORDS, REMEMBERED_STATES, REMEMBERED_PAIRS = 250_000, 65_000, 250_000
+REMEMBERED_WORDS, REMEMBERED_STATES, REMEMBERED_PAIRS = 250_000, 130_000, 250_000
+#: Bytes of text that are split into pre-tokens at a time: each pre-token is an object of its own.
+SLICE_BYTES = 1 << 20
 #: Longer pre-tokens run alone, not in lockstep; so many others at a time.
 LOCKSTEP_BYTES, LOCKSTEP_PIECES = 48, 10_000
 Hypothesis = tuple[int, int, tuple[int, ...]]
@@ -65,7 +67,9 @@ class Transducer:
                     self.ends.append(-1)
                 node = self.child[key]
             self.ends[node] = i
-        self.inner = {key >> 8 for key in self.child}
+        self.inner = bytearray(len(self.ends))  # 1 for a node that has children
+        for key in self.child:
+            self.inner[key >> 8] = 1
         self.pairs: dict[int, bool] = {}
         self.spines: dict[tuple[int, bool], list[tuple[bytes, int]]] = {}
         self.unmade = {t: i for t, i in ranks.items() if self.merged(t) != [t]}
@@ -207,7 +211,7 @@ class Transducer:
                 known = pairs.get((prev + 1) << 32 | token)
                 if self.follows(prev, token) if known is None else known:
                     done = (0, token, (*rest, token))
-            if node in inner:
+            if inner[node]:
                 going.append((node, prev, rest))
         if done is None:
             raise ValueError("no token of the vocabulary ends here")
@@ -345,14 +349,32 @@ class Utf8Machine:
         return self.since
 
 
+class TokenBytes:
+    """The bytes of all tokens in one array, from which those of many ids are gathered at once."""
+
+    def __init__(self, bytes_of: dict[int, bytes]):
+        own = [bytes_of.get(i) for i in range(max(bytes_of) + 1)]
+        self.flat = np.frombuffer(b"".join(t or b"" for t in own), np.uint8)
+        self.sizes = np.array([-1 if t is None else len(t) for t in own], np.int64)  # an id without a token is an error
+        self.starts = np.cumsum(np.maximum(self.sizes, 0)) - np.maximum(self.sizes, 0)
+
+    def join(self, ids: np.ndarray) -> bytes:
+        sizes = self.sizes[ids]
+        shift = self.starts[ids] - np.cumsum(sizes) + sizes
+        at = np.repeat(shift, sizes)
+        at += np.arange(len(at))
+        return self.flat[at].tobytes()
+
+
 class StreamDecoder:
     """Decodes ids piece by piece; an unfinished character waits for its last byte."""
 
-    def __init__(self, bytes_of: dict[int, bytes]):
-        self.bytes_of, self.held, self.machine = bytes_of, b"", Utf8Machine()
+    def __init__(self, tokens: TokenBytes | dict[int, bytes]):
+        self.tokens = tokens if isinstance(tokens, TokenBytes) else TokenBytes(tokens)
+        self.held, self.machine = b"", Utf8Machine()
 
-    def feed(self, ids: list[int]) -> str:
-        new = b"".join(map(self.bytes_of.__getitem__, ids))
+    def feed(self, ids: np.ndarray | list[int]) -> str:
+        new = self.tokens.join(np.asarray(ids, np.int64))
         k = self.machine.follow(new)
         data = self.held + new
         self.held = data[len(data) - k:]
@@ -372,6 +394,7 @@ class Codec:
         self.machine = Transducer(load_ranks(ranks_path), memory)
         self.words = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
+        self.tokens = TokenBytes(self.machine.bytes_of)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -385,10 +408,10 @@ class Codec:
         return [b"".join(map(get, words)) for words in found]
 
     def decode(self, ids: bytes, step: int = 1 << 16) -> bytes:
-        stream, out = StreamDecoder(self.machine.bytes_of), []
+        stream, out = StreamDecoder(self.tokens), []
         numbers = np.frombuffer(ids, "<u4")
         for at in range(0, len(numbers), step):
-            out.append(stream.feed(numbers[at:at + step].tolist()))
+            out.append(stream.feed(numbers[at:at + step]))
         out.append(stream.end())
         return "".join(out).encode()
 
@@ -418,4 +441,4 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *carry)
     schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
     schema += "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return map_texts(slim, schema, make).withColumnRenamed("id", id_col)
+    return map_texts(slim, schema, make, most=SLICE_BYTES).withColumnRenamed("id", id_col)

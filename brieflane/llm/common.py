@@ -83,15 +83,15 @@ def release() -> None:
     _held.clear()
 
 
-def map_texts(df: DataFrame, schema: str, make: Callable, text_at: int = 1) -> DataFrame:
+def map_texts(df: DataFrame, schema: str, make: Callable, text_at: int = 1, most: int = CHUNK_BYTES) -> DataFrame:
     """``make()`` is called once in each task and returns a function from a slice of a batch
-    (see :func:`chunks`) to the list of output columns, in the order of ``schema``."""
+    (see :func:`chunks`, ``most`` bytes) to the list of output columns, in the order of ``schema``."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
         work = make()
         for batch in batches:
-            for part in chunks(batch, text_at):
+            for part in chunks(batch, text_at, most):
                 cols = [c if isinstance(c, pa.Array) else pa.array(c, arrow[i].type) for i, c in enumerate(work(part))]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
