@@ -69,29 +69,55 @@ def schedule(units: DataFrame) -> DataFrame:
     return slots.withColumn("turn", (F.row_number().over(Window.partitionBy("src").orderBy("slot")) - 1).cast("bigint"))
 
 
+def _own(docs: DataFrame, source_col: str, *more: Column) -> DataFrame:
+    return docs.select(F.struct("*").alias("row"), F.coalesce(F.col(source_col), F.lit(NO_SOURCE)).alias("src"), *more)
+
+
+def _units(own: DataFrame, weights: dict[str, float] | None) -> DataFrame:
+    return shares(own.groupBy("src").agg(F.count("*").alias("n")), weights)
+
+
+def _ranked(own: DataFrame, bucket: str, *order: str | Column) -> DataFrame:
+    """``rank`` of each row within its source: by ``bucket``, and by ``order`` within one. The rank in
+    the bucket moves up by the sizes of the buckets before."""
+    before = Window.partitionBy("src").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (own.groupBy("src", bucket).agg(F.count("*").alias("here"))
+               .select("src", bucket, F.coalesce(F.sum("here").over(before), F.lit(0)).alias("offset")))
+    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("src", bucket).orderBy(*order)))
+    return ranked.join(offsets, ["src", bucket]).withColumn("rank", F.col("offset") + F.col("rank") - 1)
+
+
+def _placed(ranked: DataFrame, units: DataFrame, block_docs: int) -> DataFrame:
+    """(row, block, slot, place) of ranked rows, by the schedule. ``units`` and the schedule are bounded
+    by the number of sources (ten slots for each, or PERIOD)."""
+    ranked = ranked.join(F.broadcast(units.drop("n")), "src")
+    ranked = ranked.withColumn("block", F.expr(f"rank div {int(block_docs)}")).withColumn("turn", F.col("block") % F.col("units"))
+    placed = ranked.join(F.broadcast(schedule(units)), ["src", "turn"])
+    return placed.select("row", "block", (F.expr("block div units") * F.col("period") + F.col("slot")).alias("slot"),
+                         (F.col("rank") % block_docs).cast("int").alias("place"))
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source",
         block_docs: int = BLOCK_DOCS) -> DataFrame:
     """(row: struct of all columns of ``docs``, block, slot, place): the block of the document
     within its source, the slot of the block in the mix, the document's place in its block."""
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    own = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(source_col), F.lit(NO_SOURCE)).alias("src"),
-                      F.col(id_col).alias("id"), key.alias("hash"))
-    sizes = own.groupBy("src").agg(F.count("*").alias("n"))
-    units = shares(sizes, weights)
-    # both tables are bounded by the number of sources (ten slots for each, or PERIOD)
-    own = own.join(F.broadcast(units), "src")
+    own = _own(docs, source_col, F.col(id_col).alias("id"), key.alias("hash"))
+    units = _units(own, weights)
     high = F.conv(F.substring("hash", 1, 8), 16, 10).cast("bigint")
+    own = own.join(F.broadcast(units.select("src", "n")), "src")
     own = own.withColumn("bucket", F.shiftright(high * F.ceil(F.col("n") / BUCKET_DOCS), 32))
-    before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (own.groupBy("src", "bucket").agg(F.count("*").alias("here"))
-               .select("src", "bucket", F.coalesce(F.sum("here").over(before), F.lit(0)).alias("offset")))
-    ranked = own.withColumn("rank", F.row_number().over(
-        Window.partitionBy("src", "bucket").orderBy("hash", "id", F.xxhash64("row"))))
-    ranked = ranked.join(offsets, ["src", "bucket"]).withColumn("rank", F.col("offset") + F.col("rank") - 1)
-    ranked = ranked.withColumn("block", F.expr(f"rank div {int(block_docs)}")).withColumn("turn", F.col("block") % F.col("units"))
-    placed = ranked.join(F.broadcast(schedule(units)), ["src", "turn"])
-    return placed.select("row", "block", (F.expr("block div units") * F.col("period") + F.col("slot")).alias("slot"),
-                         (F.col("rank") % block_docs).cast("int").alias("place"))
+    return _placed(_ranked(own, "bucket", "hash", "id", F.xxhash64("row")), units, block_docs)
+
+
+def stored_mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source",
+               block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """As ``mix``, for the Parquet files that were written from ``in_mix_order`` with the same weights:
+    the order of a source's documents is that of their rows in the files, whatever put them there."""
+    name, at = F.col("_metadata.file_name"), F.col("_metadata.row_index").alias("at")
+    part = F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("bigint")  # wider than its zeros from 100000 on
+    own = _own(docs, source_col, F.struct(part.alias("part"), name.alias("name")).alias("file"), at)
+    return _placed(_ranked(own, "file", "at"), _units(own, weights), block_docs)
 
 
 def in_mix_order(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id",

@@ -126,3 +126,27 @@ def test_input_from_a_table_with_null_columns(spark):
     assert corpus_pipeline.mix_sources(spark, docs, SF).count() == 1
     assert corpus_pipeline.near_duplicates(spark, docs.union(docs), SF).count() == 1
     assert corpus_pipeline.language_id(spark, docs.withColumn("lang", F.lit("en")), SF).count() == 1
+
+
+def test_last_stage_follows_the_files_it_reads(spark, tmp_path):
+    # files in an order of their own, not that of the mix: the last stage has nothing else to go by
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = [(i, f"text {i}", "en", "a" if i % 3 else None, 6) for i in range(100)]
+    docs = spark.createDataFrame(rows, schema).repartitionByRange(3, F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id"))
+    docs.write.parquet(str(tmp_path / "mix"))
+    got = corpus_pipeline.encode(spark, spark.read.parquet(str(tmp_path / "mix")), SF).orderBy("slot", "place").collect()
+    for own in ([i for i in range(99, -1, -1) if i % 3], [i for i in range(99, -1, -1) if i % 3 == 0]):
+        assert [r.doc_id for r in got if r.doc_id in set(own)] == own
+    assert len({(r.slot, r.place) for r in got}) == 100
+
+
+def test_slices_of_any_size_encode_alike(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    path = P.path("byte_bpe_50k.tiktoken")
+    want = sorted(map(tuple, bpe_fst.encode_documents(docs, path, P.PATTERN).collect()))
+    monkeypatch.setattr(bpe_fst, "SLICE_BYTES", 1)
+    assert sorted(map(tuple, bpe_fst.encode_documents(docs, path, P.PATTERN).collect())) == want
+    tokens = bpe_fst.TokenBytes({0: b"a", 2: b"bc"})
+    assert tokens.join(np.array([2, 0, 2])) == b"bcabc" and tokens.join(np.array([], np.int64)) == b""
+    with pytest.raises(ValueError):
+        tokens.join(np.array([1]))
