@@ -49,18 +49,28 @@ class FeatureModel:
     def terms(self) -> DataFrame:
         return self.spark.read.schema(TERMS).parquet(f"{self.folder}/terms")
 
-    def weights(self, counts: DataFrame) -> DataFrame:
-        """(doc_id, index, tf, weight) of term counts (doc_id, term, tf). The vocabulary grows with the
-        corpus: it is joined by sort-merge, and adaptive execution splits the terms of very many texts."""
-        joined = counts.join(self.terms().select("term", "index", "idf").hint("merge"), "term")
-        return joined.select("doc_id", "index", "tf", (F.col("tf") * F.col("idf")).alias("weight"))
+    @staticmethod
+    def _pairs(joined: DataFrame) -> DataFrame:
+        """(doc_id, p): one text's distinct terms meet in one row."""
+        pair = F.struct("index", (F.col("tf") * F.col("idf")).alias("weight"))
+        return joined.groupBy("doc_id").agg(F.collect_list(pair).alias("p"))
 
     def vectors(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """(id, indices, values) for every row of ``docs``, whose ids are unique."""
-        own = self.weights(tx.term_counts(docs, id_col, text_col))
-        # one text's distinct terms meet in one row
-        pairs = own.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("index", "weight"))).alias("p"))
-        out = docs.select(F.col(id_col).alias("doc_id")).join(pairs.hint("merge"), "doc_id", "left")
+        """(id, indices, values) for every row of ``docs``, whose ids are unique. The vocabulary grows with
+        the corpus: its ``HEAD_TERMS`` most frequent terms are broadcast, and only the counts of the others
+        move to their terms by sort-merge, and back to their texts."""
+        counts = tx.counts_by_doc(docs, id_col, text_col)
+        head = self.terms().where(F.col("index") < tx.HEAD_TERMS)
+        near = self._pairs(counts.join(F.broadcast(head), "term"))  # the counts stay where they are
+        out = docs.select(F.col(id_col).alias("doc_id")).join(near.hint("merge"), "doc_id", "left")
+        if self.n_terms > tx.HEAD_TERMS:
+            tail = self.terms().where(F.col("index") >= tx.HEAD_TERMS)
+            rare = counts.join(F.broadcast(head.select("term")), "term", "left_anti")
+            far = self._pairs(rare.join(tail.hint("merge"), "term")).withColumnRenamed("p", "q")
+            none = F.array().cast("array<struct<index:bigint,weight:double>>")
+            out = out.join(far.hint("merge"), "doc_id", "left")
+            out = out.select("doc_id", F.concat(F.coalesce("p", none), F.coalesce("q", none)).alias("p"))
+        out = out.select("doc_id", F.array_sort("p").alias("p"))
         none_i, none_v = F.array().cast("array<bigint>"), F.array().cast("array<double>")
         return out.select(F.col("doc_id").alias(id_col), F.coalesce(F.col("p.index"), none_i).alias("indices"),
                           F.coalesce(F.col("p.weight"), none_v).alias("values"))

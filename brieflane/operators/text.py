@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from brieflane import fixed
 from brieflane.operators import skew
+from brieflane.session import written
 
 WS = "[ \\t\\n\\x0B\\f\\r]"  # Java's \s: the Tokenizer's split class
 
@@ -56,7 +57,18 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     The lower-cased and right-stripped texts are projected once (not re-evaluated per
     branch of the tokenizer expression); stop words are dropped after the explode by a
     codegen'd hashed ``InSet`` filter (a lambda inside ``filter()`` is interpreted)."""
-    low = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_low"))
+    return _counted(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")))
+
+
+def counts_by_doc(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """As ``term_counts``, for a reader that goes on by document or sums by term: the texts are dealt by
+    id before they are split, as a text is far shorter than its (doc, term) rows. What reads it twice
+    splits twice."""
+    return _counted(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).repartition("doc_id"))
+
+
+def _counted(texts: DataFrame) -> DataFrame:
+    low = texts.select("doc_id", F.lower(F.coalesce(F.col("_text"), F.lit(""))).alias("_low"))
     low = low.select("doc_id", "_low", F.regexp_replace("_low", WS + "+$", "").alias("_stripped"))
     toks = (F.when(F.col("_low") == "", F.array(F.lit("")))
             .when(F.col("_stripped") == "", F.array().cast("array<string>"))
@@ -79,6 +91,21 @@ def idf_column(m: Column, df: Column) -> Column:
     return F.log((m + F.lit(1.0)) / (df + F.lit(1.0)))
 
 
+#: Terms of a vocabulary that are broadcast, whatever its size: those that most rows hold.
+HEAD_TERMS = 1 << 17
+
+
+def weighted(tf: DataFrame, head: DataFrame, tail: DataFrame | None) -> DataFrame:
+    """Term counts joined by term to a vocabulary in two parts: a ``head`` of ``HEAD_TERMS`` terms at
+    most, which is broadcast, and the ``tail`` of any size, to which only the counts of its own terms
+    move (sort-merge)."""
+    near = tf.join(F.broadcast(head), "term")
+    if tail is None:
+        return near
+    far = tf.join(F.broadcast(head.select("term")), "term", "left_anti").join(tail.hint("merge"), "term")
+    return near.unionByName(far)
+
+
 def idf_weights(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """E5: (term, doc_freq, idf); m counts every document, empty ones included."""
     m = docs.agg(F.count("*")).scalar()
@@ -164,7 +191,7 @@ def vocabulary(docs: DataFrame, id_col: str, text_col: str, vocab_size: int | No
     from pyspark.sql import Window
     from brieflane.session import cut_lineage
 
-    d = doc_freq(term_counts(docs, id_col, text_col))
+    d = doc_freq(counts_by_doc(docs, id_col, text_col))
     order = [F.col("total_count").desc(), F.col("term")]
     stamped = cut_lineage(d.repartitionByRange(*order).sortWithinPartitions(*order)
                           .withColumn("_pid", F.spark_partition_id())
@@ -195,7 +222,12 @@ def ml_pipeline(text_col: str, vocab_size: int = (1 << 31) - 1):
 def feature_sums(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, n, total) of the vectors of :func:`ml_pipeline`: non-zeros and weight sum of every
     document, from the long form, so that no vocabulary is on the driver and none is capped."""
-    sums = (tfidf(docs, id_col, text_col).groupBy("doc_id")
+    m = docs.agg(F.count("*")).scalar()
+    tf = written(counts_by_doc(docs, id_col, text_col), "counts", compression="zstd")
+    w = written(doc_freq(tf).select("term", "doc_freq", idf_column(m, F.col("doc_freq")).alias("idf")), "idf", compression="zstd")
+    often = F.col("doc_freq") >= F.ceil(w.agg(F.sum("doc_freq")).scalar() / HEAD_TERMS)
+    sums = (weighted(tf, w.where(often).select("term", "idf"), w.where(~often).select("term", "idf"))
+            .select("doc_id", (F.col("tf") * F.col("idf")).alias("tfidf")).groupBy("doc_id")
             .agg(F.count_if(F.col("tfidf") != 0).alias("n"), F.sum("tfidf").alias("total")))
     out = docs.select(F.col(id_col).alias("doc_id")).join(sums.hint("merge"), "doc_id", "left")
     return out.select(F.col("doc_id").alias(id_col), F.coalesce("n", F.lit(0)).alias("n"),
