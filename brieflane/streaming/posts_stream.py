@@ -40,11 +40,20 @@ def land_responses(responses: DataFrame, landing: str, fetched_epoch: int, deliv
                    later: Column | None = None) -> None:
     """Write responses as JSON files, ``deliveries`` times (re-delivery = exact copies),
     stamped with the fetch time (delivery i one hour after delivery i - 1; a response ``later``
-    seconds after the others, if given)."""
+    seconds after the others, if given). The files are gzipped. What is delivered more than once is
+    computed once."""
+    names = [f.name for f in RESPONSE_SCHEMA if f.name != "fetched_at"]
+    first = responses.select(*names, (F.lit(0) if later is None else later).alias("later"))
+    if deliveries > 1:
+        spark, path = responses.sparkSession, intermediate(responses.sparkSession, "responses")
+        first.write.option("compression", "zstd").parquet(path)
+        first = spark.read.schema(first.schema).parquet(path)
     for i in range(deliveries):
-        at = F.lit(fetched_epoch + 3600 * i) + (F.lit(0) if later is None else later)
-        stamped = responses.withColumn("fetched_at", F.timestamp_seconds(at))
-        stamped.select(*[f.name for f in RESPONSE_SCHEMA]).write.mode("append").json(f"{landing}/delivery={i}")
+        stamped = first.withColumn("fetched_at", F.timestamp_seconds(F.lit(fetched_epoch + 3600 * i) + F.col("later")))
+        (stamped.select(*[f.name for f in RESPONSE_SCHEMA]).write.mode("append").option("compression", "gzip")
+         .json(f"{landing}/delivery={i}"))
+    if deliveries > 1:
+        discard(spark, path)
 
 
 def empty_poll(spark: SparkSession) -> DataFrame:
@@ -113,7 +122,7 @@ def late_posts(landing: DataFrame, written: DataFrame) -> DataFrame:
 
 
 def run_available_now(stream: DataFrame, out: str, checkpoint: str) -> None:
-    q = (stream.writeStream.format("parquet").outputMode("append")
+    q = (stream.writeStream.format("parquet").outputMode("append").option("compression", "zstd")
          .option("path", out).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
@@ -181,7 +190,7 @@ def split_sinks(raw: DataFrame, folder: str, checkpoint: str) -> None:
 
 
 def write_part(part: DataFrame, path: str) -> None:
-    part.write.mode("overwrite").parquet(path)
+    part.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def daily_counts(posts: DataFrame) -> DataFrame:
