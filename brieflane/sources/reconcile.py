@@ -39,15 +39,16 @@ def _fingerprint(cols: Sequence[str]) -> Column:
 
 def compare(stored: DataFrame, landed: DataFrame, key: str) -> DataFrame:
     """Every row of the touched days as it should be stored, with its kind. The rows meet by day and
-    id (full outer join) and are told apart by two 64-bit hashes of all columns."""
+    id (full outer join) and are told apart by two 64-bit hashes of all columns. The landed rows lie
+    by id since ``newest``: the day is a condition of the join, so that it does not move them again."""
     cols = [c for c in landed.columns if c not in (key, "day")]
-    new = landed.select("day", key, F.struct(*cols).alias("_new"), _fingerprint(cols).alias("_hn"))
+    new = landed.select(F.col("day").alias("_nd"), F.col(key).alias("_nk"), F.struct(*cols).alias("_new"), _fingerprint(cols).alias("_hn"))
     touched = landed.select("day").distinct()
-    old = stored.join(touched, "day", "left_semi").select("day", key, F.struct(*cols).alias("_old"), _fingerprint(cols).alias("_ho"))
+    old = stored.join(touched, "day", "left_semi").select(F.col("day").alias("_od"), F.col(key).alias("_ok"), F.struct(*cols).alias("_old"), _fingerprint(cols).alias("_ho"))
     kind = (F.when(F.col("_old").isNull(), F.lit("inserted")).when(F.col("_new").isNull(), F.lit("kept"))
             .when(F.col("_hn") == F.col("_ho"), F.lit("unchanged")).otherwise(F.lit("changed")))
-    both = new.join(old, ["day", key], "full_outer")
-    return both.select("day", key, kind.alias("kind"), F.coalesce("_new", "_old").alias("_row")).select("day", key, "kind", "_row.*")
+    both = new.hint("merge").join(old, (F.col("_nk") == F.col("_ok")) & (F.datediff("_nd", "_od") == 0), "full_outer")
+    return both.select(F.coalesce("_nd", "_od").alias("day"), F.coalesce("_nk", "_ok").alias(key), kind.alias("kind"), F.coalesce("_new", "_old").alias("_row")).select("day", key, "kind", "_row.*")
 
 
 def reconcile(path: str, landed: DataFrame, day: Column, key: str = "id", fetched: str | None = None) -> DataFrame:
@@ -61,7 +62,7 @@ def reconcile(path: str, landed: DataFrame, day: Column, key: str = "id", fetche
     schema = T.StructType([f for f in one.schema.fields if f.name != "day"])
     place = intermediate(spark, "reconcile")
     rows = compare(stored_table(spark, path, schema), one, key)
-    rows.write.parquet(place)
+    rows.write.option("compression", "zstd").parquet(place)
     rows = spark.read.schema(rows.schema).parquet(place)
     counts = rows.groupBy("day", "kind").agg(F.count("*").alias("n"))
     table = counts.schema
@@ -70,6 +71,6 @@ def reconcile(path: str, landed: DataFrame, day: Column, key: str = "id", fetche
     if dirty:
         out = rows.where(F.col("day").isin(dirty)).drop("kind").select(*schema.names, "day")
         (out.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("day").parquet(path))
+         .option("compression", "zstd").partitionBy("day").parquet(path))
     discard(spark, place)
     return spark.createDataFrame(done, table)
