@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brieflane.operators import config as cfgops
-from brieflane.operators import filters
+from brieflane.operators import filters, word_index
 from brieflane.operators.word_index import WordIndex
 from brieflane.plans import api, indexes
 from brieflane.session import discard
@@ -109,3 +109,34 @@ def test_entities_without_spaces_need_only_postings(spark):
     assert scans and all("text" not in line.split("ReadSchema")[-1] for line in scans)
     assert hits(out.withColumn("k", F.lit(0)).withColumn("id", F.col("id").cast("int"))) == hits(
         filters.substring_matches(p, F.col("lt"), terms, "term", "id").withColumn("k", F.lit(0)).withColumn("id", F.col("id").cast("int")))
+
+
+def test_texts_are_stored_not_a_row_for_each_word(spark):
+    """A text is one row in each bucket; postings are made of it when they are read."""
+    rows = texts(300, 3)
+    index, df = indexed(spark, rows)
+    stored = spark.read.parquet(f"{index.folder}/postings")
+    assert stored.groupBy("_rid", "day", "bucket").count().where("count > 1").collect() == []
+    assert stored.count() < index.postings().count()
+    got = sorted((r["_rid"], r["_word"]) for r in index.postings().collect())
+    assert got == sorted((i, w) for i, t, _ in rows if t is not None for w in set(t.split(" ")) - {""})
+    assert index.postings().where(F.col("bucket") != index._bucket("_word")).collect() == []
+    assert sorted(r["_word"] for r in index.vocabulary().collect()) == sorted({w for _, w in got})
+
+
+@pytest.mark.parametrize("many,few,short", [(0, 64, 64), (0, 3, 64), (10 ** 6, 3, 2), (0, 64, 0)])
+def test_any_size_of_a_search_finds_the_same(spark, terms, monkeypatch, many, few, short):
+    monkeypatch.setattr(word_index, "MANY_WORDS", many)
+    monkeypatch.setattr(word_index, "FEW_PIECES", few)
+    monkeypatch.setattr(word_index, "SHORT_WORD", short)
+    rows = texts(200, 4) + [(9000 + i, w, DAY) for i, w in enumerate(["日本語oil", "e\u0301x", "😀ab😀", "oil" * 40, "x" * 70 + "日本"])]
+    index, df = indexed(spark, rows)
+    assert hits(index.matches(df, F.col("t"), terms, "term", "id")) == hits(filters.substring_matches(df, F.col("t"), terms, "term", "id"))
+    grams = {(r["_gram"], r["_word"]) for r in index.grams().collect()}
+    assert grams == {(w[i:i + filters.GRAM], w) for r in index.vocabulary().collect() for w in [r["_word"]] for i in range(len(w))}
+
+
+def test_a_repeated_or_null_id_keeps_its_words(spark):
+    index, df = indexed(spark, [(1, "oil gas", DAY), (1, "gas tin", DAY), (None, "oil", DAY)])
+    got = sorted(((r["_rid"], r["_word"]) for r in index.postings().collect()), key=str)
+    assert got == [(1, "gas"), (1, "gas"), (1, "oil"), (1, "tin"), (None, "oil")]
